@@ -104,18 +104,18 @@ def carry_over(table, entry_total, limit, closes_after):
 def group_run(weights, entry_total, entry_group, limit, closes_after):
     """Group number of every item of one ordered run, given the state on entry."""
     n = len(weights)
-    prefix = np.cumsum(weights, dtype=np.int64)
-    marks = np.zeros(n + 1, dtype=np.int64)
-    base = -entry_total
-    while True:
-        cut = int(_cut(prefix, base, limit, closes_after))
-        if cut >= n:
-            break
+    prefix = np.cumsum(weights, dtype=np.int64).tolist()
+    find = bisect_left if closes_after else bisect_right
+    starts = []
+    base, low = -entry_total, 0
+    while (cut := find(prefix, base + limit, low)) < n:
         start = cut + 1 if closes_after else cut
-        marks[start] += 1
+        starts.append(start)
         if start >= n:
             break
-        base = int(prefix[start - 1]) if start else 0
+        base, low = (prefix[start - 1] if start else 0), start
+    marks = np.zeros(n + 1, dtype=np.int64)
+    marks[starts] = 1
     return entry_group + np.cumsum(marks[:n])
 
 

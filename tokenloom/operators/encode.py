@@ -104,7 +104,8 @@ class DictionaryEncoder:
             tokens, ids = shared.value
             return kernels.lookup_ids(found, tokens, ids, unk_id, strict)
 
-        return lookup
+        # Keeps filters on the ids above the lookup; pushed below, they would run it twice.
+        return lookup.asNondeterministic()
 
     def _encode_in_place(self, df: DataFrame, text_column: str, out: str) -> DataFrame:
         return df.withColumn(out, self._lookup(True)(self.pieces(F.col(text_column))))

@@ -84,6 +84,18 @@ def take_shard(df: DataFrame, shard: int, name: str = "shard") -> DataFrame:
     return df.where(F.col(name) == shard)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a small scan that would leave cores idle; larger scans pass unchanged.
+
+    The decision looks at the number of input splits only. With at least one split per core there
+    is no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def shuffle_key(key: list[str], seed: int) -> Column:
     """Sort key of a repeatable shuffle; unlike a random number it survives task retries."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))

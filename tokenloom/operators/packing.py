@@ -67,29 +67,21 @@ def build_samples(units: DataFrame, assignment: DataFrame, *, key: list[str],
     rank = F.struct(*order).alias("at")
     grouped = placed.groupBy(*sample).agg(F.array_sort(F.collect_list(
         F.struct(rank, F.col("input_ids").alias("ids")))).alias("_units"))
-    lengths = F.transform("_units", lambda u: F.size(u["ids"]))
-    return (
-        grouped.withColumn("_lens", lengths)
-        .select(
-            *sample,
-            F.flatten("_units.ids").alias("input_ids"),
-            F.flatten("_units.ids").alias("labels"),
-            positions(F.col("_lens")).alias("position_ids"),
-            _segments("_lens").alias("segments"),
-        )
-    )
-
-
-def _segments(lengths: str):
-    """Interval of every unit in its sample."""
+    built = grouped.select(
+        *sample,
+        F.flatten("_units.ids").alias("input_ids"),
+        F.transform("_units", lambda u: F.size(u["ids"])).alias("_lens"),
+    ).withColumn("position_ids", positions(F.col("_lens")))
+    return built.select(*sample, "input_ids", F.col("input_ids").alias("labels"), "position_ids",
+                        _segments().alias("segments"))
+
+
+def _segments():
+    """Interval of every unit in its sample; units begin where positions restart."""
+    starts = F.array_compact(F.transform("position_ids", lambda p, i: F.when(p == 0, i)))
     return F.transform(
-        F.arrays_zip(numbers(F.size(lengths)).alias("unit"), F.col(lengths).alias("len")),
-        lambda u: F.struct(
-            u["unit"].alias("unit_idx"),
-            F.aggregate(F.slice(F.col(lengths), F.lit(1), u["unit"]), F.lit(0),
-                        lambda a, x: a + x).alias("start"),
-            u["len"].alias("len"),
-        ),
+        F.arrays_zip(starts.alias("start"), F.col("_lens").alias("len")),
+        lambda u, i: F.struct(i.alias("unit_idx"), u["start"].alias("start"), u["len"].alias("len")),
     )
 
 
@@ -128,24 +120,32 @@ def packed_dataset(encoded: DataFrame, *, seq_len: int, window_units: int | None
     order = order or key
     columns = list(dict.fromkeys([shard, key, order]))
     units = stage(split_units(encoded.select(*columns, "ids"), seq_len, min_len), "units")
-    assignment = plan_packing(
-        units.where(F.col("block_no") == 0).select(*columns, "n_units"),
-        units.select(key, "block_no", F.size("input_ids").alias("len")),
-        window_units=window_units, capacity=capacity, min_len=min_len, shard=shard, key=key,
-        order=order, chunk_rows=chunk_rows,
-    )
+    windows = assign_windows(first_units(units, columns), window_units=window_units, shard=shard,
+                             order=[order], chunk_rows=chunk_rows)
+    return pack_units(units, windows, capacity=capacity, min_len=min_len, pad_id=pad_id,
+                      shard=shard, key=key, order=order)
+
+
+def first_units(units: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per source row of a unit table, without its tokens."""
+    return units.where(F.col("block_no") == 0).select(*columns, "n_units")
+
+
+def pack_units(units: DataFrame, windows: DataFrame, *, capacity: int, min_len: int, pad_id: int,
+               shard: str, key: str, order: str) -> DataFrame:
+    """Padded samples of the units whose rows have a window."""
+    lengths = units.select(key, "block_no", F.size("input_ids").alias("len"))
+    assignment = plan_bins(windows, lengths, capacity=capacity, min_len=min_len, shard=shard,
+                           key=key, order=order)
     samples = build_samples(units, assignment, key=[key, "block_no"],
                             sample=[shard, "window_id", "bin"], order=["slot"])
     return pad_samples(samples, capacity, pad_id)
 
 
-def plan_packing(rows: DataFrame, unit_lens: DataFrame, *, window_units: int, capacity: int,
-                 min_len: int, shard: str, key: str, order: str,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``(shard, window_id, key, block_no, len, bin, slot)`` from counts and lengths alone."""
-    windows = assign_windows(rows, window_units=window_units, shard=shard, order=[order],
-                             chunk_rows=chunk_rows)
-    placed = windows.drop("n_units").join(unit_lens, key)
+def plan_bins(windows: DataFrame, lengths: DataFrame, *, capacity: int, min_len: int, shard: str,
+              key: str, order: str) -> DataFrame:
+    """``(shard, window_id, key, block_no, len, bin, slot)`` from lengths alone."""
+    placed = windows.select(*{shard, key, order}, "window_id").join(lengths, key)
     unit_order = list(dict.fromkeys([order, key, "block_no"]))
     return pack_windows(placed, capacity=capacity, min_len=min_len, shard=shard, order=unit_order)
 

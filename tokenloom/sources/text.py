@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tokenloom.functions.text import is_nonblank, strip
 from tokenloom.sources.files import suffix_of
 
-_FILE = F.col("_metadata.file_path").alias("file")
+FILE = "_metadata.file_path"
 
 
 def scan_text(spark: SparkSession, paths: str | list[str], text_column: str,
@@ -34,7 +34,7 @@ def scan_parquet(spark: SparkSession, paths: str | list[str], text_column: str,
     if isinstance(paths, list) or not paths.lower().endswith(".parquet"):
         reader = reader.option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]")
     files = reader.parquet(*([paths] if isinstance(paths, str) else paths))
-    pos = F.struct(_FILE, F.lit(0).cast("long").alias("block"),
+    pos = F.struct(F.col(FILE).alias("file"), F.lit(0).cast("long").alias("block"),
                    F.col("_metadata.row_index").alias("row")).alias("pos")
     return files.select(pos, *keep, text_column)
 
@@ -53,7 +53,7 @@ def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     # Within one file split the generated id increases line by line; splits are told apart by
     # their start offset, so the struct sorts in file order however splits are laid out.
-    pos = F.struct(_FILE, F.col("_metadata.file_block_start").alias("block"),
+    pos = F.struct(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("row")).alias("pos")
     return (
         files.select(pos, strip(F.col("value")).alias("line"))
