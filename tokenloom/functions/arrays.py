@@ -47,5 +47,5 @@ def positions(lengths: Column) -> Column:
 
 
 def fingerprint(values: Column) -> Column:
-    """md5 of the comma-joined values; a compact stand-in for an array in a report."""
-    return F.md5(F.array_join(values.cast("array<string>"), ","))
+    """md5 of the array's JSON; a compact stand-in for it in a report."""
+    return F.md5(F.to_json(values))

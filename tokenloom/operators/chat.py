@@ -37,7 +37,7 @@ def group_turns(turns: DataFrame, conversation: str, turn: str,
     one = message(F.col("role"), F.col("text")) if messages is None else messages
     return (
         turns.groupBy(conversation)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("at"), one.alias("m"))))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("at"), one.alias("m"))))
              .alias("_turns"))
         .select(conversation, F.col("_turns.m").alias("messages"))
     )

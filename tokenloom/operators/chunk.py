@@ -12,7 +12,10 @@ from tokenloom.sources.text import scan_text
 
 
 def split_blocks(df: DataFrame, block_size: int, min_len: int, column: str = "ids") -> DataFrame:
-    """One row per block: ``block_no`` and ``input_ids``; a last block below ``min_len`` goes."""
+    """One row per block: ``block_no``, ``len``, ``input_ids``; a last block below ``min_len`` goes.
+
+    ``len`` is kept beside the tokens so that planning on a staged table reads no token.
+    """
     count = block_count(F.size(column), block_size, min_unit(min_len))
     return _explode_blocks(df, count, block_size, column)
 
@@ -44,10 +47,11 @@ def unit_lengths(df: DataFrame, seq_len: int, min_len: int, length: str = "n_tok
 
 def _explode_blocks(df: DataFrame, count: Column, size: int, column: str) -> DataFrame:
     others = [c for c in df.columns if c != column]
+    n, block = F.size(column), F.col("block_no")
     return (
         df.select(*others, column, F.explode(numbers(count)).alias("block_no"))
-        .select(*others, "block_no",
-                block_at(F.col(column), F.col("block_no"), size).alias("input_ids"))
+        .select(*others, "block_no", F.least(n - block * size, F.lit(size)).alias("len"),
+                block_at(F.col(column), block, size).alias("input_ids"))
     )
 
 

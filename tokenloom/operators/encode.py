@@ -129,7 +129,7 @@ class DictionaryEncoder:
         tail_id = F.coalesce("id", absent.cast("long"))
         patches = (
             resolved.groupBy(self.key)
-            .agg(F.array_sort(F.collect_list(F.struct("_pos", tail_id.alias("_id")))).alias("_found"))
+            .agg(F.sort_array(F.collect_list(F.struct("_pos", tail_id.alias("_id")))).alias("_found"))
             .select(self.key, F.col("_found._id").cast(IDS).alias("_tail"))
         )
 
@@ -173,7 +173,7 @@ class FunctionEncoder:
         # Ids are put next to positions before regrouping; a hot piece is one key on the small
         # side, which the adaptive skew join splits on the large side.
         rows = found.join(coded, "token").groupBy(self.key).agg(
-            F.array_sort(F.collect_list(F.struct("_pos", "_ids"))).alias("_coded"))
+            F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_coded"))
         ids = F.flatten(F.col("_coded._ids"))
         return (
             df.join(rows, self.key, "left")

@@ -65,7 +65,7 @@ def build_samples(units: DataFrame, assignment: DataFrame, *, key: list[str],
     """
     placed = units.select(*key, "input_ids").join(assignment.select(*{*key, *sample, *order}), key)
     rank = F.struct(*order).alias("at")
-    grouped = placed.groupBy(*sample).agg(F.array_sort(F.collect_list(
+    grouped = placed.groupBy(*sample).agg(F.sort_array(F.collect_list(
         F.struct(rank, F.col("input_ids").alias("ids")))).alias("_units"))
     built = grouped.select(
         *sample,
@@ -134,7 +134,7 @@ def first_units(units: DataFrame, columns: list[str]) -> DataFrame:
 def pack_units(units: DataFrame, windows: DataFrame, *, capacity: int, min_len: int, pad_id: int,
                shard: str, key: str, order: str) -> DataFrame:
     """Padded samples of the units whose rows have a window."""
-    lengths = units.select(key, "block_no", F.size("input_ids").alias("len"))
+    lengths = units.select(key, "block_no", "len")
     assignment = plan_bins(windows, lengths, capacity=capacity, min_len=min_len, shard=shard,
                            key=key, order=order)
     samples = build_samples(units, assignment, key=[key, "block_no"],

@@ -34,7 +34,7 @@ def text(value: str) -> str:
 
 
 def fp(values: str) -> str:
-    return f"md5(coalesce(array_to_string({values}, ','), ''))"
+    return f"md5(to_json({values})::varchar)"
 
 
 WS = text(WHITESPACE)
@@ -256,7 +256,7 @@ def _special() -> str:
     any_of = "|".join(n.replace("|", "\\|") for n in names)
     table = ", ".join(f"('{n}', {FIRST_SPECIAL_ID + i})" for i, n in enumerate(names))
     return with_parts(
-        "select conv_id, count(*) as n, md5(string_agg(id, ',' order by pos)) as ids_md5 "
+        "select conv_id, count(*) as n, md5('[' || string_agg(id, ',' order by pos) || ']') as ids_md5 "
         "from coded_p group by conv_id",
         *rendered(TURNS),
         ("special", f"select * from (values {table}) as s(token, id)"),
@@ -406,7 +406,7 @@ SQL: dict[str, str] = {
     "pack_compare": with_parts(
         _summary("sequential", "(select source, bin, sum(len) as n_tokens from seq group by all)")
         + " union all " + _summary("best_fit", "sizes")),
-    "synthetic_units": f"""select n, n + 1 as len, md5(repeat(n || ',', n::int) || '{EOS_ID}') as ids_md5
+    "synthetic_units": f"""select n, n + 1 as len, md5('[' || repeat(n || ',', n::int) || '{EOS_ID}]') as ids_md5
         from (select item_id + 1 as n from benchmark)""",
     "batch_assign": with_parts(_BATCHES),
     "batch_shuffled": with_parts(f"""select source, doc_id, block_no, len, rn // {BATCH} as batch_id,
@@ -444,7 +444,7 @@ SQL: dict[str, str] = {
               from (select doc_id, {_SFT_PROMPT} as prompt from s) where prompt is not null),
         w as (select doc_id, unnest(a) as token, generate_subscripts(a, 1) as pos from p),
         v as (select token, row_number() over (order by count(*) desc, token) as id from w group by token)
-        select doc_id, count(*) as n, md5(string_agg(id, ',' order by pos)) as ids_md5
+        select doc_id, count(*) as n, md5('[' || string_agg(id, ',' order by pos) || ']') as ids_md5
         from w join v using (token) where pos <= 64 group by doc_id""",
     "last_query": f"""select conv_id, max(turn) filter (role = 'user' and not (
         starts_with({strip('text')}, {text(C.RESPONSE_OPEN)})

@@ -187,7 +187,7 @@ def _assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     units = stage(chunk.split_units(_encoded(spark, sf), I.SEQ_LEN, I.MIN_LEN), "units")
-    lengths = units.select("doc_id", "block_no", F.size("input_ids").alias("len"))
+    lengths = units.select("doc_id", "block_no", "len")
     plan = packing.plan_bins(_windowed(units), lengths, capacity=I.CAPACITY, min_len=I.MIN_LEN,
                              shard="source", key="doc_id", order="doc_id")
     return packing.build_samples(units, plan, key=["doc_id", "block_no"], sample=SAMPLE,
@@ -315,7 +315,7 @@ def batch_shuffled(spark: SparkSession, sf: str) -> DataFrame:
 def collate_batch(spark: SparkSession, sf: str) -> DataFrame:
     chunks = stage(chunk.split_blocks(_encoded(spark, sf), I.SEQ_LEN, I.MIN_LEN), "chunks")
     key = ["source", "doc_id", "block_no"]
-    lengths = chunks.select(*key, F.size("input_ids").alias("len"))
+    lengths = chunks.select(*key, "len")
     batches = batching.assign_batches(lengths, I.BATCH, key[1:], shard="source")
     out = batching.collate(chunks, batches, key=key, batch=["source", "batch_id"], pad_id=I.PAD_ID)
     return out.select(
