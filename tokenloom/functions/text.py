@@ -35,6 +35,7 @@ PRETOKENS = (
 
 # The tokenizer reads \s and \S as Unicode classes; Java does so only under this flag.
 UNICODE = "(?U)"
+_CLASSES = ("\\s", "\\S")
 
 
 def is_nonblank(text: Column) -> Column:
@@ -49,7 +50,8 @@ def strip(text: Column) -> Column:
 
 def pieces(text: Column, pattern: str = WORDS) -> Column:
     """All matches of ``pattern``, in order."""
-    return F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(0))
+    flag = UNICODE if any(c in pattern for c in _CLASSES) else ""
+    return F.regexp_extract_all(text, F.lit(flag + pattern), F.lit(0))
 
 
 def _escape(literal: str) -> str:

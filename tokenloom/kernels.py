@@ -26,6 +26,18 @@ def lookup_ids(pieces, tokens, ids, unk_id, strict):
     return pa.ListArray.from_arrays(_offsets(lengths), found)
 
 
+def tokenize_pieces(pieces, tokenize):
+    """Map a list<string> array to list<int32>, tokenizing each distinct piece once."""
+    coded = pieces.flatten().dictionary_encode()
+    ids = pa.array(tokenize(coded.dictionary.to_pylist()), pa.list_(pa.int32()))
+    per_piece = ids.take(coded.indices)
+    sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(per_piece).to_numpy(
+        zero_copy_only=False))))
+    counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    return pa.ListArray.from_arrays(pa.array(sizes[ends].astype(np.int32)), per_piece.flatten())
+
+
 def fill_missing(ids, tail):
     """Replace the nulls of each id list, in order, by the ids of the matching ``tail`` list."""
     flat = ids.flatten()

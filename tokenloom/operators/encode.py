@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom import kernels
-from tokenloom.functions.text import WORDS, pieces, pieces_with_special
+from tokenloom.functions.text import PRETOKENS, WORDS, pieces, pieces_with_special
 from tokenloom.operators.indexing import with_row_index
 from tokenloom.schemas import IDS
 from tokenloom.sources.special import special_ids
@@ -146,40 +147,28 @@ class DictionaryEncoder:
 
 
 class FunctionEncoder:
-    """Encoder around a caller's tokenizer, run once per distinct piece.
+    """Encoder around a caller's tokenizer.
 
     ``load`` is called in the task and returns ``list[str] -> list[list[int]]``. Pieces of the
-    pre-tokenization are independent, so each distinct one is encoded once and joined back.
+    pre-tokenization are independent of each other, so each distinct piece of an Arrow batch is
+    tokenized once. Texts stay where they are: no shuffle, whatever pieces are frequent.
     """
 
-    def __init__(self, load, *, pattern: str, key: str = "doc_id"):
+    def __init__(self, load, *, pattern: str = PRETOKENS):
         self.load = load
         self.pattern = pattern
-        self.key = key
 
     def encode(self, df: DataFrame, text_column: str = "text", out: str = "ids") -> DataFrame:
         load = self.load
 
-        def run(batches):
-            tokenize = load()
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                encoded = pa.array(tokenize(texts), type=pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), encoded], ["token", "_ids"])
-
-        found = df.select(
-            self.key, F.posexplode(pieces(F.col(text_column), self.pattern)).alias("_pos", "token"))
-        coded = found.select("token").distinct().mapInArrow(run, "token string, _ids array<int>")
-        # Ids are put next to positions before regrouping; a hot piece is one key on the small
-        # side, which the adaptive skew join splits on the large side.
-        rows = found.join(coded, "token").groupBy(self.key).agg(
-            F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_coded"))
-        ids = F.flatten(F.col("_coded._ids"))
-        return (
-            df.join(rows, self.key, "left")
-            .withColumn(out, F.coalesce(ids, F.array().cast(IDS)))
-            .drop("_coded")
-        )
+        @F.arrow_udf(IDS)
+        def tokenize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            run = load()
+            for found in batches:
+                yield kernels.tokenize_pieces(found, run)
+
+        return df.withColumn(
+            out, tokenize.asNondeterministic()(pieces(F.col(text_column), self.pattern)))
 
 
 def append_end(df: DataFrame, eos_id: int | None, column: str = "ids") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom import kernels
-from tokenloom.operators.indexing import with_row_index
+from tokenloom.operators.indexing import apart, with_row_index
 from tokenloom.staging import stage
 
 CHUNK_ROWS = 1_000_000
@@ -65,7 +65,7 @@ def _greedy(df: DataFrame, shard: str, order: list[str], weight: str, limit: int
 
     # Summaries are one row per chunk, with one entry per possible first cut, read one at a time.
     entries = (
-        chunked.select("_chunk", "_row", "_shard", "_weight")
+        apart(chunked.select("_chunk", "_row", "_shard", "_weight"), "_chunk")
         .groupBy("_chunk").applyInArrow(summarize, _SUMMARY)
         .repartition(1).sortWithinPartitions("_chunk")
         .mapInArrow(chain, _ENTRY)
@@ -73,4 +73,4 @@ def _greedy(df: DataFrame, shard: str, order: list[str], weight: str, limit: int
     # One small row per million rows: a bounded broadcast.
     entered = chunked.join(F.broadcast(stage(entries, "entries")), "_chunk")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return entered.groupBy("_chunk").applyInArrow(assign, f"{columns}, `{group}` long")
+    return apart(entered, "_chunk").groupBy("_chunk").applyInArrow(assign, f"{columns}, `{group}` long")

@@ -60,6 +60,50 @@ def with_group_index(df: DataFrame, group: str, order: list[str], name: str = "r
     )
 
 
+def with_scan_index(rows: DataFrame, name: str = "row_idx", pos: str = "pos",
+                    max_broadcast: int = 2_000_000) -> DataFrame:
+    """Zero-based number of every row of a file scan, in file order, without moving any row.
+
+    Counts the rows of each file split, sums the counts in split order (one small row per split),
+    and adds a row's place in its split. Takes a scan's output as it is: rows filtered out after
+    the scan would leave gaps, which fail the job.
+    """
+    at = F.col(pos)
+    counted = stage(
+        rows.groupBy(at["file"].alias("_file"), at["block"].alias("_block"))
+        .agg(F.min(at["row"]).alias("_first"), F.max(at["row"]).alias("_last"),
+             F.count("*").alias("_n")),
+        "splits",
+    )
+    before = F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1))
+    dense = F.col("_last") - F.col("_first") + 1 == F.col("_n")
+    gap = F.raise_error(F.lit("rows were removed between the scan and its numbering")).cast("long")
+    offsets = counted.select(
+        "_file", "_block",
+        F.when(dense, F.coalesce(before, F.lit(0)) - F.col("_first")).otherwise(gap).alias("_offset"))
+    if counted.count() <= max_broadcast:
+        offsets = F.broadcast(offsets)
+    return (
+        rows.join(offsets, (at["file"] == F.col("_file")) & (at["block"] == F.col("_block")))
+        .withColumn(name, F.col("_offset") + at["row"])
+        .drop("_file", "_block", "_offset")
+    )
+
+
+def shard_scan(rows: DataFrame, num_shards: int, name: str = "shard", pos: str = "pos") -> DataFrame:
+    """Exact round-robin over a scan in file order, such as JSON lines before parsing."""
+    _at_least_one(num_shards)
+    return (
+        with_scan_index(rows, "_n", pos)
+        .withColumn(name, F.pmod("_n", F.lit(num_shards)).cast("int")).drop("_n")
+    )
+
+
+def reader_shard(rank: int, worker: int, workers: int, world_size: int) -> tuple[int, int]:
+    """(shard, number of shards) of one loader worker of one process."""
+    return rank * workers + worker, world_size * workers
+
+
 def shard_by_position(df: DataFrame, order: list[str], num_shards: int,
                       name: str = "shard") -> DataFrame:
     """Exact round-robin: the n-th row under ``order`` goes to shard ``n % num_shards``.
@@ -96,6 +140,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's full number of shuffle partitions.
+
+    For grouped Python work: its rows are few bytes but much work, and a partition count chosen
+    by bytes would put all groups into one task. Grouping by ``keys`` adds no further shuffle.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def shuffle_key(key: list[str], seed: int) -> Column:
     """Sort key of a repeatable shuffle; unlike a random number it survives task retries."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))

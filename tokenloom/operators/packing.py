@@ -15,6 +15,7 @@ from tokenloom.functions.arrays import IGNORE_LABEL, PAD_POSITION, numbers, pad_
 from tokenloom.operators.chunk import split_units
 from tokenloom.operators.grouping import CHUNK_ROWS, close_on_overflow, close_on_reach
 from tokenloom.operators.guards import min_unit
+from tokenloom.operators.indexing import apart
 from tokenloom.staging import stage
 
 
@@ -42,7 +43,8 @@ def pack_windows(units: DataFrame, *, capacity: int, min_len: int, shard: str,
         return kernels.pack_window(rows, order, capacity)
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fitting.schema)
-    return fitting.groupBy(shard, "window_id").applyInArrow(pack, f"{columns}, bin int, slot int")
+    windows = apart(fitting, shard, "window_id").groupBy(shard, "window_id")
+    return windows.applyInArrow(pack, f"{columns}, bin int, slot int")
 
 
 def pack_sequential(units: DataFrame, *, capacity: int, shard: str, order: list[str],

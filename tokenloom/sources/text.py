@@ -51,14 +51,14 @@ def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]")
         .text([paths] if isinstance(paths, str) else paths)
     )
-    # Within one file split the generated id increases line by line; splits are told apart by
-    # their start offset, so the struct sorts in file order however splits are laid out.
-    pos = F.struct(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("row")).alias("pos")
-    return (
-        files.select(pos, strip(F.col("value")).alias("line"))
-        .where(is_nonblank(F.col("line")))
-    )
+    lines = files.select(
+        F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        strip(F.col("value")).alias("line"),
+    ).where(is_nonblank(F.col("line")))
+    # Within one file split the generated id counts the kept lines one by one; splits are told
+    # apart by their start offset, so the struct sorts in file order however splits are laid out.
+    pos = F.struct("file", "block", F.monotonically_increasing_id().alias("row")).alias("pos")
+    return lines.select(pos, "line")
 
 
 def parse_jsonl(lines: DataFrame, text_column: str, line_column: str = "line") -> DataFrame:
@@ -81,8 +81,9 @@ def parse_jsonl(lines: DataFrame, text_column: str, line_column: str = "line") -
         lines.withColumn("_rows", rows)
         .where(whole)
         .where(F.schema_of_variant(value) == "STRING")
-        .select(*others, F.variant_get(value, "$", "string").alias(text_column))
-        .where(is_nonblank(F.col(text_column)))
+        .select(*others, F.variant_get(value, "$", "string").alias("_text"))
+        .where(is_nonblank(F.col("_text")))
+        .withColumnRenamed("_text", text_column)
     )
 
 

@@ -93,7 +93,7 @@ class StreamPacker:
         ready = marked if closing else marked.where("closed")
         done = self._windows_before(number, filled)
         numbered = (
-            ready.join(F.broadcast(done), self.shard, "left")
+            ready.join(done, self.shard, "left")
             .withColumn("window_id", F.col("window_id") + F.coalesce("before", F.lit(0)))
         )
         samples = pack_units(units, numbered, capacity=self.capacity, min_len=self.min_len,
