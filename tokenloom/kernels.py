@@ -71,17 +71,16 @@ def _restart_states(prefix, limit, closes_after):
     n = len(prefix)
     bases = np.concatenate(([0], prefix))
     cuts = _cut(prefix, bases[:-1], limit, closes_after)
-    nxt = cuts + 1 if closes_after else cuts
     total = int(prefix[-1]) if n else 0
-    exit_total = [0] * (n + 1)
-    closed = [0] * (n + 1)
-    cuts, nxt, bases = cuts.tolist(), nxt.tolist(), bases.tolist()
+    ends = total - bases
+    exit_total, closed = memoryview(ends), memoryview(np.zeros(n + 1, dtype=np.int64))
+    step = 1 if closes_after else 0
+    cuts = memoryview(cuts)
     for s in range(n - 1, -1, -1):
-        if cuts[s] < n:
-            exit_total[s] = exit_total[nxt[s]]
-            closed[s] = closed[nxt[s]] + 1
-        else:
-            exit_total[s] = total - bases[s]
+        cut = cuts[s]
+        if cut < n:
+            exit_total[s] = exit_total[cut + step]
+            closed[s] = closed[cut + step] + 1
     return exit_total, closed
 
 
@@ -116,7 +115,7 @@ def carry_over(table, entry_total, limit, closes_after):
 def group_run(weights, entry_total, entry_group, limit, closes_after):
     """Group number of every item of one ordered run, given the state on entry."""
     n = len(weights)
-    prefix = np.cumsum(weights, dtype=np.int64).tolist()
+    prefix = memoryview(np.cumsum(weights, dtype=np.int64))
     find = bisect_left if closes_after else bisect_right
     starts = []
     base, low = -entry_total, 0

@@ -1,10 +1,12 @@
 """Greedy grouping of ordered rows: a running total that restarts when a group closes.
 
 The result depends on every earlier row of the shard, yet no task reads a whole shard. Rows are
-numbered, cut into chunks of ``chunk_rows`` and handled in three steps: each chunk is reduced to
-its transition (what an open total on entry turns into on exit), the transitions are chained in
-chunk order, and each chunk assigns its groups from its now known entry state. A shard may hold
-any share of the table.
+numbered, cut into chunks and handled in three steps: each chunk is reduced to its transition (what
+an open total on entry turns into on exit), the transitions are chained in chunk order, and each
+chunk assigns its groups from its now known entry state. A shard may hold any share of the table.
+
+Chunks hold ``chunk_rows`` rows, more once there would be over ``MAX_CHUNKS`` of them; that bounds
+both the chaining step and the broadcast of entry states.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from tokenloom.operators.indexing import apart, with_row_index
 from tokenloom.staging import stage
 
 CHUNK_ROWS = 1_000_000
+MAX_CHUNKS = 4096
 
 _SUMMARY = (
     "_chunk long, first_shard string, single boolean, sums array<long>, exits array<long>, "
@@ -45,9 +48,11 @@ def _greedy(df: DataFrame, shard: str, order: list[str], weight: str, limit: int
             closes_after: bool, group: str, chunk_rows: int) -> DataFrame:
     keyed = df.withColumn("_shard", F.coalesce(F.concat(F.lit("="), F.col(shard).cast("string")),
                                                F.lit("")))
+    indexed = with_row_index(keyed, ["_shard", *order], "_row")
+    rows = (indexed.agg(F.max("_row")).first()[0] or 0) + 1
+    chunk_rows = max(chunk_rows, -(-rows // MAX_CHUNKS))
     chunked = (
-        with_row_index(keyed, ["_shard", *order], "_row")
-        .withColumn("_chunk", F.floor(F.col("_row") / chunk_rows).cast("long"))
+        indexed.withColumn("_chunk", F.floor(F.col("_row") / chunk_rows).cast("long"))
         .withColumn("_weight", F.col(weight).cast("long"))
     )
 
@@ -63,14 +68,18 @@ def _greedy(df: DataFrame, shard: str, order: list[str], weight: str, limit: int
     def assign(rows: pa.Table) -> pa.Table:
         return kernels.assign_groups(rows, limit, closes_after, group)
 
-    # Summaries are one row per chunk, with one entry per possible first cut, read one at a time.
-    entries = (
-        apart(chunked.select("_chunk", "_row", "_shard", "_weight"), "_chunk")
-        .groupBy("_chunk").applyInArrow(summarize, _SUMMARY)
-        .repartition(1).sortWithinPartitions("_chunk")
-        .mapInArrow(chain, _ENTRY)
-    )
-    # One small row per million rows: a bounded broadcast.
-    entered = chunked.join(F.broadcast(stage(entries, "entries")), "_chunk")
+    if rows <= chunk_rows:
+        entered = chunked.select(
+            "*", F.lit("").alias("entry_shard"), F.lit(0).cast("long").alias("entry_total"),
+            F.lit(0).cast("long").alias("entry_group"))
+    else:
+        # Summaries are one row per chunk, with one entry per possible first cut, read one by one.
+        entries = (
+            apart(chunked.select("_chunk", "_row", "_shard", "_weight"), "_chunk")
+            .groupBy("_chunk").applyInArrow(summarize, _SUMMARY)
+            .repartition(1).sortWithinPartitions("_chunk")
+            .mapInArrow(chain, _ENTRY)
+        )
+        entered = chunked.join(F.broadcast(stage(entries, "entries")), "_chunk")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return apart(entered, "_chunk").groupBy("_chunk").applyInArrow(assign, f"{columns}, `{group}` long")

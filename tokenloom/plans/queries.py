@@ -161,12 +161,13 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lengths(spark: SparkSession, sf: str) -> DataFrame:
-    """Token counts with the end id; a piece is a token, so no dictionary is needed."""
+    """Token counts with the end id; a piece is a token, so no dictionary is needed.
+
+    Staged, so that the passes planned on these few integers read the texts once.
+    """
     docs = guards.drop_blank(I.documents(spark, sf, "doc_id", "source", "text"))
-    return (
-        docs.select("doc_id", "source", (F.size(pieces(F.col("text"))) + 1).alias("n_tokens"))
-        .where(F.col("n_tokens") > 1)
-    )
+    counted = docs.select("doc_id", "source", (F.size(pieces(F.col("text"))) + 1).alias("n_tokens"))
+    return stage(counted, "lengths").where(F.col("n_tokens") > 1)
 
 
 def _unit_lengths(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,12 +175,13 @@ def _unit_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _windowed(units: DataFrame) -> DataFrame:
-    return packing.assign_windows(packing.first_units(units, ["source", "doc_id"]),
-                                  window_units=I.WINDOW_UNITS, shard="source", order=["doc_id"])
+    rows = packing.first_units(units, ["source", "doc_id"])
+    return packing.assign_windows(rows, window_units=I.WINDOW_UNITS, shard="source",
+                                  order=["doc_id"])
 
 
 def _assignment(spark: SparkSession, sf: str) -> DataFrame:
-    units = stage(_unit_lengths(spark, sf), "unit-lengths")
+    units = _unit_lengths(spark, sf)
     return packing.plan_bins(_windowed(units), units.select("doc_id", "block_no", "len"),
                              capacity=I.CAPACITY, min_len=I.MIN_LEN, shard="source",
                              key="doc_id", order="doc_id")
