@@ -209,10 +209,10 @@ def test_finetune_shapes(spark):
     assert out["instruction"].prompt == user("i\nx") + answer.format("o")
     assert out["no_input"].prompt == user("i") + answer.format("o")
     assert out["text"].prompt == " raw "
-    assert out["nothing"].prompt is None and "Cannot format sample" in out["nothing"].errors[0]
+    assert out["nothing"].prompt is None and "holds no messages" in out["nothing"].errors[0]
     assert out["unrenderable"].errors == ["No user query found in messages."]
     with_tools = {r.id: r for r in format_rows(df, with_tools=True).collect()}
     assert '<tools>\n{"a": 1}\n</tools>' in with_tools["messages"].prompt
-    with pytest.raises(PySparkException, match="Cannot format sample"):
+    with pytest.raises(PySparkException, match="holds no messages"):
         format_rows(df.where("id = 'nothing'"), strict=True).select("prompt").collect()
     assert format_rows(df.select("id", F.col("text").alias("body")), "body").where("id = 'text'").first().prompt == " raw "

@@ -188,3 +188,14 @@ def truncate(df: DataFrame, max_len: int, column: str = "ids") -> DataFrame:
 def chat_special_ids() -> dict[str, int]:
     """Special tokens that chat prompts are cut at."""
     return special_ids()
+
+
+def count_special(df: DataFrame, text_column: str, table: DataFrame) -> DataFrame:
+    """The special-token table with ``n``, the occurrences of each token in the texts."""
+    names = list(special_ids())
+    found = df.select(F.explode(pieces_with_special(F.col(text_column), names)).alias("content"))
+    counts = found.where(F.col("content").isin(names)).groupBy("content").agg(F.count("*").alias("n"))
+    return (
+        table.join(F.broadcast(counts), "content", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    )

@@ -10,7 +10,7 @@ from tokenloom.operators.chat import message, render
 from tokenloom.operators.encode import Encoder, truncate
 from tokenloom.schemas import MESSAGE
 
-_MESSAGES = f"array<{MESSAGE.simpleString()}>"
+NO_SHAPE = "The row holds no messages, prompt+completion, instruction+output or {}."
 
 
 def _column(df: DataFrame, name: str) -> Column:
@@ -55,8 +55,7 @@ def format_rows(df: DataFrame, text_column: str = "text", with_tools: bool = Fal
                       tool_calls=has_calls)
     raw = _column(df, text_column)
     plain = F.col("_messages").isNull()
-    missing = F.lit("Cannot format sample. Expected one of: messages/prompt+completion/"
-                    f"instruction+output/{text_column}.")
+    missing = F.lit(NO_SHAPE.format(text_column))
     errors = F.when(~plain, F.col("errors")) \
         .when(raw.isNull(), F.array(missing)).otherwise(F.array().cast("array<string>"))
     prompt = F.when(plain, raw).otherwise(F.col("prompt"))

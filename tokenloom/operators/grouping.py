@@ -5,8 +5,8 @@ numbered, cut into chunks and handled in three steps: each chunk is reduced to i
 an open total on entry turns into on exit), the transitions are chained in chunk order, and each
 chunk assigns its groups from its now known entry state. A shard may hold any share of the table.
 
-Chunks hold ``chunk_rows`` rows, more once there would be over ``MAX_CHUNKS`` of them; that bounds
-both the chaining step and the broadcast of entry states.
+There are a few chunks per shuffle partition or one per ``CHUNK_ROWS`` rows, whichever gives more, but
+at most ``MAX_CHUNKS``, which bounds both the chaining step and the broadcast of entry states.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tokenloom.operators.indexing import apart, with_row_index
 from tokenloom.staging import stage
 
 CHUNK_ROWS = 1_000_000
+MIN_CHUNK_ROWS = 100_000
 MAX_CHUNKS = 4096
 
 _SUMMARY = (
@@ -30,13 +31,13 @@ _ENTRY = "_chunk long, entry_shard string, entry_total long, entry_group long"
 
 
 def close_on_reach(df: DataFrame, shard: str, order: list[str], weight: str, limit: int,
-                   group: str = "window_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   group: str = "window_id", chunk_rows: int | None = None) -> DataFrame:
     """Number groups per shard; a group closes after the row that brings it to ``limit``."""
     return _greedy(df, shard, order, weight, limit, True, group, chunk_rows)
 
 
 def close_on_overflow(df: DataFrame, shard: str, order: list[str], weight: str, limit: int,
-                      group: str = "bin", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                      group: str = "bin", chunk_rows: int | None = None) -> DataFrame:
     """Number groups per shard; a row that would exceed ``limit`` opens the next group.
 
     Rows heavier than ``limit`` must have been filtered out.
@@ -45,12 +46,13 @@ def close_on_overflow(df: DataFrame, shard: str, order: list[str], weight: str,
 
 
 def _greedy(df: DataFrame, shard: str, order: list[str], weight: str, limit: int,
-            closes_after: bool, group: str, chunk_rows: int) -> DataFrame:
+            closes_after: bool, group: str, chunk_rows: int | None) -> DataFrame:
     keyed = df.withColumn("_shard", F.coalesce(F.concat(F.lit("="), F.col(shard).cast("string")),
                                                F.lit("")))
     indexed = with_row_index(keyed, ["_shard", *order], "_row")
     rows = (indexed.agg(F.max("_row")).first()[0] or 0) + 1
-    chunk_rows = max(chunk_rows, -(-rows // MAX_CHUNKS))
+    if chunk_rows is None:
+        chunk_rows = _chunk_rows(rows, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chunked = (
         indexed.withColumn("_chunk", F.floor(F.col("_row") / chunk_rows).cast("long"))
         .withColumn("_weight", F.col(weight).cast("long"))
@@ -83,3 +85,9 @@ def _greedy(df: DataFrame, shard: str, order: list[str], weight: str, limit: int
         entered = chunked.join(F.broadcast(stage(entries, "entries")), "_chunk")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return apart(entered, "_chunk").groupBy("_chunk").applyInArrow(assign, f"{columns}, `{group}` long")
+
+
+def _chunk_rows(rows: int, partitions: int) -> int:
+    # Several chunks per partition even out how chunk numbers hash to partitions.
+    chunks = min(MAX_CHUNKS, max(4 * partitions, -(-rows // CHUNK_ROWS)))
+    return max(MIN_CHUNK_ROWS, -(-rows // chunks))

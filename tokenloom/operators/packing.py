@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from tokenloom import kernels
 from tokenloom.functions.arrays import IGNORE_LABEL, PAD_POSITION, numbers, pad_to, positions
 from tokenloom.operators.chunk import split_units
-from tokenloom.operators.grouping import CHUNK_ROWS, close_on_overflow, close_on_reach
+from tokenloom.operators.grouping import close_on_overflow, close_on_reach
 from tokenloom.operators.guards import min_unit
 from tokenloom.operators.indexing import apart
 from tokenloom.staging import stage
 
 
 def assign_windows(rows: DataFrame, *, window_units: int, shard: str, order: list[str],
-                   count: str = "n_units", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   count: str = "n_units", chunk_rows: int | None = None) -> DataFrame:
     """Add ``window_id`` to rows that hold ``n_units`` units each, in order within their shard.
 
     A window closes after the row that fills it to ``window_units``; the next starts empty.
@@ -48,7 +48,7 @@ def pack_windows(units: DataFrame, *, capacity: int, min_len: int, shard: str,
 
 
 def pack_sequential(units: DataFrame, *, capacity: int, shard: str, order: list[str],
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int | None = None) -> DataFrame:
     """Baseline packer: units in order, a new bin whenever the next one does not fit.
 
     Units longer than ``capacity`` are skipped.
@@ -112,7 +112,7 @@ def pad_samples(samples: DataFrame, block_size: int, pad_id: int) -> DataFrame:
 def packed_dataset(encoded: DataFrame, *, seq_len: int, window_units: int | None = None,
                    capacity: int | None = None, min_len: int = 2, pad_id: int, shard: str,
                    key: str, order: str | None = None,
-                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int | None = None) -> DataFrame:
     """Rows of ``ids`` (end id appended) to padded samples ``(shard, window_id, bin, ...)``.
 
     ``window_units`` and ``capacity`` default to each other, then to ``seq_len``.

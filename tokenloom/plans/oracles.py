@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tokenloom.functions import chat as C
 from tokenloom.functions.text import WHITESPACE
+from tokenloom.operators.finetune import NO_SHAPE
 from tokenloom.plans.inputs import (
     BATCH,
     CAPACITY,
@@ -251,6 +252,18 @@ def _thinking() -> str:
         for k, (answer, reasoning) in rows.items())
 
 
+_SPECIAL_TABLE = ", ".join(
+    f"({FIRST_SPECIAL_ID + i}, '{n}', {str(special).lower()})" for i, (n, special) in enumerate(SPECIAL_TOKENS))
+
+
+def _special_counts() -> str:
+    return with_parts(
+        """select id, content, special,
+            coalesce(sum((length(prompt) - length(replace(prompt, content, ''))) // length(content)), 0)::bigint as n
+            from names cross join prompts group by id, content, special""",
+        *rendered(TURNS), ("names", f"select * from (values {_SPECIAL_TABLE}) as s(id, content, special)"))
+
+
 def _special() -> str:
     names = [name for name, _ in SPECIAL_TOKENS]
     any_of = "|".join(n.replace("|", "\\|") for n in names)
@@ -284,8 +297,7 @@ SFT = f"""select doc_id, text, lang, source, doc_id % 6 as shape,
 _SFT_PROMPT = f"""case when shape < 4 then {text(C.TURN_START + 'user' + chr(10))} || {strip('asked')}
     || {text(C.TURN_END + C.TURN_START + 'assistant' + chr(10))} || {THINK} || {strip('text')}
     || {text(C.TURN_END)} when shape = 4 then text end"""
-_SFT_ERROR = ("Cannot format sample. Expected one of: messages/prompt+completion/"
-              "instruction+output/text.")
+_SFT_ERROR = NO_SHAPE.format("text")
 
 
 def _sft_scan() -> str:
@@ -390,6 +402,7 @@ SQL: dict[str, str] = {
     "pretokenize": _pretokenize(),
     "encode_corpus": with_parts(f"select doc_id, len(ids) as n, {fp('ids')} as ids_md5 from ids"),
     "encode_special": _special(),
+    "special_tokens": _special_counts(),
     "chunk_documents": with_parts(_CHUNKS),
     "pack_units": with_parts("select doc_id, source, block_no, len from unit_lens"),
     "pack_windows": with_parts("select source, doc_id, window_id::bigint as window_id from folded"),

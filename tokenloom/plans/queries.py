@@ -16,10 +16,12 @@ from tokenloom.operators.encode import (
     append_end,
     build_dictionary,
     chat_special_ids,
+    count_special,
 )
 from tokenloom.plans import inputs as I
 from tokenloom.sources import chat as chat_source
 from tokenloom.sources import files, sinks, text, vocab
+from tokenloom.sources import special as special_source
 from tokenloom.staging import new_path, stage
 from tokenloom.streaming.chunks import run_to_folder, stream_chunks
 from tokenloom.streaming.packing import StreamPacker
@@ -144,6 +146,13 @@ def encode_special(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", F.size("ids").cast("long").alias("n"), fingerprint(F.col("ids")).alias("ids_md5"))
 
 
+@query
+def special_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    prompts = chat.render(_grouped(spark, sf), tool_calls=False)
+    counted = count_special(prompts, "prompt", special_source.special_tokens(spark))
+    return counted.select("id", "content", "special", "n")
+
+
 # --- chunks, windows, packs --------------------------------------------------------------
 
 

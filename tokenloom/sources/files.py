@@ -31,7 +31,7 @@ def find_files(spark: SparkSession, paths: list[str], suffixes: list[str]) -> Da
             wanted = wanted | F.lower("path").endswith(suffix.lower())
         found = found.where(wanted).distinct()
     if found is None or found.isEmpty():
-        raise FileNotFoundError("No files found with suffixes: " + ", ".join(suffixes))
+        raise FileNotFoundError(f"nothing under {paths} ends with any of {suffixes}")
     return found.orderBy("path")
 
 

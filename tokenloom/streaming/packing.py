@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from tokenloom.operators.chunk import split_units
 from tokenloom.operators.encode import Encoder, append_end
-from tokenloom.operators.grouping import CHUNK_ROWS
 from tokenloom.operators.guards import drop_blank
 from tokenloom.operators.packing import assign_windows, first_units, pack_units
 from tokenloom.staging import stage
@@ -41,7 +40,7 @@ class StreamPacker:
     key: str
     min_len: int = 2
     text_column: str = "text"
-    chunk_rows: int = CHUNK_ROWS
+    chunk_rows: int | None = None
 
     def run(self, rows: DataFrame, checkpoint: str) -> DataFrame:
         """Drain ``rows`` (a streaming DataFrame), flush, and return all samples."""
