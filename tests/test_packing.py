@@ -106,7 +106,7 @@ def test_padding_and_defaults(spark):
     assert long.position_ids == [0, 1, 0, 1, 2] and long.attention_mask == [1] * 5
 
 
-def reference_run(docs, seq_len, window_units, capacity, min_len):
+def one_pass_run(docs, seq_len, window_units, capacity, min_len):
     """Per shard: rows in order, windows by unit count, best-fit bins of the usable units."""
     samples, window = [], []
 
@@ -147,7 +147,7 @@ def test_packed_dataset(spark, chunk_rows):
     out = packing.packed_dataset(df, seq_len=12, window_units=9, capacity=16, min_len=2, pad_id=0,
                                  shard="shard", key="doc_id", chunk_rows=chunk_rows).collect()
     for shard in {r[1] for r in rows}:
-        expected = reference_run([r[2] for r in rows if r[1] == shard], 12, 9, 16, 2)
+        expected = one_pass_run([r[2] for r in rows if r[1] == shard], 12, 9, 16, 2)
         mine = sorted((r for r in out if r.shard == shard), key=lambda r: (r.window_id, r.bin))
         assert [r.input_ids[:sum(r.attention_mask)] for r in mine] == expected
     for r in out:

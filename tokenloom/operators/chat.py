@@ -36,7 +36,7 @@ def group_turns(turns: DataFrame, conversation: str, turn: str,
     """Turn rows to one row per conversation with ``messages`` in turn order: one shuffle."""
     one = message(F.col("role"), F.col("text")) if messages is None else messages
     return (
-        turns.groupBy(conversation)
+        turns.repartition(conversation).groupBy(conversation)
         .agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("at"), one.alias("m"))))
              .alias("_turns"))
         .select(conversation, F.col("_turns.m").alias("messages"))

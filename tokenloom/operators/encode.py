@@ -65,17 +65,17 @@ class DictionaryEncoder:
         self._split(dictionary, head_entries, head_bytes)
 
     def _split(self, dictionary: DataFrame, head_entries: int, head_bytes: int) -> None:
-        size = dictionary.agg(F.count("*"), F.sum(F.octet_length("token"))).first()
-        entries, volume = size[0], size[1] or 0
+        size = dictionary.agg(F.count("*"), F.sum(F.octet_length("token")), F.min("id")).first()
+        entries, volume, first = size[0], size[1] or 0, size[2]
         self.tail = None
         head = dictionary
         if entries > head_entries or volume > head_bytes:
-            # Tokens longer than the average budget stay in the tail, which bounds the head's bytes.
+            # Ids are unique, so a range of them bounds the rows; a cap on token length bounds the
+            # bytes. No sort is needed to find the head.
             longest = max(1, head_bytes // max(1, head_entries))
-            short = F.octet_length("token") <= longest
-            candidates = dictionary.where(short).orderBy("id").limit(head_entries)
-            head = stage(candidates, "head")
-            self.tail = dictionary.join(F.broadcast(head.select("token")), "token", "left_anti")
+            in_head = (F.col("id") < first + head_entries) & (F.octet_length("token") <= longest)
+            head = dictionary.where(in_head)
+            self.tail = dictionary.where(~in_head)
         table = head.toArrow()
         tokens = table["token"].combine_chunks()
         ids = table["id"].combine_chunks().cast(pa.int32())
@@ -129,8 +129,9 @@ class DictionaryEncoder:
             absent = F.lit(self.unk_id)
         tail_id = F.coalesce("id", absent.cast("long"))
         patches = (
-            resolved.groupBy(self.key)
-            .agg(F.sort_array(F.collect_list(F.struct("_pos", tail_id.alias("_id")))).alias("_found"))
+            resolved.select(self.key, "_pos", tail_id.alias("_id")).repartition(self.key)
+            .groupBy(self.key)
+            .agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_found"))
             .select(self.key, F.col("_found._id").cast(IDS).alias("_tail"))
         )
 

@@ -67,7 +67,8 @@ def build_samples(units: DataFrame, assignment: DataFrame, *, key: list[str],
     """
     placed = units.select(*key, "input_ids").join(assignment.select(*{*key, *sample, *order}), key)
     rank = F.struct(*order).alias("at")
-    grouped = placed.groupBy(*sample).agg(F.sort_array(F.collect_list(
+    # Units of a bin are scattered, collecting them ahead of the shuffle would only cost memory.
+    grouped = placed.repartition(*sample).groupBy(*sample).agg(F.sort_array(F.collect_list(
         F.struct(rank, F.col("input_ids").alias("ids")))).alias("_units"))
     built = grouped.select(
         *sample,
