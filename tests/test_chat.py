@@ -215,4 +215,5 @@ def test_finetune_shapes(spark):
     assert '<tools>\n{"a": 1}\n</tools>' in with_tools["messages"].prompt
     with pytest.raises(PySparkException, match="holds no messages"):
         format_rows(df.where("id = 'nothing'"), strict=True).select("prompt").collect()
-    assert format_rows(df.select("id", F.col("text").alias("body")), "body").where("id = 'text'").first().prompt == " raw "
+    renamed = format_rows(df.select("id", F.col("text").alias("body")), "body")
+    assert renamed.where("id = 'text'").first().prompt == " raw "

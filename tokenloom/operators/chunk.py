@@ -35,13 +35,24 @@ def unit_count(length: Column, seq_len: int, min_len: int) -> Column:
     return F.when(length <= seq_len, 1).otherwise(blocks)
 
 
+def block_lengths(df: DataFrame, block_size: int, min_len: int,
+                  length: str = "n_tokens") -> DataFrame:
+    """``split_blocks`` on lengths alone: rows ``block_no, len`` and no token in sight."""
+    n = F.col(length)
+    return _explode_lengths(df, n, block_count(n, block_size, min_unit(min_len)), block_size)
+
+
 def unit_lengths(df: DataFrame, seq_len: int, min_len: int, length: str = "n_tokens") -> DataFrame:
-    """``split_units`` on lengths alone: rows ``block_no, len`` and no token in sight."""
+    """``split_units`` on lengths alone: rows ``n_units, block_no, len``."""
     n = F.col(length)
     df = df.withColumn("n_units", unit_count(n, seq_len, min_len))
+    return _explode_lengths(df, n, F.col("n_units"), seq_len)
+
+
+def _explode_lengths(df: DataFrame, n: Column, count: Column, size: int) -> DataFrame:
     return (
-        df.withColumn("block_no", F.explode(numbers(F.col("n_units"))))
-        .withColumn("len", F.least(n - F.col("block_no") * seq_len, F.lit(seq_len)))
+        df.withColumn("block_no", F.explode(numbers(count)))
+        .withColumn("len", F.least(n - F.col("block_no") * size, F.lit(size)))
     )
 
 

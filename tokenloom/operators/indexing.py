@@ -61,7 +61,7 @@ def with_group_index(df: DataFrame, group: str, order: list[str], name: str = "r
 
 
 def with_scan_index(rows: DataFrame, name: str = "row_idx", pos: str = "pos",
-                    max_broadcast: int = 2_000_000) -> DataFrame:
+                    max_broadcast: int = 500_000) -> DataFrame:
     """Zero-based number of every row of a file scan, in file order, without moving any row.
 
     Counts the rows of each file split, sums the counts in split order (one small row per split),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.arrays import fingerprint
 from tokenloom.functions.chat import PromptOptions
-from tokenloom.functions.text import PRETOKENS, pieces, strip
+from tokenloom.functions.text import PRETOKENS, is_nonblank, pieces, strip
 from tokenloom.operators import batching, chat, chunk, finetune, guards, indexing, masks, packing
 from tokenloom.operators.encode import (
     DictionaryEncoder,
@@ -82,7 +82,7 @@ def shard_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def empty_guard(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.documents(spark, sf, "doc_id", "text")
-    blank = docs.where(~guards.is_nonblank(F.col("text")))
+    blank = docs.where(~is_nonblank(F.col("text")))
 
     def state(name: str, df: DataFrame) -> DataFrame:
         return df.limit(1).agg((F.count("*") == 0).alias("is_empty")).select(
@@ -296,13 +296,8 @@ def synthetic_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunk_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    units = _lengths(spark, sf)
-    count = chunk.block_count(F.col("n_tokens"), I.SEQ_LEN, I.MIN_LEN)
-    return (
-        units.withColumn("block_no", F.explode(chunk.numbers(count)))
-        .select("source", "doc_id", "block_no",
-                F.least(F.col("n_tokens") - F.col("block_no") * I.SEQ_LEN, F.lit(I.SEQ_LEN)).alias("len"))
-    )
+    return chunk.block_lengths(_lengths(spark, sf), I.SEQ_LEN, I.MIN_LEN).select(
+        "source", "doc_id", "block_no", "len")
 
 
 def _batch_report(df: DataFrame) -> DataFrame:

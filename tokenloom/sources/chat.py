@@ -65,9 +65,14 @@ def _part(p: Column) -> Column:
 
 def read_sft_rows(spark: SparkSession, path: str, dataset_type: str,
                   multi_line: bool = False) -> DataFrame:
-    """Fine-tuning rows in the wide nullable schema; columns a source lacks come out null."""
+    """Fine-tuning rows in the wide nullable schema; columns a source lacks come out null.
+
+    ``path`` is a file, or a folder searched for files of the type.
+    """
     suffix_of(dataset_type)
     reader = spark.read.schema(SFT_ROW).option("recursiveFileLookup", True)
+    if "." not in path.rsplit("/", 1)[-1]:
+        reader = reader.option("pathGlobFilter", "*.parquet" if dataset_type == "parquet" else "*.json*")
     if dataset_type == "parquet":
         return reader.parquet(path)
     return reader.option("multiLine", multi_line).json(path)

@@ -44,18 +44,18 @@ class StreamPacker:
 
     def run(self, rows: DataFrame, checkpoint: str) -> DataFrame:
         """Drain ``rows`` (a streaming DataFrame), flush, and return all samples."""
+        seen: list[int] = []
+
+        def pack(batch: DataFrame, number: int) -> None:
+            self.pack_batch(batch, number)
+            seen.append(number)
+
         query = (
-            rows.writeStream.foreachBatch(self.pack_batch)
+            rows.writeStream.foreachBatch(pack)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
         query.awaitTermination()
-        self._last = self._last_batch(query)
-        return self.flush(self._last)
-
-    @staticmethod
-    def _last_batch(query) -> int:
-        numbers = [p.batchId for p in query.recentProgress if p.numInputRows]
-        return max(numbers, default=-1)
+        return self.flush(max(seen, default=-1))
 
     def pack_batch(self, batch: DataFrame, number: int) -> None:
         encoded = self.encoder.encode(drop_blank(batch, self.text_column), self.text_column)
@@ -69,7 +69,7 @@ class StreamPacker:
     def flush(self, last: int) -> DataFrame:
         """Pack what the last micro-batch left over; returns all samples."""
         if last < 0:
-            raise ValueError("the stream held no rows")
+            raise ValueError("the stream brought no new rows")
         left = self.spark.read.parquet(f"{self.state}/rows/{last}")
         self._pack(left, last + 1, closing=True)
         return self.spark.read.parquet(*[f"{self.output}/{n}" for n in range(last + 2)])
