@@ -76,6 +76,8 @@ def test_tool_calls(spark):
         "blank_answer": ([ask, m("assistant", "r</think> \u3000", calls=[("f", "{}")])], None),
         "none": ([ask, m("assistant", "a", calls=[])], None),
         "broken": ([ask, m("assistant", "a", calls=[("f", "[1]")])], None),
+        "unnamed": ([ask, m("assistant", "a", calls=[(None, "{}")])], None),
+        "not_a_call": ([m("user", "q", calls=[("f", "[1]")])], None),
     }
     out = prompts(spark, cases)
     head = "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\n{}\n</think>\n\n"
@@ -91,7 +93,10 @@ def test_tool_calls(spark):
     assert out["values"].prompt == empty + call.format("f", block) + end
     assert out["blank_answer"].prompt == head.format("r") + call.format("f", "") + end
     assert out["none"].prompt == empty + "a" + end
-    assert out["broken"].prompt is None and out["broken"].errors
+    assert out["broken"].errors == ["Tool call arguments must be an object."]
+    assert out["unnamed"].errors == ["Tool call has no name."]
+    assert out["broken"].prompt is None and out["unnamed"].prompt is None
+    assert out["not_a_call"].prompt == user("q")
     plain = prompts(spark, {"values": cases["values"]}, PromptOptions(ensure_ascii=False))
     assert '[1, "é"]' in plain["values"].prompt
 

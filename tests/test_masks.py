@@ -81,10 +81,8 @@ def test_batches_and_collate(spark):
     rows = [(i, "hot" if i % 3 else "cold", [i] * (i % 7 + 1), None if i % 2 else [i] * (i % 5 + 1))
             for i in range(60)]
     df = spark.createDataFrame(rows, "id int, shard string, input_ids array<int>, labels array<int>")
-    lengths = df.select("id", "shard", F.size("input_ids").alias("len"))
-    batches = batching.assign_batches(lengths, 8, ["id"], shard="shard")
-    out = batching.collate(df, batches, key=["id", "shard"], batch=["shard", "batch_id"], pad_id=99,
-                           use_block_diag_mask=True).collect()
+    out = batching.training_batches(df, 8, key=["id"], shard="shard", pad_id=99,
+                                    use_block_diag_mask=True).collect()
     assert len(out) == 60
     for shard in ("hot", "cold"):
         mine = [r for r in rows if r[1] == shard]
@@ -119,3 +117,12 @@ def test_step_plan_stops(spark):
                                token_budget=121).orderBy("step").collect()
     assert [(s.step, s.rows, s.tokens, s.meets_budget) for s in steps] == \
         [(i, 12, 120, False) for i in range(3)]
+
+
+def test_unsharded_shuffled_batches(spark):
+    df = spark.createDataFrame([(i, [i] * (i % 4 + 1)) for i in range(30)], "id int, input_ids array<int>")
+    out = batching.training_batches(df, 4, key=["id"], pad_id=0, shuffle_seed=3).collect()
+    assert sorted(r.id for r in out) == list(range(30))
+    assert sorted({r.batch_id for r in out}) == list(range(8))
+    for b in range(8):
+        assert len({len(r.input_ids) for r in out if r.batch_id == b}) == 1

@@ -54,6 +54,7 @@ BAD_PART = "Unexpected item type in content."
 BAD_CONTENT = "Unexpected content type."
 # Ours: arguments that are not a JSON object cannot be listed by name.
 BAD_ARGUMENTS = "Tool call arguments must be an object."
+UNNAMED_CALL = "Tool call has no name."
 
 ROLES = ["system", "user", "assistant", "tool"]
 
@@ -229,6 +230,12 @@ def prompt_text(messages: Column, options: PromptOptions, tool_lines: Column | N
     return let(normalize_turns(messages, options, arguments), body)
 
 
+def raw_arguments(messages: Column) -> Column:
+    """JSON arguments of every assistant call, per message; null for other messages."""
+    return F.transform(messages, lambda m: F.when(
+        m["role"] == "assistant", F.transform(m["tool_calls"], lambda c: c["arguments"])))
+
+
 # --- validation --------------------------------------------------------------------------
 
 
@@ -267,8 +274,8 @@ def problems(messages: Column, arguments: Column | None = None) -> Column:
         (bad_role, BAD_ROLE),
     ]
     if arguments is not None:
-        unreadable = F.exists(messages, lambda m: F.lit(False))
-        unreadable = F.coalesce(F.exists(arguments, lambda calls: F.exists(calls, lambda c: c.isNull())),
-                                unreadable, F.lit(False))
-        checks.append((unreadable, BAD_ARGUMENTS))
+        unreadable = F.exists(arguments, lambda calls: F.exists(calls, lambda block: block.isNull()))
+        unnamed = any_message(lambda m: (m["role"] == "assistant")
+                              & F.exists(m["tool_calls"], lambda c: c["name"].isNull()))
+        checks += [(F.coalesce(unreadable, F.lit(False)), BAD_ARGUMENTS), (unnamed, UNNAMED_CALL)]
     return F.array_compact(F.array(*[F.when(c, F.lit(text)) for c, text in checks]))

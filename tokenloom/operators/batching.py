@@ -33,6 +33,22 @@ def assign_batches(rows: DataFrame, batch_size: int, order: list[str], shard: st
     )
 
 
+def training_batches(samples: DataFrame, batch_size: int, *, key: list[str], pad_id: int,
+                     shard: str | None = None, shuffle_seed: int | None = None,
+                     use_block_diag_mask: bool = False) -> DataFrame:
+    """Samples in the order of ``key`` (or shuffled) to padded batch rows.
+
+    ``samples`` is read twice, once for ``len`` alone, so pass a stored or staged table.
+    """
+    shards = [shard] if shard else []
+    columns = list(dict.fromkeys([*shards, *key]))
+    length = F.col("len") if "len" in samples.columns else F.size("input_ids")
+    batches = assign_batches(samples.select(*columns, length.alias("len")), batch_size, key, shard,
+                             shuffle_seed)
+    return collate(samples, batches, key=columns, batch=[*shards, "batch_id"], pad_id=pad_id,
+                   use_block_diag_mask=use_block_diag_mask)
+
+
 def collate(samples: DataFrame, batches: DataFrame, *, key: list[str], batch: list[str],
             pad_id: int, use_block_diag_mask: bool = False) -> DataFrame:
     """Pad the samples of each batch to its longest one.

@@ -14,6 +14,7 @@ from tokenloom.functions.chat import (
     media_before,
     problems,
     prompt_text,
+    raw_arguments,
     split_thinking,
 )
 from tokenloom.functions.text import argument_blocks, json_equal, json_items, strip
@@ -58,8 +59,7 @@ def render(df: DataFrame, options: PromptOptions | None = None, messages: str =
         df = df.withColumn("_tool_lines", json_items(F.col(tools), options.ensure_ascii))
         tool_lines = F.col("_tool_lines")
     if tool_calls:
-        raw = F.transform(source, lambda m: F.transform(m["tool_calls"], lambda c: c["arguments"]))
-        df = df.withColumn("_arguments", argument_blocks(raw, options.ensure_ascii))
+        df = df.withColumn("_arguments", argument_blocks(raw_arguments(source), options.ensure_ascii))
         arguments = F.col("_arguments")
     df = df.withColumn("errors", problems(source, arguments))
     text = F.when(F.size("errors") == 0, prompt_text(source, options, tool_lines, arguments))
@@ -70,9 +70,8 @@ def render(df: DataFrame, options: PromptOptions | None = None, messages: str =
 
 def validate(df: DataFrame, messages: str = "messages") -> DataFrame:
     """Add ``errors ARRAY<STRING>``."""
-    raw = F.transform(F.col(messages), lambda m: F.transform(m["tool_calls"], lambda c: c["arguments"]))
     return (
-        df.withColumn("_arguments", argument_blocks(raw))
+        df.withColumn("_arguments", argument_blocks(raw_arguments(F.col(messages))))
         .withColumn("errors", problems(F.col(messages), F.col("_arguments")))
         .drop("_arguments")
     )

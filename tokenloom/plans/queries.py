@@ -320,10 +320,8 @@ def batch_shuffled(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def collate_batch(spark: SparkSession, sf: str) -> DataFrame:
     chunks = stage(chunk.split_blocks(_encoded(spark, sf), I.SEQ_LEN, I.MIN_LEN), "chunks")
-    key = ["source", "doc_id", "block_no"]
-    lengths = chunks.select(*key, "len")
-    batches = batching.assign_batches(lengths, I.BATCH, key[1:], shard="source")
-    out = batching.collate(chunks, batches, key=key, batch=["source", "batch_id"], pad_id=I.PAD_ID)
+    out = batching.training_batches(chunks, I.BATCH, key=["doc_id", "block_no"], shard="source",
+                                    pad_id=I.PAD_ID)
     return out.select(
         "source", "batch_id", F.col("row_in_batch").cast("long").alias("row_in_batch"),
         F.size("input_ids").cast("long").alias("width"),
