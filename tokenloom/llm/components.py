@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.staging import staging_root
+from tokenloom.staging import stage
+
 
+def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut.
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(staging_root(spark))
-    return df.checkpoint()
+    ``free`` asks for the files of the shuffles behind it at once, instead of at some later collection.
+    """
+    out = stage(df, "llm")
+    if free:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

@@ -6,10 +6,10 @@ with equal shingle sets form a class; classes are the nodes of the join. Shingle
 of the order propose pairs. The order is cut into fragments; each fragment counts the overlap of a
 pair's segments on its own, and the partial counts are summed per pair.
 
-Proposals come in two steps. First every prefix bucket proposes its smallest and largest class
-against the others; links found so far are contracted. Then buckets that still span several
+Proposals come in three steps. First every prefix bucket proposes its smallest class against the
+others, then its largest; links found so far are contracted. At last buckets that still span several
 components propose their remaining pairs across components. A group of thousands of near copies is so
-joined by about as many pairs as it has members, and no pair that the first step left open is lost.
+joined by about as many pairs as it has members, and no pair that the first steps left open is lost.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
+from tokenloom.llm import fixed_filter
 from tokenloom.llm.components import checkpointed, components
 
 SKETCH_CELLS = 1 << 18
 SKETCH_BLOCK = 1 << 12
-FILTER_BITS = 1 << 26
 FRAGMENT_BITS = 2
 
 
@@ -76,12 +76,6 @@ def _classes(cells: np.ndarray) -> np.ndarray:
     return np.clip(np.log2(np.maximum(cells, 1) / usual) / 2 + 1, 0, 31).astype(np.uint64)
 
 
-def _may_link(nx: Column, px: Column, ny: Column, py: Column, num: int, den: int) -> Column:
-    """Whether sets of sizes nx, ny whose first shared shingle stands at px, py can still link."""
-    most = F.least(nx - px, ny - py)
-    return (den + num) * most >= num * (nx + ny)
-
-
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                num: int = 75, den: int = 100) -> DataFrame:
     """``id_col``, n_shingles, component_id: components of documents whose shingle sets link.
@@ -92,6 +86,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other, and a null-id row that links with nothing keeps null). Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("r", F.xxhash64(F.col("id").cast("string"), F.lit(1), "text"))
     spark = rows.sparkSession
     classes = spark.sparkContext.broadcast(_classes(shingle_sketch(rows, n)))
     kind = rows.schema["id"].dataType.simpleString()
@@ -102,7 +97,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sets = list(bw.word_shingles(data, offsets, n))
                 digest = np.array([bw.sequence_hash(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(sets)), pa.array(digest), pa.array([len(s) for s in sets], pa.int64())], ["id", "d", "n"])
+                    [batch.column(0).slice(low, len(sets)), batch.column(2).slice(low, len(sets)), pa.array(digest), pa.array([len(s) for s in sets], pa.int64())],
+                    ["id", "r", "d", "n"])
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
@@ -125,49 +121,36 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owner).view(np.int64)),
                          pa.array(np.concatenate(size)), pa.array(np.concatenate(place))], ["token", "d", "n", "p"])
 
-    members = checkpointed(rows.mapInArrow(profile, f"id {kind}, d long, n long"))
-    some = members.where("n > 0").groupBy("d", "n").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
+    members = checkpointed(rows.mapInArrow(profile, f"id {kind}, r long, d long, n long"))
+    # Of each class the row with the smallest id stands for it.
+    first = F.min(F.struct(F.col("id").isNull(), "id", "r"))
+    some = members.where("n > 0").groupBy("d", "n").agg(first.alias("s")).select("d", "n", F.col("s.id").alias("rep"), F.col("s.r").alias("r"))
     some = checkpointed(some)
-    node = F.struct("d", "n")
     # One shuffle by token serves the removal of copies and the ends of the buckets. Only buckets of
     # two classes or more propose pairs.
     entries = rows.mapInArrow(postings, "token long, d long, n long, p long").repartition("token")
     entries = entries.groupBy("token", "d", "n").agg(F.min("p").alias("p"))
-    bucket, item = Window.partitionBy("token"), F.struct("d", "n", "p")
-    entries = entries.withColumns({"low": F.min(item).over(bucket), "high": F.max(item).over(bucket)})
-    shared = checkpointed(entries.where("low.d <> high.d or low.n <> high.n"))
-
-    def ordered(df: DataFrame) -> DataFrame:
-        swap = F.struct("yd", "yn") < F.struct("xd", "xn")
-        names = [("xd", "yd"), ("xn", "yn"), ("yd", "xd"), ("yn", "xn")]
-        return df.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in names]).distinct()
-
-    def to_end(end: str) -> DataFrame:
-        near = _may_link(F.col(f"{end}.n"), F.col(f"{end}.p"), F.col("n"), F.col("p"), num, den)
-        other = (F.col(f"{end}.d") != F.col("d")) | (F.col(f"{end}.n") != F.col("n"))
-        return shared.where(near & other).select(
-            F.col(f"{end}.d").alias("xd"), F.col(f"{end}.n").alias("xn"), F.col("d").alias("yd"), F.col("n").alias("yn"))
-
-    first = checkpointed(ordered(to_end("low").unionByName(to_end("high"))))
-    linked = _linked(rows, some, first, classes, n, num, den)
-    links = checkpointed(linked.select(F.struct(F.col("xd").alias("d"), F.col("xn").alias("n")).alias("a"),
-                                       F.struct(F.col("yd").alias("d"), F.col("yn").alias("n")).alias("b")))
-    roots = checkpointed(components(links))
-
-    placed = shared.select("token", "d", "n", "p", node.alias("node")).join(roots, "node", "left")
-    placed = placed.select("token", "d", "n", "p", F.coalesce("root", "node").alias("root"))
-    spread = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    open_ = checkpointed(placed.join(spread, "token"))
-    x, y = open_.alias("x"), open_.alias("y")
-    near = _may_link(F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"), num, den)
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & near).select(
-        F.col("x.d").alias("xd"), F.col("x.n").alias("xn"), F.col("y.d").alias("yd"), F.col("y.n").alias("yn"))
-    rest = checkpointed(ordered(rest).join(first, ["xd", "xn", "yd", "yn"], "left_anti"))
-    if not rest.isEmpty():
-        more = _linked(rows, some, rest, classes, n, num, den).select(
+    bucket, node = Window.partitionBy("token"), F.struct("d", "n")
+    shared = checkpointed(entries.withColumns({"low": F.min(node).over(bucket), "high": F.max(node).over(bucket)})
+                          .where("low <> high").select("token", "d", "n", "p"), free=True)
+
+    links: DataFrame | None = None
+    tried: DataFrame | None = None
+    roots: DataFrame | None = None
+    for step in ("low", "high", "rest"):
+        pairs = _proposed(shared, roots, step, num, den)
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["xd", "xn", "yd", "yn"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = _linked(rows, some, pairs, classes, n, num, den).select(
             F.struct(F.col("xd").alias("d"), F.col("xn").alias("n")).alias("a"),
             F.struct(F.col("yd").alias("d"), F.col("yn").alias("n")).alias("b"))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(more))
+        found = checkpointed(found, free=True)
+        links = found if links is None else links.unionByName(found)
+        roots = checkpointed(components(links))
+    if roots is None:
+        roots = some.select(node.alias("node"), node.alias("root")).limit(0)
 
     owned = some.select("d", "n", "rep", node.alias("node")).join(roots, "node", "left")
     owned = checkpointed(owned.select("d", "n", "rep", F.coalesce("root", "node").alias("root")))
@@ -178,80 +161,69 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (8 MB) over the column ``key``, built by bitmap aggregates."""
-    at = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(i)), F.lit(FILTER_BITS)) + 1 for i in range(2)])).alias("at"))
-    maps = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b, bits in maps.toLocalIterator():
-        out[(b - 1) * 4096:b * 4096] = np.frombuffer(bits, np.uint8)
-    return out
+def _proposed(shared: DataFrame, roots: DataFrame | None, step: str, num: int, den: int) -> DataFrame:
+    """Pairs (xd, xn, yd, yn) of classes in different components that a bucket brings together.
+
+    ``low`` and ``high`` pair every class with the bucket's class of smallest and largest root, ``rest``
+    all classes of the bucket.
+    """
+    placed = shared.withColumn("root", F.struct("d", "n"))
+    if roots is not None:
+        placed = placed.withColumnRenamed("root", "node").join(roots, "node", "left")
+        placed = placed.select("token", "d", "n", "p", F.coalesce("root", "node").alias("root"))
+    item = F.struct("root", "d", "n", "p")
+    bucket = Window.partitionBy("token")
+    placed = placed.withColumns({"low": F.min(item).over(bucket), "high": F.max(item).over(bucket)}).where("low.root <> high.root")
+    if step == "rest":
+        both = placed.select("token", item.alias("x")).join(placed.select("token", item.alias("y")), "token")
+    else:
+        both = placed.select(F.col(step).alias("x"), item.alias("y"))
+    near = (den + num) * F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= num * (F.col("x.n") + F.col("y.n"))
+    both = both.where((F.col("x.root") < F.col("y.root") if step == "rest" else F.col("x.root") != F.col("y.root")) & near)
+    swap = F.struct("y.d", "y.n") < F.struct("x.d", "x.n")
+    names = [("xd", "x.d", "y.d"), ("xn", "x.n", "y.n"), ("yd", "y.d", "x.d"), ("yn", "y.n", "x.n")]
+    return both.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name) for name, a, b in names]).distinct()
 
 
 def _linked(rows: DataFrame, some: DataFrame, pairs: DataFrame, classes, n: int, num: int, den: int) -> DataFrame:
     """Of the proposed pairs (xd, xn, yd, yn) those that link, by summed partial overlaps."""
-    spark = rows.sparkSession
-    wanted = pairs.select(F.col("xd").alias("d"), F.col("xn").alias("n")).unionByName(
-        pairs.select(F.col("yd").alias("d"), F.col("yn").alias("n"))).distinct()
-    # One document of each class brings the segments: that with the smallest id.
-    wanted = some.join(wanted, ["d", "n"]).select("d", "n", "rep")
-    key = F.xxhash64("d", F.col("rep").cast("string"))
-    bits = spark.sparkContext.broadcast(_filter(wanted.select(key.alias("key"))))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, data, offsets in bw.slices(bw.as_strings(batch.column(1))):
-                found = [bw.sequence_hash(s) for s in bw.word_shingles(data, offsets, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(found)), batch.column(1).slice(low, len(found)),
-                     pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "text", "d"])
+    ends = pairs.select(F.col("xd").alias("d"), F.col("xn").alias("n")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yn").alias("n")))
+    wanted = some.join(ends.distinct(), ["d", "n"]).select(F.col("r").alias("key"))
+    table = fixed_filter.build(wanted)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
         for batch in batches:
             for low, data, offsets in bw.slices(bw.as_strings(batch.column(1))):
-                ids, digest, size, fragment, tokens = [], [], [], [], []
+                refs, digest, size, fragment, tokens = [], [], [], [], []
                 for at, s in enumerate(bw.word_shingles(data, offsets, n), low):
                     if not len(s):
                         continue
-                    places = ranked(s, order)
+                    places, own = ranked(s, order), bw.sequence_hash(s)
                     cut = places >> np.uint64(58 - FRAGMENT_BITS)
                     begin = np.flatnonzero(np.append(True, cut[1:] != cut[:-1]))
                     for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(s)], strict=True):
-                        ids.append(at)
-                        digest.append(bw.sequence_hash(s))
+                        refs.append(at)
+                        digest.append(own)
                         size.append(len(s))
                         fragment.append(int(cut[a]))
                         tokens.append(places[a:b].view(np.int64))
-                if not ids:
+                if not refs:
                     continue
                 sizes = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(ids)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(fragment, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(tokens)))], ["id", "d", "n", "f", "tokens"])
-
-    known = rows.mapInArrow(digests, f"id {kind}, text string, d long")
-    known = known.where(_in_filter(F.xxhash64("d", F.col("id").cast("string")), bits)).select("id", "text")
-    seg = known.mapInArrow(segments, f"id {kind}, d long, n long, f int, tokens array<long>")
-    seg = seg.join(wanted, ["d", "n"]).where(F.col("id").eqNullSafe(F.col("rep"))).select("d", "n", "f", "tokens")
-    seg = checkpointed(seg.dropDuplicates(["d", "n", "f"]))
-    right = pairs.join(seg.select(F.col("d").alias("yd"), F.col("n").alias("yn"), "f", F.col("tokens").alias("yt")), ["yd", "yn"])
-    both = right.join(seg.select(F.col("d").alias("xd"), F.col("n").alias("xn"), "f", F.col("tokens").alias("xt")), ["xd", "xn", "f"])
-    partial = both.select("xd", "xn", "yd", "yn", F.size(F.array_intersect("xt", "yt")).cast("long").alias("o"))
+                    [batch.column(0).take(pa.array(refs)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(fragment, pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(tokens)))], ["r", "d", "n", "f", "tokens"])
+
+    known = rows.where(fixed_filter.may_hold(F.col("r"), table)).select("r", "text")
+    # Both sides of the pairs read the segments from one shuffle.
+    seg = known.mapInArrow(segments, "r long, d long, n long, f int, tokens array<long>").repartition("d", "n")
+    owned = lambda side: some.select(F.col("d").alias(f"{side}d"), F.col("n").alias(f"{side}n"), F.col("r").alias(f"{side}r"))
+    asked = pairs.join(owned("x"), ["xd", "xn"]).join(owned("y"), ["yd", "yn"])
+    side = lambda s: seg.select(*[F.col(c).alias(f"{s}{c}") for c in ("d", "n", "r")], F.col("f").alias(f"{s}f"), F.col("tokens").alias(f"{s}t"))
+    half = asked.join(side("y"), ["yd", "yn", "yr"])
+    both = half.join(side("x"), ["xd", "xn", "xr"]).where("xf = yf")
+    # repeated rows (equal id and text) bring a segment more than once
+    partial = both.groupBy("xd", "xn", "yd", "yn", "xf").agg(F.max(F.size(F.array_intersect("xt", "yt"))).cast("long").alias("o"))
     total = partial.groupBy("xd", "xn", "yd", "yn").agg(F.sum("o").alias("o"))
     return total.where(den * F.col("o") >= num * (F.col("xn") + F.col("yn") - F.col("o"))).select("xd", "xn", "yd", "yn")
-
-
-def _in_filter(key: Column, bits) -> Column:
-    """Whether the filter may hold ``key``."""
-    @F.arrow_udf("boolean")
-    def known(a: pa.Array, b: pa.Array) -> pa.Array:
-        table = bits.value
-        both = np.ones(len(a), bool)
-        for col in (a, b):
-            at = col.to_numpy(zero_copy_only=False)
-            both &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pa.array(both)
-
-    return known(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)) for i in range(2)])
