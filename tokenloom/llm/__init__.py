@@ -1,12 +1,29 @@
 """Operators for large training-data pipelines: deduplication, filters, scoring, tokens, mixing.
 
-Nothing else in the library imports this subpackage. Task-side helper modules travel inside the
-serialized functions, so executors need no install step.
+Nothing else in the library imports this subpackage. What tasks call travels inside the serialized
+functions, so executors need no install step.
 """
 
 from pyspark import cloudpickle
 
-from tokenloom.llm import bpe_kernel, byte_words, ctw_kernel, line_features, window_digits
+from tokenloom.llm import (
+    bpe,
+    bpe_kernel,
+    byte_words,
+    context_tree,
+    ctw_kernel,
+    fixed_filter,
+    line_crf,
+    line_features,
+    mixture,
+    ngram_join,
+    rule_ledger,
+    suffix_dedup,
+    url_trie,
+    vector_passes,
+    window_digits,
+)
 
-for _module in (byte_words, window_digits, bpe_kernel, line_features, ctw_kernel):
+for _module in (bpe, bpe_kernel, byte_words, context_tree, ctw_kernel, fixed_filter, line_crf, line_features,
+                mixture, ngram_join, rule_ledger, suffix_dedup, url_trie, vector_passes, window_digits):
     cloudpickle.register_pickle_by_value(_module)

@@ -1 +1,147 @@
-"""Task-side helpers."""
+"""Context-tree weighting over byte contexts, each byte decomposed into eight binary choices.
+
+A node is a context of the last d bytes; it holds a Krichevsky-Trofimov estimate for each of the 255
+binary choices of the next byte. Contexts below the tree's resolution have no node of their own: what
+they saw is pooled in their parent's rest leaf, so that every count takes part.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+END = 255  # never a byte of UTF-8, so free to end a text
+
+
+def padded(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts with ``depth`` zero bytes before and END after each; places of predicted bytes; row bounds."""
+    lengths = np.diff(offsets)
+    n = len(lengths)
+    shift = np.repeat(np.arange(n) * (depth + 1) + depth, lengths)
+    out = np.zeros(len(data) + n * (depth + 1), np.uint8)
+    out[np.arange(len(data)) + shift] = data
+    ends = offsets[1:] + np.arange(1, n + 1) * (depth + 1) - 1
+    out[ends] = END
+    asked = np.ones(len(out), bool)
+    for d in range(depth):
+        asked[offsets[:-1] + np.arange(n) * (depth + 1) + d] = False
+    return out, np.flatnonzero(asked), np.append(0, np.cumsum(lengths + 1))
+
+
+def gram_keys(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Context bytes, nearest last, then the byte itself, as one integer."""
+    key = text[places].astype(np.int64)
+    for d in range(1, depth + 1):
+        key |= text[places - d].astype(np.int64) << (8 * d)
+    return key
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log gamma of positive values: the recurrence up to 8, then Stirling's series."""
+    y, low = x.astype(np.float64), np.zeros(x.shape)
+    for _ in range(8):
+        small = y < 8
+        if not small.any():
+            break
+        low[small] -= np.log(y[small])
+        y = y + small
+    inverse = 1 / y
+    square = inverse * inverse
+    series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
+    return low + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+
+
+def _choices(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones seen at each of the 255 binary choices (heap order), for rows of 256 counts."""
+    zeros, ones = [], []
+    for level in range(8):
+        halves = counts.reshape(len(counts), 1 << level, 2, 1 << (7 - level)).sum(axis=3)
+        zeros.append(halves[:, :, 0])
+        ones.append(halves[:, :, 1])
+    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
+
+
+def _estimate(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability that the estimate gave the counts seen, and its next chance of a one."""
+    zeros, ones = _choices(counts)
+    log_pe = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
+    return log_pe, (ones + 0.5) / (zeros + ones + 1)
+
+
+def _byte_logs(ones: np.ndarray) -> np.ndarray:
+    """log10 probability of each of the 256 bytes from the chances of a one, rows of 255."""
+    out = np.zeros((len(ones), 256))
+    for level in range(8):
+        p = ones[:, (1 << level) - 1:(2 << level) - 1]
+        both = np.log10(np.stack([1 - p, p], axis=2)).reshape(len(ones), 2 << level)
+        out += np.repeat(both, 1 << (7 - level), axis=1)
+    return out
+
+
+class ContextTree:
+    """The weighted tree, frozen: for each leaf the log10 probability of every byte.
+
+    ``nodes`` maps (depth, context) to 256 counts; every parent of a node is a node.
+    """
+
+    def __init__(self, nodes: dict[tuple[int, int], np.ndarray], depth: int):
+        nodes = nodes or {(0, 0): np.zeros(256)}
+        keys = sorted(nodes)
+        at = {k: i for i, k in enumerate(keys)}
+        level = np.array([d for d, _ in keys])
+        parent = np.array([at[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else -1 for d, c in keys])
+        counts = np.array([nodes[k] for k in keys], np.float64)
+        n, inner = len(keys), level < depth
+        rest = counts.copy()
+        np.subtract.at(rest, parent[1:], counts[1:])
+        log_pe, ones = _estimate(counts)
+        rest_pe, rest_ones = _estimate(rest)
+        below = np.where(inner[:, None], rest_pe, 0.0)  # rest leaf and weighted children
+        own = np.zeros(log_pe.shape)  # share of the node's own estimate in its mixture
+        weighted = np.empty(log_pe.shape)
+        for d in range(depth, -1, -1):
+            rows = np.flatnonzero(level == d)
+            if d == depth:
+                weighted[rows] = log_pe[rows]
+            else:
+                both = np.logaddexp(log_pe[rows], below[rows])
+                own[rows] = np.exp(log_pe[rows] - both)
+                weighted[rows] = both + math.log(0.5)
+            if d:
+                np.add.at(below, parent[rows], weighted[rows])
+        self.depth = depth
+        self.inner = int(inner.sum())  # keys are sorted by depth, so inner nodes come first
+        # leaf ids follow the inner nodes: the rest leaf of each inner node, then the deepest nodes
+        leaf_node = np.concatenate([np.arange(self.inner), np.flatnonzero(~inner)])
+        self.child = np.repeat(np.arange(self.inner, 2 * self.inner, dtype=np.int32)[:, None], 256, axis=1)
+        for i in range(1, n):
+            d, c = keys[i]
+            self.child[parent[i], c >> 8 * (d - 1)] = i if inner[i] else self.inner + i
+        self.logs = np.empty((len(leaf_node), 256), np.float32)
+        for low in range(0, len(leaf_node), 4096):
+            part = leaf_node[low:low + 4096]
+            is_rest = np.arange(low, low + len(part)) < self.inner
+            p = np.where(is_rest[:, None], rest_ones[part], ones[part])
+            up = np.where(is_rest, part, parent[part])
+            while (up >= 0).any():
+                on = up >= 0
+                w = own[up[on]]
+                p[on] = w * ones[up[on]] + (1 - w) * p[on]
+                up = np.where(on, parent[up], -1)
+            self.logs[low:low + len(part)] = _byte_logs(p)
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, its end included."""
+        text, places, rows = padded(data, offsets, self.depth)
+        leaf = np.zeros(len(places), np.int32)
+        child = self.child.reshape(-1)
+        for d in range(1, self.depth + 1):
+            on = leaf < self.inner
+            at = np.where(on, leaf, 0).astype(np.int64) * 256 + text[places - d]
+            leaf = np.where(on, child[at], leaf)
+        if not self.depth:
+            leaf[:] = 0
+        logs = self.logs.reshape(-1)[(leaf.astype(np.int64) - self.inner) * 256 + text[places]]
+        total = np.append(0.0, np.cumsum(logs, dtype=np.float64))
+        return total[rows[1:]] - total[rows[:-1]]

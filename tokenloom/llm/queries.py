@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.llm.bpe import encode_texts, read_vocabulary
 from tokenloom.llm.ngram_join import ngram_join
+from tokenloom.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf, "documents"), with_text=False)
+
+
 @query
 def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join(_table(spark, sf, "documents"))

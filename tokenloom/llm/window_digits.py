@@ -1 +1,83 @@
-"""Task-side helpers."""
+"""Task-side digits of repeated-window search: zones of neighbouring windows, their cores and contexts.
+
+All windows of ``depth`` bytes whose smallest gram (of the first ``REACH`` ones) is the same anchor
+form a zone. Anchors depend on a window's content alone, so equal windows lie in zones around equal
+anchors. A zone's core is what all its windows share, its context what they cover together.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from tokenloom.llm import byte_words as bw
+
+GRAM, REACH, STEP = 32, 240, 16
+
+
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of each run of ``width`` values."""
+    have, least = 1, values
+    while have * 2 <= width:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    if have < width:
+        least = np.minimum(least[:len(values) - width + 1], least[width - have:])
+    return least
+
+
+def first_zones(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """row, first window, last window, anchor (positions in the row), core and context of each zone."""
+    empty = np.zeros(0, np.int64)
+    lengths = np.diff(offsets)
+    if not (lengths >= depth).any():
+        return empty, empty, empty, empty, empty, empty
+    sums = bw.prefix_hash(data)
+    n = len(data) - GRAM + 1
+    grams = bw.mix((sums[GRAM:] - sums[:-GRAM]) * bw.powers(bw._BASE_INVERSE, len(sums))[:n])
+    bits = np.uint64(max(int(n).bit_length(), 1))
+    least = _sliding_least(((grams >> bits) << bits) | np.arange(n, dtype=np.uint64), REACH)
+    # a start is a window's when the window ends within its row
+    row = np.repeat(np.arange(len(lengths)), np.maximum(lengths - depth + 1, 0))
+    begin = np.cumsum(np.maximum(lengths - depth + 1, 0)) - np.maximum(lengths - depth + 1, 0)
+    start = np.arange(len(row)) - begin[row] + offsets[row]
+    anchor = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    new = np.ones(len(row), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+    head = np.flatnonzero(new)
+    low, high = start[head], start[np.append(head[1:], len(row)) - 1]
+    anchor, row = anchor[head], row[head]
+    core = bw.span_hash(sums, anchor, anchor + depth - REACH + 1)
+    base = offsets[row]
+    return row, low - base, high - base, anchor - base, core.view(np.int64), _context(sums, low, high, anchor, depth)
+
+
+def _context(sums: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int) -> np.ndarray:
+    whole = bw.span_hash(sums, low, high + depth)
+    return bw.mix(whole + (anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def finer_zones(data: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int,
+                step: int) -> tuple[np.ndarray, ...]:
+    """The zones of one row cut where the distance to the anchor passes a multiple of ``step``."""
+    sums = bw.prefix_hash(data)
+    near, far = anchor - high, anchor - low
+    parts = far // step - near // step + 1
+    of = np.repeat(np.arange(len(low)), parts)
+    t = near[of] // step + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    a = anchor[of]
+    new_high = a - np.maximum(near[of], t * step)
+    new_low = a - np.minimum(far[of], t * step + step - 1)
+    inner = bw.span_hash(sums, a - t * step, a - t * step + depth - step + 1)
+    core = bw.mix(inner + t.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    return new_low, new_high, a, core, _context(sums, new_low, new_high, a, depth)
+
+
+def merged(low: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by the spans ``low`` to ``end``."""
+    if not len(low):
+        return low, end
+    order = np.argsort(low, kind="stable")
+    low, end = low[order], np.maximum.accumulate(end[order])
+    new = np.append(True, low[1:] > end[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(low)) - 1
+    return low[new], end[last]
