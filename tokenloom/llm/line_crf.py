@@ -85,3 +85,17 @@ def score_quality(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], id_col:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     schema += ", score double, predicted int" + (", line_scores array<double>" if with_lines else "")
     return rows.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with the columns they have."""
+    weight, step = field
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, data, offsets in bw.slices(bw.as_strings(batch.column(at))):
+                scores, _, _ = lf.quality(data, offsets, weight, step)
+                yield batch.slice(low, len(scores)).filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

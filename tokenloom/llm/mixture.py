@@ -65,23 +65,35 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     and empty texts have size 0 and give nothing. Rows with equal ids and texts share a key; which of
     them the cut falls on makes no difference. Extra columns are ignored.
     """
+    plan = _plan(docs, id_col, source_col, text_col, seed, cycle, most_epochs)
+    return plan.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _reference(id_col: Column, source_col: Column, text_col: Column) -> Column:
+    return F.xxhash64(id_col.cast("string"), F.lit(1), source_col.cast("string"), F.lit(2), text_col.cast("string"))
+
+
+def _plan(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int = 0,
+          cycle: tuple[int, ...] = CYCLE, most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """``mix_sources`` with the rows' references."""
     key = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), key.alias("key"))
-    order = [F.col("source").isNull(), "source", "key", "size"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), key.alias("key"),
+                       _reference(F.col(id_col), F.col(source_col), F.col(text_col)).alias("ref"))
+    order = [F.col("source").isNull(), "source", "key", "size", "ref"]
     placed = checkpointed(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     sums = checkpointed(placed.groupBy("source", "part").agg(F.sum("size").alias("n")))
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), cycle, most_epochs)
     plan = before.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
         "b.source", "b.part", "b.before", "t.source_size", "t.target")
-    inner = Window.partitionBy("source", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "part").orderBy("key", "size", "ref").rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     found = running.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part")))
     budget = F.floor("p.target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - epochs * F.col("source_size") - F.col("before") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return found.select(F.col("r.id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return found.select(F.col("r.id").alias("id"), "r.ref", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def first_words(text: str, n: int) -> str:
@@ -94,13 +106,16 @@ def first_words(text: str, n: int) -> str:
     return text if n else ""
 
 
-def mixed_rows(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: a copy of a row for every time it is taken, the part-taken one cut to its first words.
 
-    ``plan`` is what ``mix_sources`` returned for ``docs``, whose ids must not repeat; columns stay as they are.
+    Columns stay as they are. Rows equal in id, source and text stand for each other.
     """
-    wanted = plan.where("taken > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    joined = docs.join(wanted, F.col(id_col).eqNullSafe(F.col("__id")))
+    plan = _plan(docs, id_col, source_col, text_col, **options).where("taken > 0")
+    plan = plan.groupBy(F.col("id").alias("__id"), F.col("ref").alias("__r")).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
+    marked = docs.withColumn("__ref", _reference(F.col(id_col), F.col(source_col), F.col(text_col)))
+    joined = marked.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__ref") == F.col("__r")))
+    joined = joined.where("__rows = 1").unionByName(joined.where("__rows > 1").dropDuplicates(["__r", "__id"]))
     share = lambda i: F.least(F.col("__size"), F.col("__taken") - i * F.col("__size"))
     copies = F.transform(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1), share)
     spread = joined.withColumn("__words", F.explode(copies))

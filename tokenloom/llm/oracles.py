@@ -1,3 +1,61 @@
-"""SQL counterparts of the registered queries, where SQL can express them."""
+"""SQL counterparts of the registered queries, where SQL can express them.
 
-SQL: dict[str, str] = {}
+The others are tested against brute force, an exact round trip or held-out rows: suffix dedup and
+secret spans (brute force), the classifier (held-out labels), embedding passes (brute force), BPE (the
+tokenizers library), the context tree (its definition).
+"""
+
+WORD = r"'[^\x20\x09-\x0D]+'"
+UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+SQL: dict[str, str] = {
+    "op2_ngram_join": rf"""with recursive
+        w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), {WORD}) as a from documents),
+        g as (select distinct doc_id, unnest(case when len(a) = 0 then [] when len(a) < 5 then [array_to_string(a, ' ')]
+              else list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) end) as s from w),
+        n as (select doc_id, count(*) as n from g group by doc_id),
+        p as (select x.doc_id as a, y.doc_id as b, count(*) as o from g x join g y on x.s = y.s and x.doc_id < y.doc_id group by all),
+        l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * o >= 75 * (na.n + nb.n - o)),
+        e as (select a, b from l union all select b, a from l),
+        reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) as component_id
+        from documents d left join n using (doc_id) left join (select a, min(b) as b from reach group by a) m on m.a = d.doc_id""",
+    "op4_url_trie": rf"""with rules(rh, rp, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+            ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        r as (select page_id, case when coalesce(strpos(url, '://'), 0) = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
+        h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from r),
+        p as (select page_id, translate(raw, {UPPER}, {LOWER}) as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h),
+        m as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(v, length(rh || rp)) as v
+              from p join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
+        select page_id, host, path, rule, coalesce(v, 'allow') as verdict from p left join m using (page_id)""",
+    "op6_rule_ledger": rf"""with t as (select doc_id, coalesce(text, '') as text from documents),
+        w as (select doc_id, text, regexp_extract_all(text, {WORD}) as a from t),
+        g as (select doc_id, i, array_to_string(a[i:i + 4], ' ') as s from (select doc_id, a, unnest(range(1, len(a) - 3)) as i from w)),
+        c as (select doc_id, i, count(*) over (partition by doc_id, s) as c from g),
+        x as (select doc_id, count(distinct at) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as at from c where c > 1) group by doc_id),
+        l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+        m as (select doc_id, len(a) as n_words, coalesce(list_sum(list_transform(a, lambda x: length(x))), 0)::bigint as word_chars,
+              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+              coalesce(n_repeat_words, 0) as n_repeat_words, length(text) - length(replace(text, chr(10), '')) + 1 as n_lines,
+              length(regexp_replace(text, '[^A-Z]', '', 'g')) as up, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as letters,
+              length(regexp_replace(text, '[^!]', '', 'g')) as marks
+              from w join l using (doc_id) left join x using (doc_id)),
+        b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        not (base_failed or word_chars > 40 * n_words or 100 * n_symbols > 15 * word_chars or 100 * n_dup_lines > 60 * n_lines
+             or (letters >= 50 and 100 * up > 70 * letters) or 100 * marks > 50 * n_words) as kept from b""",
+    "op10_mixture": rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0) as size,
+            md5(concat_ws(chr(31), '0', doc_id::varchar)) as k from documents),
+        s as (select source, sum(size)::bigint as n, 3.0::double * sum(size)::double as lim from d group by source),
+        w as (select *, (1 + (row_number() over (order by source nulls last) - 1) % 3)::double as w from s),
+        o as (select *, row_number() over (order by lim / w, source nulls last) as rk, sum(n) over () as total,
+              sum(lim) over (order by lim / w, source nulls last) - lim as capped,
+              sum(w) over (order by lim / w, source nulls last rows between current row and unbounded following) as free from w),
+        v as (select coalesce(arg_min((total - capped) / free, rk) filter (where w * ((total - capped) / free) < lim), 0) as level, max(lim) as m from o),
+        t as (select source, n, case when level = 0 then lim else least(lim, w * level) end as target from w, v),
+        r as (select doc_id, size, n as source_size, target, floor(target)::bigint as budget,
+              sum(size) over (partition by d.source order by k, size rows unbounded preceding) - size as before
+              from d join t on d.source is not distinct from t.source)
+        select doc_id, size, source_size, target, (case when source_size > 0 then budget // source_size * size + greatest(0, least(size,
+            budget - budget // source_size * source_size - before)) else 0 end)::bigint as taken from r""",
+}

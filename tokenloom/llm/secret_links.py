@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.components import checkpointed
+from tokenloom.llm.components import checkpointed, row_reference
 
 # The strong patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,6 +22,7 @@ LEAST_VALUE = 6
 
 # Weak patterns. A token is a whole run; what it may be is told by its length and letters.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
+TOKEN_32 = r"[A-Za-z0-9+/_-]{32}"
 IDENT = r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]{16,32}$"
 KEY = r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]{32,64}$"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\x20\x09-\x0D\"'<>]*"
@@ -110,25 +111,45 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     base_spans holds the strong ones; spans adds linked weak candidates. Null is the empty text, without
     spans. Spans of different kinds may overlap. Repeated rows and null ids keep a row each; extra columns
-    are ignored. The result carries ``row``, by which spans meet their rows, and is cut from its lineage.
+    are ignored. The result is cut from its lineage.
     """
+    return _scanned(docs, id_col, text_col, reach).select(F.col("id").alias(id_col), *[f"n_{k}" for k in KINDS[:3]], "base_spans", "spans")
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """``docs`` with every span that ``scan_secrets`` reports replaced by a mark; columns stay as they are.
+
+    Only rows with a possible span are scanned for places and moved to meet them.
+    """
+    possible = F.col(text_col).rlike(f"(?:{ASSIGN})|{ACCESS}|{HEX}|{TOKEN_32}")
+    may = F.coalesce(possible, F.lit(False))
+    marked = docs.where(may).withColumn("__ref", row_reference(F.col(id_col), F.col(text_col)))
+    spans = _scanned(docs.where(may), id_col, text_col, reach).where(F.size("spans") > 0)
+    spans = spans.select(F.col("id").alias("__id"), F.col("ref").alias("__r"), F.col("spans").alias("__spans")).dropDuplicates(["__r", "__id"])
+    joined = marked.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__ref") == F.col("__r")), "left")
+    clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__spans")))
+    return docs.where(~may).unionByName(joined.withColumn(text_col, clean).select(*docs.columns))
+
+
+def _scanned(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
+    """``scan_secrets`` with the rows' references."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    raw = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    raw = docs.select(F.col(id_col).alias("id"), text.alias("text"), row_reference(F.col(id_col), F.col(text_col)).alias("ref"))
     values = F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))
     assign = F.zip_with(_found(F.col("text"), ASSIGN, "assign"), values, lambda s, v: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), v.alias("word")))
     assign = F.filter(assign, lambda s: F.length(s["word"]) >= LEAST_VALUE)
     tokens = _found(F.col("text"), TOKEN, "token")
-    strong = raw.select("id", "text", _bare(assign).alias("assign"), _bare(_found(F.col("text"), ACCESS, "access")).alias("access"),
+    strong = raw.select("id", "ref", "text", _bare(assign).alias("assign"), _bare(_found(F.col("text"), ACCESS, "access")).alias("access"),
                         _bare(_found(F.col("text"), HEX, "hex")).alias("hex"),
                         F.filter(tokens, lambda s: s["word"].rlike("[0-9]")).alias("tokens"))
     weak = strong.select(
-        "id", "text", "assign", "access", "hex",
+        "id", "ref", "text", "assign", "access", "hex",
         _bare(F.filter("tokens", lambda s: s["word"].rlike(IDENT) & ~s["word"].startswith("AKIA")), "ident").alias("ident"),
         _bare(F.filter("tokens", lambda s: s["word"].rlike(KEY)), "key").alias("key"))
     some = F.size("key") > 0  # every link has a key
     none = F.array().cast(SPANS)
     found = weak.select(
-        "id", "assign", "access", "hex", "ident", "key",
+        "id", "ref", "assign", "access", "hex", "ident", "key",
         F.when(some, _bare(_found(F.col("text"), ENDPOINT, "endpoint"))).otherwise(none).alias("endpoint"),
         F.when(some, _bare(_found(F.col("text"), BREAK, "break"))).otherwise(none).alias("breaks"))
     found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
@@ -137,7 +158,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = found.join(_linked(cases, reach), "row", "left")
     base = F.concat("assign", "access", "hex")
     return both.select(
-        F.col("id").alias(id_col), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+        "id", "ref", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         _listed(base).alias("base_spans"), _listed(F.concat(base, F.coalesce("weak", none))).alias("spans"))
 
 

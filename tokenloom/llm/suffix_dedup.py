@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm import byte_words as bw
 from tokenloom.llm import fixed_filter
 from tokenloom.llm import window_digits as wd
-from tokenloom.llm.components import checkpointed
+from tokenloom.llm.components import checkpointed, row_reference
 
 ZONE = "r long, low long, high long, anchor long, core long, context long"
 
@@ -99,7 +99,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored; null ids keep their row.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("r", F.xxhash64(F.col("id").cast("string"), F.lit(1), "text"))
+    rows = rows.withColumn("r", row_reference(F.col("id"), F.col("text")))
     spans = checkpointed(repeated_spans(rows.where(F.octet_length("text") >= depth), depth))
     table = fixed_filter.build(spans.select(F.col("r").alias("key")))
     lists = spans.groupBy("r").agg(F.collect_list(F.struct("low", "end")).alias("spans"))
