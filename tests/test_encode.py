@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 import regex
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import PRETOKENS, WHITESPACE, is_nonblank, pieces, strip
-from tokenloom.operators.chunk import chunk_text
+from tokenloom.operators.chunk import chunk_text, training_chunks
 from tokenloom.operators.encode import (
     DictionaryEncoder,
     FunctionEncoder,
@@ -16,6 +18,7 @@ from tokenloom.operators.encode import (
     build_dictionary,
     truncate,
 )
+from tokenloom.operators.guards import drop_blank
 from tokenloom.sources.special import special_ids
 
 TEXTS = ["the cat and the dog", "the  end\n", "a rare rarest word", "", "the", "dog dog dog cat zebra"]
@@ -44,9 +47,38 @@ def test_routes_agree(docs):
     small = DictionaryEncoder(dictionary, head_entries=2)
     assert small.tail is not None
     assert encode_all(small, docs) == expected
-    by_bytes = DictionaryEncoder(dictionary, head_entries=3, head_bytes=10)
-    assert by_bytes.tail is not None
-    assert encode_all(by_bytes, docs) == expected
+
+
+def test_long_pieces_and_repeated_keys(spark):
+    """Pieces longer than the head takes, and rows whose keys are null or repeat."""
+    rule, url = "-" * 200, "x" * 5000
+    texts = [f"a {rule} b", f"{rule} {url}", "a b c d e", f"e d {url}", None, "c"]
+    ids = [1, 1, None, None, 1, 2]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    dictionary = build_dictionary(df)
+    known = {r.token: r.id for r in dictionary.collect()}
+    expected = sorted((repr(i), [known[w] for w in (t or "").split()]) for i, t in zip(ids, texts, strict=True))
+    for entries in (2, 1_000_000):
+        encoder = DictionaryEncoder(dictionary, head_entries=entries)
+        assert encoder.tail is not None
+        assert sorted((repr(r.doc_id), r.ids) for r in encoder.encode(df).collect()) == expected
+
+
+def test_training_path(spark, tmp_path):
+    """Files to blocks, JSON lines and Parquet, with a small and a whole dictionary head."""
+    lines = ["the cat and the dog", " ", "a rare rarest word", "dog dog dog cat zebra"]
+    (tmp_path / "rows.jsonl").write_text("".join(json.dumps({"text": t}) + "\n" for t in lines) + "{bad\n")
+    (tmp_path / "other.txt").write_text(json.dumps({"text": "not read"}) + "\n")
+    df = spark.createDataFrame([(t,) for t in lines], "text string")
+    df.write.parquet(str(tmp_path / "rows.parquet"))
+    dictionary = build_dictionary(drop_blank(df))
+    known = {r.token: r.id for r in dictionary.collect()}
+    expected = sorted(b for t in lines if t.strip() for b in [([known[w] for w in t.split()] + [0])[i:i + 3] for i in (0, 3)] if len(b) >= 2)
+    for entries in (2, 1_000_000):
+        encoder = DictionaryEncoder(dictionary, head_entries=entries)
+        for kind, path in (("jsonl", tmp_path), ("parquet", tmp_path / "rows.parquet")):
+            out = training_chunks(spark, str(path), encoder, seq_len=3, eos_id=0, dataset_type=kind)
+            assert sorted(r.input_ids for r in out.collect()) == expected
 
 
 def test_unknown_pieces(spark, docs):

@@ -111,12 +111,12 @@ def test_shuffle_is_repeatable(spark):
         batching.assign_batches(df, 0, ["id"])
 
 
-def test_step_plan_stops(spark):
+def test_step_plan_covers_all_rows(spark):
     df = spark.range(100).withColumn("len", F.lit(10))
     steps = batching.step_plan(df, ["id"], batch_size=2, accumulation=3, processes=2, max_steps=3,
-                               token_budget=121).orderBy("step").collect()
-    assert [(s.step, s.rows, s.tokens, s.meets_budget) for s in steps] == \
-        [(i, 12, 120, False) for i in range(3)]
+                               token_budget=120).orderBy("step").collect()
+    assert [(s.step, s.rows, s.tokens, s.reached, s.meets_budget) for s in steps] == \
+        [(i, 12, 120, i < 3, True) for i in range(8)] + [(8, 4, 40, False, False)]
 
 
 def test_unsharded_shuffled_batches(spark):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenloom import kernels
 from tokenloom.operators import packing
+from tokenloom.operators.batching import training_batches
 from tokenloom.operators.chunk import split_blocks, split_units, unit_lengths
 
 
@@ -106,51 +110,87 @@ def test_padding_and_defaults(spark):
     assert long.position_ids == [0, 1, 0, 1, 2] and long.attention_mask == [1] * 5
 
 
-def one_pass_run(docs, seq_len, window_units, capacity, min_len):
-    """Per shard: rows in order, windows by unit count, best-fit bins of the usable units."""
-    samples, window = [], []
-
-    def close():
-        units = [u for u in window if min_len <= len(u) <= capacity]
-        order = sorted(range(len(units)), key=lambda i: (-len(units[i]), i))
-        bins: list[list[int]] = []
-        fills: list[int] = []
-        for i in order:
-            room = [f if f + len(units[i]) <= capacity else -1 for f in fills]
-            b = room.index(max(room)) if room and max(room) >= 0 else len(bins)
-            if b == len(bins):
-                bins.append([])
-                fills.append(0)
-            bins[b].append(i)
-            fills[b] += len(units[i])
-        samples.extend([x for i in b for x in units[i]] for b in bins)
-        window.clear()
-
-    for ids in docs:
-        if len(ids) <= seq_len:
-            window.append(ids)
-        else:
-            blocks = [ids[i:i + seq_len] for i in range(0, len(ids), seq_len)]
-            window.extend(b for b in blocks if len(b) >= min_len)
-        if len(window) >= window_units:
-            close()
-    close()
-    return samples
+def check_shard(docs, samples, seq_len, window_units, capacity, min_len):
+    """Windows from cumulative unit counts, bins by the packer's contract, no token lost or made.
+
+    ``docs`` are the shard's sequences in order, ``samples`` its ``(window_id, bin, ids)``.
+    """
+    sizes = np.array([1 if len(d) <= seq_len else len(d) // seq_len + (len(d) % seq_len >= min_len) for d in docs])
+    window = np.zeros(len(docs), int)
+    start = 0
+    while start < len(docs):  # a window ends with the row that brings its units to the limit
+        reach = np.cumsum(sizes[start:]) >= window_units
+        end = start + int(reach.argmax()) + 1 if reach.any() else len(docs)
+        window[start:end] = window[start - 1] + 1 if start else 0
+        start = end
+    for w in range(window.max() + 1 if len(docs) else 0):
+        units = [d[k * seq_len:(k + 1) * seq_len] for d, n in zip(docs, window == w, strict=True) if n
+                 for k in range(-(-len(d) // seq_len))]
+        usable = Counter(tuple(u) for u in units if min_len <= len(u) <= capacity)
+        bins = [ids for v, _, ids in sorted(samples, key=lambda s: s[:2]) if v == w]
+        cut = [split_units_of(ids) for ids in bins]
+        assert Counter(u for b in cut for u in b) == usable
+        assert all(len(ids) <= capacity for ids in bins)
+        # longest first into the fullest bin with room: no unit stands in a later bin, or a less full
+        # one, while a fuller one had room when its turn came
+        order = sorted(((-len(u), b) for b, us in enumerate(cut) for u in us))
+        fill = [0] * len(bins)
+        for length in sorted({-n for n, _ in order}, reverse=True):
+            for _ in range(sum(-n == length for n, _ in order)):
+                room = [f for f in fill if f and f + length <= capacity]
+                fill[fill.index(max(room)) if room else fill.index(0)] += length
+        assert fill == [len(ids) for ids in bins]
+    assert {w for w, *_ in samples} <= set(window.tolist())
+
+
+def split_units_of(ids):
+    """Units of a sample: every sequence of the test repeats one number of its own."""
+    return [tuple(g) for _, g in itertools.groupby(ids)]
 
 
 @pytest.mark.parametrize("chunk_rows", [9, 1_000_000])
 def test_packed_dataset(spark, chunk_rows):
     rng = random.Random(11)
-    rows = [(i, "hot" if i % 3 else f"s{i % 4}", [i + 1] * rng.choice([2, 3, 7, 12, 13, 30]))
+    # blocks of a sequence differ in their number, so that units stay apart in a sample
+    rows = [(i, "hot" if i % 3 else f"s{i % 4}", [3 * i + 1 + k // 12 for k in range(rng.choice([2, 3, 7, 12, 13, 30]))])
             for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, shard string, ids array<int>")
     out = packing.packed_dataset(df, seq_len=12, window_units=9, capacity=16, min_len=2, pad_id=0,
                                  shard="shard", key="doc_id", chunk_rows=chunk_rows).collect()
     for shard in {r[1] for r in rows}:
-        expected = one_pass_run([r[2] for r in rows if r[1] == shard], 12, 9, 16, 2)
-        mine = sorted((r for r in out if r.shard == shard), key=lambda r: (r.window_id, r.bin))
-        assert [r.input_ids[:sum(r.attention_mask)] for r in mine] == expected
+        mine = [(r.window_id, r.bin, r.input_ids[:sum(r.attention_mask)]) for r in out if r.shard == shard]
+        check_shard([r[2] for r in rows if r[1] == shard], mine, 12, 9, 16, 2)
     for r in out:
         assert len(r.input_ids) == len(r.labels) == len(r.position_ids) == 16
         padded = [m == 0 for m in r.attention_mask]
         assert [p == -1 for p in r.position_ids] == padded == [v == -100 for v in r.labels]
+
+
+def test_capacity_below_the_sequence_length(spark):
+    df = spark.createDataFrame([(i, "a", [1] * 100) for i in range(10)], "doc_id long, shard string, ids array<int>")
+    with pytest.raises(ValueError, match="do not fit"):
+        packing.packed_dataset(df, seq_len=128, window_units=64, pad_id=0, shard="shard", key="doc_id")
+    out = packing.packed_dataset(df, seq_len=128, window_units=64, pad_id=0, shard="shard", key="doc_id", skip_long=True)
+    assert out.count() == 0
+    units = split_units(df, 128, 2)
+    assert tuple(packing.left_out(units, 64).first()) == (10, 1000)
+
+
+def test_batches_with_null_shards_and_repeated_keys(spark):
+    rows = [(i // 3, "s" if i % 2 else None, [i + 1] * (1 + i % 4)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, shard string, input_ids array<int>")
+    out = training_batches(df, 4, key=["doc_id"], pad_id=0, shard="shard").collect()
+    assert Counter((r.shard, tuple(x for x in r.input_ids if x)) for r in out) == Counter((s, tuple(i)) for _, s, i in rows)
+    for r in out:
+        assert len(r.input_ids) == r.max_len == max(len([x for x in o.input_ids if x]) for o in out if (o.shard, o.batch_id) == (r.shard, r.batch_id))
+
+
+def test_padding_falls_back_to_the_end_id(spark):
+    df = spark.createDataFrame([(1, "a", [5, 6, 9]), (2, "a", [7, 9])], "doc_id long, shard string, ids array<int>")
+    packed = packing.packed_dataset(df, seq_len=8, window_units=1, capacity=8, eos_id=9, shard="shard", key="doc_id")
+    assert sorted(r.input_ids for r in packed.collect()) == [[5, 6, 9, 9, 9, 9, 9, 9], [7, 9, 9, 9, 9, 9, 9, 9]]
+    rows = df.withColumnRenamed("ids", "input_ids")
+    assert sorted(r.input_ids for r in training_batches(rows, 2, key=["doc_id"], eos_id=9).collect()) == [[5, 6, 9], [7, 9, 9]]
+    for call in (lambda: packing.packed_dataset(df, seq_len=8, shard="shard", key="doc_id"), lambda: training_batches(rows, 2, key=["doc_id"])):
+        with pytest.raises(ValueError):
+            call()

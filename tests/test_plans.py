@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,10 +12,9 @@ from tokenloom.operators import packing
 from tokenloom.operators.chunk import chunk_text, split_units
 from tokenloom.operators.encode import DictionaryEncoder, FunctionEncoder, append_end, build_dictionary
 from tokenloom.operators.finetune import format_rows
-from tokenloom.operators.grouping import MAX_CHUNKS, _chunk_rows
 from tokenloom.operators.indexing import shard_by_hash, shard_scan
-from tokenloom.sources.text import scan_parquet
-from tokenloom.staging import stage, staging_root
+from tokenloom.sources.text import parse_jsonl, scan_parquet
+from tokenloom.staging import new_path, stage, staging_area, staging_root
 
 
 def plan_of(df) -> str:
@@ -82,10 +83,20 @@ def test_sharding_a_scan_moves_no_text(docs, sf, spark):
     assert "Exchange" not in plan_of(shard_by_hash(docs, ["doc_id"], 8))
 
 
-def test_fold_chunks_are_bounded():
-    assert _chunk_rows(1_000, 8) == 100_000
-    assert _chunk_rows(50_000_000, 8) == 1_000_000
-    assert -(-20_000_000_000 // _chunk_rows(20_000_000_000, 20_000)) <= MAX_CHUNKS
+def test_staging_area_leaves_an_empty_folder(spark, tmp_path):
+    with staging_area(spark):
+        paths = [new_path(spark, "kept") for _ in range(2)]
+        spark.range(3).write.parquet(paths[0])
+        assert stage(spark.range(5), "t").count() == 5
+        left = [p for p in (staging_root(spark).removeprefix("file:") + "/tokenloom",) if os.path.isdir(p)]
+        before = len(os.listdir(left[0]))
+    assert len(os.listdir(left[0])) == before - 2
+    assert not os.path.exists(paths[0])
+
+
+def test_jsonl_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"text":"a"}',)], "line string")
+    assert plan_of(parse_jsonl(lines, "text")).count("from_json(") <= 2  # the generator's node, and its header
 
 
 def test_staging_follows_the_session(spark, tmp_path):

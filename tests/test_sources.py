@@ -13,6 +13,7 @@ from tokenloom.operators import guards
 from tokenloom.operators.chat import check_expectations, render
 from tokenloom.operators.chunk import training_chunks
 from tokenloom.operators.encode import DictionaryEncoder, build_dictionary
+from tokenloom.operators.finetune import format_rows
 from tokenloom.operators.indexing import reader_shard, shard_scan, with_scan_index
 from tokenloom.sources import chat, files, sinks, special, text, vocab
 
@@ -147,7 +148,7 @@ SAMPLES = [
      "expected": {"must_include": ["X", "是"], "max_chars": 10}},
     {"id": "two", "tools": [{"type": "function", "function": {"name": "w", "z": 1, "a": {"城": "b"}}}],
      "messages": [{"role": "user", "content": "查"}],
-     "expected": {"tool_call": {"name": "w", "args": {"city": "北京"}}}},
+     "expected": {"tool_call": {"name": "w", "args": {"ort": "Łódź"}}}},
     {"messages": [{"role": "user", "content": [{"type": "text", "text": "hi "}, {"image": "p"}]},
                   {"role": "assistant", "content": None, "reasoning_content": "r", "tool_calls": [
                       {"type": "function", "function": {"name": "f", "arguments": {"b": 1.0, "a": [1, {"k": "é"}]}}}]}],
@@ -180,13 +181,13 @@ def test_chat_samples(samples):
 def test_expectations(spark, samples):
     named = samples.withColumn("id", F.coalesce("id", F.lit("none")))
     answers = spark.createDataFrame(
-        [("one", "X 是 y", None, None), ("two", "", "w", '{ "city":"\\u5317京"}'), ("none", "ab", None, None),
+        [("one", "X 是 y", None, None), ("two", "", "w", '{ "ort":"\\u0141ódź"}'), ("none", "ab", None, None),
          ("bad", "anything", None, None)],
         "id string, answer string, tool_name string, tool_args string")
     out = {r.id: r for r in check_expectations(named, answers).collect()}
     assert [out[k].passed for k in ("one", "two", "none", "bad")] == [True, True, False, True]
     assert out["none"].includes_all and not out["none"].length_ok
-    wrong = answers.withColumn("tool_args", F.lit('{"city":"上海"}')).withColumn("answer", F.lit("X"))
+    wrong = answers.withColumn("tool_args", F.lit('{"ort":"Kraków"}')).withColumn("answer", F.lit("X"))
     out = {r.id: r for r in check_expectations(named, wrong).collect()}
     assert not out["two"].tool_ok and not out["one"].includes_all
 
@@ -220,10 +221,47 @@ def test_guards(spark):
         checked.collect()
 
 
+def test_sample_index(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"messages": []}, {"id": "x"}, {"messages": None}]))
+    read = chat.read_chat_samples(spark, str(tmp_path / "a.json"))
+    names = read.withColumn("id", sinks.sample_id(F.col("id"), F.col("list_index"))).orderBy("list_index")
+    assert [(r.id, r.list_index) for r in names.collect()] == [("sample_000", 0), ("x", 1), ("sample_002", 2)]
+
+
+SFT = [
+    {"messages": [{"role": "user", "content": [{"type": "text", "text": "see "}, {"type": "image", "image": "u"}]},
+                  {"role": "assistant", "content": "ok", "reasoning_content": "why", "tool_calls": [{"function": {"name": "f", "arguments": {"k": 1}}}]}]},
+    {"prompt": 5, "completion": True}, {"prompt": 1.0, "completion": 12345678.5}, {"instruction": False, "output": 1e20, "input": 0},
+    {"instruction": "i", "output": 0.00001, "input": "more"}, {"body": 7}, {"body": None}, {"messages": [], "body": "raw"},
+]
+
+
+def sft_prompts(rows):
+    return sorted(repr((r.prompt, r.errors)) for r in format_rows(rows, "body").collect())
+
+
 def test_sft_reader(spark, tmp_path):
-    (tmp_path / "rows.json").write_text(json.dumps([{"prompt": "p", "completion": "c"}, {"text": "t"}]))
-    rows = chat.read_sft_rows(spark, str(tmp_path / "rows.json"), "jsonl", multi_line=True).collect()
-    assert [(r.prompt, r.completion, r.text, r.messages) for r in rows] == \
-        [("p", "c", None, None), (None, None, "t", None)]
+    folder = tmp_path / "v1.5"
+    folder.mkdir()
+    text = "".join(json.dumps(r) + "\n" for r in SFT)
+    (folder / "rows.jsonl").write_text(text)
+    (folder / "rows.json").write_text('{"body": "not read"}\n')
+    (folder / "notes.txt").write_text('{"body": "not read"}\n')
+    rows = chat.read_sft_rows(spark, str(folder), "jsonl", text_column="body")
+    found = {i: (r.prompt, list(r.errors)) for i, r in enumerate(format_rows(rows.coalesce(1), "body").collect())}
+    turn = lambda user, answer: f"<|im_start|>user\n{user}<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n{answer}<|im_end|>\n"
+    image = "<|vision_start|><|image_pad|><|vision_end|>"
+    assert found[0][0] == (f"<|im_start|>user\nsee {image}<|im_end|>\n<|im_start|>assistant\n<think>\nwhy\n</think>\n\nok\n\n"
+                           "<tool_call>\n<function=f>\n<parameter=k>\n1\n</parameter>\n</function>\n</tool_call><|im_end|>\n")
+    assert found[1][0] == turn("5", "True") and found[2][0] == turn("1.0", "12345678.5")
+    assert found[3][0] == turn("False", "1e+20") and found[4][0] == turn("i\nmore", "1e-05")
+    assert found[5][0] == "7" and found[6][0] is None and found[6][1] and found[7][0] == "raw"
+    parquet = str(tmp_path / "rows.parquet")
+    spark.createDataFrame([(1, True, 2.5), (None, None, None)], "prompt int, completion boolean, body double").write.parquet(parquet)
+    read = chat.read_sft_rows(spark, parquet, "parquet", text_column="body").collect()
+    assert {(r.prompt, r.completion, r.body, r.messages) for r in read} == {("1", "True", "2.5", None), (None, None, None, None)}
+    kept = str(tmp_path / "messages.parquet")
+    rows.write.parquet(kept)
+    assert sft_prompts(chat.read_sft_rows(spark, kept, "parquet", text_column="body")) != []
     with pytest.raises(ValueError):
         chat.read_sft_rows(spark, str(tmp_path), "csv")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.operators.chunk import chunk_text
 from tokenloom.operators.encode import DictionaryEncoder, append_end, build_dictionary
 from tokenloom.operators.packing import packed_dataset
 from tokenloom.sources.text import stream_text
@@ -40,7 +42,8 @@ def test_packing_across_batches(spark, source, tmp_path):
                           seq_len=10, window_units=8, capacity=12, eos_id=0, pad_id=0, shard="source",
                           key="doc_id")
     streamed = packer.run(stream, str(tmp_path / "log"))
-    assert os.path.isdir(tmp_path / "out" / "2")
+    assert os.path.isdir(tmp_path / "out" / "batch=2")
+    assert sorted(os.listdir(tmp_path / "state" / "rows")) == ["1", "2"]  # older carry-over is gone
     encoded = append_end(encoder.encode(docs), 0)
     batch = packed_dataset(encoded, seq_len=10, window_units=8, capacity=12, pad_id=0, shard="source",
                            key="doc_id")
@@ -48,13 +51,48 @@ def test_packing_across_batches(spark, source, tmp_path):
     as_rows = lambda df: sorted(map(repr, df.select(columns).collect()))
     assert as_rows(streamed) == as_rows(batch)
     # A repeated micro-batch rewrites its own folders only.
-    before = sorted(map(repr, spark.read.parquet(str(tmp_path / "out" / "1")).collect()))
+    before = sorted(map(repr, spark.read.parquet(str(tmp_path / "out" / "batch=1")).collect()))
+    packer.state = str(tmp_path / "again")
+    packer.pack_batch(docs.where(F.col("doc_id").between(0, 29)), 0)
     packer.pack_batch(docs.where(F.col("doc_id").between(30, 59)), 1)
-    assert sorted(map(repr, spark.read.parquet(str(tmp_path / "out" / "1")).collect())) == before
+    assert sorted(map(repr, spark.read.parquet(str(tmp_path / "out" / "batch=1")).collect())) == before
 
 
-def test_streams_need_the_whole_dictionary(spark, source):
-    docs, _ = source
-    encoder = DictionaryEncoder(build_dictionary(docs), head_entries=2)
-    with pytest.raises(ValueError):
-        stream_chunks(docs, encoder, seq_len=4, eos_id=0)
+def test_packing_null_shards_and_repeated_keys(spark, tmp_path):
+    """Keys that repeat and null shards lose no token, in a stream as in a batch."""
+    rows = [(i % 7 or None, "s" if i % 3 else None, " ".join("abcdefgh"[:1 + i % 8])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    encoder = DictionaryEncoder(build_dictionary(df))
+    stream = stream_text(spark, str(tmp_path / "in"), "text", "parquet", df.schema, max_files_per_trigger=1, keep=("doc_id", "source"))
+    packer = StreamPacker(spark, encoder, output=str(tmp_path / "out"), state=str(tmp_path / "state"), seq_len=10, window_units=8,
+                          capacity=12, eos_id=0, pad_id=0, shard="source", key="doc_id")
+    encoded = append_end(encoder.encode(df), 0)
+    batch = packed_dataset(encoded, seq_len=10, window_units=8, capacity=12, pad_id=0, shard="source", key="doc_id")
+    count = lambda out: Counter(t for r in out.collect() for t, m in zip(r.input_ids, r.attention_mask, strict=True) if m)
+    expected = Counter(t for r in encoded.collect() for t in r.ids)
+    assert count(packer.run(stream, str(tmp_path / "log"))) == expected
+    assert count(batch) == expected
+
+
+def test_chunks_with_a_small_dictionary_head(spark, source, tmp_path):
+    docs, folder = source
+    dictionary = build_dictionary(docs)
+    outs = []
+    for entries in (2, 1_000_000):
+        encoder = DictionaryEncoder(dictionary, head_entries=entries)
+        rows = stream_text(spark, folder, "text", "parquet", docs.schema, max_files_per_trigger=1, keep=("doc_id",))
+        path = str(tmp_path / f"out-{entries}")
+        stream_chunks(rows, encoder, path, str(tmp_path / f"log-{entries}"), seq_len=4, eos_id=0).awaitTermination()
+        outs.append(sorted((r.doc_id, r.block_no, r.input_ids) for r in spark.read.parquet(path).collect()))
+    batch = chunk_text(docs, DictionaryEncoder(dictionary), seq_len=4, eos_id=0)
+    assert outs[0] == outs[1] == sorted((r.doc_id, r.block_no, r.input_ids) for r in batch.collect())
+
+
+def test_stream_reads_the_files_of_the_batch(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text":"one"}\n')
+    (tmp_path / "b.txt").write_text('{"text":"two"}\n')
+    rows = stream_text(spark, str(tmp_path), "text", "jsonl")
+    query = rows.writeStream.format("memory").queryName("suffixes").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [r.text for r in spark.table("suffixes").collect()] == ["one"]

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.arrays import let
 from tokenloom.functions.text import is_nonblank, strip
+from tokenloom.schemas import CONTENT_PART
+
+PARTS = f"array<{CONTENT_PART.simpleString()}>"
 
 # The pieces of the prompt format.
 TURN_START = "<|im_start|>"
@@ -84,34 +87,35 @@ def is_unknown_part(p: Column) -> Column:
     return ~is_image(p) & ~is_video(p) & p["text"].isNull()
 
 
-def _count(parts: Column, test) -> Column:
-    return F.size(F.filter(F.coalesce(parts, F.array()), test))
-
-
-def content_text(m: Column, images_before: Column | None = None,
-                 videos_before: Column | None = None) -> Column:
-    """Text as is, parts concatenated, nothing as empty.
-
-    With the running counts given, pictures and videos are numbered through the conversation.
-    """
-    def one(p: Column, j: Column) -> Column:
-        image, video = F.lit(IMAGE), F.lit(VIDEO)
-        if images_before is not None:
-            upto = F.slice(m["parts"], F.lit(1), j + 1)
-            image = F.concat(F.lit("Picture "), (images_before + _count(upto, is_image)).cast("string"),
-                             F.lit(": "), image)
-            video = F.concat(F.lit("Video "), (videos_before + _count(upto, is_video)).cast("string"),
-                             F.lit(": "), video)
-        return F.when(is_image(p), image).when(is_video(p), video).otherwise(F.coalesce(p["text"], F.lit("")))
+def content_text(m: Column) -> Column:
+    """Text as is, parts concatenated, nothing as empty."""
+    def one(p: Column) -> Column:
+        return F.when(is_image(p), IMAGE).when(is_video(p), VIDEO).otherwise(F.coalesce(p["text"], F.lit("")))
 
     joined = F.array_join(F.transform(m["parts"], one), "")
     return F.coalesce(m["content"], joined, F.lit(""))
 
 
-def media_before(messages: Column, i: Column, test) -> Column:
-    """Matching parts in the messages ahead of index ``i``."""
-    return F.aggregate(F.slice(messages, F.lit(1), i), F.lit(0),
-                       lambda acc, m: acc + _count(m["parts"], test))
+def numbered_texts(messages: Column) -> Column:
+    """Texts of all messages with pictures and videos numbered through the conversation, in one pass."""
+    def with_part(acc: Column, p: Column) -> Column:
+        images = acc["images"] + F.when(is_image(p), 1).otherwise(0)
+        videos = acc["videos"] + F.when(is_video(p), 1).otherwise(0)
+        shown = F.when(is_image(p), F.concat(F.lit("Picture "), images.cast("string"), F.lit(": " + IMAGE))) \
+            .when(is_video(p), F.concat(F.lit("Video "), videos.cast("string"), F.lit(": " + VIDEO))) \
+            .otherwise(F.coalesce(p["text"], F.lit("")))
+        return F.struct(images.alias("images"), videos.alias("videos"), F.concat(acc["text"], shown).alias("text"))
+
+    def with_message(acc: Column, m: Column) -> Column:
+        start = F.struct(acc["images"].alias("images"), acc["videos"].alias("videos"), F.lit("").alias("text"))
+        parts = F.coalesce(m["parts"], F.array().cast(PARTS))
+        return let(F.aggregate(parts, start, with_part), lambda r: F.struct(
+            r["images"].alias("images"), r["videos"].alias("videos"),
+            F.concat(acc["texts"], F.array(F.coalesce(m["content"], r["text"]))).alias("texts")))
+
+    none = F.struct(F.lit(0).alias("images"), F.lit(0).alias("videos"),
+                    F.array().cast("array<string>").alias("texts"))
+    return F.aggregate(messages, none, with_message, lambda acc: acc["texts"])
 
 
 # --- reasoning ---------------------------------------------------------------------------
@@ -143,12 +147,8 @@ def last_query(turns: Column) -> Column:
 
 def normalize_turns(messages: Column, options: PromptOptions, arguments: Column | None) -> Column:
     """Turns as ``struct<role, text, calls>``: stripped text and per-call (name, parameter text)."""
-    def turn(m: Column, i: Column) -> Column:
-        if options.add_vision_id:
-            text = content_text(m, media_before(messages, i, is_image),
-                                media_before(messages, i, is_video))
-        else:
-            text = content_text(m)
+    def turn(m: Column, i: Column, texts: Column | None = None) -> Column:
+        text = content_text(m) if texts is None else F.get(texts, i)
         fields = [m["role"].alias("role"), strip(text).alias("text"),
                   m["reasoning_content"].alias("reasoning")]
         if arguments is not None:
@@ -158,7 +158,9 @@ def normalize_turns(messages: Column, options: PromptOptions, arguments: Column
             ).alias("calls"))
         return F.struct(*fields)
 
-    return F.transform(messages, turn)
+    if options.add_vision_id:
+        return let(numbered_texts(messages), lambda texts: F.transform(messages, lambda m, i: turn(m, i, texts)))
+    return F.transform(messages, lambda m, i: turn(m, i))
 
 
 def tool_call_text(calls: Column, text: Column) -> Column:

@@ -12,11 +12,33 @@ import pyarrow.compute as pc
 # --- dictionary lookup -------------------------------------------------------------------
 
 
-def lookup_ids(pieces, tokens, ids, unk_id, strict):
+class PieceIndex:
+    """Dictionary of pieces; its hash table is built once per worker, on first use."""
+
+    def __init__(self, tokens, ids):
+        self.tokens, self.ids = tokens, ids
+        self._table = None
+
+    def __getstate__(self):
+        return self.tokens, self.ids
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def find(self, flat):
+        """Ids of pieces, null where the dictionary lacks one. Each distinct piece is looked up once."""
+        if self._table is None:
+            self._table = dict(zip(self.tokens.to_pylist(), self.ids.to_pylist(), strict=True))
+        coded = flat.dictionary_encode()
+        known = [self._table.get(piece) for piece in coded.dictionary.to_pylist()]
+        return pa.array(known, pa.int32()).take(coded.indices)
+
+
+def lookup_ids(pieces, index, unk_id, strict):
     """Map a list<string> array to list<int32>; pieces outside the dictionary give ``unk_id``,
     or fail the task when ``strict``."""
     flat = pieces.flatten()
-    found = ids.take(pc.index_in(flat, value_set=tokens))
+    found = index.find(flat)
     if unk_id is not None:
         found = found.fill_null(unk_id)
     elif strict and found.null_count:
@@ -150,25 +172,84 @@ def chunk_summary(rows, limit, closes_after):
     return pa.table({k: pa.array([v], types.get(k, pa.int64())) for k, v in row.items()})
 
 
-def chain_chunks(batch, state, limit, closes_after):
-    """Entry state of each chunk, given summaries in chunk order; also the state after them."""
-    shard, total, group = state or (None, 0, 0)
-    entries = {"_chunk": [], "entry_shard": [], "entry_total": [], "entry_group": []}
-    for row in batch.to_pylist():
-        if row["first_shard"] != shard:
-            total, group = 0, 0
-        for name, value in zip(entries, (row["_chunk"], row["first_shard"], total, group),
-                               strict=True):
-            entries[name].append(value)
-        if row["single"]:
-            total, closed = carry_over(row, total, limit, closes_after)
-            group += closed
+def _chained(row, state, limit, closes_after):
+    """State (shard, open total, groups closed) after a chunk or block, given that before it."""
+    shard, total, group = state
+    if row["first_shard"] != shard:
+        total, group = 0, 0
+    if row["single"]:
+        total, closed = carry_over(row, total, limit, closes_after)
+        return row["last_shard"], total, group + closed
+    return row["last_shard"], row["last_exit"], row["last_closes"]
+
+
+def _followed(table, row, limit, closes_after):
+    """Transition of a run followed by another run of the same shard."""
+    after = [carry_over(row, e, limit, closes_after) for e in table["exits"]]
+    out = {"sums": list(table["sums"]), "exits": [e for e, _ in after],
+           "closes": [c + more for c, (_, more) in zip(table["closes"], after, strict=True)],
+           "total": table["total"] + row["total"]}
+    if table["total"] <= limit:  # an entry may still pass the first run without a cut
+        out["sums"] += [table["total"] + s for s in row["sums"]]
+        out["exits"] += row["exits"]
+        out["closes"] += row["closes"]
+    return out
+
+
+def block_summary(rows, limit, closes_after):
+    """One summary of a bounded block of chunk summaries, of the same form as theirs."""
+    first, state, block = None, (None, 0, 0), None
+    for row in _one_by_one(rows.sort_by("_chunk")):
+        if first is None:
+            first, block = row, row["_block"]
+            run = row
+        elif run is not None and row["single"] and row["first_shard"] == run["last_shard"] and run["single"]:
+            run = {**run, **_followed(run, row, limit, closes_after)}
         else:
-            total, group = row["last_exit"], row["last_closes"]
-        shard = row["last_shard"]
+            run = None
+        state = _chained(row, state, limit, closes_after)
+    whole = run is not None and run["single"]
+    table = run if whole else first
+    row = {
+        "_block": block, "first_shard": first["first_shard"], "single": whole,
+        **{k: table[k] for k in ("sums", "exits", "closes", "total")}, "last_shard": state[0],
+        "last_exit": state[1], "last_closes": state[2],
+    }
+    longs = pa.list_(pa.int64())
+    types = {"first_shard": pa.string(), "last_shard": pa.string(), "single": pa.bool_(),
+             "sums": longs, "exits": longs, "closes": longs}
+    return pa.table({k: pa.array([v], types.get(k, pa.int64())) for k, v in row.items()})
+
+
+def _one_by_one(table):
+    for batch in table.to_batches():
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
+def chain_summaries(batch, state, limit, closes_after, number):
+    """Entry state of each summary, read one by one in order; also the state after them."""
+    state = state or (None, 0, 0)
+    entries = {number: [], "entry_shard": [], "entry_total": [], "entry_group": []}
+    for row in _one_by_one(pa.Table.from_batches([batch])):
+        total, group = state[1:] if row["first_shard"] == state[0] else (0, 0)
+        for name, value in zip(entries, (row[number], row["first_shard"], total, group), strict=True):
+            entries[name].append(value)
+        state = _chained(row, state, limit, closes_after)
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
     arrays = [pa.array(v, t) for v, t in zip(entries.values(), types, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, list(entries)), (shard, total, group)
+    return pa.RecordBatch.from_arrays(arrays, list(entries)), state
+
+
+def chain_block(rows, limit, closes_after):
+    """Entry states of the chunks of one block, given the block's own entry state."""
+    rows = rows.sort_by("_chunk")
+    start = (rows["entry_shard"][0].as_py(), rows["entry_total"][0].as_py(), rows["entry_group"][0].as_py())
+    state, out = start, []
+    for batch in rows.drop_columns(["entry_shard", "entry_total", "entry_group"]).to_batches():
+        entries, state = chain_summaries(batch, state, limit, closes_after, "_chunk")
+        out.append(entries)
+    return pa.Table.from_batches(out)
 
 
 def assign_groups(rows, limit, closes_after, name):

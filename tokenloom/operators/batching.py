@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.arrays import IGNORE_LABEL, PAD_POSITION, numbers, pad_to
-from tokenloom.operators.indexing import shuffle_key, with_group_index, with_row_index
+from tokenloom.operators.indexing import join_on, shuffle_key, with_group_index, with_row_index
 from tokenloom.operators.masks import dense_mask
+from tokenloom.sources.special import resolve_pad_id
+from tokenloom.staging import stage
 
 
 def assign_batches(rows: DataFrame, batch_size: int, order: list[str], shard: str | None = None,
@@ -33,33 +36,40 @@ def assign_batches(rows: DataFrame, batch_size: int, order: list[str], shard: st
     )
 
 
-def training_batches(samples: DataFrame, batch_size: int, *, key: list[str], pad_id: int,
-                     shard: str | None = None, shuffle_seed: int | None = None,
+def training_batches(samples: DataFrame, batch_size: int, *, key: list[str], pad_id: int | None = None,
+                     eos_id: int | None = None, shard: str | None = None, shuffle_seed: int | None = None,
                      use_block_diag_mask: bool = False) -> DataFrame:
     """Samples in the order of ``key`` (or shuffled) to padded batch rows.
 
-    ``samples`` is read twice, once for ``len`` alone, so pass a stored or staged table.
+    Rows are numbered when they are staged, and meet their batch by that number: ``key`` may repeat
+    or be null, and so may ``shard``. Without ``pad_id`` rows are padded with ``eos_id``.
     """
+    pad_id = resolve_pad_id(pad_id, eos_id)
     shards = [shard] if shard else []
     columns = list(dict.fromkeys([*shards, *key]))
     length = F.col("len") if "len" in samples.columns else F.size("input_ids")
-    batches = assign_batches(samples.select(*columns, length.alias("len")), batch_size, key, shard,
-                             shuffle_seed)
-    return collate(samples, batches, key=columns, batch=[*shards, "batch_id"], pad_id=pad_id,
-                   use_block_diag_mask=use_block_diag_mask)
+    samples = stage(samples.withColumn("len", length).withColumn("_number", F.monotonically_increasing_id()), "samples")
+    lengths = samples.select(*columns, "_number", "len")
+    batches = assign_batches(lengths, batch_size, [*key, "_number"], shard, shuffle_seed)
+    carried = [c for c in columns if c not in (*shards, "_number")]
+    plan = batches.select("_number", *shards, "batch_id", "row_in_batch", "len")
+    out = collate(samples.drop(*shards), plan, key=["_number"], batch=[*shards, "batch_id"], pad_id=pad_id,
+                  use_block_diag_mask=use_block_diag_mask, carry=carried)
+    return out.drop("_number")
 
 
 def collate(samples: DataFrame, batches: DataFrame, *, key: list[str], batch: list[str],
-            pad_id: int, use_block_diag_mask: bool = False) -> DataFrame:
+            pad_id: int, use_block_diag_mask: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Pad the samples of each batch to its longest one.
 
     ``batches`` holds ``key``, ``batch`` columns, ``row_in_batch`` and ``len``. The batch maximum
-    is taken on lengths, then one join brings the arrays. With ``use_block_diag_mask`` the
+    is taken on lengths (a batch is a bounded group), then one join brings the arrays; nulls in ``key``
+    meet each other. ``key`` must tell the samples apart. With ``use_block_diag_mask`` the
     attention mask becomes a boolean matrix per sample.
     """
-    longest = batches.groupBy(*batch).agg(F.max("len").cast("int").alias("max_len"))
-    plan = batches.join(longest, batch).select(*{*key, *batch}, "row_in_batch", "max_len")
-    rows = samples.join(plan, key)
+    longest = F.max("len").over(W.partitionBy(*batch)).cast("int")
+    plan = batches.select(*dict.fromkeys([*key, *batch]), "row_in_batch", longest.alias("max_len"))
+    rows = join_on(samples, plan, key)
     ids = F.col("input_ids")
     n = F.size(ids)
     width = F.col("max_len")
@@ -67,7 +77,7 @@ def collate(samples: DataFrame, batches: DataFrame, *, key: list[str], batch: li
     own = numbers(n)
     pos = F.coalesce("position_ids", own) if "position_ids" in samples.columns else own
     out = rows.select(
-        *batch, "row_in_batch", *[k for k in key if k not in batch], "max_len",
+        *batch, "row_in_batch", *[k for k in key if k not in batch], *(carry or []), "max_len",
         pad_to(ids, n, width, pad_id).alias("input_ids"),
         pad_to(F.slice(labels, F.lit(1), n), F.least(n, F.size(labels)), width, IGNORE_LABEL)
         .alias("labels"),
@@ -82,21 +92,22 @@ def collate(samples: DataFrame, batches: DataFrame, *, key: list[str], batch: li
 
 
 def step_plan(rows: DataFrame, order: list[str], *, batch_size: int, accumulation: int,
-              processes: int = 1, max_steps: int, length: str = "len",
+              processes: int = 1, max_steps: int | None = None, length: str = "len",
               token_budget: int | None = None) -> DataFrame:
-    """Optimizer updates: rows and tokens per step, up to ``max_steps``.
+    """Optimizer updates: rows and tokens per step, over all rows.
 
-    A step consumes ``batch_size * accumulation * processes`` rows. With ``token_budget`` each
-    step also says whether it reaches the budget.
+    A step consumes ``batch_size * accumulation * processes`` rows. With ``max_steps`` each step says
+    whether a trainer that stops there gets to it, with ``token_budget`` whether it reaches the budget.
     """
     per_step = batch_size * accumulation * processes
     steps = (
         with_row_index(rows.select(*order, length), order, "_n")
         .select(F.floor(F.col("_n") / per_step).cast("long").alias("step"), length)
-        .where(F.col("step") < max_steps)
         .groupBy("step")
         .agg(F.count("*").alias("rows"), F.sum(length).cast("long").alias("tokens"))
     )
+    if max_steps is not None:
+        steps = steps.withColumn("reached", F.col("step") < max_steps)
     if token_budget is not None:
         steps = steps.withColumn("meets_budget", F.col("tokens") >= token_budget)
     return steps

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from tokenloom.functions.chat import (
     PromptOptions,
     content_text,
-    is_image,
     is_query,
-    is_video,
-    media_before,
+    numbered_texts,
     problems,
     prompt_text,
     raw_arguments,
@@ -84,9 +82,7 @@ def normalize_content(df: DataFrame, messages: str = "messages") -> DataFrame:
 
 def number_media(df: DataFrame, messages: str = "messages") -> DataFrame:
     """Add ``contents`` with pictures and videos numbered through the conversation."""
-    source = F.col(messages)
-    return df.withColumn("contents", F.transform(source, lambda m, i: content_text(
-        m, media_before(source, i, is_image), media_before(source, i, is_video))))
+    return df.withColumn("contents", numbered_texts(F.col(messages)))
 
 
 def thinking(df: DataFrame, text: str = "text", explicit: str | None = None) -> DataFrame:

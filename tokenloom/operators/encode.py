@@ -17,6 +17,10 @@ from tokenloom.sources.special import special_ids
 from tokenloom.staging import stage
 
 
+HEAD_ENTRIES, SHORT = 1_000_000, 64
+HEAD_LONG, LONG = 10_000, 4096
+
+
 class Encoder(Protocol):
     """Turns a text column into token ids without special tokens added."""
 
@@ -44,45 +48,42 @@ def _pieces(text: Column, pattern: str, special: list[str] | None) -> Column:
 
 
 class DictionaryEncoder:
-    """Encoder over a ``(token, id)`` dictionary.
-
-    The most frequent part of the dictionary (smallest ids), up to ``head_entries`` rows and
-    ``head_bytes`` of token text, is handed to the tasks, and texts are looked up in place by
-    Arrow batches: no shuffle. If that is the whole dictionary, nothing else happens. Otherwise
-    only the pieces it misses are joined to the remaining dictionary and put back; a piece outside
-    the head is rarer than every head entry, so no join key there is hot. That second path
-    identifies rows by ``key``.
+    """Encoder over a ``(token, id)`` dictionary of any size.
+
+    Its most frequent part (smallest ids) is handed to the tasks, and texts are looked up in place by
+    Arrow batches: no shuffle. That part holds up to ``head_entries`` pieces of at most ``SHORT`` bytes,
+    and of the ``HEAD_LONG`` first ones also those up to ``LONG`` bytes, so frequent rules and urls are
+    in it and its size is bounded. The pieces it misses are looked up by a join and put back into
+    their rows, which carry numbers of their own; ids come out the same however large the part is.
     """
 
-    def __init__(self, dictionary: DataFrame, *, pattern: str = WORDS, key: str = "doc_id",
-                 special: dict[str, int] | None = None, unk_id: int | None = None,
-                 head_entries: int = 1_000_000, head_bytes: int = 64 << 20):
+    def __init__(self, dictionary: DataFrame, *, pattern: str = WORDS, special: dict[str, int] | None = None,
+                 unk_id: int | None = None, head_entries: int = HEAD_ENTRIES):
         self.pattern = pattern
-        self.key = key
         self.special = special or {}
         self.unk_id = unk_id
         dictionary = dictionary.select("token", F.col("id").cast("long").alias("id"))
-        self._split(dictionary, head_entries, head_bytes)
+        self._split(dictionary, head_entries)
 
-    def _split(self, dictionary: DataFrame, head_entries: int, head_bytes: int) -> None:
-        size = dictionary.agg(F.count("*"), F.sum(F.octet_length("token")), F.min("id")).first()
-        entries, volume, first = size[0], size[1] or 0, size[2]
+    def _split(self, dictionary: DataFrame, head_entries: int) -> None:
+        entries, first, longest = dictionary.agg(
+            F.count("*"), F.min("id"), F.max(F.octet_length("token"))).first()
         self.tail = None
         head = dictionary
-        if entries > head_entries or volume > head_bytes:
-            # Ids are unique, so a range of them bounds the rows; a cap on token length bounds the
-            # bytes. No sort is needed to find the head.
-            longest = max(1, head_bytes // max(1, head_entries))
-            in_head = (F.col("id") < first + head_entries) & (F.octet_length("token") <= longest)
+        if entries > head_entries or (longest or 0) > SHORT:
+            # Ids are unique, so a range of them bounds the rows. No sort is needed to find the head.
+            place, size = F.col("id") - first, F.octet_length("token")
+            in_head = ((place < head_entries) & (size <= SHORT)) | \
+                ((place < min(head_entries, HEAD_LONG)) & (size <= LONG))
             head = dictionary.where(in_head)
             self.tail = dictionary.where(~in_head)
         table = head.toArrow()
         tokens = table["token"].combine_chunks()
         ids = table["id"].combine_chunks().cast(pa.int32())
         if self.special:
-            tokens = pa.concat_arrays([pa.array(list(self.special), tokens.type), tokens])
-            ids = pa.concat_arrays([pa.array(list(self.special.values()), ids.type), ids])
-        self._shared = dictionary.sparkSession.sparkContext.broadcast((tokens, ids))
+            tokens = pa.concat_arrays([tokens, pa.array(list(self.special), tokens.type)])
+            ids = pa.concat_arrays([ids, pa.array(list(self.special.values()), ids.type)])
+        self._shared = dictionary.sparkSession.sparkContext.broadcast(kernels.PieceIndex(tokens, ids))
 
     def lengths(self, text: Column) -> Column:
         """Number of tokens of a text, without looking any of them up."""
@@ -102,8 +103,7 @@ class DictionaryEncoder:
 
         @F.arrow_udf(IDS)
         def lookup(found: pa.Array) -> pa.Array:
-            tokens, ids = shared.value
-            return kernels.lookup_ids(found, tokens, ids, unk_id, strict)
+            return kernels.lookup_ids(found, shared.value, unk_id, strict)
 
         # Keeps filters on the ids above the lookup; pushed below, they would run it twice.
         return lookup.asNondeterministic()
@@ -114,14 +114,15 @@ class DictionaryEncoder:
     def _encode_with_tail(self, df: DataFrame, text_column: str, out: str) -> DataFrame:
         found = df.withColumn("_pieces", self.pieces(F.col(text_column)))
         looked_up = found.withColumn("_ids", self._lookup(False)("_pieces"))
+        # The number is stored with the row, so that it stays what it was whatever is computed again.
         known = stage(
             looked_up.withColumn("_missing", F.transform(
                 F.filter(F.arrays_zip("_pieces", "_ids"), lambda p: p["_ids"].isNull()),
                 lambda p: p["_pieces"],
-            )).drop("_pieces"),
+            )).drop("_pieces").withColumn("_number", F.monotonically_increasing_id()),
             "looked-up",
         )
-        missing = known.select(self.key, F.posexplode("_missing").alias("_pos", "token"))
+        missing = known.select("_number", F.posexplode("_missing").alias("_pos", "token"))
         resolved = missing.join(self.tail, "token", "left")
         if self.unk_id is None:
             absent = F.raise_error(F.concat(F.lit("the token dictionary lacks the piece "), "token"))
@@ -129,10 +130,10 @@ class DictionaryEncoder:
             absent = F.lit(self.unk_id)
         tail_id = F.coalesce("id", absent.cast("long"))
         patches = (
-            resolved.select(self.key, "_pos", tail_id.alias("_id")).repartition(self.key)
-            .groupBy(self.key)
+            resolved.select("_number", "_pos", tail_id.alias("_id")).repartition("_number")
+            .groupBy("_number")
             .agg(F.sort_array(F.collect_list(F.struct("_pos", "_id"))).alias("_found"))
-            .select(self.key, F.col("_found._id").cast(IDS).alias("_tail"))
+            .select("_number", F.col("_found._id").cast(IDS).alias("_tail"))
         )
 
         @F.arrow_udf(IDS)
@@ -141,9 +142,9 @@ class DictionaryEncoder:
 
         none = F.array().cast(IDS)
         return (
-            known.drop("_missing").join(patches, self.key, "left")
+            known.drop("_missing").join(patches, "_number", "left")
             .withColumn(out, merge("_ids", F.coalesce("_tail", none)))
-            .drop("_ids", "_tail")
+            .drop("_ids", "_tail", "_number")
         )
 
 

@@ -1,12 +1,11 @@
 """Greedy grouping of ordered rows: a running total that restarts when a group closes.
 
 The result depends on every earlier row of the shard, yet no task reads a whole shard. Rows are
-numbered, cut into chunks and handled in three steps: each chunk is reduced to its transition (what
-an open total on entry turns into on exit), the transitions are chained in chunk order, and each
-chunk assigns its groups from its now known entry state. A shard may hold any share of the table.
-
-There are a few chunks per shuffle partition or one per ``CHUNK_ROWS`` rows, whichever gives more, but
-at most ``MAX_CHUNKS``, which bounds both the chaining step and the broadcast of entry states.
+numbered and cut into chunks of ``CHUNK_ROWS`` rows, whatever their number. Each chunk is reduced to
+its transition (what an open total on entry turns into on exit); ``BLOCK_CHUNKS`` transitions at a time
+are composed into one; the blocks are chained in order, then the chunks within each block in
+parallel; and each chunk assigns its groups from its now known entry state. A shard may hold any
+share of the table.
 """
 
 from __future__ import annotations
@@ -19,15 +18,14 @@ from tokenloom import kernels
 from tokenloom.operators.indexing import apart, with_row_index
 from tokenloom.staging import stage
 
-CHUNK_ROWS = 1_000_000
-MIN_CHUNK_ROWS = 100_000
-MAX_CHUNKS = 4096
+CHUNK_ROWS = 100_000
+BLOCK_CHUNKS = 1000
 
-_SUMMARY = (
-    "_chunk long, first_shard string, single boolean, sums array<long>, exits array<long>, "
+_STATE = (
+    "first_shard string, single boolean, sums array<long>, exits array<long>, "
     "closes array<long>, total long, last_shard string, last_exit long, last_closes long"
 )
-_ENTRY = "_chunk long, entry_shard string, entry_total long, entry_group long"
+_ENTRY = "entry_shard string, entry_total long, entry_group long"
 
 
 def close_on_reach(df: DataFrame, shard: str, order: list[str], weight: str, limit: int,
@@ -50,9 +48,7 @@ def _greedy(df: DataFrame, shard: str, order: list[str], weight: str, limit: int
     keyed = df.withColumn("_shard", F.coalesce(F.concat(F.lit("="), F.col(shard).cast("string")),
                                                F.lit("")))
     indexed = with_row_index(keyed, ["_shard", *order], "_row")
-    rows = (indexed.agg(F.max("_row")).first()[0] or 0) + 1
-    if chunk_rows is None:
-        chunk_rows = _chunk_rows(rows, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunk_rows = chunk_rows or CHUNK_ROWS
     chunked = (
         indexed.withColumn("_chunk", F.floor(F.col("_row") / chunk_rows).cast("long"))
         .withColumn("_weight", F.col(weight).cast("long"))
@@ -61,33 +57,32 @@ def _greedy(df: DataFrame, shard: str, order: list[str], weight: str, limit: int
     def summarize(rows: pa.Table) -> pa.Table:
         return kernels.chunk_summary(rows, limit, closes_after)
 
+    def compose(rows: pa.Table) -> pa.Table:
+        return kernels.block_summary(rows, limit, closes_after)
+
     def chain(batches):
         state = None
         for batch in batches:
-            entries, state = kernels.chain_chunks(batch, state, limit, closes_after)
+            entries, state = kernels.chain_summaries(batch, state, limit, closes_after, "_block")
             yield entries
 
+    def within(rows: pa.Table) -> pa.Table:
+        return kernels.chain_block(rows, limit, closes_after)
+
     def assign(rows: pa.Table) -> pa.Table:
         return kernels.assign_groups(rows, limit, closes_after, group)
 
-    if rows <= chunk_rows:
-        entered = chunked.select(
-            "*", F.lit("").alias("entry_shard"), F.lit(0).cast("long").alias("entry_total"),
-            F.lit(0).cast("long").alias("entry_group"))
-    else:
-        # Summaries are one row per chunk, with one entry per possible first cut, read one by one.
-        entries = (
-            apart(chunked.select("_chunk", "_row", "_shard", "_weight"), "_chunk")
-            .groupBy("_chunk").applyInArrow(summarize, _SUMMARY)
-            .repartition(1).sortWithinPartitions("_chunk")
-            .mapInArrow(chain, _ENTRY)
-        )
-        entered = chunked.join(F.broadcast(stage(entries, "entries")), "_chunk")
+    summaries = stage(
+        apart(chunked.select("_chunk", "_row", "_shard", "_weight"), "_chunk")
+        .groupBy("_chunk").applyInArrow(summarize, f"_chunk long, {_STATE}")
+        .withColumn("_block", F.floor(F.col("_chunk") / BLOCK_CHUNKS).cast("long")), "summaries")
+    # One row per BLOCK_CHUNKS chunks, that is for every hundred million rows, meets in one task.
+    blocks = (
+        summaries.groupBy("_block").applyInArrow(compose, f"_block long, {_STATE}")
+        .repartition(1).sortWithinPartitions("_block").mapInArrow(chain, f"_block long, {_ENTRY}")
+    )
+    entries = summaries.join(blocks, "_block").groupBy("_block").applyInArrow(within, f"_chunk long, {_ENTRY}")
+    entered = chunked.join(stage(entries, "entries"), "_chunk")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return apart(entered, "_chunk").groupBy("_chunk").applyInArrow(assign, f"{columns}, `{group}` long")
 
-
-def _chunk_rows(rows: int, partitions: int) -> int:
-    # Several chunks per partition even out how chunk numbers hash to partitions.
-    chunks = min(MAX_CHUNKS, max(4 * partitions, -(-rows // CHUNK_ROWS)))
-    return max(MIN_CHUNK_ROWS, -(-rows // chunks))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -108,12 +110,19 @@ def shard_by_position(df: DataFrame, order: list[str], num_shards: int,
                       name: str = "shard") -> DataFrame:
     """Exact round-robin: the n-th row under ``order`` goes to shard ``n % num_shards``.
 
-    Plans on the ordering key alone and joins the shard back, so texts are not range-sorted.
+    Whole rows are range-sorted, so that order keys may be null or repeat.
     """
     _at_least_one(num_shards)
-    keys = with_row_index(df.select(*order), order, "_n")
-    shards = keys.select(*order, F.pmod("_n", F.lit(num_shards)).cast("int").alias(name))
-    return df.join(shards, order)
+    indexed = with_row_index(df, order, "_n")
+    return indexed.withColumn(name, F.pmod("_n", F.lit(num_shards)).cast("int")).drop("_n")
+
+
+def join_on(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` in which nulls meet nulls; key columns come from the left."""
+    names = {k: f"_right_{k}" for k in key}
+    other = right.withColumnsRenamed(names)
+    same = reduce(Column.__and__, [left[k].eqNullSafe(other[n]) for k, n in names.items()])
+    return left.join(other, same, how).drop(*names.values())
 
 
 def shard_by_hash(df: DataFrame, key: list[str], num_shards: int,
@@ -123,19 +132,14 @@ def shard_by_hash(df: DataFrame, key: list[str], num_shards: int,
     return df.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(num_shards)).cast("int"))
 
 
-def take_shard(df: DataFrame, shard: int, name: str = "shard") -> DataFrame:
-    """The rows one reader of the shard layout would see."""
-    return df.where(F.col(name) == shard)
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistribute a small scan that would leave cores idle; larger scans pass unchanged.
 
-    The decision looks at the number of input splits only. With at least one split per core there
-    is no shuffle.
+    The decision looks at the number of input files only. With at least one file per core there is no
+    shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores, key)
 

@@ -92,6 +92,19 @@ def mask_rows(segments: DataFrame, sample: list[str]) -> DataFrame:
     )
 
 
+def mask_totals(segments: DataFrame, sample: list[str]) -> DataFrame:
+    """Per segment: valid positions, first key, visible pairs, and the sum of position times keys seen.
+
+    Counted on the segments' lists; no row per position is made.
+    """
+    n = F.size("keys").cast("long")
+    weighted = F.transform("keys", lambda position, rank: position.cast("long") * (rank + 1))
+    return segments.select(
+        *sample, F.col("segment").cast("long").alias("segment"), n.alias("n_positions"),
+        F.col("keys")[0].cast("long").alias("first_key"), (n * (n + 1) / 2).cast("long").alias("pairs"),
+        F.aggregate(weighted, F.lit(0).cast("long"), lambda total, x: total + x).alias("checksum"))
+
+
 def dense_mask(samples: DataFrame, out: str = "mask") -> DataFrame:
     """The mask as a boolean matrix per sample: quadratic in the sample length, for consumers
     that need the tensor itself."""

@@ -16,8 +16,11 @@ from tokenloom.operators.chunk import split_units
 from tokenloom.operators.grouping import close_on_overflow, close_on_reach
 from tokenloom.operators.guards import min_unit
 from tokenloom.operators.indexing import apart
+from tokenloom.sources.special import resolve_pad_id
 from tokenloom.staging import stage
 
+ROW = "_number"
+
 
 def assign_windows(rows: DataFrame, *, window_units: int, shard: str, order: list[str],
                    count: str = "n_units", chunk_rows: int | None = None) -> DataFrame:
@@ -111,22 +114,35 @@ def pad_samples(samples: DataFrame, block_size: int, pad_id: int) -> DataFrame:
 
 
 def packed_dataset(encoded: DataFrame, *, seq_len: int, window_units: int | None = None,
-                   capacity: int | None = None, min_len: int = 2, pad_id: int, shard: str,
-                   key: str, order: str | None = None,
-                   chunk_rows: int | None = None) -> DataFrame:
+                   capacity: int | None = None, min_len: int = 2, pad_id: int | None = None,
+                   eos_id: int | None = None, shard: str, key: str, order: str | None = None,
+                   chunk_rows: int | None = None, skip_long: bool = False) -> DataFrame:
     """Rows of ``ids`` (end id appended) to padded samples ``(shard, window_id, bin, ...)``.
 
-    ``window_units`` and ``capacity`` default to each other, then to ``seq_len``.
+    ``window_units`` and ``capacity`` default to each other, then to ``seq_len``. A capacity below
+    ``seq_len`` would lose every longer unit, so it needs ``skip_long``; ``left_out`` counts such units.
+    Rows are numbered when they are staged and meet their windows by that number: ``key``,
+    ``order`` and ``shard`` may be null or repeat. Without ``pad_id`` samples are padded with ``eos_id``.
     """
+    pad_id = resolve_pad_id(pad_id, eos_id)
     capacity = capacity or window_units or seq_len
     window_units = window_units or capacity
+    if capacity < seq_len and not skip_long:
+        raise ValueError(f"units of up to {seq_len} tokens do not fit a capacity of {capacity}")
     order = order or key
     columns = list(dict.fromkeys([shard, key, order]))
-    units = stage(split_units(encoded.select(*columns, "ids"), seq_len, min_len), "units")
-    windows = assign_windows(first_units(units, columns), window_units=window_units, shard=shard,
-                             order=[order], chunk_rows=chunk_rows)
+    rows = encoded.select(*columns, "ids").withColumn(ROW, F.monotonically_increasing_id())
+    units = stage(split_units(rows, seq_len, min_len), "units")
+    windows = assign_windows(first_units(units, [*columns, ROW]), window_units=window_units, shard=shard,
+                             order=[order, ROW], chunk_rows=chunk_rows)
     return pack_units(units, windows, capacity=capacity, min_len=min_len, pad_id=pad_id,
-                      shard=shard, key=key, order=order)
+                      shard=shard, key=ROW, order=order)
+
+
+def left_out(units: DataFrame, capacity: int, min_len: int = 2) -> DataFrame:
+    """One row: how many units, and tokens in them, a packer of that capacity leaves out."""
+    outside = ~F.col("len").between(min_unit(min_len), capacity)
+    return units.where(outside).agg(F.count("*").alias("units"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("tokens"))
 
 
 def first_units(units: DataFrame, columns: list[str]) -> DataFrame:

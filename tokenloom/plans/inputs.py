@@ -16,6 +16,8 @@ EOS_ID = 0
 PAD_ID = 0
 BATCH = 16
 SHARDS = 8
+SMALL_HEAD = 50
+SMALL_CHUNK = 97
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -90,6 +92,27 @@ def sft_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def rich_sft_rows(docs: DataFrame) -> DataFrame:
+    """Every document as a row of one of four shapes that hold more than plain strings."""
+    shape = F.pmod("doc_id", F.lit(4))
+    part = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    call = F.struct(F.struct(F.lit("find").alias("name"),
+                             F.struct(F.col("doc_id").alias("id"), F.lit(True).alias("deep")).alias("arguments")).alias("function"))
+    none = F.lit(None)
+    user = F.struct(F.lit("user").alias("role"), F.array(part("text", F.col("source")), part("text", F.lit(" asks"))).alias("content"),
+                    none.cast("string").alias("reasoning_content"), none.cast(f"array<{_CALL}>").alias("tool_calls"))
+    answer = F.struct(F.lit("assistant").alias("role"), F.array(part("text", F.lit("done"))).alias("content"),
+                      F.lit("weighs it").alias("reasoning_content"), F.array(call).alias("tool_calls"))
+    return docs.select(
+        F.when(shape == 0, F.array(user, answer)).alias("messages"),
+        F.when(shape == 1, F.col("n_chars")).alias("prompt"), F.when(shape == 1, F.col("n_chars") > 1000).alias("completion"),
+        F.when(shape == 2, F.col("source")).alias("instruction"), F.when(shape == 2, F.col("n_chars") / 2).alias("output"),
+        F.when(shape == 3, F.col("text")).alias("body"))
+
+
+_CALL = "struct<function:struct<name:string,arguments:struct<id:bigint,deep:boolean>>>"
+
+
 def turns_with_responses(turns: DataFrame) -> DataFrame:
     """Each user turn after the first becomes a wrapped tool response."""
     wrapped = F.concat(F.lit("<tool_response>\n"), F.col("text"), F.lit("\n</tool_response>"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tokenloom.functions import chat as C
-from tokenloom.functions.text import WHITESPACE
+from tokenloom.functions.text import PRETOKENS, WHITESPACE
 from tokenloom.operators.finetune import NO_SHAPE
 from tokenloom.plans.inputs import (
     BATCH,
@@ -300,6 +300,11 @@ _SFT_PROMPT = f"""case when shape < 4 then {text(C.TURN_START + 'user' + chr(10)
 _SFT_ERROR = NO_SHAPE.format("text")
 
 
+def _plain_turns(asked: str, answer: str) -> str:
+    return f"""{text(C.TURN_START + 'user' + chr(10))} || {asked} || {text(C.TURN_END + C.TURN_START + 'assistant' + chr(10))}
+        || {THINK} || {answer} || {text(C.TURN_END)}"""
+
+
 def _sft_scan() -> str:
     row = """concat_ws('~', case shape when 0 then source || '|' || text when 1 then '' else '-' end,
         case when shape in (0, 1) then lang else '-' end, case when shape in (0, 1) then text else '-' end,
@@ -347,8 +352,7 @@ def _jsonl() -> str:
 def _pretokenize() -> str:
     """RE2 has no look-ahead. A whitespace run before a non-space gives its last character to what
     follows; marking that spot first and matching the parts on their own has the same effect."""
-    rule = ("(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\\r\\n\\p{L}\\p{N}]?[\\p{L}\\p{M}]+|\\p{N}"
-            "| ?[^\\s\\p{L}\\p{M}\\p{N}]+[\\r\\n]*|\\s*[\\r\\n]+|\\s+")
+    rule = PRETOKENS.replace(r"|\s+(?!\S)", "").replace("'", "''")
     return f"""with marked as (select doc_id, text, string_split(regexp_replace(text,
             '(\\s)([^\\S\\r\\n]\\S)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as parts from documents),
         p as (select doc_id, text, flatten(list_transform(parts,
@@ -385,8 +389,6 @@ def _summary(name: str, sizes: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "discover_files": "select * from (values "
-    + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") as f(file_name)",
     "scan_text": "select doc_id, length(text) as n, md5(text) as text_md5 from documents",
     "nonblank_text": _nonblank(),
     "preview_text": f"""select doc_id, md5(text) as text_md5 from documents
@@ -401,11 +403,16 @@ SQL: dict[str, str] = {
     "vocab_table": with_parts("select token, id from vocab"),
     "pretokenize": _pretokenize(),
     "encode_corpus": with_parts(f"select doc_id, len(ids) as n, {fp('ids')} as ids_md5 from ids"),
+    "encode_small_head": with_parts(f"select nullif(doc_id % 7, 0) as key, len(ids) as n, {fp('ids')} as ids_md5 from ids"),
     "encode_special": _special(),
     "special_tokens": _special_counts(),
     "chunk_documents": with_parts(_CHUNKS),
+    "training_path": with_parts(f"""select f as format, block_no, n, ids_md5
+        from ({_CHUNKS}), (values ('jsonl'), ('parquet')) as x(f)"""),
     "pack_units": with_parts("select doc_id, source, block_no, len from unit_lens"),
     "pack_windows": with_parts("select source, doc_id, window_id::bigint as window_id from folded"),
+    "pack_windows_chained": with_parts("select source, doc_id, window_id::bigint as window_id from folded"),
+    "pack_nextfit_chained": with_parts("select source, doc_id, block_no, bin from seq"),
     "pack_nextfit": with_parts("select source, doc_id, block_no, bin from seq"),
     "pack_bfd": with_parts("""select source, window_id::bigint as window_id, doc_id, block_no, len,
         bin, slot from bins"""),
@@ -413,14 +420,18 @@ SQL: dict[str, str] = {
         len(ids) as n_tokens, {fp('ids')} as ids_md5, {fp('positions')} as positions_md5,
         {fp(_STARTS)} as starts_md5 from samples"""),
     "pack_padded": with_parts(_PADDED),
+    "pack_loose_keys": with_parts(f"""select nullif(u.source, 'src0') as source, sum(len)::bigint as n_tokens,
+        sum(list_sum(ids[block_no * {SEQ_LEN} + 1 : block_no * {SEQ_LEN} + len]))::bigint as id_sum
+        from unit_lens u join ids using (doc_id) where len between {MIN_LEN} and {CAPACITY} group by 1"""),
+    "collate_loose_keys": with_parts(f"""select nullif(c.source, 'src0') as source, count(*) as rows, sum(len)::bigint as n_tokens,
+        sum(list_sum(ids[block_no * {SEQ_LEN} + 1 : block_no * {SEQ_LEN} + len]))::bigint as id_sum,
+        (count(*) + {BATCH} - 1) // {BATCH} as batches from chunk_lens c join ids using (doc_id) group by 1"""),
     "pack_summary": with_parts(_summary("best_fit", "sizes")),
     "pack_first_samples": with_parts("""select source, window_id::bigint as window_id, bin, n_units,
         n_tokens from sizes order by source, window_id, bin limit 10"""),
     "pack_compare": with_parts(
         _summary("sequential", "(select source, bin, sum(len) as n_tokens from seq group by all)")
         + " union all " + _summary("best_fit", "sizes")),
-    "synthetic_units": f"""select n, n + 1 as len, md5('[' || repeat(n || ',', n::int) || '{EOS_ID}]') as ids_md5
-        from (select item_id + 1 as n from benchmark)""",
     "batch_assign": with_parts(_BATCHES),
     "batch_shuffled": with_parts(f"""select source, doc_id, block_no, len, rn // {BATCH} as batch_id,
         rn % {BATCH} as row_in_batch from (select *, row_number() over (
@@ -448,10 +459,19 @@ SQL: dict[str, str] = {
     "step_plan": with_parts("""select rn // 64 as step, count(*) as rows, sum(len)::bigint as tokens,
         sum(len) >= 12000 as meets_budget
         from (select len, row_number() over (order by doc_id, block_no) - 1 as rn from chunk_lens)
-        where rn // 64 < 80000 group by step"""),
+        group by step"""),
     "sft_scan": _sft_scan(),
     "sft_format": f"""with s as ({SFT}) select doc_id, md5({_SFT_PROMPT}) as prompt_md5,
         case when shape = 5 then '{_SFT_ERROR}' else '' end as problem from s""",
+    "sft_rich": f"""select f as format, md5(case doc_id % 4
+        when 0 then {text(C.TURN_START + 'user' + chr(10))} || {strip("source || ' asks'")} || {text(C.TURN_END + C.TURN_START + 'assistant' + chr(10)
+            + '<think>' + chr(10) + 'weighs it' + chr(10) + '</think>' + chr(10) * 2 + 'done' + chr(10) * 2
+            + '<tool_call>' + chr(10) + '<function=find>' + chr(10) + '<parameter=id>' + chr(10))} || doc_id || {text(
+            chr(10) + '</parameter>' + chr(10) + '<parameter=deep>' + chr(10) + 'True' + chr(10) + '</parameter>' + chr(10)
+            + '</function>' + chr(10) + '</tool_call>' + C.TURN_END)}
+        when 1 then {_plain_turns('n_chars', "case when n_chars > 1000 then 'True' else 'False' end")}
+        when 2 then {_plain_turns(strip('source'), "(n_chars // 2) || case when n_chars % 2 = 0 then '.0' else '.5' end")}
+        else text end) as prompt_md5 from documents, (values ('jsonl'), ('parquet')) as x(f)""",
     "sft_truncate": f"""with s as ({SFT}),
         p as (select doc_id, regexp_extract_all(prompt, {WORDS}) as a
               from (select doc_id, {_SFT_PROMPT} as prompt from s) where prompt is not null),
@@ -468,7 +488,8 @@ SQL: dict[str, str] = {
     "render_genprompt": _genprompt(),
     "prompt_manifest": with_parts("""select id, id || '.prompt.txt' as file_name, md5(prompt) as prompt_md5
         from (select prompt, case when conv_id % 2 = 0 then 'chat-' || conv_id
-                     else printf('sample_%03d', conv_id) end as id from prompts)""", *rendered(TURNS)),
+                     else printf('sample_%03d', row_number() over (order by conv_id) - 1) end as id from prompts)""",
+        *rendered(TURNS)),
     "think_split": _thinking(),
     "render_tool_calls": prompt_report(*rendered(CALL_TURNS, after=CALLS)),
     "render_tool_results": prompt_report(*rendered(TOOL_TURNS)),
@@ -485,5 +506,6 @@ SQL: dict[str, str] = {
             length(answer) between 40 and 400 as length_ok, conv_id % 3 <> 0 as tool_ok from a)
         select id, includes_all, length_ok, tool_ok, includes_all and length_ok and tool_ok as passed from c""",
     "stream_chunk": with_parts(_CHUNKS),
+    "stream_small_head": with_parts(_CHUNKS),
     "stream_pack": with_parts(_PADDED),
 }

@@ -20,10 +20,10 @@ from tokenloom.operators.encode import (
 )
 from tokenloom.plans import inputs as I
 from tokenloom.sources import chat as chat_source
-from tokenloom.sources import files, sinks, text, vocab
+from tokenloom.sources import sinks, text, vocab
 from tokenloom.sources import special as special_source
 from tokenloom.staging import new_path, stage
-from tokenloom.streaming.chunks import run_to_folder, stream_chunks
+from tokenloom.streaming.chunks import stream_chunks
 from tokenloom.streaming.packing import StreamPacker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,12 +40,6 @@ def query(fn: Query) -> Query:
 # --- sources and filters -----------------------------------------------------------------
 
 
-@query
-def discover_files(spark: SparkSession, sf: str) -> DataFrame:
-    found = files.find_parquet_files(spark, [sf])
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"))
-
-
 @query
 def scan_text(spark: SparkSession, sf: str) -> DataFrame:
     rows = text.scan_text(spark, f"{sf}/documents.parquet", "text", "parquet", keep=("doc_id",))
@@ -98,8 +92,21 @@ def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return build_dictionary(guards.drop_blank(I.documents(spark, sf, "doc_id", "text")))
 
 
-def _encoder(spark: SparkSession, sf: str) -> DictionaryEncoder:
-    return DictionaryEncoder(_dictionary(spark, sf))
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _stored_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus dictionary, built and written once for a session and reused by its path."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _stored:
+        path = new_path(spark, "dictionary")
+        vocab.write_dictionary(_dictionary(spark, sf), path)
+        _stored[at] = path
+    return vocab.read_dictionary(spark, _stored[at])
+
+
+def _encoder(spark: SparkSession, sf: str, **options: int) -> DictionaryEncoder:
+    return DictionaryEncoder(_stored_dictionary(spark, sf), **options)
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,13 +142,22 @@ def encode_corpus(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n"), fingerprint(F.col("ids")).alias("ids_md5"))
 
 
+@query
+def encode_small_head(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that are null or repeat, and a dictionary far beyond what the tasks are handed."""
+    docs = guards.drop_blank(I.documents(spark, sf, "doc_id", "text"))
+    keyed = docs.select(F.nullif(F.col("doc_id") % 7, F.lit(0)).alias("key"), "text")
+    encoded = append_end(_encoder(spark, sf, head_entries=I.SMALL_HEAD).encode(keyed), I.EOS_ID)
+    return encoded.select("key", F.size("ids").cast("long").alias("n"), fingerprint(F.col("ids")).alias("ids_md5"))
+
+
 @query
 def encode_special(spark: SparkSession, sf: str) -> DataFrame:
     prompts = chat.render(_grouped(spark, sf), tool_calls=False).select("conv_id", "prompt")
     special = chat_special_ids()
     prompts = stage(prompts.where(F.col("prompt").isNotNull()), "prompts")
     dictionary = build_dictionary(prompts, "prompt", special=list(special))
-    encoder = DictionaryEncoder(dictionary, key="conv_id", special=special)
+    encoder = DictionaryEncoder(dictionary, special=special)
     return encoder.encode(prompts, "prompt").select(
         "conv_id", F.size("ids").cast("long").alias("n"), fingerprint(F.col("ids")).alias("ids_md5"))
 
@@ -169,6 +185,25 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
         docs, _encoder(spark, sf), seq_len=I.SEQ_LEN, eos_id=I.EOS_ID, min_len=I.MIN_LEN))
 
 
+@query
+def training_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as JSON lines and as Parquet, then from those files to training blocks."""
+    docs = I.documents(spark, sf, "text")
+    encoder = _encoder(spark, sf)
+
+    def blocks(kind: str, path: str) -> DataFrame:
+        found = chunk.training_chunks(spark, path, encoder, seq_len=I.SEQ_LEN, eos_id=I.EOS_ID, min_len=I.MIN_LEN,
+                                      dataset_type=kind)
+        return found.select(
+            F.lit(kind).alias("format"), F.col("block_no").cast("long").alias("block_no"),
+            F.size("input_ids").cast("long").alias("n"), fingerprint(F.col("input_ids")).alias("ids_md5"))
+
+    lines, table = new_path(spark, "training-lines"), new_path(spark, "training-table")
+    sinks.write_jsonl(docs, lines)
+    docs.write.parquet(table)
+    return blocks("jsonl", lines).unionByName(blocks("parquet", table))
+
+
 def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts with the end id; a piece is a token, so no dictionary is needed.
 
@@ -183,10 +218,10 @@ def _unit_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return chunk.unit_lengths(_lengths(spark, sf), I.SEQ_LEN, I.MIN_LEN)
 
 
-def _windowed(units: DataFrame) -> DataFrame:
+def _windowed(units: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     rows = packing.first_units(units, ["source", "doc_id"])
     return packing.assign_windows(rows, window_units=I.WINDOW_UNITS, shard="source",
-                                  order=["doc_id"])
+                                  order=["doc_id"], chunk_rows=chunk_rows)
 
 
 def _assignment(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,10 +252,22 @@ def pack_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _windowed(_unit_lengths(spark, sf)).select("source", "doc_id", "window_id")
 
 
-def _nextfit(spark: SparkSession, sf: str) -> DataFrame:
+@query
+def pack_windows_chained(spark: SparkSession, sf: str) -> DataFrame:
+    """The same windows, folded over many small chunks."""
+    return _windowed(_unit_lengths(spark, sf), I.SMALL_CHUNK).select("source", "doc_id", "window_id")
+
+
+def _nextfit(spark: SparkSession, sf: str, chunk_rows: int | None = None) -> DataFrame:
     return packing.pack_sequential(
         _unit_lengths(spark, sf).select("source", "doc_id", "block_no", "len"),
-        capacity=I.CAPACITY, shard="source", order=["doc_id", "block_no"])
+        capacity=I.CAPACITY, shard="source", order=["doc_id", "block_no"], chunk_rows=chunk_rows)
+
+
+@query
+def pack_nextfit_chained(spark: SparkSession, sf: str) -> DataFrame:
+    return _nextfit(spark, sf, I.SMALL_CHUNK).select(
+        "source", "doc_id", F.col("block_no").cast("long").alias("block_no"), "bin")
 
 
 @query
@@ -265,6 +312,33 @@ def pack_padded(spark: SparkSession, sf: str) -> DataFrame:
         min_len=I.MIN_LEN, pad_id=I.PAD_ID, shard="source", key="doc_id"))
 
 
+def _loose_keys(encoded: DataFrame) -> DataFrame:
+    """One source without a name, and keys that repeat."""
+    return encoded.select(F.nullif("source", F.lit("src0")).alias("source"),
+                          (F.col("doc_id") % 50).alias("doc_id"), "ids")
+
+
+@query
+def pack_loose_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """No token is lost or made where the shard is null and keys repeat."""
+    samples = packing.packed_dataset(
+        _loose_keys(_encoded(spark, sf)), seq_len=I.SEQ_LEN, window_units=I.WINDOW_UNITS, capacity=I.CAPACITY,
+        min_len=I.MIN_LEN, pad_id=I.PAD_ID, shard="source", key="doc_id")
+    used = F.aggregate("attention_mask", F.lit(0), lambda total, bit: total + bit)
+    ids = F.aggregate("input_ids", F.lit(0).cast("long"), lambda total, i: total + i)
+    return samples.groupBy("source").agg(F.sum(used).alias("n_tokens"), F.sum(ids).alias("id_sum"))
+
+
+@query
+def collate_loose_keys(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = chunk.split_blocks(_loose_keys(_encoded(spark, sf)), I.SEQ_LEN, I.MIN_LEN)
+    out = batching.training_batches(chunks, I.BATCH, key=["doc_id", "block_no"], shard="source", pad_id=I.PAD_ID)
+    used = F.aggregate("attention_mask", F.lit(0), lambda total, bit: total + bit)
+    ids = F.aggregate("input_ids", F.lit(0).cast("long"), lambda total, i: total + i)
+    return out.groupBy("source").agg(F.count("*").alias("rows"), F.sum(used).alias("n_tokens"), F.sum(ids).alias("id_sum"),
+                                     (F.max("batch_id") + 1).alias("batches"))
+
+
 @query
 def pack_summary(spark: SparkSession, sf: str) -> DataFrame:
     sizes = packing.sample_lengths(_assignment(spark, sf), SAMPLE, I.MIN_LEN)
@@ -285,13 +359,6 @@ def pack_compare(spark: SparkSession, sf: str) -> DataFrame:
                            packing.summarize(best, I.CAPACITY, "best_fit"))
 
 
-@query
-def synthetic_units(spark: SparkSession, sf: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").select((F.col("item_id") + 1).alias("n"))
-    return packing.synthetic_units(items, "n", I.EOS_ID).select(
-        "n", F.col("len").cast("long").alias("len"), fingerprint(F.col("input_ids")).alias("ids_md5"))
-
-
 # --- batches, masks, steps ---------------------------------------------------------------
 
 
@@ -345,14 +412,8 @@ def segment_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mask_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Visible pairs per segment, counted from the per-position rows of the mask."""
-    segments = masks.mask_segments(_bin(_padded(spark, sf)), SAMPLE)
-    rows = masks.mask_rows(segments, SAMPLE)
-    return rows.groupBy(*SAMPLE, F.col("segment").cast("long").alias("segment")).agg(
-        F.count("*").alias("n_positions"),
-        F.min("first_key").cast("long").alias("first_key"),
-        F.sum("visible").cast("long").alias("pairs"),
-        F.sum(F.col("position") * F.col("visible")).cast("long").alias("checksum"))
+    """Visible pairs per segment of the mask."""
+    return masks.mask_totals(masks.mask_segments(_bin(_padded(spark, sf)), SAMPLE), SAMPLE)
 
 
 @query
@@ -366,7 +427,7 @@ def mask_text(spark: SparkSession, sf: str) -> DataFrame:
 def step_plan(spark: SparkSession, sf: str) -> DataFrame:
     return batching.step_plan(
         _chunk_lengths(spark, sf), ["doc_id", "block_no"], batch_size=4, accumulation=8, processes=2,
-        max_steps=80_000, token_budget=12_000)
+        token_budget=12_000)
 
 
 # --- fine-tuning rows --------------------------------------------------------------------
@@ -389,7 +450,7 @@ def sft_scan(spark: SparkSession, sf: str) -> DataFrame:
         fields += [F.coalesce(F.col(c), F.lit("-")) for c in read.columns[1:]]
         return read.select(F.lit(kind).alias("format"), F.md5(F.concat_ws("~", *fields)).alias("row_md5"))
 
-    return report("json", "jsonl", as_json).unionByName(report("parquet", "parquet", as_parquet))
+    return report("json", "jsonl", f"{as_json}/*.json").unionByName(report("parquet", "parquet", as_parquet))
 
 
 @query
@@ -399,6 +460,21 @@ def sft_format(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("errors", ";").alias("problem"))
 
 
+@query
+def sft_rich(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with content parts, reasoning, tool calls, numbers and booleans, from JSON lines and Parquet."""
+    rows = I.rich_sft_rows(I.documents(spark, sf, "doc_id", "text", "source", "n_chars"))
+    lines, table = new_path(spark, "rich-lines"), new_path(spark, "rich-table")
+    sinks.write_jsonl(rows, lines)
+    rows.write.parquet(table)
+
+    def prompts(kind: str, path: str) -> DataFrame:
+        read = chat_source.read_sft_rows(spark, path, kind, text_column="body")
+        return finetune.format_rows(read, "body").select(F.lit(kind).alias("format"), F.md5("prompt").alias("prompt_md5"))
+
+    return prompts("jsonl", lines).unionByName(prompts("parquet", table))
+
+
 @query
 def sft_truncate(spark: SparkSession, sf: str) -> DataFrame:
     prompts = finetune.format_rows(_sft(spark, sf)).where(F.col("prompt").isNotNull())
@@ -451,9 +527,13 @@ def render_genprompt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prompt_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    named = _grouped(spark, sf).withColumn(
-        "given", F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("chat-"), F.col("conv_id").cast("string"))))
-    named = named.withColumn("id", sinks.sample_id(F.col("given"), F.col("conv_id")))
+    given = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("chat-"), F.col("conv_id").cast("string")))
+    messages = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    source = new_path(spark, "manifest-samples")
+    _grouped(spark, sf).repartitionByRange("conv_id").sortWithinPartitions("conv_id").select(
+        given.alias("id"), messages.alias("messages")).write.json(source)
+    named = chat_source.read_chat_samples(spark, source, multi_line=False)
+    named = named.withColumn("id", sinks.sample_id(F.col("id"), F.col("list_index")))
     path = new_path(spark, "prompts")
     sinks.write_prompts(chat.render(named, tool_calls=False), path)
     listed = spark.read.schema("id string, output string").json(f"{path}/manifest")
@@ -564,10 +644,19 @@ def _document_stream(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
 @query
 def stream_chunk(spark: SparkSession, sf: str) -> DataFrame:
     rows = _document_stream(spark, sf, "doc_id")
-    chunks = stream_chunks(rows, _encoder(spark, sf), seq_len=I.SEQ_LEN, eos_id=I.EOS_ID,
-                           min_len=I.MIN_LEN)
+    return _streamed(spark, rows, _encoder(spark, sf))
+
+
+@query
+def stream_small_head(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _document_stream(spark, sf, "doc_id")
+    return _streamed(spark, rows, _encoder(spark, sf, head_entries=I.SMALL_HEAD))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, encoder: DictionaryEncoder) -> DataFrame:
     path = new_path(spark, "stream-chunks")
-    run_to_folder(chunks, path, new_path(spark, "stream-chunks-log")).awaitTermination()
+    stream_chunks(rows, encoder, path, new_path(spark, "stream-chunks-log"), seq_len=I.SEQ_LEN,
+                  eos_id=I.EOS_ID, min_len=I.MIN_LEN).awaitTermination()
     return _chunk_report(spark.read.parquet(path))
 
 

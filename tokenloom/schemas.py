@@ -6,23 +6,6 @@ from pyspark.sql import types as T
 
 IDS = T.ArrayType(T.IntegerType())
 
-TEXT_ROW = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("text", T.StringType()),
-])
-
-CHUNK_ROW = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("block_no", T.IntegerType()),
-    T.StructField("input_ids", IDS),
-])
-
-PACKED_FIELDS = [
-    T.StructField("input_ids", IDS),
-    T.StructField("labels", IDS),
-    T.StructField("position_ids", IDS),
-]
-
 CONTENT_PART = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("text", T.StringType()),
@@ -47,21 +30,6 @@ MESSAGE = T.StructType([
     T.StructField("bad_content", T.BooleanType()),
 ])
 
-PLAIN_MESSAGE = T.StructType([
-    T.StructField("role", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
-
-SFT_ROW = T.StructType([
-    T.StructField("messages", T.ArrayType(PLAIN_MESSAGE)),
-    T.StructField("prompt", T.StringType()),
-    T.StructField("completion", T.StringType()),
-    T.StructField("instruction", T.StringType()),
-    T.StructField("input", T.StringType()),
-    T.StructField("output", T.StringType()),
-    T.StructField("text", T.StringType()),
-])
-
 EXPECTATION = T.StructType([
     T.StructField("must_include", T.ArrayType(T.StringType())),
     T.StructField("min_chars", T.LongType()),

@@ -61,3 +61,18 @@ def write_prompt_files(prompts: DataFrame, output_dir: str, id_column: str = "id
     done = rows.mapInArrow(save, "written long").agg(F.sum("written")).first()[0]
     manifest(prompts, output_dir, id_column).write.mode("overwrite").json(f"{output_dir}/manifest")
     return done or 0
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a line, in files with the suffix that readers of JSON lines look for.
+
+    Spark's writer names them ``.json``; each is renamed in place once the write has been committed.
+    """
+    df.write.json(path)
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".json"):
+            files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name}l"))

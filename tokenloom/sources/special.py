@@ -42,9 +42,6 @@ SPECIAL_TOKENS = [
     ("<|audio_pad|>", True),
 ]
 
-PAD_TOKEN = "<|endoftext|>"
-EOS_TOKEN = "<|im_end|>"
-
 # Tokens listed as additional specials (ids 248045 to 248057).
 ADDITIONAL = [content for content, _ in SPECIAL_TOKENS[1:14]]
 

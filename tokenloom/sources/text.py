@@ -13,6 +13,7 @@ from tokenloom.functions.text import is_nonblank, strip
 from tokenloom.sources.files import suffix_of
 
 FILE = "_metadata.file_path"
+JSONL = "*.[jJ][sS][oO][nN][lL]"
 
 
 def scan_text(spark: SparkSession, paths: str | list[str], text_column: str,
@@ -48,7 +49,7 @@ def scan_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Stripped non-blank lines. Sharding by line number applies to these, before any parsing."""
     files = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]")
+        .option("pathGlobFilter", JSONL)
         .text([paths] if isinstance(paths, str) else paths)
     )
     lines = files.select(
@@ -77,14 +78,11 @@ def parse_jsonl(lines: DataFrame, text_column: str, line_column: str = "line") -
     value = F.col("_rows")[0][text_column]
     whole = (F.size("_rows") == 2) & (F.col("_rows")[1][mark] == 1) & F.col("_rows")[0][mark].isNull()
     others = [c for c in lines.columns if c != line_column]
-    return (
-        lines.withColumn("_rows", rows)
-        .where(whole)
-        .where(F.schema_of_variant(value) == "STRING")
-        .select(*others, F.variant_get(value, "$", "string").alias("_text"))
-        .where(is_nonblank(F.col("_text")))
-        .withColumnRenamed("_text", text_column)
-    )
+    # A generator's output is a column of its own: conditions on it do not parse the line again.
+    parsed = lines.select(*others, F.explode(F.array(rows)).alias("_rows"))
+    kept = parsed.where(whole & (F.schema_of_variant(value) == "STRING"))
+    texts = kept.select(*others, F.explode(F.array(F.variant_get(value, "$", "string"))).alias("_text"))
+    return texts.where(is_nonblank(F.col("_text"))).withColumnRenamed("_text", text_column)
 
 
 def stream_text(spark: SparkSession, path: str, text_column: str, dataset_type: str | None,
@@ -99,5 +97,5 @@ def stream_text(spark: SparkSession, path: str, text_column: str, dataset_type:
         if schema is None:
             raise ValueError("a Parquet stream needs its schema")
         return reader.schema(schema).parquet(path).select(*keep, text_column)
-    lines = reader.text(path).select(strip(F.col("value")).alias("line"))
+    lines = reader.option("pathGlobFilter", JSONL).text(path).select(strip(F.col("value")).alias("line"))
     return parse_jsonl(lines.where(is_nonblank(F.col("line"))), text_column)

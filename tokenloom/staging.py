@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_areas: list[list[str]] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -32,7 +35,32 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/tokenloom/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/tokenloom/{label}-{uuid.uuid4().hex}"
+    for area in _areas:
+        area.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote, wherever Spark keeps it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging_area(spark: SparkSession) -> Iterator[None]:
+    """Owns what is staged inside the block and removes it at the end.
+
+    Results that still read staged tables must have been written out by then.
+    """
+    mine: list[str] = []
+    _areas.append(mine)
+    try:
+        yield
+    finally:
+        _areas.remove(mine)
+        for path in mine:
+            remove(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

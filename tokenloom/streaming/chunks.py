@@ -6,26 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tokenloom.operators.chunk import chunk_text
-from tokenloom.operators.encode import DictionaryEncoder
+from tokenloom.operators.encode import Encoder
 
 
-def stream_chunks(rows: DataFrame, encoder: DictionaryEncoder, *, seq_len: int, eos_id: int,
-                  min_len: int = 2, text_column: str = "text") -> DataFrame:
-    """The batch plan on an unbounded input; it is narrow, so it needs no state.
+def stream_chunks(rows: DataFrame, encoder: Encoder, path: str, checkpoint: str, *, seq_len: int,
+                  eos_id: int, min_len: int = 2, text_column: str = "text") -> StreamingQuery:
+    """Append the blocks of everything available to Parquet under ``path``, then stop.
 
-    The encoder must hold its dictionary whole: putting back the rarer pieces regroups rows,
-    which a stateless stream cannot do.
+    Every micro-batch runs the batch plan, so a dictionary of any size gives the same blocks as there.
+    A batch owns the folder of its number; repeating it after a failure writes that folder anew.
     """
-    if getattr(encoder, "tail", None) is not None:
-        raise ValueError("streams need a dictionary within the encoder's head bounds")
-    return chunk_text(rows, encoder, seq_len=seq_len, eos_id=eos_id, min_len=min_len,
-                      text_column=text_column)
+    def write(batch: DataFrame, number: int) -> None:
+        chunks = chunk_text(batch, encoder, seq_len=seq_len, eos_id=eos_id, min_len=min_len,
+                            text_column=text_column)
+        chunks.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-
-def run_to_folder(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append everything available to Parquet, then stop."""
     return (
-        chunks.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

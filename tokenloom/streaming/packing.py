@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from tokenloom.operators.chunk import split_units
 from tokenloom.operators.encode import Encoder, append_end
 from tokenloom.operators.guards import drop_blank
-from tokenloom.operators.packing import assign_windows, first_units, pack_units
-from tokenloom.staging import stage
+from tokenloom.operators.indexing import join_on
+from tokenloom.operators.packing import ROW, assign_windows, first_units, pack_units
+from tokenloom.staging import remove, stage
 
 
 @dataclass
@@ -44,27 +45,34 @@ class StreamPacker:
 
     def run(self, rows: DataFrame, checkpoint: str) -> DataFrame:
         """Drain ``rows`` (a streaming DataFrame), flush, and return all samples."""
-        seen: list[int] = []
+        last = -1
 
         def pack(batch: DataFrame, number: int) -> None:
+            nonlocal last
             self.pack_batch(batch, number)
-            seen.append(number)
+            last = number
 
         query = (
             rows.writeStream.foreachBatch(pack)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
         query.awaitTermination()
-        return self.flush(max(seen, default=-1))
+        return self.flush(last)
 
     def pack_batch(self, batch: DataFrame, number: int) -> None:
         encoded = self.encoder.encode(drop_blank(batch, self.text_column), self.text_column)
+        arrival = F.lit(number).cast("long").alias("arrival")
         fresh = append_end(encoded, self.eos_id).select(
-            F.lit(number).cast("long").alias("arrival"), self.shard, self.key, "ids")
-        rows = fresh
+            arrival, self.shard, self.key, "ids",
+            F.struct(arrival, F.monotonically_increasing_id().alias("n")).alias(ROW))
+        # Stored once: rows keep their numbers and are not encoded again for the units and what is left.
+        rows = fresh = stage(fresh, "stream-rows")
         if number > 0:
             rows = self._read(f"{self.state}/rows/{number - 1}", fresh.schema).unionByName(fresh)
         self._pack(rows, number, closing=False)
+        if number > 1:  # a repeat of this batch reads what its predecessor left, nothing older
+            for kind in ("rows", "windows"):
+                remove(self.spark, f"{self.state}/{kind}/{number - 2}")
 
     def flush(self, last: int) -> DataFrame:
         """Pack what the last micro-batch left over; returns all samples."""
@@ -72,14 +80,14 @@ class StreamPacker:
             raise ValueError("the stream brought no new rows")
         left = self.spark.read.parquet(f"{self.state}/rows/{last}")
         self._pack(left, last + 1, closing=True)
-        return self.spark.read.parquet(*[f"{self.output}/{n}" for n in range(last + 2)])
+        return self.spark.read.parquet(self.output).drop("batch")
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path)
 
     def _pack(self, rows: DataFrame, number: int, closing: bool) -> None:
-        columns = ["arrival", self.shard, self.key]
-        rows = rows.withColumn("at", F.struct("arrival", self.key))
+        columns = ["arrival", self.shard, self.key, ROW]
+        rows = rows.withColumn("at", F.struct("arrival", self.key, ROW))
         units = stage(split_units(rows, self.seq_len, self.min_len), "stream-units")
         windows = stage(
             assign_windows(first_units(units, [*columns, "at"]), window_units=self.window_units,
@@ -88,20 +96,20 @@ class StreamPacker:
         )
         filled = windows.groupBy(self.shard, "window_id").agg(
             (F.sum("n_units") >= self.window_units).alias("closed"))
-        marked = windows.join(filled, [self.shard, "window_id"])
+        marked = join_on(windows, filled, [self.shard, "window_id"])
         ready = marked if closing else marked.where("closed")
         done = self._windows_before(number, filled)
         numbered = (
-            ready.join(done, self.shard, "left")
+            join_on(ready, done, [self.shard], "left")
             .withColumn("window_id", F.col("window_id") + F.coalesce("before", F.lit(0)))
         )
         samples = pack_units(units, numbered, capacity=self.capacity, min_len=self.min_len,
-                             pad_id=self.pad_id, shard=self.shard, key=self.key, order="at")
-        samples.write.mode("overwrite").parquet(f"{self.output}/{number}")
+                             pad_id=self.pad_id, shard=self.shard, key=ROW, order="at")
+        samples.write.mode("overwrite").parquet(f"{self.output}/batch={number}")
         if closing:
             return
-        waiting = marked.where(~F.col("closed")).select(self.key)
-        rows.drop("at").join(waiting, self.key, "left_semi") \
+        waiting = marked.where(~F.col("closed")).select(ROW)
+        rows.drop("at").join(waiting, ROW, "left_semi") \
             .write.mode("overwrite").parquet(f"{self.state}/rows/{number}")
         closed_now = filled.where("closed").groupBy(self.shard).agg(F.count("*").alias("before"))
         done.select(self.shard, "before").unionByName(closed_now).groupBy(self.shard) \
