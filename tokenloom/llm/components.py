@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.staging import stage
@@ -22,21 +22,38 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     return out
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
+def row_reference(id_col: Column, text_col: Column) -> Column:
+    """A 64-bit hash of a row's id and text; rows that share both share results too."""
+    return F.xxhash64(id_col.cast("string"), F.lit(1), text_col.cast("string"))
+
+
+ROWS_PER_FILE = 500_000
+
+
+def _open_links(edges: DataFrame) -> tuple[int, int]:
+    """Number of links, and how many keep the links from being stars already.
+
+    In stars every lower node has no link downward and every upper node has one link.
+    """
+    up = edges.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("node"), "n", F.lit(0).alias("low"))
+    down = edges.select(F.col("b").alias("node")).distinct().select("node", F.lit(0).alias("n"), F.lit(1).alias("low"))
+    nodes = up.unionByName(down).groupBy("node").agg(F.sum("n").alias("n"), F.max("low").alias("low"))
+    row = nodes.agg(F.sum("n").alias("all"), F.sum(F.when((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("low") > 0)), 1).otherwise(0)).alias("open")).first()
+    return row["all"] or 0, row["open"] or 0
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``links`` (a, b): root is the component's smallest node.
 
     Nodes may be of any sortable type. Each round hangs larger neighbours on the smallest one (large
-    star), then smaller neighbours likewise (small star); rounds end when the links stand still, after
-    a number logarithmic in the component sizes. No links give no rows; nulls are not links.
+    star), then smaller neighbours likewise (small star); rounds end when all links form stars, after a
+    number logarithmic in the component sizes. No links give no rows; nulls are not links.
     """
     edges = checkpointed(_oriented_structs(links))
-    state = _state(edges)
-    while state[0]:
+    while True:
+        size, left = _open_links(edges)
+        if not left:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.when(F.col("m") < F.col("a"), F.col("m")).otherwise(F.col("a")).alias("m"))
@@ -46,11 +63,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(down, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             small.select("a", F.col("m").alias("b")))
-        edges = checkpointed(small.where(F.col("a") != F.col("b")).distinct())
-        new = _state(edges)
-        if new == state:
-            break
-        state = new
+        small = small.where(F.col("a") != F.col("b")).distinct()
+        # never more links than before, so a bounded number of rows a file
+        edges = checkpointed(small.coalesce(2 * size // ROWS_PER_FILE + 1))
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

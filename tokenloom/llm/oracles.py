@@ -32,7 +32,7 @@ SQL: dict[str, str] = {
         w as (select doc_id, text, regexp_extract_all(text, {WORD}) as a from t),
         g as (select doc_id, i, array_to_string(a[i:i + 4], ' ') as s from (select doc_id, a, unnest(range(1, len(a) - 3)) as i from w)),
         c as (select doc_id, i, count(*) over (partition by doc_id, s) as c from g),
-        x as (select doc_id, count(distinct at) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as at from c where c > 1) group by doc_id),
+        x as (select doc_id, count(distinct place) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as place from c where c > 1) group by doc_id),
         l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
         m as (select doc_id, len(a) as n_words, coalesce(list_sum(list_transform(a, lambda x: length(x))), 0)::bigint as word_chars,
               length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,

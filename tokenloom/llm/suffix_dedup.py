@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
@@ -34,7 +34,7 @@ def _first_pass(rows: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             refs = batch.column(0).to_numpy()
-            for first, data, offsets in bw.slices(bw.as_strings(batch.column(1))):
+            for first, data, offsets in bw.slices(batch.column(1)):
                 row, low, high, anchor, core, context = wd.first_zones(data, offsets, depth)
                 if len(row):
                     yield _table([refs[first + row], low, high, anchor, core, context],
@@ -65,15 +65,21 @@ def _next_pass(rows: DataFrame, open_: DataFrame, depth: int, step: int) -> Data
 
 
 def _grouped(zones: DataFrame) -> DataFrame:
-    """Zones not alone in their group: ``same``, how many share the context, ``nth`` among those, ``mixed``."""
-    group, equal = Window.partitionBy("core"), Window.partitionBy("core", "context")
-    marked = zones.repartition("core").withColumns({
-        "low_context": F.min("context").over(group), "high_context": F.max("context").over(group),
-        "same": F.count("*").over(equal), "nth": F.row_number().over(equal.orderBy("r", "low")),
-    })
-    mixed = F.col("low_context") != F.col("high_context")
-    kept = marked.where(mixed | (F.col("same") > 1))
-    return checkpointed(kept.select("r", "low", "high", "anchor", "same", "nth", mixed.alias("mixed")))
+    """Zones not alone in their group: ``same``, how many share the context, ``nth`` (1 for one of those), ``mixed``.
+
+    Groups are told by aggregates that combine on the map side and come back by joins against one row
+    per group, so that a group that holds a large share of all zones is spread over tasks.
+    """
+    zones = checkpointed(zones)
+    groups = zones.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
+    groups = groups.where("n > 1").select("core", "n", (F.col("a") != F.col("b")).alias("mixed"))
+    kept = checkpointed(zones.join(groups, "core"), free=True)
+    plain = kept.where("not mixed").select("r", "low", "high", "anchor", F.col("n").alias("same"), F.lit(0).alias("nth"), "mixed")
+    mixed = kept.where("mixed").drop("n")
+    equal = mixed.groupBy("core", "context").agg(F.count("*").alias("same"), F.min(F.struct("r", "low")).alias("first"))
+    nth = F.when((F.col("first.r") == F.col("r")) & (F.col("first.low") == F.col("low")), 1).otherwise(2)
+    mixed = mixed.join(equal, ["core", "context"]).select("r", "low", "high", "anchor", "same", nth.alias("nth"), "mixed")
+    return checkpointed(plain.unionByName(mixed), free=True)
 
 
 def repeated_spans(rows: DataFrame, depth: int) -> DataFrame:
