@@ -1,15 +1,22 @@
 """N-gram Jaccard join with vertical partitioning.
 
-Word shingles have one global order: rare frequency classes first, by hash within a class. The order
-only steers the amount of work, so its frequencies come from a count sketch of fixed size. Documents
-with equal shingle sets form a class; classes are the nodes of the join. Shingles within the prefix
-of the order propose pairs. The order is cut into fragments; each fragment counts the overlap of a
-pair's segments on its own, and the partial counts are summed per pair.
-
-Proposals come in three steps. First every prefix bucket proposes its smallest class against the
-others, then its largest; links found so far are contracted. At last buckets that still span several
+Word shingles have one global order, rare ones first. Documents with equal shingle sets form a class;
+classes are the nodes of the join.
+
+1. A count sketch of fixed size gives rough frequencies. Shingles within the prefix of that order tell
+   which classes share any rare shingle at all; the others link with nothing.
+2. The shingles of those classes are counted exactly. A shingle of one class alone can't take part in
+   an overlap, so it is dropped, and a class left with too few drops out.
+3. Prefixes of the remaining sets, now in order of exact frequency, propose pairs. The order is cut into
+   fragments; each fragment counts the overlap of a pair's segments on its own, and the partial counts
+   are summed per pair.
+
+Proposals come in three steps. First every prefix bucket proposes its most central class against the
+others, then its smallest; links found so far are contracted. At last buckets that still span several
 components propose their remaining pairs across components. A group of thousands of near copies is so
 joined by about as many pairs as it has members, and no pair that the first steps left open is lost.
+
+Classes are told apart by 64-bit digests of their sets, shingles by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
 from tokenloom.llm import fixed_filter
-from tokenloom.llm.components import checkpointed, components
+from tokenloom.llm.components import checkpointed, components, row_reference
 
 SKETCH_CELLS = 1 << 18
 SKETCH_BLOCK = 1 << 12
 FRAGMENT_BITS = 2
+HOT_CLASS, SALTS, MEETING = 3, 64, 12
 
 
 def shingle_sketch(rows: DataFrame, n: int) -> np.ndarray:
@@ -35,7 +43,7 @@ def shingle_sketch(rows: DataFrame, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SKETCH_CELLS, np.int64)
         for batch in batches:
-            for _, data, offsets in bw.slices(bw.as_strings(batch.column(1))):
+            for _, data, offsets in bw.slices(batch.column(1)):
                 found = [s for s in bw.word_shingles(data, offsets, n) if len(s)]
                 if found:
                     at = (np.concatenate(found) >> np.uint64(46)).astype(np.int64)
@@ -85,15 +93,40 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and get a row each; component_id is the smallest id reached (null ids count as larger than any
     other, and a null-id row that links with nothing keeps null). Extra columns are ignored.
     """
+    found = _members(docs, id_col, text_col, n, num, den)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` less those that a component's row of smallest id stands for.
+
+    Rows without shingles all stay. Of rows with equal id and text in a component, one stays at most.
+    Only rows that may go are moved, those a filter of the removed rows lets through.
+    """
+    found = _members(docs, id_col, text_col, n, num, den).where("n > 0")
+    same = found.groupBy("id", "r").agg(F.count("*").alias("rows"), F.first("least").alias("least"))
+    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("r") == F.col("least.r"))
+    acts = checkpointed(same.withColumn("stays", stays).where("not stays or rows > 1").select(F.col("id").alias("__id"), F.col("r").alias("__r"), "stays"))
+    table = fixed_filter.build(acts.select(F.col("__r").alias("key")))
+    marked = docs.withColumn("__ref", row_reference(F.col(id_col), F.col(text_col)))
+    marked = marked.withColumn("__may", fixed_filter.may_hold(F.col("__ref"), table))
+    some = marked.where("__may").join(acts.withColumnRenamed("stays", "__stays"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__ref") == F.col("__r")), "left")
+    once = some.where("__stays").dropDuplicates(["__r", "__id"])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where("not __may").select(*names).unionByName(some.where("__stays is null").select(*names)).unionByName(once.select(*names))
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
+    """``id``, ``r``, ``n``, ``least`` (id, r) of every row: its reference, set size and component's first row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("r", F.xxhash64(F.col("id").cast("string"), F.lit(1), "text"))
+    rows = rows.withColumn("r", row_reference(F.col("id"), F.col("text")))
     spark = rows.sparkSession
     classes = spark.sparkContext.broadcast(_classes(shingle_sketch(rows, n)))
     kind = rows.schema["id"].dataType.simpleString()
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, data, offsets in bw.slices(bw.as_strings(batch.column(1))):
+            for low, data, offsets in bw.slices(batch.column(1)):
                 sets = list(bw.word_shingles(data, offsets, n))
                 digest = np.array([bw.sequence_hash(s) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -101,49 +134,44 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ["id", "r", "d", "n"])
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = classes.value
-        seen = set()
+        order, seen = classes.value, set()
         for batch in batches:
-            for _, data, offsets in bw.slices(bw.as_strings(batch.column(1))):
-                tokens, owner, size, place = [], [], [], []
+            for _, data, offsets in bw.slices(batch.column(1)):
+                tokens, owner, place = [], [], []
                 for s in bw.word_shingles(data, offsets, n):
                     digest = bw.sequence_hash(s)
                     if not len(s) or digest in seen:  # copies in one task bring the same postings
                         continue
                     seen.add(digest)
-                    k = prefix_length(len(s), num, den)
-                    tokens.append(ranked(s, order)[:k])
-                    owner.append(np.full(k, digest))
-                    size.append(np.full(k, len(s), np.int64))
-                    place.append(np.arange(k))
+                    tokens.append(ranked(s, order)[:prefix_length(len(s), num, den)])
+                    owner.append(np.full(len(tokens[-1]), digest))
+                    place.append((len(s) << 32) + np.arange(len(tokens[-1])))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owner).view(np.int64)),
-                         pa.array(np.concatenate(size)), pa.array(np.concatenate(place))], ["token", "d", "n", "p"])
+                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owner).view(np.int64)), pa.array(np.concatenate(place))],
+                        ["token", "d", "np"])
 
     members = checkpointed(rows.mapInArrow(profile, f"id {kind}, r long, d long, n long"))
     # Of each class the row with the smallest id stands for it.
     first = F.min(F.struct(F.col("id").isNull(), "id", "r"))
     some = members.where("n > 0").groupBy("d", "n").agg(first.alias("s")).select("d", "n", F.col("s.id").alias("rep"), F.col("s.r").alias("r"))
     some = checkpointed(some)
-    # One shuffle by token serves the removal of copies and the ends of the buckets. Only buckets of
-    # two classes or more propose pairs.
-    entries = rows.mapInArrow(postings, "token long, d long, n long, p long").repartition("token")
-    entries = entries.groupBy("token", "d", "n").agg(F.min("p").alias("p"))
-    bucket, node = Window.partitionBy("token"), F.struct("d", "n")
-    shared = checkpointed(entries.withColumns({"low": F.min(node).over(bucket), "high": F.max(node).over(bucket)})
-                          .where("low <> high").select("token", "d", "n", "p"), free=True)
+    node = F.struct("d", "n")
+    reduced = _reduced(rows, _candidates(rows, some, postings, num, den), classes, n, num, den)
+    keep = F.col("m") - F.ceil(F.col("n") * num / den) + 1
+    shared = reduced.select("d", "n", "m", F.posexplode(F.slice("keys", F.lit(1), keep.cast("int"))).alias("p", "token"))
+    shared = checkpointed(shared)
 
     links: DataFrame | None = None
     tried: DataFrame | None = None
     roots: DataFrame | None = None
-    for step in ("low", "high", "rest"):
+    for step in ("central", "low", "rest"):
         pairs = _proposed(shared, roots, step, num, den)
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["xd", "xn", "yd", "yn"], "left_anti"))
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _linked(rows, some, pairs, classes, n, num, den).select(
+        found = _linked(reduced, pairs, num, den).select(
             F.struct(F.col("xd").alias("d"), F.col("xn").alias("n")).alias("a"),
             F.struct(F.col("yd").alias("d"), F.col("yn").alias("n")).alias("b"))
         found = checkpointed(found, free=True)
@@ -152,78 +180,124 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if roots is None:
         roots = some.select(node.alias("node"), node.alias("root")).limit(0)
 
-    owned = some.select("d", "n", "rep", node.alias("node")).join(roots, "node", "left")
-    owned = checkpointed(owned.select("d", "n", "rep", F.coalesce("root", "node").alias("root")))
-    least = owned.groupBy("root").agg(F.min("rep").alias("least"))
-    least = owned.join(least, "root").select("d", "n", "least")
-    lone = members.where("n = 0").select("id", "n", F.col("id").alias("least"))
-    found = members.where("n > 0").join(least, ["d", "n"]).select("id", "n", "least").unionByName(lone)
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    stand = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), "r")
+    owned = some.select("d", "n", stand.alias("stand"), node.alias("node")).join(roots, "node", "left")
+    owned = checkpointed(owned.select("d", "n", "stand", F.coalesce("root", "node").alias("root")))
+    least = owned.groupBy("root").agg(F.min("stand").alias("least"))
+    least = owned.join(least, "root").select("d", "n", F.struct("least.id", "least.r").alias("least"))
+    lone = members.where("n = 0").select("id", "r", "n", F.struct("id", "r").alias("least"))
+    return members.where("n > 0").join(least, ["d", "n"]).select("id", "r", "n", "least").unionByName(lone)
+
+
+def _salted(hot: Column) -> Column:
+    """Where a frequent shingle's rows go: apart by class, as nothing has to be counted over all of them."""
+    return F.when(hot, F.pmod(F.xxhash64("d"), F.lit(SALTS))).otherwise(0).cast("byte")
+
+
+def _candidates(rows: DataFrame, some: DataFrame, postings, num: int, den: int) -> DataFrame:
+    """``some`` less the classes that, by their prefixes, can link with no other class.
+
+    Classes that share a prefix shingle meet by size, each in its own band and the next, bands as wide as
+    sizes may differ. In a small meeting every pair is tried for the overlap that places leave possible;
+    in a larger one a class stays if the best of the others' bounds would do. A class with a
+    frequent shingle in its prefix stays without a look at the others.
+    """
+    hot = F.shiftrightunsigned("token", 58) >= HOT_CLASS
+    entries = rows.mapInArrow(postings, "token long, d long, np long").withColumn("salt", _salted(hot))
+    bucket = Window.partitionBy("token", "salt")
+    placed = entries.repartition("token", "salt").withColumns({"low": F.min("d").over(bucket), "high": F.max("d").over(bucket)})
+    shared = placed.where((F.col("low") != F.col("high")) | hot).select(
+        "token", "d", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("p"))
+    shared = checkpointed(shared.distinct(), free=True)
+    band = F.floor(F.log(F.col("n") + 0.0) / float(np.log(den / num)))
+    met = shared.where(~hot).select("token", "d", "n", "p", F.explode(F.array(band, band + 1)).alias("band"))
+    share = num / (den + num)
+    spare = F.col("n") - F.col("p") - F.lit(share) * F.col("n")
+    groups = met.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(spare).alias("spare")).where("size > 1")
+    met = checkpointed(met.join(groups, ["token", "band"]))
+    slack = 1e-6
+    large = met.where((F.col("size") > MEETING) & (F.col("spare") >= share * F.col("n") - slack)
+                      & (F.col("n") - F.col("p") >= share * (F.col("n") + F.col("least")) - slack)).select("d")
+    small = met.where(F.col("size") <= MEETING).select("token", "band", "d", "n", "p")
+    x, y = small.alias("x"), small.alias("y")
+    most = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    may = (den + num) * most >= num * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.d") < F.col("y.d")) & may)
+    pairs = pairs.select(F.explode(F.array("x.d", "y.d")).alias("d"))
+    wanted = large.unionByName(pairs).unionByName(shared.where(hot).select("d")).distinct()
+    return checkpointed(some.join(wanted, "d").select("d", "n", "r"), free=True)
+
+
+def _reduced(rows: DataFrame, classes: DataFrame, frequency, n: int, num: int, den: int) -> DataFrame:
+    """``d``, ``n``, ``m``, ``keys``: of each class its shingles that other classes have too, rare ones first.
+
+    A key is six bits of frequency, then the hash. Rare shingles are counted exactly, and those of one
+    class dropped; shingles the sketch shows as frequent stay uncounted, above all others in the
+    order. Classes too small to link are left out.
+    """
+    table = fixed_filter.build(classes.select(F.col("r").alias("key")))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in bw.slices(batch.column(0)):
+                sets = [s for s in bw.word_shingles(data, offsets, n) if len(s)]
+                if sets:
+                    digest = np.array([bw.sequence_hash(s) for s in sets], np.uint64).view(np.int64)
+                    found = np.concatenate(sets)
+                    rank = frequency.value[(found >> np.uint64(46)).astype(np.int64)]
+                    found = ((found >> np.uint64(6)) << np.uint64(6)) | rank  # the class takes the hash's last bits
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found.view(np.int64)), pa.array(np.repeat(digest, [len(s) for s in sets]))], ["token", "d"])
+
+    known = rows.where(fixed_filter.may_hold(F.col("r"), table)).select("text")
+    frequent = F.col("token").bitwiseAND(63)
+    hot = frequent >= HOT_CLASS
+    held = known.mapInArrow(tokens, "token long, d long").withColumn("salt", _salted(hot)).repartition("token", "salt")
+    counted = held.withColumn("count", F.count("*").over(Window.partitionBy("token", "salt"))).where((F.col("count") > 1) | hot)
+    rank = F.when(hot, F.least(F.lit(31), frequent + 20)).otherwise(F.least(F.lit(20), F.floor(F.log2("count"))))
+    key = F.shiftleft(rank.cast("long"), 58).bitwiseOR(F.shiftrightunsigned("token", 6))
+    lists = counted.select("d", key.alias("key")).groupBy("d").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    whole = lists.join(classes.select("d", "n"), "d").select("d", "n", F.size("keys").alias("m"), "keys")
+    return checkpointed(whole.where(den * F.col("m") >= num * F.col("n")), free=True)
 
 
 def _proposed(shared: DataFrame, roots: DataFrame | None, step: str, num: int, den: int) -> DataFrame:
     """Pairs (xd, xn, yd, yn) of classes in different components that a bucket brings together.
 
-    ``low`` and ``high`` pair every class with the bucket's class of smallest and largest root, ``rest``
-    all classes of the bucket.
+    ``central`` pairs every class with the one that shares most of its set with others, as the origin of near
+    copies does, ``low`` with the class of smallest root, ``rest`` all classes of the bucket.
     """
     placed = shared.withColumn("root", F.struct("d", "n"))
     if roots is not None:
         placed = placed.withColumnRenamed("root", "node").join(roots, "node", "left")
-        placed = placed.select("token", "d", "n", "p", F.coalesce("root", "node").alias("root"))
-    item = F.struct("root", "d", "n", "p")
-    bucket = Window.partitionBy("token")
-    placed = placed.withColumns({"low": F.min(item).over(bucket), "high": F.max(item).over(bucket)}).where("low.root <> high.root")
+        placed = placed.select("token", "d", "n", "m", "p", F.coalesce("root", "node").alias("root"))
+    item = F.struct("root", "d", "n", "m", "p")
+    central = F.max(F.struct((F.col("m") / F.col("n")).alias("share"), "root", "d", "n", "m", "p"))
+    ends = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), central.alias("central"), F.min(item).alias("low"))
+    placed = placed.join(ends.where("r0 <> r1"), "token")
     if step == "rest":
         both = placed.select("token", item.alias("x")).join(placed.select("token", item.alias("y")), "token")
     else:
         both = placed.select(F.col(step).alias("x"), item.alias("y"))
-    near = (den + num) * F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= num * (F.col("x.n") + F.col("y.n"))
+    # the pair's first shared key leaves at most this overlap
+    most = F.least(F.col("x.m") - F.col("x.p"), F.col("y.m") - F.col("y.p"))
+    near = (den + num) * most >= num * (F.col("x.n") + F.col("y.n"))
     both = both.where((F.col("x.root") < F.col("y.root") if step == "rest" else F.col("x.root") != F.col("y.root")) & near)
     swap = F.struct("y.d", "y.n") < F.struct("x.d", "x.n")
     names = [("xd", "x.d", "y.d"), ("xn", "x.n", "y.n"), ("yd", "y.d", "x.d"), ("yn", "y.n", "x.n")]
     return both.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name) for name, a, b in names]).distinct()
 
 
-def _linked(rows: DataFrame, some: DataFrame, pairs: DataFrame, classes, n: int, num: int, den: int) -> DataFrame:
+def _linked(reduced: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of the proposed pairs (xd, xn, yd, yn) those that link, by summed partial overlaps."""
-    ends = pairs.select(F.col("xd").alias("d"), F.col("xn").alias("n")).unionByName(pairs.select(F.col("yd").alias("d"), F.col("yn").alias("n")))
-    wanted = some.join(ends.distinct(), ["d", "n"]).select(F.col("r").alias("key"))
-    table = fixed_filter.build(wanted)
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = classes.value
-        for batch in batches:
-            for low, data, offsets in bw.slices(bw.as_strings(batch.column(1))):
-                refs, digest, size, fragment, tokens = [], [], [], [], []
-                for at, s in enumerate(bw.word_shingles(data, offsets, n), low):
-                    if not len(s):
-                        continue
-                    places, own = ranked(s, order), bw.sequence_hash(s)
-                    cut = places >> np.uint64(58 - FRAGMENT_BITS)
-                    begin = np.flatnonzero(np.append(True, cut[1:] != cut[:-1]))
-                    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(s)], strict=True):
-                        refs.append(at)
-                        digest.append(own)
-                        size.append(len(s))
-                        fragment.append(int(cut[a]))
-                        tokens.append(places[a:b].view(np.int64))
-                if not refs:
-                    continue
-                sizes = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(refs)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(fragment, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(tokens)))], ["r", "d", "n", "f", "tokens"])
-
-    known = rows.where(fixed_filter.may_hold(F.col("r"), table)).select("r", "text")
+    asked = pairs.select(F.col("xd").alias("d")).unionByName(pairs.select(F.col("yd").alias("d"))).distinct()
+    cut = lambda k: F.shiftrightunsigned(k, 58 - FRAGMENT_BITS)
+    pieces = F.transform(F.array_distinct(F.transform("keys", cut)), lambda f: F.struct(
+        f.alias("f"), F.filter("keys", lambda k: cut(k) == f).alias("keys")))
     # Both sides of the pairs read the segments from one shuffle.
-    seg = known.mapInArrow(segments, "r long, d long, n long, f int, tokens array<long>").repartition("d", "n")
-    owned = lambda side: some.select(F.col("d").alias(f"{side}d"), F.col("n").alias(f"{side}n"), F.col("r").alias(f"{side}r"))
-    asked = pairs.join(owned("x"), ["xd", "xn"]).join(owned("y"), ["yd", "yn"])
-    side = lambda s: seg.select(*[F.col(c).alias(f"{s}{c}") for c in ("d", "n", "r")], F.col("f").alias(f"{s}f"), F.col("tokens").alias(f"{s}t"))
-    half = asked.join(side("y"), ["yd", "yn", "yr"])
-    both = half.join(side("x"), ["xd", "xn", "xr"]).where("xf = yf")
-    # repeated rows (equal id and text) bring a segment more than once
-    partial = both.groupBy("xd", "xn", "yd", "yn", "xf").agg(F.max(F.size(F.array_intersect("xt", "yt"))).cast("long").alias("o"))
+    seg = reduced.join(asked, "d").select("d", F.explode(pieces).alias("s")).select("d", "s.f", "s.keys").repartition("d")
+    half = pairs.join(seg.select(F.col("d").alias("yd"), F.col("f").alias("yf"), F.col("keys").alias("yk")), "yd")
+    both = half.join(seg.select(F.col("d").alias("xd"), F.col("f").alias("xf"), F.col("keys").alias("xk")), "xd").where("xf = yf")
+    partial = both.select("xd", "xn", "yd", "yn", F.size(F.array_intersect("xk", "yk")).cast("long").alias("o"))
     total = partial.groupBy("xd", "xn", "yd", "yn").agg(F.sum("o").alias("o"))
     return total.where(den * F.col("o") >= num * (F.col("xn") + F.col("yn") - F.col("o"))).select("xd", "xn", "yd", "yn")
