@@ -39,7 +39,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, n_tokens, ids_sha256, decoded_sha256, ids of every text of the mix."""
-    return encode_texts(docs, read_vocabulary(vocabulary_path())).drop("decoded")
+    return encode_texts(docs, read_vocabulary(vocabulary_path()), with_decoded=False)
 
 
 STAGES = [("quality", good_documents), ("near_duplicates", without_near_copies), ("secrets", without_secrets),

@@ -26,7 +26,7 @@ def read_vocabulary(path: str) -> str:
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                 with_ids: bool = True) -> DataFrame:
+                 with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """``id_col``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded.
 
     ``vocabulary`` is the content of a byte-level BPE file (a few MB whatever the corpus). Null and
@@ -40,8 +40,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = state.get("pairs") or state.setdefault("pairs", bpe_kernel.BytePairs(shared.value))
         for batch in batches:
-            texts = bw.as_strings(batch.column(1))
-            for low, data, offsets in bw.slices(texts, 2 * bw.SLICE_BYTES):
+            for low, data, offsets in bw.slices(batch.column(1)):
                 found = pairs.encode(data, offsets)
                 decoded = [pairs.decode(ids) for ids in found]
                 columns = [
@@ -54,13 +53,13 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     sizes = np.concatenate([[0], np.cumsum([len(ids) for ids in found])])
                     values = np.concatenate(found) if found else np.zeros(0, np.int64)
                     columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32())))
+                if with_decoded:
                     columns.append(pa.array(decoded, pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names[:len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_decoded]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        schema += ", ids array<int>, decoded string"
+    schema += ", ids array<int>" * with_ids + ", decoded string" * with_decoded
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ from tokenloom.llm import byte_words as bw
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
 # The contractions that the byte-level splitting pattern takes as pieces.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-SYMBOL_LIMIT = 1 << 21
+SYMBOL_LIMIT = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -27,12 +27,14 @@ def byte_alphabet() -> list[str]:
 def code_classes() -> np.ndarray:
     """Letter, number, white space or other for each code point."""
     classes = np.zeros(0x110000, np.uint8)
-    valid = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for name, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
-        for m in regex.finditer(name, valid):
-            low, high = ord(m[0][0]), ord(m[0][-1])
-            classes[low:high + 1] = kind
-    classes[0xD800:0xE000] = OTHER
+    patterns = [(regex.compile(name), kind) for name, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK))]
+    for base in range(0, 0x110000, 1 << 12):
+        if 0xD800 <= base < 0xE000:
+            continue
+        part = "".join(map(chr, range(base, base + (1 << 12) if base != 0xD000 else 0xD800)))
+        for pattern, kind in patterns:
+            for m in pattern.finditer(part):
+                classes[base + m.start():base + m.end()] = kind
     # The pattern engine's white space leaves these separators out.
     classes[0x1C:0x20] = OTHER
     return classes

@@ -16,7 +16,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 1 << 21
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 2000
 
 _CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
@@ -43,15 +43,17 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(buffers[2], np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows; a run ends before ``limit`` bytes or holds one row."""
-    _, offsets = flat(texts)
-    low = 0
-    while low < len(texts):
-        high = int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1
-        high = min(max(high, low + 1), len(texts), low + 50_000)
-        yield low, *flat(texts.slice(low, high - low))
-        low = high
+    for base in range(0, len(column), SLICE_ROWS):
+        texts = as_strings(column.slice(base, SLICE_ROWS))
+        _, offsets = flat(texts)
+        low = 0
+        while low < len(texts):
+            high = int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1
+            high = min(max(high, low + 1), len(texts))
+            yield base + low, *flat(texts.slice(low, high - low))
+            low = high
 
 
 def mix(x: np.ndarray) -> np.ndarray:

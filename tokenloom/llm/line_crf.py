@@ -39,7 +39,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, data, offsets in bw.slices(bw.as_strings(batch.column(1))):
+            for low, data, offsets in bw.slices(batch.column(1)):
                 features, _, first = lf.line_features(data, offsets)
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     if b - a > sample_lines:
@@ -74,7 +74,7 @@ def score_quality(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, data, offsets in bw.slices(bw.as_strings(batch.column(0))):
+            for low, data, offsets in bw.slices(batch.column(0)):
                 scores, good, first = lf.quality(data, offsets, weight, step)
                 columns = [batch.column(i + 1).slice(low, len(scores)) for i in range(len(names))]
                 columns += [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
@@ -88,14 +88,15 @@ def score_quality(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], id_col:
 
 
 def keep_good(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with the columns they have."""
+    """The rows of ``docs`` that score at least ``threshold``, with the columns they have.
+
+    Texts go to Python, one answer a row comes back.
+    """
     weight, step = field
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, data, offsets in bw.slices(bw.as_strings(batch.column(at))):
-                scores, _, _ = lf.quality(data, offsets, weight, step)
-                yield batch.slice(low, len(scores)).filter(pa.array(scores >= threshold))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        scores = [lf.quality(data, offsets, weight, step)[0] for _, data, offsets in bw.slices(texts)]
+        return pa.array(np.concatenate(scores) >= threshold) if scores else pa.array([], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col(text_col).cast("string")))

@@ -16,7 +16,7 @@ WIDTH = len(NAMES)
 
 
 def _table(*chars: int) -> np.ndarray:
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.int32)
     out[list(chars)] = 1
     return out
 
@@ -41,8 +41,11 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     """A row of features for each line, the lines' weights (bytes, 1 at least), the first line of each text."""
     starts, ends, first = line_spans(data, offsets)
     size = ends - starts
-    sums = [np.append(0, np.cumsum(c[data])) for c in _CLASSES]
-    upper, letters, symbols, marks, stops, digits, foreign = (s[ends] - s[starts] for s in sums)
+    counts = []
+    for c in _CLASSES:
+        sums = np.append(np.int32(0), np.cumsum(c[data], dtype=np.int32))
+        counts.append((sums[ends] - sums[starts]).astype(np.int64))
+    upper, letters, symbols, marks, stops, digits, foreign = counts
     word_start, word_end, _ = bw.word_spans(data, offsets)
     a, b = np.searchsorted(word_start, starts), np.searchsorted(word_start, ends)
     words = b - a

@@ -73,7 +73,7 @@ def op6_rule_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    return encode_texts(_table(spark, sf, "documents"), read_vocabulary(vocabulary_path()), with_ids=False)
+    return encode_texts(_table(spark, sf, "documents"), read_vocabulary(vocabulary_path()), with_ids=False, with_decoded=False)
 
 
 @query
