@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import bpe_kernel
 from tokenloom.llm import byte_words as bw
+from tokenloom.llm.components import text_batches
 
 
 def read_vocabulary(path: str) -> str:
@@ -34,6 +35,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     Repeated rows and null ids keep a row each; other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     state: dict[str, bpe_kernel.BytePairs] = {}
 

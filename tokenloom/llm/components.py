@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.staging import stage
@@ -22,6 +22,20 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     return out
 
 
+BATCH_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most ``BATCH_ROWS`` rows in this session.
+
+    Spark's 10,000 are made for numbers; that many texts would stand several times in an executor's
+    memory, in the JVM and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def row_reference(id_col: Column, text_col: Column) -> Column:
     """A 64-bit hash of a row's id and text; rows that share both share results too."""
     return F.xxhash64(id_col.cast("string"), F.lit(1), text_col.cast("string"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
 from tokenloom.llm import ctw_kernel as ck
-from tokenloom.llm.components import checkpointed
+from tokenloom.llm.components import checkpointed, text_batches
 
 DEPTH = 4
 RESOLUTION = 2.0 ** -15
@@ -103,6 +103,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and base_score is 0. Repeated rows and null ids (held out) keep a row each; extra columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held_out", held_out(F.col("id"), folds))
     counts = checkpointed(corpus_counts(rows.where(~F.col("held_out")).select("id", "text"), depth))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
 from tokenloom.llm import line_features as lf
+from tokenloom.llm.components import text_batches
 from tokenloom.llm.context_tree import held_out
 
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 200
@@ -33,6 +34,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Null ids and labels teach nothing; of several labels for an id the majority counts, ties as good.
     Without labelled texts all weights are zero, so that every score is one half.
     """
+    text_batches(docs.sparkSession)
     told = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna()
     told = told.where(~held_out(F.col("id"), folds)).groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     chosen = told.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_docs)
@@ -68,6 +70,7 @@ def score_quality(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], id_col:
 
     A null text is empty; an empty text is one empty line. Repeated rows and null ids keep a row each.
     """
+    text_batches(docs.sparkSession)
     weight, step = field
     names = list(dict.fromkeys([id_col, *keep]))
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *names)
@@ -92,6 +95,7 @@ def keep_good(docs: DataFrame, field: tuple[np.ndarray, np.ndarray], text_col: s
 
     Texts go to Python, one answer a row comes back.
     """
+    text_batches(docs.sparkSession)
     weight, step = field
 
     @F.arrow_udf("boolean")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
 from tokenloom.llm import fixed_filter
-from tokenloom.llm.components import checkpointed, components, row_reference
+from tokenloom.llm.components import checkpointed, components, row_reference, text_batches
 
 SKETCH_CELLS = 1 << 18
 SKETCH_BLOCK = 1 << 12
@@ -118,6 +118,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _members(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
     """``id``, ``r``, ``n``, ``least`` (id, r) of every row: its reference, set size and component's first row."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("r", row_reference(F.col("id"), F.col("text")))
     spark = rows.sparkSession

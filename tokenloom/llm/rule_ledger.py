@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
+from tokenloom.llm.components import text_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks")
 
@@ -96,6 +97,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, rows), *[pa.array(np.asarray(v, np.int64)) for v in values]], ["id", *MEASURES])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)).withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm import byte_words as bw
 from tokenloom.llm import fixed_filter
 from tokenloom.llm import window_digits as wd
-from tokenloom.llm.components import checkpointed, row_reference
+from tokenloom.llm.components import checkpointed, row_reference, text_batches
 
 ZONE = "r long, low long, high long, anchor long, core long, context long"
 
@@ -104,6 +104,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a text of its own, so of repeated rows (equal ids or not) all long ones go. Extra columns are
     ignored; null ids keep their row.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("r", row_reference(F.col("id"), F.col("text")))
     spans = checkpointed(repeated_spans(rows.where(F.octet_length("text") >= depth), depth))
