@@ -147,7 +147,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     same = ["label", "h1", "h2"]
     good = base.where("valid")
     classes = good.groupBy(*same).agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.min("v").alias("v"))
-    scaled = classes.withColumn("v", F.transform("v", lambda x: x / F.array_max(F.transform("v", lambda y: F.abs(y)))))
+    scaled = classes.withColumn("peak", peak).withColumn("v", F.transform("v", lambda x: x / F.col("peak"))).drop("peak")
     unit = F.transform("v", lambda x: x / F.col("norm"))
     classes = scaled.withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v")))).withColumn("unit", unit).drop("v", "norm")
     classes = checkpointed(classes.withColumn("c", F.monotonically_increasing_id()))
