@@ -1,8 +1,9 @@
 """Context-tree weighting over byte contexts, each byte decomposed into eight binary choices.
 
 A node is a context of the last d bytes; it holds a Krichevsky-Trofimov estimate for each of the 255
-binary choices of the next byte. Contexts below the tree's resolution have no node of their own: what
-they saw is pooled in their parent's rest leaf, so that every count takes part.
+binary choices of the next byte. Contexts seen too rarely to be nodes have no node of their own: what
+they saw is pooled in their parent's rest leaf, so that every count takes part. The tree is held in two
+parts: its top as dense rows (``ContextTree``), the subtrees below in cells that saw something (``Subtrees``).
 """
 
 from __future__ import annotations
@@ -62,11 +63,13 @@ def _choices(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
 
 
-def _estimate(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability that the estimate gave the counts seen, and its next chance of a one."""
-    zeros, ones = _choices(counts)
-    log_pe = _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
-    return log_pe, (ones + 0.5) / (zeros + ones + 1)
+def _log_pe(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log probability that the estimate gave the counts seen."""
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - math.log(math.pi)
+
+
+def _next_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
 
 
 def _byte_logs(ones: np.ndarray) -> np.ndarray:
@@ -79,69 +82,166 @@ def _byte_logs(ones: np.ndarray) -> np.ndarray:
     return out
 
 
+def _byte_choices(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight binary choices (heap order, from 1) that make each key's byte, and how they were decided."""
+    byte, level = (keys & 255)[:, None], np.arange(8)
+    return (1 << level) | (byte >> (8 - level)), byte >> (7 - level) & 1
+
+
 class ContextTree:
-    """The weighted tree, frozen: for each leaf the log10 probability of every byte.
+    """The weighted tree, frozen, or its part down to ``depth``.
 
-    ``nodes`` maps (depth, context) to 256 counts; every parent of a node is a node.
+    ``nodes`` maps (depth, context) to 256 counts; every parent of a node is a node. If the tree goes on
+    below, ``deeper`` maps contexts of ``depth`` bytes to the zeros, ones and weighted log probabilities
+    (255 each) of their child nodes together; without it, nodes of ``depth`` bytes are leaves.
+    ``through`` + ``left`` * p is the chance of a one if the part below a node says p.
     """
 
-    def __init__(self, nodes: dict[tuple[int, int], np.ndarray], depth: int):
+    def __init__(self, nodes: dict[tuple[int, int], np.ndarray], depth: int, deeper: dict[int, np.ndarray] | None = None):
         nodes = nodes or {(0, 0): np.zeros(256)}
         keys = sorted(nodes)
         at = {k: i for i, k in enumerate(keys)}
         level = np.array([d for d, _ in keys])
         parent = np.array([at[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else -1 for d, c in keys])
-        counts = np.array([nodes[k] for k in keys], np.float64)
-        n, inner = len(keys), level < depth
-        rest = counts.copy()
-        np.subtract.at(rest, parent[1:], counts[1:])
-        log_pe, ones = _estimate(counts)
-        rest_pe, rest_ones = _estimate(rest)
-        below = np.where(inner[:, None], rest_pe, 0.0)  # rest leaf and weighted children
-        own = np.zeros(log_pe.shape)  # share of the node's own estimate in its mixture
-        weighted = np.empty(log_pe.shape)
+        zeros, ones = _choices(np.array([nodes[k] for k in keys], np.float64))
+        rest_zeros, rest_ones = zeros.copy(), ones.copy()
+        np.subtract.at(rest_zeros, parent[1:], zeros[1:])
+        np.subtract.at(rest_ones, parent[1:], ones[1:])
+        below = np.zeros(zeros.shape)
+        for c, (z, o, w) in (deeper or {}).items():
+            i = at[depth, c]
+            rest_zeros[i] -= z
+            rest_ones[i] -= o
+            below[i] += w
+        inner = (level < depth) | (deeper is not None)
+        below += np.where(inner[:, None], _log_pe(rest_zeros, rest_ones), 0.0)  # rest leaf and weighted children
+        log_pe, one = _log_pe(zeros, ones), _next_one(zeros, ones)
+        own = np.ones(zeros.shape)  # share of the node's own estimate in its mixture
         for d in range(depth, -1, -1):
             rows = np.flatnonzero(level == d)
-            if d == depth:
-                weighted[rows] = log_pe[rows]
-            else:
-                both = np.logaddexp(log_pe[rows], below[rows])
-                own[rows] = np.exp(log_pe[rows] - both)
-                weighted[rows] = both + math.log(0.5)
+            weighted = log_pe[rows]
+            if len(rows) and inner[rows[0]]:
+                both = np.logaddexp(weighted, below[rows])
+                own[rows] = np.exp(weighted - both)
+                weighted = both + math.log(0.5)
             if d:
-                np.add.at(below, parent[rows], weighted[rows])
+                np.add.at(below, parent[rows], weighted)
         self.depth = depth
-        self.inner = int(inner.sum())  # keys are sorted by depth, so inner nodes come first
-        # leaf ids follow the inner nodes: the rest leaf of each inner node, then the deepest nodes
-        leaf_node = np.concatenate([np.arange(self.inner), np.flatnonzero(~inner)])
-        self.child = np.repeat(np.arange(self.inner, 2 * self.inner, dtype=np.int32)[:, None], 256, axis=1)
-        for i in range(1, n):
-            d, c = keys[i]
-            self.child[parent[i], c >> 8 * (d - 1)] = i if inner[i] else self.inner + i
-        self.logs = np.empty((len(leaf_node), 256), np.float32)
-        for low in range(0, len(leaf_node), 4096):
-            part = leaf_node[low:low + 4096]
-            is_rest = np.arange(low, low + len(part)) < self.inner
-            p = np.where(is_rest[:, None], rest_ones[part], ones[part])
-            up = np.where(is_rest, part, parent[part])
-            while (up >= 0).any():
-                on = up >= 0
-                w = own[up[on]]
-                p[on] = w * ones[up[on]] + (1 - w) * p[on]
-                up = np.where(on, parent[up], -1)
-            self.logs[low:low + len(part)] = _byte_logs(p)
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        text, places, rows = padded(data, offsets, self.depth)
-        leaf = np.zeros(len(places), np.int32)
-        child = self.child.reshape(-1)
-        for d in range(1, self.depth + 1):
-            on = leaf < self.inner
-            at = np.where(on, leaf, 0).astype(np.int64) * 256 + text[places - d]
-            leaf = np.where(on, child[at], leaf)
-        if not self.depth:
-            leaf[:] = 0
-        logs = self.logs.reshape(-1)[(leaf.astype(np.int64) - self.inner) * 256 + text[places]]
-        total = np.append(0.0, np.cumsum(logs, dtype=np.float64))
-        return total[rows[1:]] - total[rows[:-1]]
+        self.through, self.left = np.zeros(own.shape), np.ones(own.shape)
+        for d in range(depth + 1):
+            rows = np.flatnonzero(level == d)
+            if d:
+                self.through[rows], self.left[rows] = self.through[parent[rows]], self.left[parent[rows]]
+            self.through[rows] += self.left[rows] * own[rows] * one[rows]
+            self.left[rows] *= 1 - own[rows]
+        self.chance = self.through + self.left * _next_one(rest_zeros, rest_ones)
+        self.contexts = [np.array([c for x, c in keys if x == d], np.int64) for d in range(depth + 1)]
+
+    @property
+    def logs(self) -> np.ndarray:
+        """log10 probability of every byte after each node, where no longer context is a node."""
+        return _byte_logs(self.chance)
+
+    def rows(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of the longest node that ends each context, and its depth."""
+        row, deep, first = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64), 0
+        for d, have in enumerate(self.contexts):
+            if d and len(have):
+                want = contexts & ((1 << 8 * d) - 1)
+                at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+                hit = have[at] == want
+                row[hit], deep[hit] = first + at[hit], d
+            first += len(have)
+        return row, deep
+
+
+class Subtrees:
+    """Whole subtrees below contexts of ``top`` bytes, from all their grams (``keys``, all different, and counts).
+
+    A level holds the cells (context, binary choice) that its grams pass; all others saw nothing and weigh 1.
+    Contexts seen ``least`` times or more are nodes.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int, depth: int, least: float):
+        self.keys, self.top, self.depth = keys, top, depth
+        self.choice, self.bit = _byte_choices(keys)
+        self.cells: dict[int, tuple[np.ndarray, ...]] = {}
+        self.places, self.up = {}, {}
+        ids, inverse = np.unique((keys >> 8 << 8)[:, None] | self.choice, return_inverse=True)
+        inverse = inverse.ravel()
+        ones = np.bincount(inverse, (self.bit * counts[:, None]).ravel(), len(ids))
+        zeros = np.bincount(inverse, ((1 - self.bit) * counts[:, None]).ravel(), len(ids))
+        self.places[depth] = inverse.reshape(-1, 8)
+        below = rest_one = None
+        for d in range(depth, top, -1):
+            head = (ids & 255) == 1
+            node = (zeros + ones)[head][np.cumsum(head) - 1] >= least
+            log_pe, one = _log_pe(zeros, ones), _next_one(zeros, ones)
+            own, weighted = np.ones(len(ids)), log_pe
+            if below is not None:
+                both = np.logaddexp(log_pe, below)
+                own, weighted = np.exp(log_pe - both), both + math.log(0.5)
+            self.cells[d] = ids, zeros, ones, node, own, one, one if rest_one is None else rest_one, weighted
+            if d == top + 1:
+                break
+            parents, up = np.unique((ids >> 8 & ((1 << 8 * (d - 1)) - 1)) << 8 | ids & 255, return_inverse=True)
+            total = lambda x, up=up, n=len(parents): np.bincount(up, x, n)
+            all_zeros, all_ones = total(zeros), total(ones)
+            rest_zeros, rest_ones = all_zeros - total(zeros * node), all_ones - total(ones * node)
+            below = _log_pe(rest_zeros, rest_ones) + total(weighted * node)
+            rest_one = _next_one(rest_zeros, rest_ones)
+            self.up[d], self.places[d - 1] = up, up[self.places[d]]
+            ids, zeros, ones = parents, all_zeros, all_ones
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """Per context of ``top`` bytes and choice: zeros, ones and weighted log probabilities of its child nodes."""
+        ids, zeros, ones, node, *_, weighted = self.cells[self.top + 1]
+        at, up = np.unique(((ids >> 8 & ((1 << 8 * self.top) - 1)) << 8 | ids & 255)[node], return_inverse=True)
+        return at, *[np.bincount(up, x[node], len(at)) for x in (zeros, ones, weighted)]
+
+    def logs(self, tree: ContextTree) -> np.ndarray:
+        """log10 probability of each gram's byte after its context, ``tree`` being what lies above."""
+        row, _ = tree.rows(self.keys >> 8)
+        chance = tree.chance[row[:, None], self.choice - 1]
+        for d in range(self.top + 1, self.depth + 1):
+            ids, _, _, node, own, one, rest_one, _ = self.cells[d]
+            if d == self.top + 1:
+                above, _ = tree.rows(ids >> 8)
+                choice = (ids & 255) - 1
+                through, left = tree.through[above, choice], tree.left[above, choice]
+            else:
+                through, left = through[self.up[d]], left[self.up[d]]
+            through = through + left * own * one
+            left = left * (1 - own)
+            at = self.places[d]
+            chance = np.where(node[at], (through + left * rest_one)[at], chance)
+        return np.log10(np.where(self.bit == 1, chance, 1 - chance)).sum(axis=1)
+
+
+class KeyTable:
+    """Values by 64-bit key, in buckets by a multiplicative hash."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(int(len(keys)).bit_length(), 1)
+        mixed = self._bucket(keys)
+        order = np.argsort(mixed, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.first = np.searchsorted(mixed[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is held, and its value (0 if not)."""
+        bucket = self._bucket(keys)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        hit, out = np.zeros(len(keys), bool), np.zeros(len(keys))
+        live = np.flatnonzero(at < end)
+        while len(live):
+            same = self.keys[at[live]] == keys[live]
+            hit[live[same]] = True
+            out[live[same]] = self.values[at[live[same]]]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return hit, out
