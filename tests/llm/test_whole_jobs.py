@@ -7,6 +7,7 @@ import plain
 import pytest
 
 from tokenloom.llm.context_tree import score_texts
+from tokenloom.llm.secret_links import redact_secrets, scan_secrets, shown
 
 
 @pytest.mark.parametrize("head_grams", [1 << 21, 20])
@@ -18,3 +19,15 @@ def test_contexts_seen_twice_are_nodes(spark, head_grams):
     expected = plain.tree_log10(train, [t.encode() for t in texts], 5, 2 / total)
     found = {r.doc_id: r.score for r in score_texts(docs, depth=5, head_grams=head_grams).collect()}
     assert np.allclose([found[i] for i in range(len(texts))], expected, rtol=1e-6)
+
+
+def test_assigned_and_hex_secrets_link_too(spark):
+    texts = ["ABCDEFGH12345678 password=hunter22 https://db.example.com/", "id ABCDEFGH12345678 " + "0a" * 20, "a" * 24 + " https://a.example.org/x",
+             "ABCDEFGH12345678 \n\n password=hunter22", "password=hunter22 " + "pad " * 120 + "https://db.example.com/", "password=ab https://db.example.com/"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in scan_secrets(docs).select("doc_id", shown("spans").alias("s")).collect()}
+    assert found == {0: "ident:0:16,assign:17:34,endpoint:35:58", 1: "ident:3:19,hex:20:60", 2: "hex:0:24,endpoint:25:48",
+                     3: "assign:20:37", 4: "assign:0:17", 5: ""}
+    clean = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert [clean[i] for i in range(3)] == ["[SECRET] [SECRET] [SECRET]", "id [SECRET] [SECRET]", "[SECRET] [SECRET]"]
+    assert clean[5] == texts[5]

@@ -2,7 +2,8 @@
 
 Strong patterns (assignments, access identifiers, long hex runs) are reported wherever they stand.
 Weak candidates (identifier-like and key-like tokens, endpoints) are common in clean text, so they are
-reported only beside complementary parts. Scopes are paragraphs; within a scope an interval join by
+reported only beside complementary parts: identifiers and endpoints beside a secret (key, assignment or
+hex run), keys beside an identifier or endpoint. Scopes are paragraphs; within a scope an interval join by
 window functions looks up the nearest complementary part on either side of every candidate.
 """
 
@@ -18,6 +19,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
+SECRETS = ("key", "assign", "hex")
 LEAST_VALUE = 6
 
 # Weak patterns. A token is a whole run; what it may be is told by its length and letters.
@@ -99,10 +101,10 @@ def _linked(cases: DataFrame, reach: int) -> DataFrame:
         right = F.min(F.when(part, F.col("start"))).over(back) - F.col("end") <= reach
         return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
 
-    flags = events.withColumns({"by_id": near("ident", "access"), "by_key": near("key"), "by_end": near("endpoint")})
+    flags = events.withColumns({"by_id": near("ident", "access"), "by_secret": near(*SECRETS), "by_end": near("endpoint")})
     kept = flags.where(
-        ((F.col("kind") == "ident") & F.col("by_key")) | ((F.col("kind") == "key") & (F.col("by_id") | F.col("by_end")))
-        | ((F.col("kind") == "endpoint") & F.col("by_key")))
+        ((F.col("kind") == "ident") & F.col("by_secret")) | ((F.col("kind") == "key") & (F.col("by_id") | F.col("by_end")))
+        | ((F.col("kind") == "endpoint") & F.col("by_secret")))
     return kept.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("weak"))
 
 
@@ -146,15 +148,15 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFra
         "id", "ref", "text", "assign", "access", "hex",
         _bare(F.filter("tokens", lambda s: s["word"].rlike(IDENT) & ~s["word"].startswith("AKIA")), "ident").alias("ident"),
         _bare(F.filter("tokens", lambda s: s["word"].rlike(KEY)), "key").alias("key"))
-    some = F.size("key") > 0  # every link has a key
+    some = F.size("key") + F.size("assign") + F.size("hex") > 0  # every link has a secret
     none = F.array().cast(SPANS)
     found = weak.select(
         "id", "ref", "assign", "access", "hex", "ident", "key",
         F.when(some, _bare(_found(F.col("text"), ENDPOINT, "endpoint"))).otherwise(none).alias("endpoint"),
         F.when(some, _bare(_found(F.col("text"), BREAK, "break"))).otherwise(none).alias("breaks"))
     found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
-    events = F.concat("access", "ident", "key", "endpoint", "breaks")
-    cases = found.where((F.size("key") > 0) & (F.size("access") + F.size("ident") + F.size("endpoint") > 0)).select("row", events.alias("events"))
+    events = F.concat("assign", "access", "hex", "ident", "key", "endpoint", "breaks")
+    cases = found.where((F.size("key") + F.size("assign") + F.size("hex") > 0) & (F.size("access") + F.size("ident") + F.size("endpoint") > 0)).select("row", events.alias("events"))
     both = found.join(_linked(cases, reach), "row", "left")
     base = F.concat("assign", "access", "hex")
     return both.select(
