@@ -6,7 +6,10 @@ links of all passes are united into components. A window bounds what one pass co
 a component are counted anew and exactly: members within half the threshold angle of the component's
 centre all link with each other by the triangle inequality, and only the others are compared, in blocks.
 A pass misses links across the borders of its range partitions and beyond its window; other passes,
-with other hashes, find them. Two vectors of a label that no pass brings together stay unlinked.
+with other hashes, find them. The first passes tell how many leading bits a pair must share to stand
+within the window, which grows with the label; from the chance that a pair just at the threshold shares
+them, each label gets as many further passes as an expected recall of ``RECALL`` takes. Two vectors of
+a label that no pass brings together stay unlinked.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from tokenloom.llm.components import checkpointed, components
 
 THRESHOLD = 0.93
 PASSES, TOGETHER, BITS, WINDOW = 8, 4, 62, 48
+RECALL = 0.98
 BLOCK = 256
 MARGIN = 1e-6
 
@@ -55,7 +59,12 @@ def _forest(a: list[int], b: list[int]) -> list[int]:
 
 
 def _pass_links(classes: DataFrame, numbers: range, window: int, threshold: float) -> DataFrame:
-    """Links (a, b) that spanning forests of the compared windows of these passes hold."""
+    """Links (a, b) that spanning forests of the compared windows of these passes hold, and rows without a link.
+
+    The latter tell per ``label`` and ``width`` of how many vectors (``n``) the one ``window`` places on shares
+    ``bits`` leading bits; vectors linked with that one are left out, as their surroundings are linked anyway.
+    A column ``passes`` of ``classes`` ends the passes of its row.
+    """
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widths = batch.column(1).value_lengths().to_numpy()
@@ -66,8 +75,10 @@ def _pass_links(classes: DataFrame, numbers: range, window: int, threshold: floa
                     planes = np.random.default_rng((number, width)).standard_normal((width, BITS))
                     bits = (units @ planes > 0).astype(np.int64)
                     key = bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                    asked = part.column(3).to_numpy() > number
+                    some, key = part.filter(pa.array(asked)), key[asked]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), part.column(2), pa.array(np.full(len(key), number, np.int32)), pa.array(np.full(len(key), width, np.int32)), pa.array(key)],
+                        [some.column(0), some.column(1), some.column(2), pa.array(np.full(len(key), number, np.int32)), pa.array(np.full(len(key), width, np.int32)), pa.array(key)],
                         ["c", "unit", "label", "pass", "width", "key"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,23 +91,60 @@ def _pass_links(classes: DataFrame, numbers: range, window: int, threshold: floa
             group = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True))
             change = np.flatnonzero([True, *[x != y for x, y in zip(group[1:], group[:-1], strict=True)]])
             ids = batch.column(0).to_numpy()
+            keys = batch.column(5).to_numpy()
             left, right = [], []
             for low, high in zip(change.tolist(), [*change[1:].tolist(), len(group)], strict=True):
                 units = _units(batch.column(1).slice(low, high - low), group[low][2])
                 for k in range(1, min(window, high - low - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", units[k:], units[:-k]) >= threshold)
+                    near = np.einsum("ij,ij->i", units[k:], units[:-k]) >= threshold
+                    hit = np.flatnonzero(near)
+                    if k == window:
+                        far = np.flatnonzero(~near)
+                        far = far[far + k + low >= old]
+                        shared = BITS - np.frexp((keys[low + far] ^ keys[low + far + k]).astype(np.float64))[1]
+                        bits, n = np.unique(shared, return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()), pa.array([group[low][0]] * len(n), batch.column(2).type),
+                             pa.array(np.full(len(n), group[low][2], np.int32)), pa.array(bits.astype(np.int32)), pa.array(n)], names)
                     hit = hit[hit + k + low >= old]  # the tail was compared in its own batch
                     left.append(ids[low + hit])
                     right.append(ids[low + hit + k])
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
                 kept = _forest(a.tolist(), b.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+                none = len(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[kept]), pa.array(b[kept]), pa.nulls(none, batch.column(2).type), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64())], names)
 
     label = classes.schema["label"].dataType.simpleString()
+    names = ["a", "b", "label", "width", "bits", "n"]
     order = ["pass", "label", "width", "key", "c"]
-    rows = classes.select("c", "unit", "label").mapInArrow(keyed, f"c long, unit array<double>, label {label}, pass int, width int, key long")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compared, "a long, b long").distinct()
+    rows = classes.select("c", "unit", "label", "passes").mapInArrow(keyed, f"c long, unit array<double>, label {label}, pass int, width int, key long")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compared, f"a long, b long, label {label}, width int, bits int, n long")
+
+
+def _passes(told: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """``label``, ``width``, ``passes``: how many passes bring an expected ``recall`` of pairs at the threshold together.
+
+    A pair that shares one bit more than the vectors a window apart stands within the window.
+    """
+    sizes = told.where("a is null").groupBy("label", "width", "bits").agg(F.sum("n").alias("n"))
+    sizes = sizes.groupBy("label", "width").agg(F.collect_list(F.struct("bits", "n")).alias("found"))
+    same = 1 - math.acos(threshold) / math.pi
+
+    @F.udf("int")
+    def needed(found: list) -> int:
+        chance = same ** (np.array([f["bits"] for f in found]) + 1.0)
+        share = np.array([f["n"] for f in found]) / sum(f["n"] for f in found)
+        low, high = 0, 1
+        while (share * (1 - chance) ** high).sum() > 1 - recall:
+            low, high = high, high * 2
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if (share * (1 - chance) ** mid).sum() > 1 - recall else (low, mid)
+        return high
+
+    return sizes.select("label", "width", needed("found").alias("passes"))
 
 
 def _fringe_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -126,7 +174,7 @@ def _fringe_links(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                 threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+                 threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
     """``id_col``, n_links, component_id, kept: near-duplicate vectors of a label by cosine.
 
     Vectors link when both have the same non-null label and length and their cosine in double precision
@@ -152,10 +200,18 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     classes = scaled.withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v")))).withColumn("unit", unit).drop("v", "norm")
     classes = checkpointed(classes.withColumn("c", F.monotonically_increasing_id()))
 
-    found = [checkpointed(_pass_links(classes, range(p, min(p + TOGETHER, passes)), window, threshold)) for p in range(0, passes, TOGETHER)]
+    first = classes.withColumn("passes", F.lit(passes))
+    found = [checkpointed(_pass_links(first, range(p, min(p + TOGETHER, passes)), window, threshold)) for p in range(0, passes, TOGETHER)]
+    more = _passes(found[0], threshold, recall).where(F.col("passes") > passes)
+    more = checkpointed(more.withColumnsRenamed({"label": "l", "width": "w"}))
+    most = more.agg(F.max("passes")).first()[0] or passes
+    again = classes.join(more, (F.col("label") == F.col("l")) & (F.size("unit") == F.col("w"))).drop("l", "w")
+    for p in range(passes, most, TOGETHER):
+        found.append(checkpointed(_pass_links(again.where(F.col("passes") > p), range(p, min(p + TOGETHER, most)), window, threshold), free=True))
     links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+    for others in found[1:]:
+        links = links.unionByName(others)
+    links = links.where("a is not null").select("a", "b")
     roots = components(links)
 
     members = checkpointed(classes.join(roots.select(F.col("node").alias("c"), "root"), "c").select("c", "root", "copies", "rep", "unit"))
