@@ -15,15 +15,18 @@ from tokenloom.llm import (
     fixed_filter,
     line_crf,
     line_features,
+    merkle_manifest,
     mixture,
     ngram_join,
     rule_ledger,
     suffix_dedup,
     url_trie,
+    veb_layout,
     vector_passes,
     window_digits,
 )
 
 for _module in (bpe, bpe_kernel, byte_words, context_tree, ctw_kernel, fixed_filter, line_crf, line_features,
-                mixture, ngram_join, rule_ledger, suffix_dedup, url_trie, vector_passes, window_digits):
+                merkle_manifest, mixture, ngram_join, rule_ledger, suffix_dedup, url_trie, veb_layout, vector_passes,
+                window_digits):
     cloudpickle.register_pickle_by_value(_module)

