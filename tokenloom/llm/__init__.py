@@ -7,12 +7,14 @@ functions, so executors need no install step.
 from pyspark import cloudpickle
 
 from tokenloom.llm import (
+    block_join,
     bpe,
     bpe_kernel,
     byte_words,
     context_tree,
     ctw_kernel,
     fixed_filter,
+    int8_tiles,
     line_crf,
     line_features,
     merkle_manifest,
@@ -26,7 +28,7 @@ from tokenloom.llm import (
     window_digits,
 )
 
-for _module in (bpe, bpe_kernel, byte_words, context_tree, ctw_kernel, fixed_filter, line_crf, line_features,
-                merkle_manifest, mixture, ngram_join, rule_ledger, suffix_dedup, url_trie, veb_layout, vector_passes,
+for _module in (block_join, bpe, bpe_kernel, byte_words, context_tree, ctw_kernel, fixed_filter, int8_tiles,
+                line_crf, line_features, merkle_manifest, mixture, ngram_join, rule_ledger, suffix_dedup, url_trie, veb_layout, vector_passes,
                 window_digits):
     cloudpickle.register_pickle_by_value(_module)

@@ -89,6 +89,13 @@ SQL: dict[str, str] = {
         told as (select rid, arg_max(proof, level) as proof, arg_max(folded, level) as folded from rise group by rid)
         select doc_id, leaf, sub.digest as subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
         from ranked join told using (rid) join sub on ranked.source is not distinct from sub.source, ends""",
+    "op12_block_join": """with v as (select distinct vec_id, embedding::double[] as e from embeddings where vec_id is not null
+            and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        n as (select vec_id, e, len(e) as width, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) as norm from v),
+        p as (select q.vec_id as query_id, q.e as qe, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) / (q.norm * c.norm) as score
+              from n q join n c on q.width = c.width and q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        r as (select *, row_number() over (partition by query_id, qe order by score desc, vec_id) as rank from p)
+        select query_id, rank::int as rank, vec_id, score from r where rank <= 5""",
     "op10_mixture": rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0) as size,
             md5(concat_ws(chr(31), '0', doc_id::varchar)) as k from documents),
         s as (select source, sum(size)::bigint as n, 3.0::double * sum(size)::double as lim from d group by source),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.llm.block_join import nearest
 from tokenloom.llm.bpe import encode_texts, read_vocabulary
 from tokenloom.llm.context_tree import held_out, score_texts
 from tokenloom.llm.line_crf import FOLDS, fit_field, score_quality
@@ -102,3 +103,8 @@ def op11_merkle_veb(spark: SparkSession, sf: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     lowered = F.translate(F.col("text"), UPPER, LOWER)
     return audit(build_manifest(_table(spark, sf, "documents"), changes={"text": lowered}, changed=hit))
+
+
+@query
+def op12_block_join(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
