@@ -12,6 +12,7 @@ from tokenloom.llm import (
     bpe_kernel,
     byte_words,
     context_tree,
+    conversation_repair,
     ctw_kernel,
     fixed_filter,
     int8_tiles,
@@ -20,6 +21,7 @@ from tokenloom.llm import (
     merkle_manifest,
     mixture,
     ngram_join,
+    repair_cyk,
     rule_ledger,
     suffix_dedup,
     url_trie,
@@ -28,7 +30,7 @@ from tokenloom.llm import (
     window_digits,
 )
 
-for _module in (block_join, bpe, bpe_kernel, byte_words, context_tree, ctw_kernel, fixed_filter, int8_tiles,
-                line_crf, line_features, merkle_manifest, mixture, ngram_join, rule_ledger, suffix_dedup, url_trie, veb_layout, vector_passes,
-                window_digits):
+for _module in (block_join, bpe, bpe_kernel, byte_words, context_tree, conversation_repair, ctw_kernel, fixed_filter,
+                int8_tiles, line_crf, line_features, merkle_manifest, mixture, ngram_join, repair_cyk, rule_ledger,
+                suffix_dedup, url_trie, veb_layout, vector_passes, window_digits):
     cloudpickle.register_pickle_by_value(_module)

@@ -96,6 +96,47 @@ SQL: dict[str, str] = {
               from n q join n c on q.width = c.width and q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id, qe order by score desc, vec_id) as rank from p)
         select query_id, rank::int as rank, vec_id, score from r where rank <= 5""",
+    "op13_cyk_repair": rf"""with recursive
+        c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+              {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as hit from conversations),
+        d as (select conv_id, turn, case when hit = 4 then 'user' else role end as role,
+              case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+              unnest(range(case when hit = 3 then 2 else 1 end)) as copy from c where hit <> 0),
+        o as (select *, sha256(role || chr(0) || text) as h, row_number() over (partition by conv_id order by turn nulls first, sha256(role || chr(0) || text), copy) as pos,
+              row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth from d),
+        f as (select conv_id, pos, turn, role, text, left(role, 1) as i, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when nth > 1 then 'duplicate'
+              when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else 'good' end as fault from o),
+        steps(p, q, i) as (values (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+        made as (select p, q from steps where i <> 's'),
+        e1 as (select p, q, 5 as cost, 'I' as a from made union all select p, p, 0, '' from (select unnest(range(4)) as p)),
+        e2 as (select x.p, y.q, x.cost + y.cost as cost, x.a || y.a as a from e1 x join e1 y on x.q = y.p),
+        e4 as (select x.p, y.q, x.cost + y.cost as cost, x.a || y.a as a from e2 x join e2 y on x.q = y.p),
+        gap as (select p, q, min(cost) as cost, arg_min(a, cost) as a from e4 group by p, q),
+        edits as (select f.conv_id, f.pos, s.p, s.q, 'K' as a, if(fault = 'truncated', 5, 0) as cost from f join steps s using (i) where fault in ('good', 'truncated')
+            union all select f.conv_id, f.pos, m.p, m.q, 'R', 1 + if(fault = 'truncated', 5, 0) from f, made m where fault in ('good', 'truncated')
+            union all select f.conv_id, f.pos, p, p, 'D', 2 from f, (select unnest(range(4)) as p)),
+        best(conv_id, pos, q, v) as (
+            select conv_id, 0, 0, {{'cost': 0, 'a': '', 'roles': ''}} from (select distinct conv_id from conversations)
+            union all select b.conv_id, e.pos, e.q, min({{'cost': (b.v.cost + g.cost + e.cost)::int, 'a': b.v.a || g.a || e.a, 'roles': ''}})
+            from best b join gap g on g.p = b.q join edits e on e.conv_id is not distinct from b.conv_id and e.pos = b.pos + 1 and e.p = g.q group by b.conv_id, e.pos, e.q),
+        n as (select conv_id, count(*) as n from f group by conv_id),
+        last as (select b.conv_id, min({{'cost': (b.v.cost + g.cost)::int, 'a': b.v.a || g.a}}) as v from best b left join n on n.conv_id is not distinct from b.conv_id join gap g on g.p = b.q
+              where b.pos = coalesce(n.n, 0) and (g.q = 3 or (b.q = 0 and g.q = 0)) group by b.conv_id),
+        letters as (select conv_id, unnest(string_split(v.a, '')) as l, unnest(range(1, length(v.a) + 1)) as k from last where v.a <> ''),
+        placed as (select *, sum((l <> 'I')::int) over w as pos, sum((l <> 'D')::int) over w as place
+              from letters window w as (partition by conv_id order by k rows unbounded preceding)),
+        rows_ as (select p.conv_id, p.k, p.l, p.place, case when p.l = 'I' then '' else f.text end as text, case when p.l = 'K' then f.role end as kept,
+              max(case when p.l = 'K' and p.place = 1 and f.i = 's' then 1 else 0 end) over (partition by p.conv_id) as led
+              from placed p left join f on f.conv_id is not distinct from p.conv_id and f.pos = p.pos and p.l <> 'I' where p.l <> 'D'),
+        spelled as (select conv_id, string_agg(coalesce(kept, if((place - led) % 2 = 1, 'user', 'assistant')) || ':' || text, chr(10) order by k) as t from rows_ group by conv_id),
+        near as (select conv_id, i || lead(i) over (partition by conv_id order by pos) as pair from f),
+        bad as (select conv_id, count(*) as illegal from near where pair is not null and pair not in ('su', 'ua', 'au') group by conv_id),
+        sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum((fault = 'blank')::int)::bigint as blank,
+              sum((fault = 'duplicate')::int)::bigint as duplicate, sum((fault = 'truncated')::int)::bigint as truncated from f group by conv_id)
+        select l.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+        coalesce(illegal, 0)::bigint as illegal, l.v.cost::bigint as cost, l.v.a as audit, sha256(coalesce(t, '')) as repaired_sha256
+        from last l left join sums s on s.conv_id is not distinct from l.conv_id left join bad b on b.conv_id is not distinct from l.conv_id
+        left join spelled x on x.conv_id is not distinct from l.conv_id""",
     "op10_mixture": rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {WORD})), 0) as size,
             md5(concat_ws(chr(31), '0', doc_id::varchar)) as k from documents),
         s as (select source, sum(size)::bigint as n, 3.0::double * sum(size)::double as lim from d group by source),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.block_join import nearest
 from tokenloom.llm.bpe import encode_texts, read_vocabulary
 from tokenloom.llm.context_tree import held_out, score_texts
+from tokenloom.llm.conversation_repair import damaged, repair_conversations
 from tokenloom.llm.line_crf import FOLDS, fit_field, score_quality
 from tokenloom.llm.merkle_manifest import audit, build_manifest
 from tokenloom.llm.mixture import mix_sources
@@ -108,3 +109,8 @@ def op11_merkle_veb(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op12_block_join(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_cyk_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_conversations(damaged(_table(spark, sf, "conversations")))
