@@ -116,7 +116,7 @@ def build_manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str =
         later = F.lower(F.hex(leaf_digest([changes.get(c, F.col(c)) for c in fields])))
         found = F.when(F.lit(True) if changed is None else changed, later)
     nodes = docs.select(F.col(group).cast("string").alias("g"), F.col(order).alias("id"), now.alias("leaf"), found.alias("found"))
-    trees = _levels(_numbered(nodes), height)
+    trees = _levels(_numbered(checkpointed(nodes)), height)  # the range sort reads its input twice, texts only once
     width = veb.FAN ** height
     tops = [t.where(F.col("total") <= width).select("g", "digest") for t in trees]
     roots = tops[0]
