@@ -6,6 +6,8 @@ Every operator is a ``DataFrame -> DataFrame`` function, usable with ``df.transf
 from pyspark import cloudpickle
 
 from tokenloom import kernels
+from tokenloom.streaming import resumable
 
 # Task-side helpers travel inside the serialized functions, so executors need no install step.
-cloudpickle.register_pickle_by_value(kernels)
+for _module in (kernels, resumable):
+    cloudpickle.register_pickle_by_value(_module)

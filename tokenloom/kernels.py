@@ -303,6 +303,33 @@ def pack_window(rows, order, capacity):
             .append_column("slot", pa.array(slots, pa.int32())))
 
 
+def cut_units(ids, seq_len, low):
+    """Packing units of one row: whole up to ``seq_len``, else blocks, a last one below ``low`` left out."""
+    if len(ids) <= seq_len:
+        return [list(ids)]
+    blocks = [list(ids[at:at + seq_len]) for at in range(0, len(ids), seq_len)]
+    return blocks if len(blocks[-1]) >= low else blocks[:-1]
+
+
+def window_bins(units, capacity, low):
+    """(ids, unit lengths) of each bin of one window, its units in order of arrival."""
+    fitting = sorted((u for u in units if low <= len(u) <= capacity), key=len, reverse=True)
+    bins, _ = best_fit([len(u) for u in fitting], capacity)
+    out = [([], []) for _ in range(max(bins, default=-1) + 1)]
+    for unit, number in zip(fitting, bins, strict=True):
+        out[number][0].extend(unit)
+        out[number][1].append(len(unit))
+    return out
+
+
+def bins_of(units, capacity, low):
+    """``window_bins`` of each list<list<int32>> of an Arrow array."""
+    kind = pa.struct([("bin", pa.int32()), ("input_ids", pa.list_(pa.int32())), ("_lens", pa.list_(pa.int32()))])
+    rows = [[{"bin": k, "input_ids": ids, "_lens": lens} for k, (ids, lens) in enumerate(window_bins(window, capacity, low))]
+            for window in units.to_pylist()]
+    return pa.array(rows, pa.list_(kind))
+
+
 # --- JSON spelling -----------------------------------------------------------------------
 
 

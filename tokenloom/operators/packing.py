@@ -7,7 +7,7 @@ put together.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom import kernels
@@ -91,6 +91,12 @@ def _segments():
     )
 
 
+def unit_segments(lens: Column) -> Column:
+    """Interval of every unit of a sample from the units' lengths."""
+    ends = F.transform(lens, lambda n, i: F.aggregate(F.slice(lens, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b))
+    return F.transform(lens, lambda n, i: F.struct(i.alias("unit_idx"), (F.get(ends, i) - n).alias("start"), n.alias("len")))
+
+
 def pad_samples(samples: DataFrame, block_size: int, pad_id: int) -> DataFrame:
     """Cut or pad every sample to ``block_size``; adds ``attention_mask``.
 

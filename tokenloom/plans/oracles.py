@@ -508,4 +508,5 @@ SQL: dict[str, str] = {
     "stream_chunk": with_parts(_CHUNKS),
     "stream_small_head": with_parts(_CHUNKS),
     "stream_pack": with_parts(_PADDED),
+    "stream_pack_resumed": with_parts(_PADDED),
 }
