@@ -96,26 +96,40 @@ def content_text(m: Column) -> Column:
     return F.coalesce(m["content"], joined, F.lit(""))
 
 
-def numbered_texts(messages: Column) -> Column:
-    """Texts of all messages with pictures and videos numbered through the conversation, in one pass."""
+def media_counts(m: Column) -> tuple[Column, Column]:
+    """Pictures and videos among the parts of a message; also those of one whose text is used instead."""
+    parts = F.coalesce(m["parts"], F.array().cast(PARTS))
+    return F.size(F.filter(parts, is_image)), F.size(F.filter(parts, is_video))
+
+
+def numbered_text(m: Column, images: Column, videos: Column) -> Column:
+    """Text of one message whose pictures and videos are numbered on from those before it."""
     def with_part(acc: Column, p: Column) -> Column:
-        images = acc["images"] + F.when(is_image(p), 1).otherwise(0)
-        videos = acc["videos"] + F.when(is_video(p), 1).otherwise(0)
-        shown = F.when(is_image(p), F.concat(F.lit("Picture "), images.cast("string"), F.lit(": " + IMAGE))) \
-            .when(is_video(p), F.concat(F.lit("Video "), videos.cast("string"), F.lit(": " + VIDEO))) \
+        image = acc["images"] + F.when(is_image(p), 1).otherwise(0)
+        video = acc["videos"] + F.when(is_video(p), 1).otherwise(0)
+        shown = F.when(is_image(p), F.concat(F.lit("Picture "), image.cast("string"), F.lit(": " + IMAGE))) \
+            .when(is_video(p), F.concat(F.lit("Video "), video.cast("string"), F.lit(": " + VIDEO))) \
             .otherwise(F.coalesce(p["text"], F.lit("")))
-        return F.struct(images.alias("images"), videos.alias("videos"), F.concat(acc["text"], shown).alias("text"))
+        return F.struct(image.alias("images"), video.alias("videos"), F.concat(acc["text"], shown).alias("text"))
 
-    def with_message(acc: Column, m: Column) -> Column:
-        start = F.struct(acc["images"].alias("images"), acc["videos"].alias("videos"), F.lit("").alias("text"))
-        parts = F.coalesce(m["parts"], F.array().cast(PARTS))
-        return let(F.aggregate(parts, start, with_part), lambda r: F.struct(
-            r["images"].alias("images"), r["videos"].alias("videos"),
-            F.concat(acc["texts"], F.array(F.coalesce(m["content"], r["text"]))).alias("texts")))
+    parts = F.coalesce(m["parts"], F.array().cast(PARTS))
+    start = F.struct(images.cast("int").alias("images"), videos.cast("int").alias("videos"), F.lit("").alias("text"))
+    return F.coalesce(m["content"], F.aggregate(parts, start, with_part, lambda acc: acc["text"]))
+
+
+def numbered_texts(messages: Column) -> Column:
+    """Texts of all messages with pictures and videos numbered through the conversation.
 
-    none = F.struct(F.lit(0).alias("images"), F.lit(0).alias("videos"),
-                    F.array().cast("array<string>").alias("texts"))
-    return F.aggregate(messages, none, with_message, lambda acc: acc["texts"])
+    A first pass carries the counts alone, so no text is copied more than once.
+    """
+    def counted(acc: Column, m: Column) -> Column:
+        images, videos = media_counts(m)
+        return F.struct((acc["images"] + images).alias("images"), (acc["videos"] + videos).alias("videos"),
+                        F.concat(acc["ahead"], F.array(F.struct(acc["images"].alias("images"), acc["videos"].alias("videos")))).alias("ahead"))
+
+    none = F.struct(F.lit(0).alias("images"), F.lit(0).alias("videos"), F.array().cast("array<struct<images:int,videos:int>>").alias("ahead"))
+    ahead = F.aggregate(messages, none, counted, lambda acc: acc["ahead"])
+    return F.zip_with(messages, ahead, lambda m, n: numbered_text(m, n["images"], n["videos"]))
 
 
 # --- reasoning ---------------------------------------------------------------------------
@@ -174,18 +188,24 @@ def tool_call_text(calls: Column, text: Column) -> Column:
 
 
 def _turn_text(turns: Column, t: Column, i: Column, query: Column, with_calls: bool) -> Column:
+    role_at = lambda k: F.get(turns, k)["role"]
+    return turn_text(t, i > query, i > 0, role_at(i - 1), role_at(i + 1), with_calls)
+
+
+def turn_text(t: Column, after_query: Column, follows: Column, before: Column, after: Column, with_calls: bool) -> Column:
+    """Text of one normalized turn, given whether it comes after the last query, whether a turn stands
+    ahead of it, and the roles of its neighbours (null for none)."""
     def assistant(split: Column) -> Column:
         think = F.concat(F.lit("<think>\n"), split["reasoning"], F.lit("\n</think>\n\n"))
         calls = tool_call_text(t["calls"], split["answer"]) if with_calls else F.lit("")
         return F.concat(F.lit(TURN_START + "assistant\n"),
-                        F.when(i > query, think).otherwise(F.lit("")),
+                        F.when(after_query, think).otherwise(F.lit("")),
                         split["answer"], calls, F.lit(TURN_END))
 
     reasoning, answer = split_thinking(t["text"], t["reasoning"])
     split = F.struct(reasoning.alias("reasoning"), answer.alias("answer"))
-    role_at = lambda k: F.get(turns, k)["role"]
-    opens = (i > 0) & ~F.coalesce(role_at(i - 1) == "tool", F.lit(False))
-    closes = ~F.coalesce(role_at(i + 1) == "tool", F.lit(False))
+    opens = follows & ~F.coalesce(before == "tool", F.lit(False))
+    closes = ~F.coalesce(after == "tool", F.lit(False))
     tool = F.concat(F.when(opens, F.lit(TURN_START + "user")).otherwise(F.lit("")),
                     F.lit(f"\n{RESPONSE_OPEN}\n"), t["text"], F.lit(f"\n{RESPONSE_CLOSE}"),
                     F.when(closes, F.lit(TURN_END)).otherwise(F.lit("")))

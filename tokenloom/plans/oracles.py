@@ -151,9 +151,16 @@ def rendered(turns: str, *, end: str = "''", head: str | None = None, after: str
         ("q", f"select conv_id, max(idx) as lq from t where {is_query} group by conv_id"),
         ("prompts", f"""select conv_id, {system} || string_agg({piece}, '' order by idx) || {end} as prompt
             from t join q using (conv_id) group by conv_id"""),
+        ("pieces_t", f"""select conv_id, turn, case when idx = 0 and role = 'system' then
+            {text(C.TURN_START + 'system' + chr(10))} || body || {text(C.TURN_END)} else '' end || {piece} as piece
+            from t join q using (conv_id)"""),
     )
 
 
+def piece_report(*parts: tuple[str, str]) -> str:
+    return with_parts("select conv_id, turn, length(piece) as n, md5(piece) as piece_md5 from pieces_t", *parts)
+
+
 def prompt_report(*parts: tuple[str, str], key: str = "conv_id") -> str:
     return with_parts(f"select {key}, length(prompt) as n, md5(prompt) as prompt_md5 from prompts", *parts)
 
@@ -498,6 +505,8 @@ SQL: dict[str, str] = {
     "media_count": _contents(True),
     "render_media": prompt_report(*rendered(
         f"select conv_id, turn, role, {_media(True)} as text from conversations")),
+    "render_turn_rows": piece_report(*rendered(TOOL_TURNS)),
+    "render_turn_media": piece_report(*rendered(f"select conv_id, turn, role, {_media(True)} as text from conversations")),
     "chat_validate": _validate(),
     "chat_samples": prompt_report(*rendered(TURNS), key="conv_id::varchar as id"),
     "expectation_check": f"""with a as (select conv_id, arg_max(text, turn) as answer from conversations

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.arrays import fingerprint
 from tokenloom.functions.chat import PromptOptions
 from tokenloom.functions.text import PRETOKENS, is_nonblank, pieces, strip
-from tokenloom.operators import batching, chat, chunk, finetune, guards, indexing, masks, packing
+from tokenloom.operators import batching, chat, chunk, finetune, guards, indexing, masks, packing, turn_rows
 from tokenloom.operators.encode import (
     DictionaryEncoder,
     append_end,
@@ -590,6 +590,20 @@ def render_media(spark: SparkSession, sf: str) -> DataFrame:
     return _prompt_report(chat.render(grouped, PromptOptions(add_vision_id=True), tool_calls=False))
 
 
+@query
+def render_turn_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool runs, a row for each turn."""
+    pieces_ = turn_rows.render_turns(I.turns_with_tools(I.conversations(spark, sf)), "conv_id", "turn")
+    return pieces_.select("conv_id", "turn", F.length("piece").cast("long").alias("n"), F.md5("piece").alias("piece_md5"))
+
+
+@query
+def render_turn_media(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures and videos numbered through the conversation, a row for each turn."""
+    pieces_ = turn_rows.render_turns(I.conversations(spark, sf), "conv_id", "turn", I.media_message(), PromptOptions(add_vision_id=True))
+    return pieces_.select("conv_id", "turn", F.length("piece").cast("long").alias("n"), F.md5("piece").alias("piece_md5"))
+
+
 @query
 def chat_validate(spark: SparkSession, sf: str) -> DataFrame:
     checked = chat.validate(I.broken_conversations(_grouped(spark, sf)))
