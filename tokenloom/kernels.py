@@ -12,33 +12,18 @@ import pyarrow.compute as pc
 # --- dictionary lookup -------------------------------------------------------------------
 
 
-class PieceIndex:
-    """Dictionary of pieces; its hash table is built once per worker, on first use."""
+def find_pieces(flat, tokens, ids):
+    """Ids of pieces, null where the dictionary (two Arrow arrays) lacks one. Each distinct piece is looked up once."""
+    coded = flat.dictionary_encode()
+    known = pc.index_in(coded.dictionary.cast(tokens.type), value_set=tokens)
+    return ids.take(known).take(coded.indices)
 
-    def __init__(self, tokens, ids):
-        self.tokens, self.ids = tokens, ids
-        self._table = None
 
-    def __getstate__(self):
-        return self.tokens, self.ids
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def find(self, flat):
-        """Ids of pieces, null where the dictionary lacks one. Each distinct piece is looked up once."""
-        if self._table is None:
-            self._table = dict(zip(self.tokens.to_pylist(), self.ids.to_pylist(), strict=True))
-        coded = flat.dictionary_encode()
-        known = [self._table.get(piece) for piece in coded.dictionary.to_pylist()]
-        return pa.array(known, pa.int32()).take(coded.indices)
-
-
-def lookup_ids(pieces, index, unk_id, strict):
+def lookup_ids(pieces, tokens, ids, unk_id, strict):
     """Map a list<string> array to list<int32>; pieces outside the dictionary give ``unk_id``,
     or fail the task when ``strict``."""
     flat = pieces.flatten()
-    found = index.find(flat)
+    found = find_pieces(flat, tokens, ids)
     if unk_id is not None:
         found = found.fill_null(unk_id)
     elif strict and found.null_count:

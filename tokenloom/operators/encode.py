@@ -50,8 +50,8 @@ def _pieces(text: Column, pattern: str, special: list[str] | None) -> Column:
 class DictionaryEncoder:
     """Encoder over a ``(token, id)`` dictionary of any size.
 
-    Its most frequent part (smallest ids) is handed to the tasks, and texts are looked up in place by
-    Arrow batches: no shuffle. That part holds up to ``head_entries`` pieces of at most ``SHORT`` bytes,
+    Its most frequent part (smallest ids) is handed to the tasks as Arrow arrays, and texts are looked up in
+    place by Arrow batches: no shuffle. That part holds up to ``head_entries`` pieces of at most ``SHORT`` bytes,
     and of the ``HEAD_LONG`` first ones also those up to ``LONG`` bytes, so frequent rules and urls are
     in it and its size is bounded. The pieces it misses are looked up by a join and put back into
     their rows, which carry numbers of their own; ids come out the same however large the part is.
@@ -83,7 +83,7 @@ class DictionaryEncoder:
         if self.special:
             tokens = pa.concat_arrays([tokens, pa.array(list(self.special), tokens.type)])
             ids = pa.concat_arrays([ids, pa.array(list(self.special.values()), ids.type)])
-        self._shared = dictionary.sparkSession.sparkContext.broadcast(kernels.PieceIndex(tokens, ids))
+        self._shared = dictionary.sparkSession.sparkContext.broadcast((tokens, ids))
 
     def lengths(self, text: Column) -> Column:
         """Number of tokens of a text, without looking any of them up."""
@@ -103,7 +103,7 @@ class DictionaryEncoder:
 
         @F.arrow_udf(IDS)
         def lookup(found: pa.Array) -> pa.Array:
-            return kernels.lookup_ids(found, shared.value, unk_id, strict)
+            return kernels.lookup_ids(found, *shared.value, unk_id, strict)
 
         # Keeps filters on the ids above the lookup; pushed below, they would run it twice.
         return lookup.asNondeterministic()
