@@ -6,6 +6,8 @@ rarer ones saw is pooled in their parent's rest leaf, and no count is lost. The
 at most ``TOP`` bytes, travels by broadcast; the subtrees below it are dealt out by their root and
 weighted in the tasks, which then tell the log probability of every gram that occurs in the table.
 
+Objects go into broadcasts as bytes that carry their classes, so executors need no install.
+
 Grams and words are looked up in two ways: the most frequent ones (at most ``HEAD_GRAMS`` grams; words
 with at least ``head_share`` of all tokens) by broadcast, all others by a join.
 """
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,12 +140,12 @@ def gram_logs(grams: DataFrame, depth: int, resolution: float | None = None) ->
         for i, name in enumerate(("zeros", "ones", "weighted")):
             dense[which, i, (at & 255) - 1] = told[name].to_numpy()
         deeper = {int(c): x for c, x in zip(contexts, dense, strict=True)}
-    tree = grams.sparkSession.sparkContext.broadcast(ck.ContextTree(_top_counts(grams, top, least), top, deeper))
+    tree = grams.sparkSession.sparkContext.broadcast(cloudpickle.dumps(ck.ContextTree(_top_counts(grams, top, least), top, deeper)))
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (found := subtrees(batches)) is not None:
             part, table = found
-            out = pa.table([table["key"], table["m"], pa.array(part.logs(tree.value))], names=["key", "m", "log"])
+            out = pa.table([table["key"], table["m"], pa.array(part.logs(cloudpickle.loads(tree.value)))], names=["key", "m", "log"])
             yield from out.to_batches(max_chunksize=100_000)
 
     return dealt.mapInArrow(logs, "key long, m long, log double")
@@ -178,7 +181,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grams = checkpointed(gram_logs(counts.where(F.col("kind") == GRAM).select("key", "n", "m"), depth, resolution))
     frequent = F.col("m") >= _head_least(grams, head_grams)
     near = grams.where(frequent).select("key", "log").toArrow()
-    tree = spark.sparkContext.broadcast(ck.KeyTable(near["key"].to_numpy(), near["log"].to_numpy()))
+    tree = spark.sparkContext.broadcast(cloudpickle.dumps(ck.KeyTable(near["key"].to_numpy(), near["log"].to_numpy())))
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     told = words.agg(F.sum("n"), F.count("*")).first()
     ends = counts.where(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
@@ -192,6 +195,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seen = head.value
+        known = cloudpickle.loads(tree.value)
         for batch in batches:
             for low, data, offsets in bw.slices(batch.column(1)):
                 n = len(offsets) - 1
@@ -208,7 +212,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rare = np.append(0, np.cumsum(~hit))[first]
                 text, places, bounds = ck.padded(data, offsets, depth)
                 asked = ck.gram_keys(text, places, depth)
-                held, given = tree.value.find(asked)
+                held, given = known.find(asked)
                 scores = np.append(0.0, np.cumsum(given))[bounds]
                 far = np.append(0, np.cumsum(~held))[bounds]
                 yield pa.RecordBatch.from_arrays(
