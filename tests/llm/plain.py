@@ -98,6 +98,23 @@ def repeat_rows(rows: list[tuple], depth: int = 400) -> list[tuple]:
     return out
 
 
+def shared_words(rows: list[tuple], n: int = 50) -> list[int]:
+    """Words of each text in windows of ``n`` words that another row (of another id or text) has too."""
+    texts = [words(t) for _, t in rows]
+    holders = defaultdict(set)
+    for row, w in zip(rows, texts, strict=True):
+        for i in range(len(w) - n + 1):
+            holders[tuple(w[i:i + n])].add(row)
+    out = []
+    for w in texts:
+        hit = set()
+        for i in range(len(w) - n + 1):
+            if len(holders[tuple(w[i:i + n])]) > 1:
+                hit.update(range(i, i + n))
+        out.append(len(hit))
+    return out
+
+
 def rule_measures(text: str | None) -> tuple[int, int, int, int, int]:
     text = text or ""
     w = words(text)

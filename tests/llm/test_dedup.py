@@ -8,6 +8,7 @@ import numpy as np
 import plain
 import pytest
 
+from tokenloom.llm import suffix_dedup
 from tokenloom.llm.components import components
 from tokenloom.llm.ngram_join import ngram_join
 from tokenloom.llm.suffix_dedup import remove_repeats
@@ -49,6 +50,24 @@ def test_remove_repeats_short_overlaps(spark):
     assert rows(remove_repeats(df, with_text=False)) == Counter(plain.repeat_rows(docs))
 
 
+@pytest.mark.parametrize("name", ["awkward_docs", "documents"])
+def test_shared_words(request, monkeypatch, name):
+    """Passages of 50 words that other rows have, also where groups count as hot."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 5)
+    docs = request.getfixturevalue(name)
+    table = pairs(docs)
+    found = remove_repeats(docs, with_text=False, words=50)
+    assert rows(found.drop("n_shared_words")) == Counter(plain.repeat_rows(table))
+    assert rows(found.select("doc_id", "n_shared_words")) == Counter((i, n) for (i, _), n in zip(table, plain.shared_words(table), strict=True))
+
+
+def test_hot_groups_stay_where_they_are(awkward_docs):
+    zones = suffix_dedup._first_pass(awkward_docs.selectExpr("xxhash64(doc_id, text) as r", "coalesce(text, '') as text"), suffix_dedup.byte_tokens(400))
+    groups = zones.groupBy("core").count()
+    plan = suffix_dedup._with_group(zones, groups, ["core"], "count", 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and "LeftAnti" in plan
+
+
 def test_kept_bytes_and_spans(awkward_docs):
     for r in remove_repeats(awkward_docs).collect():
         assert plain.sha(bytes(r.kept)) == r.kept_sha256

@@ -15,7 +15,7 @@ from tokenloom.llm.oracles import SQL  # noqa: E402
 from tokenloom.llm.queries import QUERIES  # noqa: E402
 
 COLUMNS = {
-    "op1_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op1_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"],
     "op3_line_crf": ["doc_id", "held_out", "score", "predicted"],
     "op5_vector_passes": ["vec_id", "n_links", "component_id", "kept"],
     "op7_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

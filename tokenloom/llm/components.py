@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.staging import stage
+from tokenloom.staging import new_path, remove, stage
 
 
 def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
@@ -22,6 +23,14 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     return out
 
 
+def owned(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Like ``checkpointed``, and what deletes the folder once the last reader has been written."""
+    spark = df.sparkSession
+    path = new_path(spark, "llm")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
+
+
 BATCH_ROWS = 2000
 
 

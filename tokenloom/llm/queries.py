@@ -17,7 +17,7 @@ from tokenloom.llm.mixture import mix_sources
 from tokenloom.llm.ngram_join import ngram_join
 from tokenloom.llm.rule_ledger import BASE, CURRENT, ledger, passes
 from tokenloom.llm.secret_links import scan_secrets, shown
-from tokenloom.llm.suffix_dedup import remove_repeats
+from tokenloom.llm.suffix_dedup import WORDS, remove_repeats
 from tokenloom.llm.url_trie import judge_urls
 from tokenloom.llm.vector_passes import near_vectors
 
@@ -42,7 +42,7 @@ def vocabulary_path() -> str:
 
 @query
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf, "documents"), with_text=False)
+    return remove_repeats(_table(spark, sf, "documents"), with_text=False, words=WORDS)
 
 
 @query

@@ -1,17 +1,20 @@
 """Suffix-array dedup: a depth-limited radix sort of suffixes by most-significant-digit passes.
 
-Only the first ``depth`` bytes of a suffix count, and groups that are equal to that depth are exactly
-the repeated windows. Sorting every suffix would move a row per byte. Suffixes are therefore taken in
+Only the first ``depth`` tokens of a suffix count, and groups that are equal to that depth are exactly
+the repeated windows. Tokens are bytes for what is removed, words for the passages that are reported.
+Sorting every suffix would move a row per byte. Suffixes are therefore taken in
 zones of neighbours around content-defined anchors (`window_digits`). A pass groups zones by their
 core, the digit; a zone alone in its group drops out, as a suffix alone in its radix bucket does. Zones
 with an equal context are repeated in every window at once. What is left, zones that share the core
-but not the context, goes on to the next pass in smaller zones: some 240, then 16 windows, then one.
+but not the context, goes on to the next pass in smaller zones, then single windows. Contexts are equal when
+both of their 64-bit hashes are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +24,52 @@ from pyspark.sql import functions as F
 from tokenloom.llm import byte_words as bw
 from tokenloom.llm import fixed_filter
 from tokenloom.llm import window_digits as wd
-from tokenloom.llm.components import checkpointed, row_reference, text_batches
+from tokenloom.llm.components import checkpointed, owned, row_reference, text_batches
 
-ZONE = "r long, low long, high long, anchor long, core long, context long"
+NAMES = ["r", "low", "high", "anchor", "core", "context", "check"]
+ZONE = ", ".join(f"{name} long" for name in NAMES)
+#: A group is hot from this many rows, or this share of all rows if that is more; so there are at most HOT_GROUPS.
+HOT_ROWS, HOT_GROUPS = 10_000, 50_000
+WORDS = 50
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """How a flat byte array becomes token codes with row offsets, and the windows over them."""
+
+    codes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    shape: wd.Shape
+
+
+def byte_tokens(depth: int) -> Tokens:
+    return Tokens(lambda data, offsets: (wd.byte_codes(data), offsets), wd.byte_shape(depth))
+
+
+def word_tokens(depth: int) -> Tokens:
+    def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, first = bw.word_spans(data, offsets)
+        return bw.word_hashes(data, starts, ends) | np.uint64(1), first
+
+    return Tokens(codes, wd.word_shape(depth))
 
 
 def _table(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def _first_pass(rows: DataFrame, depth: int) -> DataFrame:
+def _first_pass(rows: DataFrame, tokens: Tokens) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             refs = batch.column(0).to_numpy()
             for first, data, offsets in bw.slices(batch.column(1)):
-                row, low, high, anchor, core, context = wd.first_zones(data, offsets, depth)
+                row, *zone = wd.first_zones(*tokens.codes(data, offsets), tokens.shape)
                 if len(row):
-                    yield _table([refs[first + row], low, high, anchor, core, context],
-                                 ["r", "low", "high", "anchor", "core", "context"])
+                    yield _table([refs[first + row], *zone], NAMES)
 
     return rows.select("r", "text").mapInArrow(run, ZONE)
 
 
-def _next_pass(rows: DataFrame, open_: DataFrame, depth: int, step: int) -> DataFrame:
+def _next_pass(rows: DataFrame, open_: DataFrame, tokens: Tokens, step: int) -> DataFrame:
     """Finer zones of ``open_``; only rows that may hold some are moved."""
     table = fixed_filter.build(open_.select(F.col("r").alias("key")))
     lists = open_.groupBy("r").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("zones"))
@@ -56,49 +82,85 @@ def _next_pass(rows: DataFrame, open_: DataFrame, depth: int, step: int) -> Data
             bounds, flat = zones.offsets.to_numpy(), zones.values
             cols = [flat.field(i).to_numpy() for i in range(3)]
             for at, ref in enumerate(batch.column(0).to_pylist()):
-                data, _ = bw.flat(bw.as_strings(batch.column(1).slice(at, 1)))
+                codes, _ = tokens.codes(*bw.flat(bw.as_strings(batch.column(1).slice(at, 1))))
                 low, high, anchor = (c[bounds[at]:bounds[at + 1]] for c in cols)
-                found = wd.finer_zones(data, low, high, anchor, depth, step)
-                yield _table([np.full(len(found[0]), ref), *found], ["r", "low", "high", "anchor", "core", "context"])
+                found = wd.finer_zones(codes, low, high, anchor, tokens.shape.depth, step)
+                yield _table([np.full(len(found[0]), ref), *found], NAMES)
 
     return joined.mapInArrow(run, ZONE)
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with their group's row, if they have one. Groups of many rows, a bounded number, are handed to the
+    tasks, so that the rows of a hot group stay where they are; the others meet by a shuffle."""
+    hot = F.broadcast(groups.where(F.col(size) > max(HOT_ROWS, total // HOT_GROUPS)))
+    cold = rows.join(hot.select(*keys), keys, "left_anti")
+    return cold.join(groups, keys).unionByName(rows.join(hot, keys))
+
+
 def _grouped(zones: DataFrame) -> DataFrame:
-    """Zones not alone in their group: ``same``, how many share the context, ``nth`` (1 for one of those), ``mixed``.
+    """Zones not alone in their group: ``same``, how many share the context, ``apart``, whether in several
+    rows, ``nth`` (1 and 2 for two of those, of different rows if there are any), ``mixed``.
 
-    Groups are told by aggregates that combine on the map side and come back by joins against one row
-    per group, so that a group that holds a large share of all zones is spread over tasks.
+    Groups are told by aggregates that combine on the map side.
+    """
+    zones, forget_zones = owned(zones)
+    total = zones.count()
+    context, rows = F.struct("context", "check"), (F.min("r") != F.max("r")).alias("apart")
+    groups = zones.groupBy("core").agg(F.count("*").alias("n"), F.min(context).alias("a"), F.max(context).alias("b"), rows)
+    groups = checkpointed(groups.where("n > 1").select("core", "n", "apart", (F.col("a") != F.col("b")).alias("mixed")))
+    kept, forget_kept = owned(_with_group(zones, groups, ["core"], "n", total))
+    forget_zones()
+    plain = kept.where("not mixed").select("r", "low", "high", "anchor", F.col("n").alias("same"), "apart", F.lit(0).alias("nth"), "mixed")
+    keys = ["core", "context", "check"]
+    mixed = kept.where("mixed").drop("n", "apart")
+    equal = checkpointed(mixed.groupBy(*keys).agg(F.count("*").alias("same"), F.min(F.struct("r", "low")).alias("first"), F.max(F.struct("r", "low")).alias("last"), rows))
+    at = lambda end: (F.col(f"{end}.r") == F.col("r")) & (F.col(f"{end}.low") == F.col("low"))
+    nth = F.when(at("first"), 1).when(at("last"), 2).otherwise(3)
+    mixed = _with_group(mixed, equal, keys, "same", total).select("r", "low", "high", "anchor", "same", "apart", nth.alias("nth"), "mixed")
+    out = checkpointed(plain.unionByName(mixed), free=True)
+    forget_kept()
+    return out
+
+
+def repeated_spans(rows: DataFrame, tokens: Tokens, across: bool = False) -> DataFrame:
+    """``r``, ``low``, ``end``: token spans of ``rows`` (r, text) made of windows that start elsewhere too, in
+    another row if ``across``.
+
+    Of zones known to be repeated one goes on, for the others' sake. Where only repeats in other rows count, those
+    repeated in their own row alone all go on, of the others two from different rows.
     """
-    zones = checkpointed(zones)
-    groups = zones.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
-    groups = groups.where("n > 1").select("core", "n", (F.col("a") != F.col("b")).alias("mixed"))
-    kept = checkpointed(zones.join(groups, "core"), free=True)
-    plain = kept.where("not mixed").select("r", "low", "high", "anchor", F.col("n").alias("same"), F.lit(0).alias("nth"), "mixed")
-    mixed = kept.where("mixed").drop("n")
-    equal = mixed.groupBy("core", "context").agg(F.count("*").alias("same"), F.min(F.struct("r", "low")).alias("first"))
-    nth = F.when((F.col("first.r") == F.col("r")) & (F.col("first.low") == F.col("low")), 1).otherwise(2)
-    mixed = mixed.join(equal, ["core", "context"]).select("r", "low", "high", "anchor", "same", nth.alias("nth"), "mixed")
-    return checkpointed(plain.unionByName(mixed), free=True)
-
-
-def repeated_spans(rows: DataFrame, depth: int) -> DataFrame:
-    """``r``, ``low``, ``end``: spans of ``rows`` (r, text) made of windows that start elsewhere too."""
     spans = []
-    groups = _grouped(_first_pass(rows, depth))
-    for step in (wd.STEP, 1, 0):
-        spans.append(groups.where("same > 1").select("r", "low", (F.col("high") + depth).alias("end")))
-        open_ = groups.where("mixed and (same = 1 or nth = 1)")
+    depth = tokens.shape.depth
+    groups = _grouped(_first_pass(rows, tokens))
+    for step in (tokens.shape.step, 1, 0):
+        spans.append(groups.where("apart" if across else "same > 1").select("r", "low", (F.col("high") + depth).alias("end")))
+        open_ = groups.where("mixed and (not apart or nth <= 2)" if across else "mixed and (same = 1 or nth = 1)")
         if not step:
             break
-        groups = _grouped(_next_pass(rows, open_, depth, step))
+        groups = _grouped(_next_pass(rows, open_, tokens, step))
     return spans[0].unionByName(spans[1]).unionByName(spans[2]).distinct()
 
 
+def repeated_words(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """``r``, ``n_shared_words``: words of ``rows`` (r, text) in windows of ``words`` words that other rows have too."""
+    spans = repeated_spans(rows, word_tokens(words), across=True)
+    lists = spans.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("low", "end"))).alias("spans"))
+    # spans go by their start, so what a span adds is what lies beyond the furthest end so far
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate("spans", none, lambda acc, s: F.struct(
+        F.greatest(acc["end"], s["end"]).alias("end"),
+        (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["low"]))).alias("n")), lambda acc: acc["n"])
+    return checkpointed(lists.select("r", covered.alias("n_shared_words")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 400,
-                   with_text: bool = True) -> DataFrame:
+                   with_text: bool = True, words: int | None = None) -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left) and spans.
 
+    With ``words`` also n_shared_words: the words of the text in passages of so many words that other rows hold
+    too, however white space differs. Nothing is removed for it.
+
     A byte goes when a string of ``depth`` bytes that covers it also starts elsewhere, in this text or
     another. Texts are UTF-8 bytes; null is empty; texts shorter than ``depth`` stay whole. Each row is
     a text of its own, so of repeated rows (equal ids or not) all long ones go. Extra columns are
@@ -107,13 +169,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("r", row_reference(F.col("id"), F.col("text")))
-    spans = checkpointed(repeated_spans(rows.where(F.octet_length("text") >= depth), depth))
+    spans = checkpointed(repeated_spans(rows.where(F.octet_length("text") >= depth), byte_tokens(depth)))
     table = fixed_filter.build(spans.select(F.col("r").alias("key")))
     lists = spans.groupBy("r").agg(F.collect_list(F.struct("low", "end")).alias("spans"))
     touched = fixed_filter.may_hold(F.col("r"), table)
     marked = rows.withColumn("touched", touched)
-    plain = marked.where(~F.col("touched")).select("id", "text", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))
-    cut = marked.where("touched").join(lists, "r", "left").select("id", "text", "spans")
+    plain = marked.where(~F.col("touched")).select("id", "text", "r", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))
+    cut = marked.where("touched").join(lists, "r", "left").select("id", "text", "r", "spans")
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -140,6 +202,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())]
             if with_text:
                 columns += [pa.array(left, pa.binary()), pa.array(where, pa.list_(pa.struct([("low", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, names[:len(columns)])
-
-    return plain.unionByName(cut).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+            out = names[:len(columns)]
+            if words is not None:
+                columns, out = [*columns, batch.column(3)], [*out, "r"]
+            yield pa.RecordBatch.from_arrays(columns, out)
+
+    found = plain.unionByName(cut).select("id", "text", "spans", "r")
+    if words is None:
+        return found.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    shared = repeated_words(rows.where(F.octet_length("text") >= 2 * words - 1), words)
+    told = found.mapInArrow(run, schema + ", r long")
+    told = told.join(shared, "r", "left").withColumn("n_shared_words", F.coalesce("n_shared_words", F.lit(0)).cast("long"))
+    return told.select(F.col("id").alias(id_col), *[c for c in told.columns if c not in ("id", "r", "n_shared_words")], "n_shared_words")

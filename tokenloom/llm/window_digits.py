@@ -1,17 +1,54 @@
 """Task-side digits of repeated-window search: zones of neighbouring windows, their cores and contexts.
 
-All windows of ``depth`` bytes whose smallest gram (of the first ``REACH`` ones) is the same anchor
-form a zone. Anchors depend on a window's content alone, so equal windows lie in zones around equal
-anchors. A zone's core is what all its windows share, its context what they cover together.
+A text is a sequence of tokens, bytes or words. All windows of ``depth`` tokens whose smallest gram (of the
+first ``reach`` ones) is the same anchor form a zone. Anchors depend on a window's content alone, so equal
+windows lie in zones around equal anchors. A zone's core is what all its windows share, its context what
+they cover together, told by two hashes of 64 bits each.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from tokenloom.llm import byte_words as bw
 
-GRAM, REACH, STEP = 32, 240, 16
+
+@dataclass(frozen=True)
+class Shape:
+    """Window length, gram length, grams that may be the anchor, and how much finer zones are wide."""
+
+    depth: int
+    gram: int
+    reach: int
+    step: int
+
+
+def byte_shape(depth: int) -> Shape:
+    return Shape(depth, 32, max(depth * 3 // 5, 1), 16)
+
+
+def word_shape(depth: int) -> Shape:
+    return Shape(depth, 3, max(depth * 4 // 5, 1), 8)
+
+
+class Sums:
+    """Running sums of a sequence of token codes in two lanes, from which spans are hashed."""
+
+    def __init__(self, codes: np.ndarray):
+        weights = bw.powers(bw._BASE, len(codes) + 1)[:len(codes)]
+        self.first, self.second = np.zeros(len(codes) + 1, np.uint64), np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * weights, out=self.first[1:])
+        np.cumsum(bw.mix(codes) * weights, out=self.second[1:])
+
+    def context(self, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        place = (anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return tuple(bw.mix(bw.span_hash(x, low, high + depth) + place).view(np.int64) for x in (self.first, self.second))
+
+
+def byte_codes(data: np.ndarray) -> np.ndarray:
+    return bw._CODES[data]
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -25,17 +62,18 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def first_zones(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """row, first window, last window, anchor (positions in the row), core and context of each zone."""
+def first_zones(codes: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+    """row, first window, last window, anchor (positions in the row), core and the two contexts of each zone."""
+    depth, reach = shape.depth, shape.reach
     empty = np.zeros(0, np.int64)
     lengths = np.diff(offsets)
     if not (lengths >= depth).any():
-        return empty, empty, empty, empty, empty, empty
-    sums = bw.prefix_hash(data)
-    n = len(data) - GRAM + 1
-    grams = bw.mix((sums[GRAM:] - sums[:-GRAM]) * bw.powers(bw._BASE_INVERSE, len(sums))[:n])
+        return (empty,) * 7
+    sums = Sums(codes)
+    n = len(codes) - shape.gram + 1
+    grams = bw.mix((sums.first[shape.gram:] - sums.first[:-shape.gram]) * bw.powers(bw._BASE_INVERSE, len(codes) + 1)[:n])
     bits = np.uint64(max(int(n).bit_length(), 1))
-    least = _sliding_least(((grams >> bits) << bits) | np.arange(n, dtype=np.uint64), REACH)
+    least = _sliding_least(((grams >> bits) << bits) | np.arange(n, dtype=np.uint64), reach)
     # a start is a window's when the window ends within its row
     row = np.repeat(np.arange(len(lengths)), np.maximum(lengths - depth + 1, 0))
     begin = np.cumsum(np.maximum(lengths - depth + 1, 0)) - np.maximum(lengths - depth + 1, 0)
@@ -46,20 +84,15 @@ def first_zones(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.n
     head = np.flatnonzero(new)
     low, high = start[head], start[np.append(head[1:], len(row)) - 1]
     anchor, row = anchor[head], row[head]
-    core = bw.span_hash(sums, anchor, anchor + depth - REACH + 1)
+    core = bw.span_hash(sums.first, anchor, anchor + depth - reach + 1)
     base = offsets[row]
-    return row, low - base, high - base, anchor - base, core.view(np.int64), _context(sums, low, high, anchor, depth)
-
-
-def _context(sums: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int) -> np.ndarray:
-    whole = bw.span_hash(sums, low, high + depth)
-    return bw.mix(whole + (anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return row, low - base, high - base, anchor - base, core.view(np.int64), *sums.context(low, high, anchor, depth)
 
 
-def finer_zones(data: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int,
+def finer_zones(codes: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int,
                 step: int) -> tuple[np.ndarray, ...]:
     """The zones of one row cut where the distance to the anchor passes a multiple of ``step``."""
-    sums = bw.prefix_hash(data)
+    sums = Sums(codes)
     near, far = anchor - high, anchor - low
     parts = far // step - near // step + 1
     of = np.repeat(np.arange(len(low)), parts)
@@ -67,9 +100,9 @@ def finer_zones(data: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.
     a = anchor[of]
     new_high = a - np.maximum(near[of], t * step)
     new_low = a - np.minimum(far[of], t * step + step - 1)
-    inner = bw.span_hash(sums, a - t * step, a - t * step + depth - step + 1)
+    inner = bw.span_hash(sums.first, a - t * step, a - t * step + depth - step + 1)
     core = bw.mix(inner + t.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-    return new_low, new_high, a, core, _context(sums, new_low, new_high, a, depth)
+    return new_low, new_high, a, core, *sums.context(new_low, new_high, a, depth)
 
 
 def merged(low: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
