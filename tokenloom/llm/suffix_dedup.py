@@ -37,7 +37,7 @@ WORDS = 50
 class Tokens:
     """How a flat byte array becomes token codes with row offsets, and the windows over them."""
 
-    codes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    codes: Callable[[np.ndarray, np.ndarray], tuple[wd.Lanes, np.ndarray]]
     shape: wd.Shape
 
 
@@ -46,9 +46,9 @@ def byte_tokens(depth: int) -> Tokens:
 
 
 def word_tokens(depth: int) -> Tokens:
-    def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[wd.Lanes, np.ndarray]:
         starts, ends, first = bw.word_spans(data, offsets)
-        return bw.word_hashes(data, starts, ends) | np.uint64(1), first
+        return wd.word_codes(bw.word_hashes(data, starts, ends)), first
 
     return Tokens(codes, wd.word_shape(depth))
 
@@ -98,26 +98,27 @@ def _with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return cold.join(groups, keys).unionByName(rows.join(hot, keys))
 
 
-def _grouped(zones: DataFrame) -> DataFrame:
+def _grouped(zones: DataFrame, across: bool) -> DataFrame:
     """Zones not alone in their group: ``same``, how many share the context, ``apart``, whether in several
-    rows, ``nth`` (1 and 2 for two of those, of different rows if there are any), ``mixed``.
+    rows, ``stands`` (for those: one of them, or those of two rows if ``across``), ``mixed``.
 
-    Groups are told by aggregates that combine on the map side.
+    Groups are told by aggregates of numbers, which combine on the map side without a sort.
     """
     zones, forget_zones = owned(zones)
     total = zones.count()
-    context, rows = F.struct("context", "check"), (F.min("r") != F.max("r")).alias("apart")
-    groups = zones.groupBy("core").agg(F.count("*").alias("n"), F.min(context).alias("a"), F.max(context).alias("b"), rows)
-    groups = checkpointed(groups.where("n > 1").select("core", "n", "apart", (F.col("a") != F.col("b")).alias("mixed")))
+    rows = [F.min("r").alias("r0"), F.max("r").alias("r1")]
+    ends = [f("context").alias(f"c{i}") for i, f in enumerate((F.min, F.max))] + [f("check").alias(f"d{i}") for i, f in enumerate((F.min, F.max))]
+    groups = zones.groupBy("core").agg(F.count("*").alias("n"), *ends, *rows).where("n > 1")
+    groups = checkpointed(groups.selectExpr("core", "n", "r0 <> r1 as apart", "c0 <> c1 or d0 <> d1 as mixed"))
     kept, forget_kept = owned(_with_group(zones, groups, ["core"], "n", total))
     forget_zones()
-    plain = kept.where("not mixed").select("r", "low", "high", "anchor", F.col("n").alias("same"), "apart", F.lit(0).alias("nth"), "mixed")
-    keys = ["core", "context", "check"]
-    mixed = kept.where("mixed").drop("n", "apart")
-    equal = checkpointed(mixed.groupBy(*keys).agg(F.count("*").alias("same"), F.min(F.struct("r", "low")).alias("first"), F.max(F.struct("r", "low")).alias("last"), rows))
-    at = lambda end: (F.col(f"{end}.r") == F.col("r")) & (F.col(f"{end}.low") == F.col("low"))
-    nth = F.when(at("first"), 1).when(at("last"), 2).otherwise(3)
-    mixed = _with_group(mixed, equal, keys, "same", total).select("r", "low", "high", "anchor", "same", "apart", nth.alias("nth"), "mixed")
+    plain = kept.where("not mixed").select("r", "low", "high", "anchor", F.col("n").alias("same"), "apart", F.lit(False).alias("stands"), "mixed")
+    keys, mixed = ["core", "context", "check"], kept.where("mixed").drop("n", "apart")
+    place = F.xxhash64("r", "low")
+    equal = checkpointed(mixed.groupBy(*keys).agg(F.count("*").alias("same"), F.min(place).alias("one"), *rows))
+    stands = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) if across else place == F.col("one")
+    mixed = _with_group(mixed, equal, keys, "same", total).select(
+        "r", "low", "high", "anchor", "same", (F.col("r0") != F.col("r1")).alias("apart"), stands.alias("stands"), "mixed")
     out = checkpointed(plain.unionByName(mixed), free=True)
     forget_kept()
     return out
@@ -132,13 +133,13 @@ def repeated_spans(rows: DataFrame, tokens: Tokens, across: bool = False) -> Dat
     """
     spans = []
     depth = tokens.shape.depth
-    groups = _grouped(_first_pass(rows, tokens))
+    groups = _grouped(_first_pass(rows, tokens), across)
     for step in (tokens.shape.step, 1, 0):
         spans.append(groups.where("apart" if across else "same > 1").select("r", "low", (F.col("high") + depth).alias("end")))
-        open_ = groups.where("mixed and (not apart or nth <= 2)" if across else "mixed and (same = 1 or nth = 1)")
+        open_ = groups.where("mixed and (not apart or stands)" if across else "mixed and stands")
         if not step:
             break
-        groups = _grouped(_next_pass(rows, open_, tokens, step))
+        groups = _grouped(_next_pass(rows, open_, tokens, step), across)
     return spans[0].unionByName(spans[1]).unionByName(spans[2]).distinct()
 
 

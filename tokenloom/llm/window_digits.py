@@ -14,6 +14,10 @@ import numpy as np
 
 from tokenloom.llm import byte_words as bw
 
+#: Codes of a sequence's tokens, in two lanes.
+Lanes = tuple[np.ndarray, np.ndarray]
+_SECOND = np.random.default_rng(90210).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -36,19 +40,24 @@ def word_shape(depth: int) -> Shape:
 class Sums:
     """Running sums of a sequence of token codes in two lanes, from which spans are hashed."""
 
-    def __init__(self, codes: np.ndarray):
-        weights = bw.powers(bw._BASE, len(codes) + 1)[:len(codes)]
-        self.first, self.second = np.zeros(len(codes) + 1, np.uint64), np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * weights, out=self.first[1:])
-        np.cumsum(bw.mix(codes) * weights, out=self.second[1:])
+    def __init__(self, codes: Lanes):
+        n = len(codes[0])
+        weights = bw.powers(bw._BASE, n + 1)[:n]
+        self.first, self.second = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        for lane, out in zip(codes, (self.first, self.second), strict=True):
+            np.cumsum(lane * weights, out=out[1:])
 
     def context(self, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         place = (anchor - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return tuple(bw.mix(bw.span_hash(x, low, high + depth) + place).view(np.int64) for x in (self.first, self.second))
 
 
-def byte_codes(data: np.ndarray) -> np.ndarray:
-    return bw._CODES[data]
+def byte_codes(data: np.ndarray) -> Lanes:
+    return bw._CODES[data], _SECOND[data]
+
+
+def word_codes(hashes: np.ndarray) -> Lanes:
+    return hashes | np.uint64(1), bw.mix(hashes) | np.uint64(1)
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -62,7 +71,7 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-def first_zones(codes: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+def first_zones(codes: Lanes, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     """row, first window, last window, anchor (positions in the row), core and the two contexts of each zone."""
     depth, reach = shape.depth, shape.reach
     empty = np.zeros(0, np.int64)
@@ -70,8 +79,8 @@ def first_zones(codes: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[n
     if not (lengths >= depth).any():
         return (empty,) * 7
     sums = Sums(codes)
-    n = len(codes) - shape.gram + 1
-    grams = bw.mix((sums.first[shape.gram:] - sums.first[:-shape.gram]) * bw.powers(bw._BASE_INVERSE, len(codes) + 1)[:n])
+    n = len(codes[0]) - shape.gram + 1
+    grams = bw.mix((sums.first[shape.gram:] - sums.first[:-shape.gram]) * bw.powers(bw._BASE_INVERSE, len(codes[0]) + 1)[:n])
     bits = np.uint64(max(int(n).bit_length(), 1))
     least = _sliding_least(((grams >> bits) << bits) | np.arange(n, dtype=np.uint64), reach)
     # a start is a window's when the window ends within its row
@@ -89,7 +98,7 @@ def first_zones(codes: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[n
     return row, low - base, high - base, anchor - base, core.view(np.int64), *sums.context(low, high, anchor, depth)
 
 
-def finer_zones(codes: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int,
+def finer_zones(codes: Lanes, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, depth: int,
                 step: int) -> tuple[np.ndarray, ...]:
     """The zones of one row cut where the distance to the anchor passes a multiple of ``step``."""
     sums = Sums(codes)
