@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.staging import new_path, remove, stage
+from tokenloom.staging import new_path, remove
 
 
 def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
@@ -16,18 +16,17 @@ def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
 
     ``free`` asks for the files of the shuffles behind it at once, instead of at some later collection.
     """
-    out = stage(df, "llm")
-    if free:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return owned(df, free)[0]
 
 
-def owned(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+def owned(df: DataFrame, free: bool = False) -> tuple[DataFrame, Callable[[], None]]:
     """Like ``checkpointed``, and what deletes the folder once the last reader has been written."""
     spark = df.sparkSession
     path = new_path(spark, "llm")
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
 
 
@@ -72,7 +71,7 @@ def components(links: DataFrame) -> DataFrame:
     star), then smaller neighbours likewise (small star); rounds end when all links form stars, after a
     number logarithmic in the component sizes. No links give no rows; nulls are not links.
     """
-    edges = checkpointed(_oriented_structs(links))
+    edges, forget = owned(_oriented_structs(links))
     while True:
         size, left = _open_links(edges)
         if not left:
@@ -88,7 +87,9 @@ def components(links: DataFrame) -> DataFrame:
             small.select("a", F.col("m").alias("b")))
         small = small.where(F.col("a") != F.col("b")).distinct()
         # never more links than before, so a bounded number of rows a file
-        edges = checkpointed(small.coalesce(2 * size // ROWS_PER_FILE + 1))
+        before = forget
+        edges, forget = owned(small.coalesce(2 * size // ROWS_PER_FILE + 1))
+        before()
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -21,7 +21,8 @@ Classes are told apart by 64-bit digests of their sets, shingles by 64-bit hashe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
 from tokenloom.llm import fixed_filter
-from tokenloom.llm.components import checkpointed, components, row_reference, text_batches
+from tokenloom.llm.components import checkpointed, components, owned, row_reference, text_batches
 
 SKETCH_CELLS = 1 << 18
 SKETCH_BLOCK = 1 << 12
 FRAGMENT_BITS = 2
+#: Shingles are looked up one part of the hash range after another, so that files of one part alone are held at a time.
+SLICES = 3
 HOT_CLASS, SALTS, MEETING = 3, 64, 12
 
 
@@ -134,23 +137,28 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
                     [batch.column(0).slice(low, len(sets)), batch.column(2).slice(low, len(sets)), pa.array(digest), pa.array([len(s) for s in sets], pa.int64())],
                     ["id", "r", "d", "n"])
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = classes.value, set()
-        for batch in batches:
-            for _, data, offsets in bw.slices(batch.column(1)):
-                tokens, owner, place = [], [], []
-                for s in bw.word_shingles(data, offsets, n):
-                    digest = bw.sequence_hash(s)
-                    if not len(s) or digest in seen:  # copies in one task bring the same postings
-                        continue
-                    seen.add(digest)
-                    tokens.append(ranked(s, order)[:prefix_length(len(s), num, den)])
-                    owner.append(np.full(len(tokens[-1]), digest))
-                    place.append((len(s) << 32) + np.arange(len(tokens[-1])))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owner).view(np.int64)), pa.array(np.concatenate(place))],
-                        ["token", "d", "np"])
+    def postings(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order, seen = classes.value, set()
+            for batch in batches:
+                for _, data, offsets in bw.slices(batch.column(1)):
+                    tokens, owner, place = [], [], []
+                    for s in bw.word_shingles(data, offsets, n):
+                        digest = bw.sequence_hash(s)
+                        if not len(s) or digest in seen:  # copies in one task bring the same postings
+                            continue
+                        seen.add(digest)
+                        prefix = ranked(s, order)[:prefix_length(len(s), num, den)]
+                        at = np.flatnonzero(prefix % np.uint64(SLICES) == part)
+                        tokens.append(prefix[at])
+                        owner.append(np.full(len(at), digest))
+                        place.append((len(s) << 32) + at)
+                    if tokens:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owner).view(np.int64)), pa.array(np.concatenate(place))],
+                            ["token", "d", "np"])
+
+        return run
 
     members = checkpointed(rows.mapInArrow(profile, f"id {kind}, r long, d long, n long"))
     # Of each class the row with the smallest id stands for it.
@@ -161,7 +169,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
     reduced = _reduced(rows, _candidates(rows, some, postings, num, den), classes, n, num, den)
     keep = F.col("m") - F.ceil(F.col("n") * num / den) + 1
     shared = reduced.select("d", "n", "m", F.posexplode(F.slice("keys", F.lit(1), keep.cast("int"))).alias("p", "token"))
-    shared = checkpointed(shared)
+    shared, forget_shared = owned(shared)
 
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -178,14 +186,15 @@ def _members(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den:
         found = checkpointed(found, free=True)
         links = found if links is None else links.unionByName(found)
         roots = checkpointed(components(links))
+    forget_shared()
     if roots is None:
         roots = some.select(node.alias("node"), node.alias("root")).limit(0)
 
     stand = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), "r")
-    owned = some.select("d", "n", stand.alias("stand"), node.alias("node")).join(roots, "node", "left")
-    owned = checkpointed(owned.select("d", "n", "stand", F.coalesce("root", "node").alias("root")))
-    least = owned.groupBy("root").agg(F.min("stand").alias("least"))
-    least = owned.join(least, "root").select("d", "n", F.struct("least.id", "least.r").alias("least"))
+    stands = some.select("d", "n", stand.alias("stand"), node.alias("node")).join(roots, "node", "left")
+    stands = checkpointed(stands.select("d", "n", "stand", F.coalesce("root", "node").alias("root")))
+    least = stands.groupBy("root").agg(F.min("stand").alias("least"))
+    least = stands.join(least, "root").select("d", "n", F.struct("least.id", "least.r").alias("least"))
     lone = members.where("n = 0").select("id", "r", "n", F.struct("id", "r").alias("least"))
     return members.where("n > 0").join(least, ["d", "n"]).select("id", "r", "n", "least").unionByName(lone)
 
@@ -204,18 +213,21 @@ def _candidates(rows: DataFrame, some: DataFrame, postings, num: int, den: int)
     frequent shingle in its prefix stays without a look at the others.
     """
     hot = F.shiftrightunsigned("token", 58) >= HOT_CLASS
-    entries = rows.mapInArrow(postings, "token long, d long, np long").withColumn("salt", _salted(hot))
     bucket = Window.partitionBy("token", "salt")
-    placed = entries.repartition("token", "salt").withColumns({"low": F.min("d").over(bucket), "high": F.max("d").over(bucket)})
-    shared = placed.where((F.col("low") != F.col("high")) | hot).select(
-        "token", "d", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("p"))
-    shared = checkpointed(shared.distinct(), free=True)
+
+    def shared_part(part: int) -> DataFrame:
+        entries = rows.mapInArrow(postings(part), "token long, d long, np long").withColumn("salt", _salted(hot))
+        placed = entries.repartition("token", "salt").withColumns({"low": F.min("d").over(bucket), "high": F.max("d").over(bucket)})
+        return placed.where((F.col("low") != F.col("high")) | hot).select(
+            "token", "d", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND((1 << 32) - 1).alias("p")).distinct()
+
+    shared, forget_shared = _in_parts(shared_part)
     band = F.floor(F.log(F.col("n") + 0.0) / float(np.log(den / num)))
     met = shared.where(~hot).select("token", "d", "n", "p", F.explode(F.array(band, band + 1)).alias("band"))
     share = num / (den + num)
     spare = F.col("n") - F.col("p") - F.lit(share) * F.col("n")
     groups = met.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(spare).alias("spare")).where("size > 1")
-    met = checkpointed(met.join(groups, ["token", "band"]))
+    met, forget_met = owned(met.join(groups, ["token", "band"]))
     slack = 1e-6
     large = met.where((F.col("size") > MEETING) & (F.col("spare") >= share * F.col("n") - slack)
                       & (F.col("n") - F.col("p") >= share * (F.col("n") + F.col("least")) - slack)).select("d")
@@ -226,7 +238,20 @@ def _candidates(rows: DataFrame, some: DataFrame, postings, num: int, den: int)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.d") < F.col("y.d")) & may)
     pairs = pairs.select(F.explode(F.array("x.d", "y.d")).alias("d"))
     wanted = large.unionByName(pairs).unionByName(shared.where(hot).select("d")).distinct()
-    return checkpointed(some.join(wanted, "d").select("d", "n", "r"), free=True)
+    out = checkpointed(some.join(wanted, "d").select("d", "n", "r"), free=True)
+    forget_shared()
+    forget_met()
+    return out
+
+
+def _in_parts(of: Callable[[int], DataFrame]) -> tuple[DataFrame, Callable[[], None]]:
+    """The tables of all parts of the hash range together, each written before the next begins; and what deletes them."""
+    tables, forget = [], []
+    for part in range(SLICES):
+        table, one = owned(of(part), free=True)
+        tables.append(table)
+        forget.append(one)
+    return reduce(DataFrame.unionByName, tables), lambda: [one() for one in forget] and None
 
 
 def _reduced(rows: DataFrame, classes: DataFrame, frequency, n: int, num: int, den: int) -> DataFrame:
@@ -238,28 +263,40 @@ def _reduced(rows: DataFrame, classes: DataFrame, frequency, n: int, num: int, d
     """
     table = fixed_filter.build(classes.select(F.col("r").alias("key")))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in bw.slices(batch.column(0)):
-                sets = [s for s in bw.word_shingles(data, offsets, n) if len(s)]
-                if sets:
-                    digest = np.array([bw.sequence_hash(s) for s in sets], np.uint64).view(np.int64)
-                    found = np.concatenate(sets)
-                    rank = frequency.value[(found >> np.uint64(46)).astype(np.int64)]
-                    found = ((found >> np.uint64(6)) << np.uint64(6)) | rank  # the class takes the hash's last bits
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.view(np.int64)), pa.array(np.repeat(digest, [len(s) for s in sets]))], ["token", "d"])
+    def tokens(part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, data, offsets in bw.slices(batch.column(0)):
+                    sets = [s for s in bw.word_shingles(data, offsets, n) if len(s)]
+                    if sets:
+                        digest = np.array([bw.sequence_hash(s) for s in sets], np.uint64).view(np.int64)
+                        found = np.concatenate(sets)
+                        owner = np.repeat(digest, [len(s) for s in sets])
+                        mine = (found >> np.uint64(6)) % np.uint64(SLICES) == part
+                        found, owner = found[mine], owner[mine]
+                        rank = frequency.value[(found >> np.uint64(46)).astype(np.int64)]
+                        found = ((found >> np.uint64(6)) << np.uint64(6)) | rank  # the class takes the hash's last bits
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(owner)], ["token", "d"])
+
+        return run
 
     known = rows.where(fixed_filter.may_hold(F.col("r"), table)).select("text")
     frequent = F.col("token").bitwiseAND(63)
     hot = frequent >= HOT_CLASS
-    held = known.mapInArrow(tokens, "token long, d long").withColumn("salt", _salted(hot)).repartition("token", "salt")
-    counted = held.withColumn("count", F.count("*").over(Window.partitionBy("token", "salt"))).where((F.col("count") > 1) | hot)
     rank = F.when(hot, F.least(F.lit(31), frequent + 20)).otherwise(F.least(F.lit(20), F.floor(F.log2("count"))))
     key = F.shiftleft(rank.cast("long"), 58).bitwiseOR(F.shiftrightunsigned("token", 6))
-    lists = counted.select("d", key.alias("key")).groupBy("d").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+
+    def counted_part(part: int) -> DataFrame:
+        held = known.mapInArrow(tokens(part), "token long, d long").withColumn("salt", _salted(hot)).repartition("token", "salt")
+        counted = held.withColumn("count", F.count("*").over(Window.partitionBy("token", "salt"))).where((F.col("count") > 1) | hot)
+        return counted.select("d", key.alias("key"))
+
+    counted, forget = _in_parts(counted_part)
+    lists = counted.groupBy("d").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     whole = lists.join(classes.select("d", "n"), "d").select("d", "n", F.size("keys").alias("m"), "keys")
-    return checkpointed(whole.where(den * F.col("m") >= num * F.col("n")), free=True)
+    out = checkpointed(whole.where(den * F.col("m") >= num * F.col("n")), free=True)
+    forget()
+    return out
 
 
 def _proposed(shared: DataFrame, roots: DataFrame | None, step: str, num: int, den: int) -> DataFrame:
