@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenloom.functions.arrays import IGNORE_LABEL, PAD_POSITION, numbers, pad_to
-from tokenloom.operators.indexing import join_on, shuffle_key, with_group_index, with_row_index
+from tokenloom.operators.indexing import join_on, permuted, shuffle_key, with_group_index, with_row_index, with_running_sum
 from tokenloom.operators.masks import dense_mask
 from tokenloom.sources.special import resolve_pad_id
 from tokenloom.staging import stage
@@ -36,6 +36,45 @@ def assign_batches(rows: DataFrame, batch_size: int, order: list[str], shard: st
     )
 
 
+def permute_batches(rows: DataFrame, batch_size: int, index: str, n: int, seed: int) -> DataFrame:
+    """Shuffled ``batch_id`` and ``row_in_batch`` of rows numbered 0 .. n-1 in ``index``, without moving a row.
+
+    The order is a seeded permutation of the numbers, so it repeats, and no hash is sorted.
+    """
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+    placed = rows.withColumn("_to", permuted(F.col(index), n, seed))
+    return placed.select(
+        *rows.columns, F.call_function("div", F.col("_to"), F.lit(batch_size)).alias("batch_id"),
+        (F.col("_to") % batch_size).cast("int").alias("row_in_batch"))
+
+
+def stage_cut(rows: DataFrame, order: list[str], budgets: list[tuple[str, int]], length: str = "len") -> DataFrame:
+    """``rows`` dealt to training stages whose token budgets are used up one after another.
+
+    Adds ``stage``, ``start`` and ``take``: a row gives ``take`` tokens from ``start`` on. The row on which a budget ends is cut
+    there and its rest opens the next stage; rows behind the last budget, and those without tokens, are left out.
+    """
+    if any(tokens < 0 for _, tokens in budgets):
+        raise ValueError("budgets must not be negative")
+    summed = with_running_sum(rows, order, length, "_before")
+    before, after = F.col("_before"), F.col("_before") + F.col(length)
+    parts, low = [], 0
+    for name, tokens in budgets:
+        start = F.greatest(before, F.lit(low))
+        take = F.least(after, F.lit(low + tokens)) - start
+        parts.append(F.struct(F.lit(name).alias("stage"), (start - before).cast("long").alias("start"), take.cast("long").alias("take")))
+        low += tokens
+    dealt = F.filter(F.array(*parts), lambda p: p["take"] > 0)
+    return summed.where(before < low).select(*rows.columns, F.explode(dealt).alias("_s")).select(*rows.columns, "_s.*")
+
+
+def stage_plan(cut: DataFrame, tokens_per_update: int) -> DataFrame:
+    """Rows, tokens and optimizer updates of each stage of a ``stage_cut``."""
+    found = cut.groupBy("stage").agg(F.count("*").alias("rows"), F.sum("take").cast("long").alias("tokens"))
+    return found.withColumn("updates", F.ceil(F.col("tokens") / tokens_per_update).cast("long"))
+
+
 def training_batches(samples: DataFrame, batch_size: int, *, key: list[str], pad_id: int | None = None,
                      eos_id: int | None = None, shard: str | None = None, shuffle_seed: int | None = None,
                      use_block_diag_mask: bool = False) -> DataFrame:

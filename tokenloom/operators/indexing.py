@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tokenloom.functions.arrays import let
 from tokenloom.staging import stage
 
 _ROW_BITS = (1 << 33) - 1
@@ -45,6 +48,64 @@ def with_row_index(df: DataFrame, order: list[Column | str], name: str = "row_id
     )
 
 
+def with_running_sum(df: DataFrame, order: list[Column | str], value: str, name: str = "before",
+                     partitions: int | None = None) -> DataFrame:
+    """Add the sum of ``value`` over all rows that stand before a row under ``order``.
+
+    A distributed prefix sum: sums inside each range partition, plus those of the partitions before it, of which
+    one row each meets in one place. Null values count as 0.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = stage(
+        ranged.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id()), "summed")
+    weight = F.coalesce(F.col(value), F.lit(0)).cast("long")
+    ahead = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = placed.groupBy("_part").agg(F.sum(weight).alias("_n")).select("_part", F.coalesce(ahead, F.lit(0)).alias("_offset"))
+    inside = F.sum(weight).over(W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, -1))
+    return (
+        placed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_inside")).drop("_part", "_place", "_offset", "_inside")
+    )
+
+
+def permuted(index: Column, n: int, seed: int, rounds: int = 4) -> Column:
+    """A seeded permutation of 0 .. n-1 applied to ``index``, as arithmetic on the number alone.
+
+    Feistel rounds on the two digits of a number in base ``ceil(n / side)``, where side * base is the least such product
+    from n on. What lands at n or above is permuted again until it doesn't; fewer than ``side`` numbers do.
+    """
+    side, base, keys = permutation_keys(n, seed, rounds)
+    if n < 2:
+        return index.cast("long")
+
+    def once(x: Column) -> Column:
+        left, right = F.call_function("div", x, F.lit(base)), F.pmod(x, F.lit(base)).cast("long")
+        for a, b, c, d in keys:
+            left = F.pmod(left + F.pmod(right * a + b, F.lit(PRIME)), F.lit(side))
+            right = F.pmod(right + F.pmod(left * c + d, F.lit(PRIME)), F.lit(base))
+        return left * base + right
+
+    first = let(index.cast("long"), once)
+    walks = F.sequence(F.lit(1), F.lit(max(side * base - n, 1)))
+    return let(first, lambda x: F.when(x < n, x).otherwise(
+        F.aggregate(walks, x, lambda at, _: F.when(at < n, at).otherwise(let(at, once)))))
+
+
+PRIME = (1 << 31) - 1
+
+
+def permutation_keys(n: int, seed: int, rounds: int = 4) -> tuple[int, int, list[tuple[int, int, int, int]]]:
+    """(side, base, round keys) of ``permuted``; n up to 2^60, so that no product passes 64 bits."""
+    if not 0 <= n <= 1 << 60:
+        raise ValueError("n must be between 0 and 2^60")
+    side = max(math.isqrt(max(n - 1, 0)) + 1, 1)
+    rng = random.Random(seed)
+    keys = [tuple(rng.randrange(1, 1 << 30) for _ in range(4)) for _ in range(rounds)]
+    return side, max(-(-n // side), 1), keys
+
+
 def with_group_index(df: DataFrame, group: str, order: list[str], name: str = "row_idx",
                      partitions: int | None = None) -> DataFrame:
     """Zero-based position of every row inside its ``group``.

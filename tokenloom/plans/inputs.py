@@ -17,6 +17,7 @@ PAD_ID = 0
 BATCH = 16
 SHARDS = 8
 SMALL_HEAD = 50
+STAGE_BUDGETS = [("general", 20_000), ("stem", 20_000), ("long", 150)]
 SMALL_CHUNK = 97
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tokenloom.functions import chat as C
 from tokenloom.functions.text import PRETOKENS, WHITESPACE
 from tokenloom.operators.finetune import NO_SHAPE
+from tokenloom.operators.indexing import PRIME, permutation_keys
 from tokenloom.plans.inputs import (
     BATCH,
     CAPACITY,
@@ -14,6 +15,7 @@ from tokenloom.plans.inputs import (
     SEQ_LEN,
     SHARDS,
     WINDOW_UNITS,
+    STAGE_BUDGETS,
 )
 from tokenloom.sources.special import FIRST_SPECIAL_ID, SPECIAL_TOKENS
 
@@ -395,6 +397,31 @@ def _summary(name: str, sizes: str) -> str:
         printf('%.2f%%', 100 * sum(n_tokens)::double / (count(*) * {CAPACITY})) as shown from {sizes}"""
 
 
+_STAGE_ROWS = "select *, sum(len) over (order by doc_id, block_no) - len as before from chunk_lens"
+_STAGES = ", ".join(f"('{name}', {sum(t for _, t in STAGE_BUDGETS[:k])}, {tokens})" for k, (name, tokens) in enumerate(STAGE_BUDGETS))
+_STAGE_CUT = f"""select source, doc_id, block_no, len::bigint as len, stage, (greatest(before, low) - before)::bigint as start,
+    (least(before + len, low + size) - greatest(before, low))::bigint as take
+    from ({_STAGE_ROWS}), (values {_STAGES}) as b(stage, low, size) where least(before + len, low + size) > greatest(before, low)"""
+
+
+def _permuted() -> str:
+    """The permutation's rounds, spelled out on the two digits of each number."""
+    _, _, keys = permutation_keys(0, 7)
+    sql = "select source, doc_id, block_no, len, x // base as l, x % base as r, n, side, base from start"
+    for a, b, c, d in keys:
+        sql = f"select * replace ((l + (r * {a} + {b}) % {PRIME}) % side as l) from ({sql})"
+        sql = f"select * replace ((r + (l * {c} + {d}) % {PRIME}) % base as r) from ({sql})"
+    step = f"select source, doc_id, block_no, len, l * base + r as x, n, side, base from ({sql})"
+    return with_parts(
+        f"""select source, doc_id, block_no, len, x // {BATCH} as batch_id, x % {BATCH} as row_in_batch from walk where done""",
+        ("numbered", """select *, row_number() over (order by doc_id, block_no) - 1 as x, count(*) over () as n from chunk_lens"""),
+        ("sized", "select *, ceil(sqrt(n::double))::bigint as side from numbered"),
+        ("based", "select *, (n + side - 1) // side as base from sized"),
+        ("walk", f"""select source, doc_id, block_no, len, x, n, side, base, false as done from based
+            union all select source, doc_id, block_no, len, x, n, side, base, x < n as done
+            from ({step.replace('from start', 'from walk where not done')})"""))
+
+
 SQL: dict[str, str] = {
     "scan_text": "select doc_id, length(text) as n, md5(text) as text_md5 from documents",
     "nonblank_text": _nonblank(),
@@ -467,6 +494,12 @@ SQL: dict[str, str] = {
         sum(len) >= 12000 as meets_budget
         from (select len, row_number() over (order by doc_id, block_no) - 1 as rn from chunk_lens)
         group by step"""),
+    "stage_cut": with_parts(_STAGE_CUT),
+    "stage_plan": with_parts(f"""select stage, count(*) as rows, sum(take)::bigint as tokens,
+        ceil(sum(take) / 1000.0)::bigint as updates from ({_STAGE_CUT}) group by stage"""),
+    "batch_permuted": _permuted(),
+    "write_counted": f"""select count(*) as rows, sum(length(text))::bigint as chars, max(doc_id) as last_id
+        from documents where length({strip('text')}) > 0""",
     "sft_scan": _sft_scan(),
     "sft_format": f"""with s as ({SFT}) select doc_id, md5({_SFT_PROMPT}) as prompt_md5,
         case when shape = 5 then '{_SFT_ERROR}' else '' end as problem from s""",

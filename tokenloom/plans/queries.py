@@ -431,6 +431,35 @@ def step_plan(spark: SparkSession, sf: str) -> DataFrame:
         token_budget=12_000)
 
 
+@query
+def stage_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks dealt to three stages, each cut where its token budget ends."""
+    cut = batching.stage_cut(_chunk_lengths(spark, sf), ["doc_id", "block_no"], I.STAGE_BUDGETS)
+    return _batch_report(cut.drop("stage")).join(
+        cut.select("doc_id", "block_no", "stage", "start"), ["doc_id", "block_no", "start"])
+
+
+@query
+def stage_plan(spark: SparkSession, sf: str) -> DataFrame:
+    cut = batching.stage_cut(_chunk_lengths(spark, sf), ["doc_id", "block_no"], I.STAGE_BUDGETS)
+    return batching.stage_plan(cut, tokens_per_update=1000)
+
+
+@query
+def batch_permuted(spark: SparkSession, sf: str) -> DataFrame:
+    """Shuffled batches by a permutation of row numbers."""
+    numbered = stage(indexing.with_row_index(_chunk_lengths(spark, sf), ["doc_id", "block_no"], "n"), "numbered")
+    return _batch_report(batching.permute_batches(numbered, I.BATCH, "n", numbered.count(), seed=7).drop("n"))
+
+
+@query
+def write_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """What a writing job counts on its way."""
+    docs = guards.drop_blank(I.documents(spark, sf, "doc_id", "text"))
+    counts = sinks.write_counted(docs, new_path(spark, "counted"), {"chars": F.sum(F.length("text")).cast("long"), "last_id": F.max("doc_id")})
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
 # --- fine-tuning rows --------------------------------------------------------------------
 
 

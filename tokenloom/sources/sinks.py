@@ -6,9 +6,11 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tokenloom.staging import remove
+
 
 def write_samples(df: DataFrame, path: str, partition_by: list[str] | None = None,
                   mode: str = "errorifexists") -> None:
@@ -76,3 +78,18 @@ def write_jsonl(df: DataFrame, path: str) -> None:
         name = status.getPath().getName()
         if name.endswith(".json"):
             files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name}l"))
+
+
+def write_counted(df: DataFrame, path: str, counts: dict[str, Column] | None = None, required: bool = True) -> dict[str, int]:
+    """Write ``df`` as Parquet and return its number of ``rows`` and the aggregates asked for, from the writing job itself.
+
+    With ``required`` an empty result is removed again and fails, without having been scanned a second time.
+    """
+    seen = Observation()
+    wanted = {"rows": F.count(F.lit(1)), **(counts or {})}
+    df.observe(seen, *[c.alias(name) for name, c in wanted.items()]).write.parquet(path)
+    found = seen.get
+    if required and not found["rows"]:
+        remove(df.sparkSession, path)
+        raise ValueError("there are no rows to write")
+    return {name: found[name] for name in wanted}
