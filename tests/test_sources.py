@@ -265,3 +265,30 @@ def test_sft_reader(spark, tmp_path):
     assert sft_prompts(chat.read_sft_rows(spark, kept, "parquet", text_column="body")) != []
     with pytest.raises(ValueError):
         chat.read_sft_rows(spark, str(tmp_path), "csv")
+
+
+def test_prompt_files_refuse_bad_ids(spark, tmp_path):
+    for ids, message in ((["a", "../b"], "not a file name"), (["a", None], "not a file name"), (["a", "a"], "two samples")):
+        df = spark.createDataFrame([(i, "text") for i in ids], "id string, prompt string")
+        with pytest.raises(ValueError, match=message):
+            sinks.write_prompt_files(df, str(tmp_path / "prompts"))
+    assert not (tmp_path / "prompts").exists()
+
+
+def test_samples_without_an_answer_fail(spark):
+    samples = spark.createDataFrame(
+        [("a", (["x"], None, None, None)), ("b", (["x"], None, None, None)), (None, (None, 1, None, None)), ("c", None)],
+        "id string, expected struct<must_include:array<string>,min_chars:long,max_chars:long,tool_call:struct<name:string,args:string>>")
+    answers = spark.createDataFrame([("a", "xyz", None, None), (None, "abc", None, None)], "id string, answer string, tool_name string, tool_args string")
+    assert {r.id: r.passed for r in check_expectations(samples, answers).collect()} == {"a": True, "b": False, None: True, "c": True}
+
+
+def test_shard_folders(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    sinks.write_shards(spark.range(100).selectExpr("id as n", "concat('t', id) as text").repartition(7), path, 6, "n")
+    for k in range(6):
+        one = sinks.read_shard(spark, path, k)
+        assert [r.n for r in one.collect()] == list(range(k, 100, 6))
+        files = {r.f for r in one.select(F.input_file_name().alias("f")).collect()}
+        assert len(files) == 1 and f"shard={k}" in files.pop()
+        assert "PartitionFilters: [isnotnull(shard" in one._jdf.queryExecution().executedPlan().toString()

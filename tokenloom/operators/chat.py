@@ -16,6 +16,7 @@ from tokenloom.functions.chat import (
     split_thinking,
 )
 from tokenloom.functions.text import argument_blocks, json_equal, json_items, strip
+from tokenloom.operators.indexing import join_on
 from tokenloom.schemas import MESSAGE
 
 _FIELDS = {f.name: f.dataType.simpleString() for f in MESSAGE}
@@ -105,10 +106,11 @@ def last_query_turn(turns: DataFrame, conversation: str, turn: str, role: str =
 def check_expectations(samples: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
     """Judge ``answers(id, answer, tool_name, tool_args)`` against ``samples.expected``.
 
+    Samples without an answer get a row too and fail what they expect; null ids meet each other.
     Absent expectations pass. ``answer`` must hold every listed phrase and keep to the length
     bounds; a tool call must match in name and, by JSON value, in arguments.
     """
-    joined = samples.select(key, "expected").join(answers, key)
+    joined = join_on(samples.select(key, "expected"), answers, [key], "left")
     want = F.col("expected")
     length = F.char_length("answer")
 

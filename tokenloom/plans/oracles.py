@@ -430,6 +430,8 @@ SQL: dict[str, str] = {
     "jsonl_strict": _jsonl(),
     "shard_rows": f"""select doc_id, (row_number() over (order by doc_id) - 1) % {SHARDS} as shard
         from documents""",
+    "shard_files": f"""select doc_id, (row_number() over (order by doc_id) - 1) % {SHARDS} as shard, md5(text) as text_md5
+        from documents""",
     "empty_guard": f"""select 'documents' as rows, count(*) = 0 as is_empty from documents
         union all select 'blank', count(*) = 0 from documents
         where coalesce(length({strip('text')}), 0) = 0""",

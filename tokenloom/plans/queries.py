@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,16 @@ def shard_rows(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.col("shard").cast("long").alias("shard"))
 
 
+@query
+def shard_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in one folder per shard, every shard read back by itself."""
+    docs = indexing.with_row_index(I.documents(spark, sf, "doc_id", "text"), ["doc_id"], "n")
+    path = new_path(spark, "shards")
+    sinks.write_shards(docs, path, I.SHARDS, "n")
+    out = [sinks.read_shard(spark, path, k) for k in range(I.SHARDS)]
+    return reduce(DataFrame.unionByName, out).select("doc_id", F.col("shard").cast("long").alias("shard"), F.md5("text").alias("text_md5"))
+
+
 @query
 def empty_guard(spark: SparkSession, sf: str) -> DataFrame:
     docs = I.documents(spark, sf, "doc_id", "text")

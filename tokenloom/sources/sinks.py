@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.staging import remove
@@ -21,6 +21,24 @@ def write_samples(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
+def write_shards(df: DataFrame, path: str, num_shards: int, index: str) -> None:
+    """Exact round-robin on disk: row n of ``index`` goes to the folder ``shard=n % num_shards``.
+
+    Rows are dealt by shard number itself, so each shard is written by one task into one folder of its own and a
+    loader reads nothing else. Within a shard rows stay in the order of ``index``.
+    """
+    if num_shards < 1:
+        raise ValueError("num_shards must be at least 1")
+    shard = F.pmod(F.col(index), F.lit(num_shards)).cast("int")
+    placed = df.withColumn("shard", shard).repartitionById(num_shards, F.col("shard"))
+    placed.sortWithinPartitions("shard", index).write.partitionBy("shard").parquet(path)
+
+
+def read_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
+    """One shard of ``write_shards`` in the order it was written; the other folders are not opened."""
+    return spark.read.parquet(path).where(F.col("shard") == shard)
+
+
 def sample_id(id_column: Column, index: Column) -> Column:
     """The sample's id, or ``sample_NNN`` from its zero-based position."""
     return F.coalesce(id_column.cast("string"), F.format_string("sample_%03d", index))
@@ -44,8 +62,16 @@ def write_prompt_files(prompts: DataFrame, output_dir: str, id_column: str = "id
                        prompt_column: str = "prompt") -> int:
     """One ``{id}.prompt.txt`` per sample in a folder all executors mount; returns the count.
 
-    Tasks write under a private name and rename, so a repeated task leaves the same files.
+    Tasks write under a private name and rename, so a repeated task leaves the same files. Ids that are
+    null, repeat or could name a place outside the folder are refused before anything is written.
     """
+    ids = prompts.select(F.col(id_column).cast("string").alias("id"))
+    unsafe = ids.where(F.col("id").isNull() | F.col("id").rlike(r"[/\\\x00]") | (F.col("id") == "")).limit(1).collect()
+    if unsafe:
+        raise ValueError(f"not a file name: {unsafe[0].id!r}")
+    repeated = ids.groupBy("id").count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"two samples have the id {repeated[0].id!r}")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
