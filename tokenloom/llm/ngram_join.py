@@ -37,7 +37,7 @@ SKETCH_CELLS = 1 << 18
 SKETCH_BLOCK = 1 << 12
 FRAGMENT_BITS = 2
 #: Shingles are looked up one part of the hash range after another, so that files of one part alone are held at a time.
-SLICES = 3
+SLICES = 2
 HOT_CLASS, SALTS, MEETING = 3, 64, 12
 
 
