@@ -54,10 +54,14 @@ SQL: dict[str, str] = {
               length(regexp_replace(text, '[^A-Z]', '', 'g')) as up, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as letters,
               length(regexp_replace(text, '[^!]', '', 'g')) as marks
               from w join l using (doc_id) left join x using (doc_id)),
-        b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
-        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        not (base_failed or word_chars > 40 * n_words or 100 * n_symbols > 15 * word_chars or 100 * n_dup_lines > 60 * n_lines
-             or (letters >= 50 and 100 * up > 70 * letters) or 100 * marks > 50 * n_words) as kept from b""",
+        b as (select *, (n_words < 10)::int as f0, (100 * n_repeat_words > 20 * n_words)::int as f1, (word_chars > 40 * n_words)::int as f2,
+              (100 * n_symbols > 15 * word_chars)::int as f3, (100 * n_dup_lines > 60 * n_lines)::int as f4,
+              (letters >= 50 and 100 * up > 70 * letters)::int as f5, (100 * marks > 50 * n_words)::int as f6 from m),
+        f as (select *, (f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4 + 32 * f5 + 64 * f6)::bigint as failures from b),
+        s as (select *, case failures when 1 then 'few_words' when 2 then 'repeated_windows' when 4 then 'long_words' when 8 then 'symbols'
+              when 16 then 'repeated_lines' when 32 then 'shouting' when 64 then 'marks' end as sole_rule from f)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures % 4 <> 0 as base_failed, failures = 0 as kept,
+        failures, sole_rule, case when sole_rule is not null then count(*) over (partition by sole_rule) end as sole_rows from s""",
     "op11_merkle_veb": f"""with recursive
         leaves as (select row_number() over () as rid, doc_id, source, {leaf_sql("doc_id", "source", "lang", "n_chars", "text")} as leaf,
             case when {crc32_sql("doc_id::varchar")} % 5 = 0

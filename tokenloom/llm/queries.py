@@ -15,7 +15,7 @@ from tokenloom.llm.line_crf import FOLDS, fit_field, score_quality
 from tokenloom.llm.merkle_manifest import audit, build_manifest
 from tokenloom.llm.mixture import mix_sources
 from tokenloom.llm.ngram_join import ngram_join
-from tokenloom.llm.rule_ledger import BASE, CURRENT, ledger, passes
+from tokenloom.llm.rule_ledger import judged
 from tokenloom.llm.secret_links import scan_secrets, shown
 from tokenloom.llm.suffix_dedup import WORDS, remove_repeats
 from tokenloom.llm.url_trie import judge_urls
@@ -69,9 +69,8 @@ def op5_vector_passes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op6_rule_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    book = ledger(_table(spark, sf, "documents"))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       (~passes(BASE)).alias("base_failed"), passes(CURRENT).alias("kept"))
+    return judged(_table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", "sole_rule", "sole_rows")
 
 
 @query

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import byte_words as bw
-from tokenloom.llm.components import text_batches
+from tokenloom.llm.components import checkpointed, text_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks")
 
@@ -119,6 +119,26 @@ def passes(policy: str | tuple[str, ...], failures: Column | None = None) -> Col
     return failures.bitwiseAND(F.lit(mask(policy))) == 0
 
 
+def sole_rule(policy: str | tuple[str, ...], failures: Column | None = None) -> Column:
+    """The rule that alone rejects a ledger row; null where none or several do."""
+    failures = F.col("failures") if failures is None else failures
+    rules = POLICIES[policy] if isinstance(policy, str) else policy
+    own = failures.bitwiseAND(F.lit(mask(policy)))
+    return F.coalesce(*[F.when(own == bit(r), F.lit(r)) for r in rules], F.lit(None).cast("string"))
+
+
+def judged(docs: DataFrame, base: str = BASE, current: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, stored once, with base_failed, kept, sole_rule and sole_rows.
+
+    Everything but the measures is told from the stored bits: both policies, the rule of the current one that alone
+    rejects a row, and from the ablation how many rows that rule alone rejects (null where there is no such rule).
+    """
+    book = checkpointed(ledger(docs, id_col, text_col))
+    only = ablations(book, current).select(F.col("rule").alias("sole_rule"), F.col("only").alias("sole_rows"))
+    told = book.withColumns({"base_failed": ~passes(base), "kept": passes(current), "sole_rule": sole_rule(current)})
+    return told.join(F.broadcast(only), "sole_rule", "left")  # one row a rule
+
+
 def ablations(book: DataFrame, policy: str | tuple[str, ...] = CURRENT) -> DataFrame:
     """``rule``, ``failed``, ``only``, ``kept_without``: what each rule of a policy removes, alone or at all.
 
