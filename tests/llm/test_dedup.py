@@ -127,9 +127,19 @@ def test_near_vectors_awkward(spark):
 
 
 def test_near_vectors_table(spark, sf):
-    df = spark.read.parquet(f"{sf}/embeddings.parquet").repartition(3)
-    table = [tuple(r) for r in df.select("vec_id", "embedding", "label").collect()]
+    """The given table has no link of its own, so every third vector gets near copies just above and below the threshold."""
+    rng = np.random.default_rng(12)
+    table = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").orderBy("vec_id").collect()]
+    for at, (vec_id, v, label) in enumerate(table[::3]):
+        v = np.array(v)
+        for k, cosine in enumerate((0.9, 0.935, 0.96, 0.999)[: 1 + at % 4]):
+            side = rng.standard_normal(len(v))
+            side -= side @ v / (v @ v) * v
+            near = cosine * v / np.linalg.norm(v) + np.sqrt(1 - cosine ** 2) * side / np.linalg.norm(side)
+            table.append((1_000_000 + 4 * vec_id + k, near.tolist(), label))
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int").repartition(3)
     expected, found = Counter(vector_links(table)), rows(near_vectors(df))
     links = sum(r[1] * k for r, k in expected.items())
+    assert links > 200
     assert sum(r[1] * k for r, k in found.items()) >= 0.98 * links
     assert sum((found & expected).values()) >= 0.98 * len(table)
