@@ -76,12 +76,27 @@ def pieces_with_special(text: Column, special: list[str], pattern: str = WORDS)
     ))
 
 
-def json_items(text: Column, ensure_ascii: bool = True) -> Column:
+def json_text(text: Column, ensure_ascii: bool = True, indent: int | None = None) -> Column:
+    """A JSON text as spelled by Python's encoder, keeping the order of names; null if it is not JSON.
+
+    Of repeated names the last value stays, at the place of the first. ``indent`` puts every item
+    on a line of its own.
+    """
+
+    @F.arrow_udf(T.StringType())
+    def spelled(values: pa.Array) -> pa.Array:
+        rows = [kernels.dump_value(v, ensure_ascii, indent) for v in values.to_pylist()]
+        return pa.array(rows, type=pa.string())
+
+    return spelled(text)
+
+
+def json_items(text: Column, ensure_ascii: bool = True, indent: int | None = None) -> Column:
     """The items of a JSON list as spelled by Python's encoder, keeping the order of names."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def items(values: pa.Array) -> pa.Array:
-        rows = [kernels.dump_list(v, ensure_ascii) for v in values.to_pylist()]
+        rows = [kernels.dump_list(v, ensure_ascii, indent) for v in values.to_pylist()]
         return pa.array(rows, type=pa.list_(pa.string()))
 
     return items(text)

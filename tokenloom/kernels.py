@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from bisect import bisect_left, bisect_right, insort
 
@@ -315,10 +316,56 @@ def bins_of(units, capacity, low):
     return pa.array(rows, pa.list_(kind))
 
 
+# --- merges ------------------------------------------------------------------------------
+
+
+def merge_long(values, lefts, rights, ranks, names):
+    """The merged symbols of long pieces, lowest rank first and leftmost among equals."""
+    table = dict(zip(zip(lefts.to_pylist(), rights.to_pylist(), strict=True), ranks.to_pylist(), strict=True))
+    return [None if v is None else _merge([names[b] for b in v.encode()], table) for v in values.to_pylist()]
+
+
+def _merge(symbols, table):
+    after = list(range(1, len(symbols) + 1))
+    before = list(range(-1, len(symbols) - 1))
+    queue = []
+
+    def offer(i):
+        if i >= 0 and after[i] < len(symbols):
+            pair = (symbols[i], symbols[after[i]])
+            if pair in table:
+                heapq.heappush(queue, (table[pair], i, pair))
+
+    for i in range(len(symbols)):
+        offer(i)
+    while queue:
+        _, i, pair = heapq.heappop(queue)
+        j = after[i]
+        if symbols[i] is None or j >= len(symbols) or (symbols[i], symbols[j]) != pair:
+            continue
+        symbols[i], symbols[j] = pair[0] + pair[1], None
+        after[i] = after[j]
+        if after[i] < len(symbols):
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [s for s in symbols if s is not None]
+
+
 # --- JSON spelling -----------------------------------------------------------------------
 
 
-def dump_list(text, ensure_ascii):
+def dump_value(text, ensure_ascii, indent):
+    """A JSON text spelled the way ``json.dumps`` does; None if it is not JSON."""
+    if text is None:
+        return None
+    try:
+        return json.dumps(json.loads(text), ensure_ascii=ensure_ascii, indent=indent)
+    except ValueError:
+        return None
+
+
+def dump_list(text, ensure_ascii, indent=None):
     """The items of a JSON list, each spelled the way ``json.dumps`` does; None if not a list."""
     if text is None:
         return None
@@ -328,7 +375,7 @@ def dump_list(text, ensure_ascii):
         return None
     if not isinstance(items, list):
         return None
-    return [json.dumps(item, ensure_ascii=ensure_ascii) for item in items]
+    return [json.dumps(item, ensure_ascii=ensure_ascii, indent=indent) for item in items]
 
 
 def argument_block(text, ensure_ascii):

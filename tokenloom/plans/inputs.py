@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ CAPACITY = 1024
 EOS_ID = 0
 PAD_ID = 0
 BATCH = 16
+# A public tokenizer's file; any other can be set in its place.
+TOKENIZER = os.environ.get("TOKENLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 SHARDS = 8
 SMALL_HEAD = 50
 STAGE_BUDGETS = [("general", 20_000), ("stem", 20_000), ("long", 150)]

@@ -6,6 +6,7 @@ from tokenloom.functions import chat as C
 from tokenloom.functions.text import PRETOKENS, WHITESPACE
 from tokenloom.operators.finetune import NO_SHAPE
 from tokenloom.operators.indexing import PRIME, permutation_keys
+from tokenloom.operators.merges import byte_names
 from tokenloom.plans.inputs import (
     BATCH,
     CAPACITY,
@@ -16,6 +17,7 @@ from tokenloom.plans.inputs import (
     SHARDS,
     WINDOW_UNITS,
     STAGE_BUDGETS,
+    TOKENIZER,
 )
 from tokenloom.sources.special import FIRST_SPECIAL_ID, SPECIAL_TOKENS
 
@@ -119,6 +121,34 @@ def with_parts(body: str, *extra: tuple[str, str]) -> str:
     return "with recursive " + ",\n".join(parts) + "\n" + body
 
 
+def _merged_words() -> str:
+    """The lowest-ranked, leftmost pair of every word merged in each step; a word is done when it has none."""
+    names = "[" + ", ".join(f"chr({ord(c)})" for c in byte_names()) + "]"
+    return f"""with recursive model as (select json_extract(content, '$.model') as m from read_text('{TOKENIZER}')),
+        entries as (select unnest(map_entries(cast(json_extract(m, '$.vocab') as map(varchar, integer)))) as e from model),
+        merges as (select min(rank) as rank, p[1] as l, p[2] as r from (
+            select unnest(cast(json_extract(m, '$.merges') as varchar[][])) as p,
+                   generate_subscripts(cast(json_extract(m, '$.merges') as varchar[][]), 1) as rank from model) group by all),
+        words as (select distinct unnest(regexp_extract_all(text, {WORDS})) as w from documents),
+        names as (select {names} as names),
+        merged as (
+            select w, 0 as step, list_transform(range(1, strlen(w) + 1),
+                lambda i: names[('0x' || substr(hex(w), 2 * i - 1, 2))::int + 1]) as s from words, names
+            union all
+            select w, step + 1, s[1:p - 1] || [s[p] || s[p + 1]] || s[p + 2:] from (
+                select w, step, s, min(m.rank * 1000000 + p) % 1000000 as p
+                from (select w, step, s, unnest(range(1, len(s))) as p from merged) x
+                join merges m on m.l = x.s[x.p] and m.r = x.s[x.p + 1] group by w, step, s)),
+        done as (select w, arg_max(s, step) as s from merged group by w),
+        coded as (select w, list(e.value order by pos) as ids from (
+            select w, unnest(s) as symbol, generate_subscripts(s, 1) as pos from done) join entries on e.key = symbol group by w),
+        placed as (select doc_id, unnest(a) as w, generate_subscripts(a, 1) as pos
+            from (select doc_id, regexp_extract_all(text, {WORDS}) as a from documents)),
+        ids as (select doc_id, flatten(list(ids order by pos)) as ids from placed join coded using (w) group by doc_id)
+        select doc_id, coalesce(len(ids), 0)::bigint as n, {fp('coalesce(ids, [])')} as ids_md5
+        from documents left join ids using (doc_id)"""
+
+
 # --- conversations -----------------------------------------------------------------------
 
 TURNS = "select conv_id, turn, role, text from conversations"
@@ -440,6 +470,7 @@ SQL: dict[str, str] = {
     "pretokenize": _pretokenize(),
     "encode_corpus": with_parts(f"select doc_id, len(ids) as n, {fp('ids')} as ids_md5 from ids"),
     "encode_small_head": with_parts(f"select nullif(doc_id % 7, 0) as key, len(ids) as n, {fp('ids')} as ids_md5 from ids"),
+    "encode_merges": _merged_words(),
     "encode_special": _special(),
     "special_tokens": _special_counts(),
     "chunk_documents": with_parts(_CHUNKS),
@@ -536,6 +567,11 @@ SQL: dict[str, str] = {
     "render_tool_calls": prompt_report(*rendered(CALL_TURNS, after=CALLS)),
     "render_tool_results": prompt_report(*rendered(TOOL_TURNS)),
     "render_tools": prompt_report(*rendered(TURNS, head=TOOL_HEAD)),
+    "json_indent": """select conv_id, length(t) as n, md5(t) as text_md5 from (
+        select conv_id, json_pretty(json_object('conv_id', conv_id, 'turns', to_json(list(
+            json_object('turn', turn, 'role', role, 'text', text)
+            order by turn nulls first, role nulls first, text nulls first)))) as t
+        from conversations group by conv_id)""",
     "content_normalize": _contents(False),
     "media_count": _contents(True),
     "render_media": prompt_report(*rendered(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions.arrays import fingerprint
 from tokenloom.functions.chat import PromptOptions
-from tokenloom.functions.text import PRETOKENS, is_nonblank, pieces, strip
+from tokenloom.functions.text import PRETOKENS, WORDS, is_nonblank, json_text, pieces, strip
 from tokenloom.operators import batching, chat, chunk, finetune, guards, indexing, masks, packing, turn_rows
 from tokenloom.operators.encode import (
     DictionaryEncoder,
@@ -19,6 +19,7 @@ from tokenloom.operators.encode import (
     chat_special_ids,
     count_special,
 )
+from tokenloom.operators.merges import MergeEncoder
 from tokenloom.plans import inputs as I
 from tokenloom.sources import chat as chat_source
 from tokenloom.sources import sinks, text, vocab
@@ -163,6 +164,18 @@ def encode_small_head(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("key", F.size("ids").cast("long").alias("n"), fingerprint(F.col("ids")).alias("ids_md5"))
 
 
+@query
+def encode_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """Words by a tokenizer folder's dictionary and merges; words are the pieces."""
+    folder = new_path(spark, "tokenizer")
+    entries, merges = vocab.read_tokenizer(spark, I.TOKENIZER)
+    vocab.write_dictionary(entries, f"{folder}/vocab.json")
+    vocab.write_merges(merges, f"{folder}/merges.txt")
+    encoder = MergeEncoder(*vocab.read_tokenizer(spark, folder), pattern=WORDS)
+    encoded = encoder.encode(I.documents(spark, sf, "doc_id", "text"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n"), fingerprint(F.col("ids")).alias("ids_md5"))
+
+
 @query
 def encode_special(spark: SparkSession, sf: str) -> DataFrame:
     prompts = chat.render(_grouped(spark, sf), tool_calls=False).select("conv_id", "prompt")
@@ -610,6 +623,17 @@ def render_tools(spark: SparkSession, sf: str) -> DataFrame:
     return _prompt_report(chat.render(with_tools, tools="tools", tool_calls=False))
 
 
+@query
+def json_indent(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as JSON text with four columns of indent."""
+    turn = F.struct("turn", "role", "text")
+    listed = I.conversations(spark, sf).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    whole = listed.select("conv_id", F.to_json(F.struct("conv_id", "turns"), {"ignoreNullFields": "false"}).alias("json"))
+    spelled = json_text(F.col("json"), ensure_ascii=False, indent=4)
+    return whole.select("conv_id", spelled.alias("t")).select(
+        "conv_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text_md5"))
+
+
 @query
 def content_normalize(spark: SparkSession, sf: str) -> DataFrame:
     grouped = chat.group_turns(I.conversations(spark, sf), "conv_id", "turn", I.media_message())
