@@ -275,6 +275,26 @@ def test_prompt_files_refuse_bad_ids(spark, tmp_path):
     assert not (tmp_path / "prompts").exists()
 
 
+def test_prompt_files_of_a_failed_job(spark, tmp_path):
+    out = tmp_path / "prompts"
+    df = spark.range(40).selectExpr("cast(id as string) as id", "if(id = 33, null, concat('p', id)) as prompt").repartition(4, "id")
+    with pytest.raises(Exception, match="no text for '33.prompt.txt'"):
+        sinks.write_prompt_files(df, str(out))
+    assert os.listdir(tmp_path) == []
+    assert sinks.write_prompt_files(df.where("prompt is not null"), f"file:{out}") == 39
+    assert (out / "7.prompt.txt").read_text() == "p7"
+    (out / "own.txt").write_text("stays")
+    more = spark.createDataFrame([("7", "new"), ("100", "")], "id string, prompt string")
+    assert sinks.write_prompt_files(more, str(out)) == 2
+    assert (out / "7.prompt.txt").read_text() == "new" and (out / "own.txt").exists() and (out / "100.prompt.txt").read_text() == ""
+    assert len([n for n in os.listdir(out) if n.endswith(".prompt.txt")]) == 40
+    assert sorted(os.listdir(tmp_path)) == ["prompts"]
+
+
+def test_prompt_files_without_rows(spark, tmp_path):
+    assert sinks.write_prompt_files(spark.createDataFrame([], "id string, prompt string"), str(tmp_path / "none")) == 0
+
+
 def test_samples_without_an_answer_fail(spark):
     samples = spark.createDataFrame(
         [("a", (["x"], None, None, None)), ("b", (["x"], None, None, None)), (None, (None, 1, None, None)), ("c", None)],

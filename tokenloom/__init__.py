@@ -6,8 +6,9 @@ Every operator is a ``DataFrame -> DataFrame`` function, usable with ``df.transf
 from pyspark import cloudpickle
 
 from tokenloom import kernels
+from tokenloom.sources import prompt_files
 from tokenloom.streaming import resumable
 
 # Task-side helpers travel inside the serialized functions, so executors need no install step.
-for _module in (kernels, resumable):
+for _module in (kernels, prompt_files, resumable):
     cloudpickle.register_pickle_by_value(_module)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.sources.prompt_files import PromptFiles
 from tokenloom.staging import remove
 
 
@@ -60,11 +57,13 @@ def write_prompts(prompts: DataFrame, output_dir: str, id_column: str = "id",
 
 def write_prompt_files(prompts: DataFrame, output_dir: str, id_column: str = "id",
                        prompt_column: str = "prompt") -> int:
-    """One ``{id}.prompt.txt`` per sample in a folder all executors mount; returns the count.
+    """One ``{id}.prompt.txt`` per sample, and the manifest; returns the count.
 
-    Tasks write under a private name and rename, so a repeated task leaves the same files. Ids that are
-    null, repeat or could name a place outside the folder are refused before anything is written.
+    ``output_dir`` is a path or an address that Arrow's file systems know; files show up when all tasks are done, and a
+    failed job leaves none. A null prompt fails the job. Ids that are null, repeat or could name a place outside the folder
+    are refused before anything is written. Meant for small sets: into an existing folder files are moved one by one.
     """
+    spark = prompts.sparkSession
     ids = prompts.select(F.col(id_column).cast("string").alias("id"))
     unsafe = ids.where(F.col("id").isNull() | F.col("id").rlike(r"[/\\\x00]") | (F.col("id") == "")).limit(1).collect()
     if unsafe:
@@ -72,23 +71,13 @@ def write_prompt_files(prompts: DataFrame, output_dir: str, id_column: str = "id
     repeated = ids.groupBy("id").count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"two samples have the id {repeated[0].id!r}")
-
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name, text in zip(names, texts, strict=True):
-                target = os.path.join(output_dir, f"{name}.prompt.txt")
-                partial = f"{target}.{os.getpid()}.part"
-                with open(partial, "w", encoding="utf-8", newline="") as out:
-                    out.write(text)
-                os.replace(partial, target)
-            yield pa.RecordBatch.from_pydict({"written": [len(names)]})
-
-    os.makedirs(output_dir, exist_ok=True)
-    rows = prompts.select(F.col(id_column).cast("string"), prompt_column)
-    done = rows.mapInArrow(save, "written long").agg(F.sum("written")).first()[0]
+    spark.dataSource.register(PromptFiles)
+    seen = Observation()
+    name = F.concat(F.col(id_column).cast("string"), F.lit(".prompt.txt")).alias("name")
+    rows = prompts.select(name, F.col(prompt_column).alias("text")).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows.write.format(PromptFiles.name()).mode("append").save(output_dir)
     manifest(prompts, output_dir, id_column).write.mode("overwrite").json(f"{output_dir}/manifest")
-    return done or 0
+    return seen.get["rows"]
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
