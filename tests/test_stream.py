@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.operators.chunk import chunk_text
 from tokenloom.operators.encode import DictionaryEncoder, append_end, build_dictionary
 from tokenloom.operators.packing import packed_dataset
+from tokenloom.plans.queries import REGISTRY
 from tokenloom.sources.text import stream_text
 from tokenloom.streaming.chunks import stream_chunks
 from tokenloom.streaming.packing import StreamPacker
@@ -96,3 +97,11 @@ def test_stream_reads_the_files_of_the_batch(spark, tmp_path):
     query = rows.writeStream.format("memory").queryName("suffixes").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.text for r in spark.table("suffixes").collect()] == ["one"]
+
+
+@pytest.mark.parametrize("name, batch", [("stream_chunk", "chunk_documents"), ("stream_small_head", "chunk_documents"), ("stream_pack", "pack_padded")])
+def test_queries_over_a_folder_of_files(spark, sf, tmp_path, name, batch):
+    """The table may be a folder of part files, as Spark writes it."""
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found, expected = (sorted(map(repr, REGISTRY[q](spark, str(tmp_path)).collect())) for q in (name, batch))
+    assert found and found == expected

@@ -713,11 +713,9 @@ def expectation_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    rows = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    )
-    return rows.select(*keep, "text")
+    """The table's files as they arrive; it may be one file or a folder of them."""
+    path = f"{sf}/documents.parquet"
+    return text.stream_text(spark, path, "text", "parquet", spark.read.parquet(path).schema, keep=keep)
 
 
 @query
