@@ -10,7 +10,9 @@ from collections import Counter
 import pytest
 from tokenloom.operators.encode import DictionaryEncoder, append_end, build_dictionary
 from tokenloom.operators.packing import packed_dataset
+from tokenloom.plans import queries
 from tokenloom.sources.text import stream_text
+from tokenloom.streaming.chunks import read_encoded, stream_encoded
 from tokenloom.streaming.resumable import ResumablePacker
 
 SCHEMA = "doc_id long, source string, text string"
@@ -101,3 +103,24 @@ def test_large_dictionary_is_refused(spark, rows, tmp_path):
     packer = packer_of(spark, DictionaryEncoder(build_dictionary(docs), head_entries=2), tmp_path)
     with pytest.raises(ValueError, match="larger"):
         packer.start(stream_of(spark, str(tmp_path / "in")))
+
+
+def test_large_dictionary_through_stored_ids(spark, rows, expected, tmp_path):
+    """A dictionary beyond what tasks are handed: one query encodes, the other packs, both stop and go on."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    encoder = DictionaryEncoder(build_dictionary(docs), head_entries=2)
+    folder, ids = str(tmp_path / "in"), str(tmp_path / "ids")
+    for part in range(3):
+        write_part(spark, rows, folder, part)
+        stream_encoded(stream_of(spark, folder), encoder, ids, str(tmp_path / "encode-log")).awaitTermination()
+        packer = packer_of(spark, encoder, tmp_path)
+        packer.start_encoded(read_encoded(spark, ids, docs.drop("text").schema)).awaitTermination()
+    assert shown(packer.samples()) == expected[90]
+
+
+def test_resumed_query_with_a_large_dictionary(spark, sf, tmp_path, monkeypatch):
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    plain = queries._encoder
+    monkeypatch.setattr(queries, "_encoder", lambda *at: plain(*at, head_entries=50))
+    found, batch = (sorted(map(repr, queries.REGISTRY[q](spark, str(tmp_path)).collect())) for q in ("stream_pack_resumed", "pack_padded"))
+    assert found and found == batch

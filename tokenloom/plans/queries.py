@@ -25,7 +25,7 @@ from tokenloom.sources import chat as chat_source
 from tokenloom.sources import sinks, text, vocab
 from tokenloom.sources import special as special_source
 from tokenloom.staging import new_path, stage
-from tokenloom.streaming.chunks import stream_chunks
+from tokenloom.streaming.chunks import read_encoded, stream_chunks, stream_encoded
 from tokenloom.streaming.packing import StreamPacker
 from tokenloom.streaming.resumable import ResumablePacker
 
@@ -751,16 +751,20 @@ def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_pack_resumed(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus arrives in two parts; the query ends between them and goes on from its checkpoint."""
+    """The corpus arrives in two parts; the queries end between them and go on from their checkpoints.
+
+    One query encodes, whatever the dictionary's size, the other packs the rows with their ids.
+    """
     docs = I.documents(spark, sf, "doc_id", "source", "text")
     middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()[0]
-    folder, output, log = (new_path(spark, f"resumed-{name}") for name in ("in", "out", "log"))
+    folder, encoded, output, log = (new_path(spark, f"resumed-{name}") for name in ("in", "ids", "out", "log"))
     encoder = _encoder(spark, sf)
     for part, some in enumerate((F.col("doc_id") <= middle, F.col("doc_id") > middle)):
         docs.where(some).write.parquet(f"{folder}/part-{part}")
         packer = ResumablePacker(
-            spark, encoder, output=output, checkpoint=log, seq_len=I.SEQ_LEN, window_units=I.WINDOW_UNITS,
+            spark, encoder, output=output, checkpoint=f"{log}/pack", seq_len=I.SEQ_LEN, window_units=I.WINDOW_UNITS,
             capacity=I.CAPACITY, eos_id=I.EOS_ID, pad_id=I.PAD_ID, shard="source", key="doc_id", min_len=I.MIN_LEN)
         arriving = text.stream_text(spark, folder, "text", "parquet", docs.schema, keep=("doc_id", "source"))
-        packer.start(arriving).awaitTermination()
+        stream_encoded(arriving, encoder, encoded, f"{log}/encode").awaitTermination()
+        packer.start_encoded(read_encoded(spark, encoded, docs.select("doc_id", "source").schema)).awaitTermination()
     return _padded_report(packer.samples())
