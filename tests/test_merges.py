@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tokenloom.functions.text import json_items, json_text
+from tokenloom.operators import merges as merges_module
 from tokenloom.operators.merges import BYTE_LEVEL, MergeEncoder, byte_names
 from tokenloom.plans.inputs import TOKENIZER
 from tokenloom.sources.vocab import read_merges, read_tokenizer, write_merges
@@ -51,6 +52,22 @@ def test_small_head_gives_the_same(spark, tokenizer):
     assert encoded(MergeEncoder(*tokenizer, head_pieces=2), spark, TEXTS) == plain
 
 
+def test_rounds_are_dealt_out_by_pieces(spark, tokenizer, library, monkeypatch):
+    """Tasks of a round hold a bounded number of pieces, however few bytes these are in a shuffle."""
+    parts = []
+
+    def staged(df, label, plain=merges_module.stage):
+        if label == "merge-rounds":
+            parts.append(df.rdd.getNumPartitions())
+        return plain(df, label)
+
+    monkeypatch.setattr(merges_module, "stage", staged)
+    monkeypatch.setattr(merges_module, "PIECES_PER_TASK", 20, raising=False)
+    text = " ".join(f"word{i}" for i in range(0, 400, 3))
+    assert encoded(MergeEncoder(*tokenizer), spark, [text]) == {0: library.encode(text, add_special_tokens=False).ids}
+    assert parts[0] >= 5
+
+
 def test_given_documents(spark, sf, tokenizer, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = MergeEncoder(*tokenizer).encode(docs).collect()

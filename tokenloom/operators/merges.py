@@ -23,6 +23,7 @@ SHORT = 64                       # bytes of a piece that the joins merge
 HEAD_PIECES, HEAD_BYTES = 100_000, 64
 HEAD_LONG, LONG = 1_000, 4096
 ROUNDS = 4                       # rounds in one job
+PIECES_PER_TASK = 25_000         # a round sorts a row for every pair of symbols, which the bytes of a shuffle don't show
 
 
 def byte_names() -> list[str]:
@@ -44,8 +45,8 @@ class MergeEncoder:
 
     Each distinct piece of the corpus is merged once. A round joins the adjacent symbols of all open pieces
     with the merges and replaces, in each piece, every occurrence of its lowest-ranked pair; pieces
-    without a pair leave. State is partitioned by piece and merges are broadcast, so
-    the rounds of one job shuffle once. Pieces above ``SHORT`` bytes, which would take a round for every
+    without a pair leave. State is partitioned by piece, into as many parts as the pieces take, and merges are
+    broadcast, so the rounds of one job shuffle once. Pieces above ``SHORT`` bytes, which would take a round for every
     merge, are merged inside the tasks with a queue. Ids are joined back to the texts: the most frequent
     pieces by broadcast, so that what is left to the shuffle has no hot key.
 
@@ -77,18 +78,19 @@ class MergeEncoder:
             "token", "place", F.col("found.id").cast(IDS).alias("ids"))
 
     def _merge_short(self, counted: DataFrame) -> DataFrame:
-        state = counted.select("token", "place", byte_symbols(F.col("token")).alias("symbols"))
+        state = counted.select("place", F.struct("token", byte_symbols(F.col("token")).alias("symbols")).alias("piece"))
         merges = F.broadcast(stage(self.merges, "merges"))
-        closed = []
+        closed, left = [], counted.count()
         while True:
-            state = state.repartition("token")
+            state = state.repartition(max(1, -(-left // PIECES_PER_TASK)), "place")
             for _ in range(ROUNDS):
                 state = _merge_round(state, merges)
             # A piece whose last round found no pair is done.
             state = stage(state, "merge-rounds")
-            closed.append(state.where(~F.col("open")).drop("open"))
+            closed.append(state.where(~F.col("open")).select("piece.token", "place", "piece.symbols"))
             state = state.where("open").drop("open")
-            if state.isEmpty():
+            left = state.count()
+            if not left:
                 return reduce(DataFrame.unionByName, closed)
 
     def _merge_long(self, counted: DataFrame) -> DataFrame:
@@ -124,21 +126,26 @@ class MergeEncoder:
 
 
 def _merge_round(state: DataFrame, merges: DataFrame) -> DataFrame:
-    """One round: ``open`` tells pieces that had a pair to merge."""
-    size = F.size("symbols")
+    """One round: ``open`` tells pieces that had a pair to merge.
+
+    Of a piece's pairs the first one carries the piece itself, so that what is sorted grows with the pairs alone.
+    """
+    symbols = F.col("piece.symbols")
+    size = F.size(symbols)
     pairs = F.when(size > 1, F.array_distinct(F.zip_with(
-        F.slice("symbols", 1, size - 1), F.slice("symbols", 2, size - 1),
+        F.slice(symbols, 1, size - 1), F.slice(symbols, 2, size - 1),
         lambda a, b: F.struct(a.alias("left"), b.alias("right")))))
-    found = state.select("token", "place", "symbols", F.explode_outer(pairs).alias("pair"))
-    found = found.select("token", "place", "symbols", "pair.left", "pair.right").join(merges, ["left", "right"], "left")
+    found = state.select("place", "piece", F.posexplode_outer(pairs).alias("at", "pair"))
+    carried = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("piece"))
+    found = found.select("place", carried.alias("piece"), "pair.left", "pair.right").join(merges, ["left", "right"], "left")
     pair = F.when(F.col("rank").isNotNull(), F.struct("rank", "left", "right"))
-    best = found.groupBy("token").agg(
-        F.first("place").alias("place"), F.first("symbols").alias("symbols"), F.min(pair).alias("best"))
+    told = found.select("place", "piece", pair.alias("pair")).where("piece is not null or pair is not null")
+    best = told.groupBy("place").agg(F.first("piece", ignorenulls=True).alias("piece"), F.min("pair").alias("best"))
     left, right = F.col("best.left"), F.col("best.right")
-    joined = F.aggregate("symbols", F.array().cast("array<string>"), lambda done, s: F.when(
+    joined = F.aggregate(symbols, F.array().cast("array<string>"), lambda done, s: F.when(
         (s == right) & (F.get(done, F.size(done) - 1) == left),
         F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(left, right))),
     ).otherwise(F.concat(done, F.array(s))))
     is_open = F.col("best").isNotNull()
-    return best.select("token", "place", F.when(is_open, joined).otherwise(F.col("symbols")).alias("symbols"),
-                       is_open.alias("open"))
+    merged = F.struct(F.col("piece.token").alias("token"), F.when(is_open, joined).otherwise(symbols).alias("symbols"))
+    return best.select("place", merged.alias("piece"), is_open.alias("open"))
