@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tokenloom import kernels
 from tokenloom.functions.text import PRETOKENS, WHITESPACE, is_nonblank, pieces, strip
 from tokenloom.operators.chunk import chunk_text, training_chunks
 from tokenloom.operators.encode import (
@@ -149,3 +151,20 @@ def test_whitespace_is_pythons(spark):
     for r in out:
         assert r.full == (not chr(r.c).isspace()), hex(r.c)
         assert r.s == chr(r.c).strip(), hex(r.c)
+
+
+def test_batches_stay_small_however_much_a_task_reads(spark):
+    """A task's Arrow batches are bounded, so a Python worker holds no more texts of a large input than of a small one."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(0, 9000, 1, 1).select(F.concat(F.lit("w"), "id").alias("text"))
+    encoder = FunctionEncoder(lambda: lambda found: [[len(found)]] * len(found), pattern=r"[^ \t\r\n]+")
+    sizes = encoder.encode(rows).select(F.max(F.col("ids")[0]).alias("most"), F.count("*").alias("n")).first()
+    assert sizes.n == 9000 and sizes.most <= 4000
+
+
+def test_lookup_tells_what_it_lacks():
+    """Ids and missing pieces leave the worker together, so the pieces themselves don't go back."""
+    given = pa.array([["a", "x", "b"], [], None, ["y", "y"], ["b"]], pa.list_(pa.string()))
+    found = kernels.lookup_known(given, pa.array(["a", "b"]), pa.array([1, 2], pa.int32()))
+    assert found.field("ids").to_pylist() == [[1, None, 2], [], [], [None, None], [2]]
+    assert found.field("missing").to_pylist() == [["x"], [], [], ["y", "y"], []]

@@ -34,6 +34,18 @@ def lookup_ids(pieces, tokens, ids, unk_id, strict):
     return pa.ListArray.from_arrays(_offsets(lengths), found)
 
 
+def lookup_known(pieces, tokens, ids):
+    """Of a list<string> array: the ids, null where the dictionary lacks a piece, and the pieces it lacks, in order."""
+    flat = pieces.flatten()
+    found = find_pieces(flat, tokens, ids)
+    lacks = pc.is_null(found)
+    lengths = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+    offsets = _offsets(lengths)
+    before = _offsets(lacks.to_numpy(zero_copy_only=False)).take(offsets)
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(offsets, found), pa.ListArray.from_arrays(before, flat.filter(lacks))], ["ids", "missing"])
+
+
 def tokenize_pieces(pieces, tokenize):
     """Map a list<string> array to list<int32>, tokenizing each distinct piece once."""
     coded = pieces.flatten().dictionary_encode()

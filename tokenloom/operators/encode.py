@@ -8,17 +8,20 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom import kernels
 from tokenloom.functions.text import PRETOKENS, WORDS, pieces, pieces_with_special
 from tokenloom.operators.indexing import with_row_index
 from tokenloom.schemas import IDS
+from tokenloom.session import text_batches
 from tokenloom.sources.special import special_ids
 from tokenloom.staging import stage
 
 
 HEAD_ENTRIES, SHORT = 1_000_000, 64
 HEAD_LONG, LONG = 10_000, 4096
+KNOWN = T.StructType([T.StructField("ids", IDS), T.StructField("missing", T.ArrayType(T.StringType()))])
 
 
 class Encoder(Protocol):
@@ -93,33 +96,33 @@ class DictionaryEncoder:
         return _pieces(text, self.pattern, list(self.special) or None)
 
     def encode(self, df: DataFrame, text_column: str = "text", out: str = "ids") -> DataFrame:
+        text_batches(df.sparkSession)
         if self.tail is None:
             return self._encode_in_place(df, text_column, out)
         return self._encode_with_tail(df, text_column, out)
 
-    def _lookup(self, strict: bool):
-        shared = self._shared
-        unk_id = self.unk_id if strict else None
+    def _encode_in_place(self, df: DataFrame, text_column: str, out: str) -> DataFrame:
+        shared, unk_id = self._shared, self.unk_id
 
         @F.arrow_udf(IDS)
         def lookup(found: pa.Array) -> pa.Array:
-            return kernels.lookup_ids(found, *shared.value, unk_id, strict)
+            return kernels.lookup_ids(found, *shared.value, unk_id, True)
 
         # Keeps filters on the ids above the lookup; pushed below, they would run it twice.
-        return lookup.asNondeterministic()
-
-    def _encode_in_place(self, df: DataFrame, text_column: str, out: str) -> DataFrame:
-        return df.withColumn(out, self._lookup(True)(self.pieces(F.col(text_column))))
+        return df.withColumn(out, lookup.asNondeterministic()(self.pieces(F.col(text_column))))
 
     def _encode_with_tail(self, df: DataFrame, text_column: str, out: str) -> DataFrame:
-        found = df.withColumn("_pieces", self.pieces(F.col(text_column)))
-        looked_up = found.withColumn("_ids", self._lookup(False)("_pieces"))
+        shared = self._shared
+
+        @F.arrow_udf(KNOWN)
+        def lookup(found: pa.Array) -> pa.Array:
+            return kernels.lookup_known(found, *shared.value)
+
+        looked_up = df.withColumn("_found", lookup.asNondeterministic()(self.pieces(F.col(text_column))))
         # The number is stored with the row, so that it stays what it was whatever is computed again.
         known = stage(
-            looked_up.withColumn("_missing", F.transform(
-                F.filter(F.arrays_zip("_pieces", "_ids"), lambda p: p["_ids"].isNull()),
-                lambda p: p["_pieces"],
-            )).drop("_pieces").withColumn("_number", F.monotonically_increasing_id()),
+            looked_up.select(*df.columns, F.col("_found.ids").alias("_ids"), F.col("_found.missing").alias("_missing"),
+                             F.monotonically_increasing_id().alias("_number")),
             "looked-up",
         )
         missing = known.select("_number", F.posexplode("_missing").alias("_pos", "token"))
@@ -161,6 +164,7 @@ class FunctionEncoder:
         self.pattern = pattern
 
     def encode(self, df: DataFrame, text_column: str = "text", out: str = "ids") -> DataFrame:
+        text_batches(df.sparkSession)
         load = self.load
 
         @F.arrow_udf(IDS)
