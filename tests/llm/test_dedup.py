@@ -143,3 +143,24 @@ def test_near_vectors_table(spark, sf):
     assert links > 200
     assert sum(r[1] * k for r, k in found.items()) >= 0.98 * links
     assert sum((found & expected).values()) >= 0.98 * len(table)
+
+
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_repeated_rows_are_grouped_once(spark, monkeypatch, hot):
+    """Rows that are equal as a whole add no span for each of their copies, and zones meet without a join of their groups."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(suffix_dedup, "SPREAD", 2)
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    one, other = text(900), text(700)
+    docs = [(1, one)] * 30 + [(2, one[:600] + other), (3, other + one[200:700]), (4, text(900))] + [(i, one[:450]) for i in range(5, 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    table = df.selectExpr("xxhash64(doc_id, text) as r", "text")
+    spans = suffix_dedup.repeated_spans(table, suffix_dedup.byte_tokens(400))
+    # the first pass gives a zone of the repeated row at most SPREAD times
+    first = suffix_dedup._grouped(suffix_dedup._first_pass(table, suffix_dedup.byte_tokens(400)), False)
+    assert max(r["count"] for r in first.groupBy("r", "low").count().collect()) <= 2
+    assert spans.count() > 0
+    found = remove_repeats(df, with_text=False, words=50)
+    assert rows(found.drop("n_shared_words")) == Counter(plain.repeat_rows(docs))
+    assert rows(found.select("doc_id", "n_shared_words")) == Counter((i, n) for (i, _), n in zip(docs, plain.shared_words(docs), strict=True))

@@ -28,8 +28,15 @@ from tokenloom.llm.components import checkpointed, owned, row_reference, text_ba
 
 NAMES = ["r", "low", "high", "anchor", "core", "context", "check"]
 ZONE = ", ".join(f"{name} long" for name in NAMES)
+GROUP = "r long, low long, high long, anchor long, same boolean, apart boolean, stands boolean, mixed boolean"
+GROUP_NAMES = [field.split()[0] for field in GROUP.split(", ")]
 #: A group is hot from this many rows, or this share of all rows if that is more; so there are at most HOT_GROUPS.
-HOT_ROWS, HOT_GROUPS = 10_000, 50_000
+HOT_ROWS, HOT_GROUPS = 2_000, 50_000
+#: Cores are counted in so many buckets; a bucket that is not hot holds no hot group.
+BUCKETS = 1 << 16
+SPREAD = 64
+#: Rows one task sorts at a time, and bytes of text it takes at a time (what fits a processor's cache).
+SORT_ROWS, SLICE_BYTES = 250_000, 1 << 17
 WORDS = 50
 
 
@@ -61,7 +68,7 @@ def _first_pass(rows: DataFrame, tokens: Tokens) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             refs = batch.column(0).to_numpy()
-            for first, data, offsets in bw.slices(batch.column(1)):
+            for first, data, offsets in bw.slices(batch.column(1), SLICE_BYTES):
                 row, *zone = wd.first_zones(*tokens.codes(data, offsets), tokens.shape)
                 if len(row):
                     yield _table([refs[first + row], *zone], NAMES)
@@ -69,6 +76,13 @@ def _first_pass(rows: DataFrame, tokens: Tokens) -> DataFrame:
     return rows.select("r", "text").mapInArrow(run, ZONE)
 
 
+def _lists(column: pa.ListArray, first: int, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row (from 0) and fields of each entry in the lists of ``rows`` rows from ``first``."""
+    bounds = column.offsets.to_numpy()[first:first + rows + 1]
+    values = column.values.slice(bounds[0], bounds[-1] - bounds[0])
+    return np.repeat(np.arange(rows), np.diff(bounds)), [x.to_numpy() for x in values.flatten()]
+
+
 def _next_pass(rows: DataFrame, open_: DataFrame, tokens: Tokens, step: int) -> DataFrame:
     """Finer zones of ``open_``; only rows that may hold some are moved."""
     table = fixed_filter.build(open_.select(F.col("r").alias("key")))
@@ -78,14 +92,13 @@ def _next_pass(rows: DataFrame, open_: DataFrame, tokens: Tokens, step: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            zones = batch.column(2)
-            bounds, flat = zones.offsets.to_numpy(), zones.values
-            cols = [flat.field(i).to_numpy() for i in range(3)]
-            for at, ref in enumerate(batch.column(0).to_pylist()):
-                codes, _ = tokens.codes(*bw.flat(bw.as_strings(batch.column(1).slice(at, 1))))
-                low, high, anchor = (c[bounds[at]:bounds[at + 1]] for c in cols)
-                found = wd.finer_zones(codes, low, high, anchor, tokens.shape.depth, step)
-                yield _table([np.full(len(found[0]), ref), *found], NAMES)
+            refs = batch.column(0).to_numpy()
+            for first, data, offsets in bw.slices(batch.column(1), SLICE_BYTES):
+                codes, starts = tokens.codes(data, offsets)
+                row, places = _lists(batch.column(2), first, len(offsets) - 1)
+                row, *places = wd.distinct_zones(row, *places)
+                of, *found = wd.finer_zones(codes, starts[row], *places, tokens.shape.depth, step)
+                yield _table([refs[first + row[of]], *found], NAMES)
 
     return joined.mapInArrow(run, ZONE)
 
@@ -98,29 +111,49 @@ def _with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return cold.join(groups, keys).unionByName(rows.join(hot, keys))
 
 
+def _dealt(zones: DataFrame, total: int, across: bool) -> DataFrame:
+    """``zones`` with ``told`` (bits of ``wd.equal_zones``) and ``digit``, by which they are dealt out.
+
+    A zone goes by its core, in a hot group by its context too, and where one context is hot anywhere: then told
+    says all, from aggregates that combine on the map side. Only buckets of many rows, a bounded number, can hold hot groups.
+    """
+    most = max(HOT_ROWS, total // HOT_GROUPS)
+    bucket = F.pmod("core", F.lit(BUCKETS))
+    hot = zones.groupBy(bucket.alias("b")).count().where(F.col("count") > most).select("b").collect()
+    if not hot:
+        return zones.withColumn("told", F.lit(0).cast("long")).withColumn("digit", F.col("core"))
+    place, keys = F.xxhash64("r", "low"), ["core", "context", "check"]
+    many = zones.where(F.expr(f"pmod(core, {BUCKETS}) in ({', '.join(str(x['b']) for x in hot)})"))
+    kinds = checkpointed(many.groupBy(*keys).agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min(place).alias("one")))
+    cores = kinds.groupBy("core").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where(F.col("n") > most)
+    cores = cores.select("core", F.when(F.col("kinds") > 1, 3).otherwise(1).alias("group"))
+    kinds = kinds.where(F.col("n") > most).drop("n")
+    met = zones.join(F.broadcast(cores), "core", "left").join(F.broadcast(kinds), keys, "left")
+    stands = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) if across else place == F.col("one")
+    kind = 4 + F.when(F.col("r0") != F.col("r1"), 8).otherwise(0) + F.when(stands, 16).otherwise(0)
+    told = F.coalesce("group", F.lit(0)) + F.when(F.col("one").isNotNull(), kind).otherwise(0)
+    # copies of one place, which repeated rows have, meet in at most SPREAD tasks
+    spread = F.xxhash64("r", "low", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    digit = F.when(F.col("one").isNotNull(), spread).when(F.col("group").isNotNull(), F.xxhash64(*keys)).otherwise(F.col("core"))
+    return met.select(*NAMES, told.cast("long").alias("told"), digit.alias("digit"))
+
+
 def _grouped(zones: DataFrame, across: bool) -> DataFrame:
-    """Zones not alone in their group: ``same``, how many share the context, ``apart``, whether in several
+    """Zones not alone in their group: ``same``, whether others share the context, ``apart``, whether in several
     rows, ``stands`` (for those: one of them, or those of two rows if ``across``), ``mixed``.
 
-    Groups are told by aggregates of numbers, which combine on the map side without a sort.
+    Zones are dealt out by their digit and sorted within the tasks. Places that repeated rows share come at most SPREAD times.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            yield _table(wd.equal_zones(*[c.to_numpy() for c in pa.Table.from_batches(held).columns], across), GROUP_NAMES)
+
     zones, forget_zones = owned(zones)
     total = zones.count()
-    rows = [F.min("r").alias("r0"), F.max("r").alias("r1")]
-    ends = [f("context").alias(f"c{i}") for i, f in enumerate((F.min, F.max))] + [f("check").alias(f"d{i}") for i, f in enumerate((F.min, F.max))]
-    groups = zones.groupBy("core").agg(F.count("*").alias("n"), *ends, *rows).where("n > 1")
-    groups = checkpointed(groups.selectExpr("core", "n", "r0 <> r1 as apart", "c0 <> c1 or d0 <> d1 as mixed"))
-    kept, forget_kept = owned(_with_group(zones, groups, ["core"], "n", total))
+    dealt = _dealt(zones, total, across).repartition(total // SORT_ROWS + 1, "digit")
+    out = checkpointed(dealt.select(*NAMES, "told").mapInArrow(run, GROUP), free=True)
     forget_zones()
-    plain = kept.where("not mixed").select("r", "low", "high", "anchor", F.col("n").alias("same"), "apart", F.lit(False).alias("stands"), "mixed")
-    keys, mixed = ["core", "context", "check"], kept.where("mixed").drop("n", "apart")
-    place = F.xxhash64("r", "low")
-    equal = checkpointed(mixed.groupBy(*keys).agg(F.count("*").alias("same"), F.min(place).alias("one"), *rows))
-    stands = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) if across else place == F.col("one")
-    mixed = _with_group(mixed, equal, keys, "same", total).select(
-        "r", "low", "high", "anchor", "same", (F.col("r0") != F.col("r1")).alias("apart"), stands.alias("stands"), "mixed")
-    out = checkpointed(plain.unionByName(mixed), free=True)
-    forget_kept()
     return out
 
 
@@ -135,12 +168,12 @@ def repeated_spans(rows: DataFrame, tokens: Tokens, across: bool = False) -> Dat
     depth = tokens.shape.depth
     groups = _grouped(_first_pass(rows, tokens), across)
     for step in (tokens.shape.step, 1, 0):
-        spans.append(groups.where("apart" if across else "same > 1").select("r", "low", (F.col("high") + depth).alias("end")))
+        spans.append(groups.where("apart" if across else "same").select("r", "low", (F.col("high") + depth).alias("end")))
         open_ = groups.where("mixed and (not apart or stands)" if across else "mixed and stands")
         if not step:
             break
         groups = _grouped(_next_pass(rows, open_, tokens, step), across)
-    return spans[0].unionByName(spans[1]).unionByName(spans[2]).distinct()
+    return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
 def repeated_words(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -185,28 +218,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, removed, runs, digest, left, where = [], [], [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data = text.as_buffer().to_pybytes()
-                low = end = np.zeros(0, np.int64)
-                if spans.is_valid:
-                    low, end = wd.merged(spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy())
-                pairs = list(zip(low.tolist(), end.tolist(), strict=True))
-                kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*low.tolist(), len(data)], strict=True))
-                size.append(len(data))
-                removed.append(len(data) - len(kept))
-                runs.append(len(pairs))
-                digest.append(hashlib.sha256(kept).hexdigest())
+            for first, data, offsets in bw.slices(batch.column(1), SLICE_BYTES):
+                n, view = len(offsets) - 1, memoryview(data)
+                row, (low, end) = _lists(batch.column(2), first, n)
+                # one position lies between two rows, so their runs stay apart
+                base = offsets[:-1] + np.arange(n)
+                low, end = wd.merged(low + base[row], end + base[row])
+                row = np.searchsorted(base, low, "right") - 1
+                low, end = low - row, end - row
+                runs = np.bincount(row, minlength=n)
+                gone = np.append(0, np.cumsum(end - low))
+                last = np.cumsum(runs)
+                removed = gone[last] - gone[last - runs]
+                digest, left, where = [], [], []
+                for a, b, i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), (last - runs).tolist(), last.tolist(), strict=True):
+                    cuts = [a, *np.stack((low[i:j], end[i:j]), 1).ravel().tolist(), b] if j > i else [a, b]
+                    parts = [view[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)]
+                    kept = hashlib.sha256()
+                    for part in parts:
+                        kept.update(part)
+                    digest.append(kept.hexdigest())
+                    if with_text:
+                        left.append(b"".join(parts))
+                        where.append([{"low": x - a, "end": y - a} for x, y in zip(cuts[1:-1:2], cuts[2::2], strict=True)])
+                columns = [batch.column(0).slice(first, n), pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs, pa.int64()), pa.array(digest, pa.string())]
                 if with_text:
-                    left.append(kept)
-                    where.append([{"low": a, "end": b} for a, b in pairs])
-            columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())]
-            if with_text:
-                columns += [pa.array(left, pa.binary()), pa.array(where, pa.list_(pa.struct([("low", pa.int64()), ("end", pa.int64())])))]
-            out = names[:len(columns)]
-            if words is not None:
-                columns, out = [*columns, batch.column(3)], [*out, "r"]
-            yield pa.RecordBatch.from_arrays(columns, out)
+                    columns += [pa.array(left, pa.binary()), pa.array(where, pa.list_(pa.struct([("low", pa.int64()), ("end", pa.int64())])))]
+                out = names[:len(columns)]
+                if words is not None:
+                    columns, out = [*columns, batch.column(3).slice(first, n)], [*out, "r"]
+                yield pa.RecordBatch.from_arrays(columns, out)
 
     found = plain.unionByName(cut).select("id", "text", "spans", "r")
     if words is None:
